@@ -226,7 +226,7 @@ def bloom_of(ids: DataFrame) -> bytes:
             packed = np.packbits(bits).reshape(-1, 1 << 12)
             yield pa.RecordBatch.from_arrays([pa.array(range(len(packed)), pa.int32()), pa.array([r.tobytes() for r in packed], pa.binary())], ["part", "bits"])
 
-    def join(key, batches):
+    def join(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = None
         for b in batches:
             for x in b.column("bits"):
@@ -243,8 +243,8 @@ def bloom_of(ids: DataFrame) -> bytes:
     return out.tobytes()
 
 
-def bloom_keep(df: DataFrame, column: str, bits: bytes) -> DataFrame:
-    """Rows whose id may be in the set: never loses a member, may keep others."""
+def bloom_keep(df: DataFrame, column: str, bits: bytes, outside: bool = False) -> DataFrame:
+    """Rows whose id may be in the set: never loses a member, may keep others. outside: exactly the other rows."""
     held = df.sparkSession.sparkContext.broadcast(bits)
 
     def keep(batches):
@@ -253,6 +253,8 @@ def bloom_keep(df: DataFrame, column: str, bits: bytes) -> DataFrame:
             col = b.column(b.schema.get_field_index(column))
             ids = col.fill_null(0).to_numpy(zero_copy_only=False)
             ok = np.logical_and.reduce([has[s] for s in _bloom_slots(ids)]) & ~col.is_null().to_numpy(zero_copy_only=False)
+            if outside:
+                ok = ~ok
             if ok.any():
                 yield b.filter(pa.array(ok))
 
