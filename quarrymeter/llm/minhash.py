@@ -210,3 +210,18 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     out = signed.df.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("key")).alias("key")).join(classes, "key", "left")
     comp_id = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", comp_id.alias("component_id"), F.coalesce(F.col("doc_id") == comp_id, F.lit(True)).alias("kept"))
+
+
+def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """The documents with one of each group of near-duplicates, the one with the smallest id.
+
+    Only documents that a bit set of the dropped and repeated ids lets through
+    are shuffled. Rows that share an id count as one document: one of them stays.
+    Rows with a null id all stay.
+    """
+    found = Table(near_duplicates(docs, k, percent), "classes").df.where("doc_id is not null")
+    gone = found.where("not kept").select("doc_id").distinct()
+    twice = found.groupBy("doc_id").count().where("count > 1").select("doc_id")
+    bits = bloom_of(gone.union(twice))
+    rest = bloom_keep(docs, "doc_id", bits, outside=True)
+    return bloom_keep(docs, "doc_id", bits).join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"]).select(*docs.columns).union(rest)
