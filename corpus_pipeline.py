@@ -2,30 +2,58 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame. The result of a
 stage is written as Parquet to the shared folder and read again as the next
-stage's documents.
+stage's documents. All stages but the last keep the columns of ``documents``.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarrymeter.llm import bpe
+from quarrymeter.llm import bpe, decontaminate, minhash, quality, secrets
 from quarrymeter.llm.common import Table
 from quarrymeter.llm.queries import BYTE_VOCAB
 
 
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Quality classifier (1): documents scored below the threshold go."""
+    model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality.with_scores(docs, model).where("predicted = 1").select(*docs.columns)
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """MinHash near-dedup (3): one document of each group stays (five words, similarity 0.8)."""
+    return minhash.keep_one(docs, k=5, percent=80)
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Benchmark decontamination (5): documents that contain a benchmark item go."""
+    return decontaminate.keep_clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secret scans (6): secrets are masked in the text; all documents stay."""
+    return secrets.redact(docs, secrets.train(secrets.labelled()))
+
+
 def tokenised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """BPE encoding and decoding: token count and digests of every document that is left."""
+    """BPE encoding and decoding (10): token count and digests of every document that is left."""
     return bpe.roundtrip_digests(docs, BYTE_VOCAB)
 
 
-STAGES = [("bpe", tokenised)]
+STAGES = [
+    ("quality", good_quality),
+    ("near_dedup", one_of_each),
+    ("decontaminate", without_benchmark),
+    ("secrets", without_secrets),
+    ("bpe", tokenised),
+]
 
-#: The first stages are learned models, which SQL cannot express.
+#: The first stage is a learned model, which SQL cannot express.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages, from the table ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = Table(stage(spark, docs, sf_dir), f"stage-{name}").df
