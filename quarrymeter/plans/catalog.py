@@ -5,6 +5,399 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import paths, scores, text
+from ..operators import census, classify, emit, history, projects, runtime, tree
+from . import relations as rel
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None, prefix: bool = True):
+    """Register a query with its SQL; ``prefix`` puts the relations' views before it."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = (rel.SQL + sql) if prefix else sql
+        return f
+
+    return add
+
+
+# ------------------------------------------------------------------ history
+@query("SELECT commit_class, count(*) AS commits, sum(repair::INT)::BIGINT AS repairs, sum(CASE WHEN commit_class='B' THEN least(tests,15) ELSE 0 END)::BIGINT AS latent FROM classed GROUP BY commit_class")
+def commit_class_tallies(spark, sf):
+    facts = history.commit_facts(rel.commits(spark, sf), rel.commit_files(spark, sf))
+    return history.class_tallies(facts, many_tests=3)
+
+
+@query("""SELECT CASE WHEN x<0.33 THEN 'low' WHEN x<0.66 THEN 'medium' ELSE 'high' END AS band, count(*) AS commits, sum(deletions)::BIGINT AS deletions
+ FROM (SELECT *, least(1.0::DOUBLE, 0.15::DOUBLE*impl + 0.1::DOUBLE*diversity + (additions+deletions)/2000.0::DOUBLE) AS x FROM classed WHERE repair) GROUP BY 1""")
+def repair_bands(spark, sf):
+    return history.repairs(history.commit_facts(rel.commits(spark, sf), rel.commit_files(spark, sf)))
+
+
+@query("SELECT count(*) AS commits, count(*) FILTER (NOT bot AND impl>=2 AND additions+deletions BETWEEN 20 AND 10000) AS mineable, count(DISTINCT CASE WHEN NOT bot THEN author END) AS human_authors FROM facts")
+def mineable_commits(spark, sf):
+    return history.mineable(history.commit_facts(rel.commits(spark, sf), rel.commit_files(spark, sf)))
+
+
+@query("""SELECT count(*) FILTER (NOT bot) AS humans, count(*) FILTER (bot) AS bots, sum(CASE WHEN bot THEN n ELSE 0 END)::BIGINT AS bot_commits, sum(n)::BIGINT AS commits,
+ sum(CASE WHEN bot THEN n ELSE 0 END)::DOUBLE/sum(n) AS bot_ratio FROM (SELECT author, bool_or(bot) AS bot, count(*) AS n FROM commits GROUP BY author)""")
+def author_profile(spark, sf):
+    return history.author_profile(rel.commits(spark, sf))
+
+
+@query("SELECT count(*) AS rows, avg((event_type='purchase')::INT::DOUBLE) AS rate FROM (SELECT * FROM events ORDER BY ts DESC, event_id DESC LIMIT 200)", prefix=False)
+def recent_rate(spark, sf):
+    return history.recent_rate(rel.table(spark, sf, "events"), F.col("event_type") == "purchase", "ts", "event_id")
+
+
+@query("""SELECT strftime(m.month, '%Y-%m') AS month, coalesce(n, 0) AS commits FROM
+ (SELECT unnest(generate_series(last - INTERVAL 11 MONTH, last, INTERVAL 1 MONTH)) AS month FROM (SELECT date_trunc('month', max(o_orderdate))::TIMESTAMP AS last FROM orders)) m
+ LEFT JOIN (SELECT date_trunc('month', o_orderdate)::TIMESTAMP AS month, count(*) AS n FROM orders JOIN customer ON o_custkey=c_custkey GROUP BY 1) g ON m.month=g.month""", prefix=False)
+def month_histogram(spark, sf):
+    return history.month_histogram(rel.commits(spark, sf))
+
+
+@query("""SELECT min(ts) AS first_ts, max(ts) AS last_ts, count(DISTINCT ts::DATE) AS active_days, count(*) AS commits,
+ CAST(floor((epoch(max(ts))-epoch(min(ts)))/86400) AS BIGINT) AS span_days, CAST(floor((epoch(TIMESTAMP '2002-01-01 00:00:00')-epoch(max(ts)))/86400) AS BIGINT) AS recency_days,
+ count(*)>=2 AND floor((epoch(max(ts))-epoch(min(ts)))/86400)<=2 AS burst_copy FROM commits""")
+def history_calendar(spark, sf):
+    return history.calendar(rel.commits(spark, sf), "2002-01-01 00:00:00")
+
+
+@query("SELECT sha, count(DISTINCT dir) AS dirs FROM commit_files GROUP BY sha")
+def top_dirs(spark, sf):
+    return rel.commit_files(spark, sf).groupBy("sha").agg(F.countDistinct("dir").alias("dirs"))
+
+
+@query("""SELECT position, sha, ts FROM (SELECT row_number() OVER (ORDER BY ts, sha)-1 AS position, sha, ts, count(*) OVER () AS n FROM commits)
+ WHERE position IN (SELECT CAST(floor(i * (n::DOUBLE/160)) AS BIGINT) FROM range(160) t(i), (SELECT count(*) AS n FROM commits))""")
+def even_sample(spark, sf):
+    return history.even_sample(rel.commits(spark, sf).select("sha", "ts"), ["ts", "sha"], 160).select("position", "sha", "ts")
+
+
+@query("""SELECT l_suppkey, n, top, total, top/total AS top_share FROM (SELECT l_suppkey, count(*) AS n, sum(CASE WHEN rn<=k THEN q ELSE 0 END)::BIGINT AS top, sum(q)::BIGINT AS total FROM (
+ SELECT *, greatest(1, CASE WHEN (c*0.01)%1=0.5 AND floor(c*0.01)%2=0 THEN floor(c*0.01) ELSE round(c*0.01) END) AS k FROM (
+ SELECT l_suppkey, CAST(trunc(l_quantity) AS INTEGER) AS q, count(*) OVER (PARTITION BY l_suppkey) AS c, row_number() OVER (PARTITION BY l_suppkey ORDER BY CAST(trunc(l_quantity) AS INTEGER) DESC, l_orderkey*100+l_linenumber) AS rn FROM lineitem)) GROUP BY l_suppkey)""", prefix=False)
+def decision_concentration(spark, sf):
+    li = rel.table(spark, sf, "lineitem").select("l_suppkey", F.col("l_quantity").cast("int").alias("q"), (F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("o"))
+    return history.concentration(li, "l_suppkey", "q", "o")
+
+
+@query("SELECT o_custkey AS sha, min(o_orderpriority) AS ref, count(*) AS aliases FROM orders GROUP BY o_custkey", prefix=False)
+def ref_collapse(spark, sf):
+    o = rel.table(spark, sf, "orders")
+    return history.collapse_refs(o.select(F.col("o_custkey").alias("sha"), F.col("o_orderpriority").alias("ref")))
+
+
+@query("SELECT * FROM (SELECT o_custkey AS ref, count(*) AS commits FROM orders GROUP BY o_custkey) ORDER BY commits DESC, ref LIMIT 12", prefix=False)
+def deepest_refs(spark, sf):
+    o = rel.table(spark, sf, "orders")
+    return history.deepest_ref(o.groupBy(F.col("o_custkey").alias("ref")).agg(F.count("*").alias("commits")))
+
+
+@query("SELECT count(*) AS tags, count(*) FILTER (regexp_matches(tag, '^v?[0-9]+\\.[0-9]+')) AS semver_tags FROM (SELECT CASE WHEN p_size%2=0 THEN 'v'||p_size||'.'||(p_partkey%10) ELSE p_name END AS tag FROM part)", prefix=False)
+def tag_counts(spark, sf):
+    p = rel.table(spark, sf, "part")
+    tag = F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("v"), F.col("p_size"), F.lit("."), F.col("p_partkey") % 10)).otherwise(F.col("p_name"))
+    return p.select(tag.alias("tag")).agg(F.count("*").alias("tags"), F.sum(F.col("tag").rlike(r"^v?[0-9]+\.[0-9]+").cast("int")).alias("semver_tags"))
+
+
+# --------------------------------------------------------------------- tree
+@query("SELECT language, sum(loc)::BIGINT AS loc, count(*) AS files FROM loc_files GROUP BY language")
+def language_loc(spark, sf):
+    return tree.language_loc(tree.with_loc(rel.files(spark, sf)))
+
+
+@query("SELECT repo, language, loc, rank FROM (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY loc DESC, language) AS rank FROM (SELECT repo, language, sum(loc)::BIGINT AS loc FROM loc_files GROUP BY 1,2) WHERE loc>0) WHERE rank<=4")
+def language_rank(spark, sf):
+    return tree.language_rank(tree.with_loc(rel.files(spark, sf)))
+
+
+@query("""SELECT repo, n AS files, a[CAST(floor(n/2) AS INT)+1] AS median_loc, a[CAST(floor(n*0.9::DOUBLE) AS INT)+1] AS p90_loc, len(list_filter(a, lambda x: x>50)) AS over_50, len(list_filter(a, lambda x: x>100)) AS over_100
+ FROM (SELECT repo, count(*) AS n, list_sort(list(loc)) AS a FROM loc_files WHERE loc>0 GROUP BY repo)""")
+def size_distribution(spark, sf):
+    return tree.size_distribution(tree.with_loc(rel.files(spark, sf)), "repo")
+
+
+@query("""SELECT count(*) FILTER (NOT fx) AS specs, count(*) FILTER (fx) AS fixtures FROM (SELECT p_brand IN ('Brand#1','Brand#2') OR p_retailprice>1000 AS fx FROM part WHERE p_type IN ('PROMO','SMALL') OR p_brand IN ('Brand#1','Brand#2'))""", prefix=False)
+def spec_fixture(spark, sf):
+    p = rel.table(spark, sf, "part").withColumn("loc", F.col("p_retailprice"))
+    return tree.spec_fixture(p, F.col("p_brand").isin("Brand#1", "Brand#2"), F.col("p_type").isin("PROMO", "SMALL"), big=1000)
+
+
+@query("SELECT repo, sum(CASE WHEN language IN ('en','de') THEN loc ELSE 0 END)::BIGINT AS part_loc, sum(loc)::BIGINT AS loc, sum(CASE WHEN language IN ('en','de') THEN loc ELSE 0 END)::DOUBLE/nullif(sum(loc),0) AS loc_share FROM loc_files GROUP BY repo")
+def language_share(spark, sf):
+    return tree.loc_share(tree.with_loc(rel.files(spark, sf)), "repo", F.col("language").isin("en", "de"))
+
+
+@query("SELECT language, sum(loc)::BIGINT AS loc FROM (SELECT language, sum(loc) AS loc FROM loc_files WHERE repo<'src5' GROUP BY 1 UNION ALL SELECT repo, sum(loc) FROM loc_files WHERE language='en' GROUP BY 1) GROUP BY language")
+def merged_loc(spark, sf):
+    f = tree.with_loc(rel.files(spark, sf))
+    a = f.where("repo < 'src5'").groupBy("language").agg(F.sum("loc").alias("loc"))
+    b = f.where("language = 'en'").groupBy(F.col("repo").alias("language")).agg(F.sum("loc").alias("loc"))
+    return tree.merged_loc(a, b, "language")
+
+
+@query("SELECT path, language, loc FROM loc_files ORDER BY loc DESC, path LIMIT 10")
+def largest_files(spark, sf):
+    return tree.largest(tree.with_loc(rel.files(spark, sf)).select("path", "language", "loc"))
+
+
+@query("SELECT repo, sum(len(regexp_extract_all(text, '(tion|ment|ung) ')))::BIGINT AS hits, sum(loc)::BIGINT AS loc, sum(len(regexp_extract_all(text, '(tion|ment|ung) ')))/greatest(sum(loc)/1000.0::DOUBLE, 0.001::DOUBLE) AS per_kloc FROM loc_files GROUP BY repo")
+def error_density(spark, sf):
+    return tree.error_density(tree.with_loc(rel.files(spark, sf)), "repo", "(tion|ment|ung) ")
+
+
+@query("""SELECT repo, sha256(string_agg(s||':'||d, chr(10) ORDER BY s||':'||d)) AS digest, sum(n)::BIGINT AS files FROM (
+ SELECT repo, substr(p,1,2) AS s, sha256(string_agg(p||':'||c, chr(10) ORDER BY p||':'||c)) AS d, count(*) AS n FROM (SELECT source AS repo, sha256(doc_id::VARCHAR) AS p, sha256(text) AS c FROM documents) GROUP BY 1,2) GROUP BY repo""", prefix=False)
+def content_digest(spark, sf):
+    return tree.content_digest(rel.files(spark, sf), "repo", "path", "text")
+
+
+@query("SELECT count(*) AS files, count(*) FILTER (lower(substr(text,1,500)) SIMILAR TO '(?s).*(@generated|do not edit|auto-generated|autogenerated|generated by).*') AS generated, sum(length(text)-length(replace(text, chr(10), '')))::BIGINT AS newlines FROM documents", prefix=False)
+def generated_files(spark, sf):
+    d = rel.table(spark, sf, "documents")
+    return d.agg(F.count("*").alias("files"), F.sum(text.is_generated(F.col("text")).cast("int")).alias("generated"), F.sum(text.newline_count(F.col("text"))).alias("newlines"))
+
+
+@query("""SELECT p_brand AS repo, label, hits FROM (SELECT p_brand, count(*) FILTER (regexp_matches(p_name, '(^|[-_./@ ])ring($|[-_./@ ])')) AS ring, count(*) FILTER (regexp_matches(p_name, '(^|[-_./@ ])(widget|gear)($|[-_./@ ])')) AS tool, count(*) FILTER (regexp_matches(p_name, '(^|[-_./@ ])(red|blue|green)($|[-_./@ ])')) AS colour FROM part GROUP BY p_brand) UNPIVOT (hits FOR label IN (ring, tool, colour))""", prefix=False)
+def keyword_hits(spark, sf):
+    p = rel.table(spark, sf, "part").select(F.col("p_brand").alias("repo"), F.col("p_name").alias("name"))
+    return tree.keyword_hits(p, {"ring": ["ring"], "tool": ["widget", "gear"], "colour": ["red", "blue", "green"]})
+
+
+@query("SELECT CASE WHEN p_brand IN ('Brand#1','Brand#2','Brand#3') THEN p_brand ELSE 'other' END AS term, count(*) AS n FROM part GROUP BY 1", prefix=False)
+def vocabulary_fold(spark, sf):
+    return tree.fold_vocabulary(rel.table(spark, sf, "part"), "p_brand", ["Brand#1", "Brand#2", "Brand#3"])
+
+
+# ------------------------------------------------------------ paths and text
+@query("""SELECT page_id, CASE WHEN path<>'' AND len(string_split(path,'/')) BETWEEN 1 AND 4 THEN path END AS remote, split_part(bare, '/', -1) AS base, CASE WHEN contains(path,'/') THEN split_part(path,'/',1) END AS top
+ FROM (SELECT page_id, bare, regexp_extract(bare, '^(?:[a-z+]+://[^/]+/|[^/@ ]+@[^/:]+:)(.+)$', 1) AS path FROM (SELECT page_id, regexp_replace(regexp_replace(url, '[?#].*$', ''), '(\\.git)?/*$', '') AS bare FROM pages))""", prefix=False)
+def url_parts(spark, sf):
+    p = rel.table(spark, sf, "pages")
+    bare = F.regexp_replace(F.regexp_replace("url", r"[?#].*$", ""), r"(\.git)?/*$", "")
+    name = paths.remote_name(F.col("url"))
+    return p.select("page_id", name.alias("remote"), paths.base_name(bare).alias("base"), paths.top_dir(name).alias("top"))
+
+
+@query("""SELECT root, sum(v)::BIGINT AS total, count(*) AS n FROM (SELECT unnest(list_transform(range(0, len(a)), lambda i: array_to_string(a[1:i], '/'))) AS root, v FROM (SELECT string_split(regexp_extract(regexp_replace(url, '[?#].*$', ''), '^[a-z]+://(.+)$', 1), '/') AS a, length(html) AS v FROM pages)) GROUP BY root""", prefix=False)
+def subtree_sums(spark, sf):
+    p = rel.table(spark, sf, "pages")
+    path = F.regexp_extract(F.regexp_replace("url", r"[?#].*$", ""), r"^[a-z]+://(.+)$", 1)
+    return projects.subtree_sums(p.select(path.alias("path"), F.length("html").alias("v")), "path", "v")
+
+
+_REDACTED = "text"
+for _, _p, _by in text.REDACTIONS:
+    _REDACTED = f"regexp_replace({_REDACTED}, '{_p.replace(chr(39), chr(39) * 2)}', '{_by}', 'g')"
+_LABELS = ", ".join(f"CASE WHEN regexp_matches(text, '{p.replace(chr(39), chr(39) * 2)}') THEN '{n}' END" for n, p, _ in text.REDACTIONS)
+
+
+@query(f"SELECT doc_id, sha256({_REDACTED}) AS redacted_sha, array_to_string(list_sort(list_filter([{_LABELS}], lambda x: x IS NOT NULL)), ',') AS labels FROM documents", prefix=False)
+def redaction(spark, sf):
+    d = rel.table(spark, sf, "documents")
+    return d.select("doc_id", F.sha2(text.redact(F.col("text")).cast("binary"), 256).alias("redacted_sha"), F.array_join(text.redaction_labels(F.col("text")), ",").alias("labels"))
+
+
+@query("""SELECT role, CASE WHEN s IS NULL OR trim(s,' ')='' THEN 'empty' WHEN regexp_matches(s,'[\\r\\n]') THEN 'line_break' WHEN regexp_matches(s,'[`{}<>|]') THEN 'markup' WHEN regexp_matches(s,'[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+') THEN 'email'
+ WHEN regexp_matches(s,'https?://') THEN 'url' WHEN regexp_matches(s,'[A-Za-z0-9_]+/[A-Za-z0-9_./]+') THEN 'path' WHEN regexp_matches(s,'[a-z0-9]+_[a-z0-9_]+') THEN 'identifier' WHEN regexp_matches(s,'[0-9]{4,}') THEN 'long_number'
+ WHEN len(string_split_regex(trim(s,' '),'[ \\t\\r\\n]+'))>40 THEN 'too_long' ELSE 'ok' END AS verdict, count(*) AS n FROM (SELECT role, unnest(string_split_regex(text, '\\n')) AS s FROM conversations) GROUP BY 1,2""", prefix=False)
+def sentence_verdicts(spark, sf):
+    c = rel.table(spark, sf, "conversations").select("role", F.explode(F.split("text", "\n")).alias("text"))
+    return census.sentence_counts(c, "role")
+
+
+@query("SELECT event_type, sum(CAST(json_extract_string(props, '$.k') AS INT))::BIGINT AS k, count(*) AS n FROM events GROUP BY event_type", prefix=False)
+def json_values(spark, sf):
+    e = rel.table(spark, sf, "events").withColumn("v", text.json_in(F.col("props")))
+    return e.groupBy("event_type").agg(F.sum(F.expr("variant_get(v, '$.k', 'int')")).alias("k"), F.count("*").alias("n"))
+
+
+@query("SELECT p_partkey, list_transform(string_split(p_size||'.'||(p_partkey%10)||'.'||(p_partkey%3), '.'), lambda x: x::INT)[2] AS minor, substr(sha1(array_to_string(list_sort([p_brand, p_type, p_name]), '|')),1,12) AS id FROM part", prefix=False)
+def version_and_id(spark, sf):
+    p = rel.table(spark, sf, "part").withColumn("v", F.concat_ws(".", "p_size", F.col("p_partkey") % 10, F.col("p_partkey") % 3))
+    return p.select("p_partkey", F.element_at(text.version_parts(F.concat(F.lit("release "), F.col("v"))), 2).alias("minor"), census.candidate_id("p_brand", "p_type", "p_name").alias("id"))
+
+
+# ----------------------------------------------------------------- projects
+@query("""SELECT project, total, ok, skipped, intrinsic, limited, reason, CASE reason WHEN 'all_built' THEN true WHEN 'intrinsic' THEN false END AS build_ok FROM (SELECT *, CASE WHEN ok=total THEN 'all_built' WHEN ok+skipped=total THEN 'skipped' WHEN intrinsic>0 THEN 'intrinsic' WHEN limited>0 THEN 'limited' ELSE 'unattributed' END AS reason FROM (
+ SELECT project, count(*) AS total, count(*) FILTER (status='ok') AS ok, count(*) FILTER (status='skipped') AS skipped, count(*) FILTER (status='failed' AND attribution='repo') AS intrinsic, count(*) FILTER (status='failed' AND attribution='runner') AS limited FROM phases GROUP BY project))""")
+def build_roll_up(spark, sf):
+    return projects.roll_up(rel.phases(spark, sf), "project")
+
+
+@query("SELECT status, count(*) AS n FROM phases GROUP BY status")
+def status_histogram(spark, sf):
+    return projects.status_histogram(rel.phases(spark, sf))
+
+
+@query("""SELECT effective, owner, count(*) AS n FROM (SELECT CASE WHEN o IS NOT NULL THEN 'blocked' ELSE status END AS effective, coalesce(o, f) AS owner FROM (
+ SELECT *, last_value(f IGNORE NULLS) OVER (PARTITION BY project ORDER BY phase, part, supp ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS o FROM (SELECT *, CASE WHEN status='failed' THEN attribution END AS f FROM phases))) GROUP BY 1,2""")
+def phase_propagation(spark, sf):
+    p = projects.propagate(rel.phases(spark, sf), "project", ["phase", "part", "supp"])
+    return p.groupBy("effective", "owner").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT o_custkey, o_orderkey, o_totalprice, rank, o_totalprice/nullif(sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY rank DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),0) AS budget_share FROM (
+ SELECT o_custkey, o_orderkey, CAST(round(o_totalprice) AS BIGINT) AS o_totalprice, row_number() OVER (PARTITION BY o_custkey ORDER BY CAST(round(o_totalprice) AS BIGINT) DESC, o_orderkey) AS rank FROM orders) WHERE rank<=8""", prefix=False)
+def budget_shares(spark, sf):
+    o = rel.table(spark, sf, "orders").select("o_custkey", "o_orderkey", F.round("o_totalprice").cast("long").alias("o_totalprice"))
+    return projects.budget_shares(o, "o_custkey", "o_totalprice", "o_orderkey")
+
+
+@query("SELECT source, doc_id, before FROM (SELECT source, doc_id, coalesce(sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),0)::BIGINT AS before FROM documents) WHERE before<20000", prefix=False)
+def running_cut(spark, sf):
+    d = rel.table(spark, sf, "documents").select("source", "doc_id", "n_chars")
+    return projects.running_cut(d, "source", "doc_id", "n_chars", 20000).select("source", "doc_id", "before")
+
+
+@query("""SELECT a.user_id, least(a.event_id,b.event_id) AS a, greatest(a.event_id,b.event_id) AS b FROM (SELECT user_id, event_id, ts, ts + to_microseconds(CAST(round(value*60000000) AS BIGINT)) AS te FROM events) a JOIN (SELECT user_id, event_id, ts, ts + to_microseconds(CAST(round(value*60000000) AS BIGINT)) AS te FROM events) b ON a.user_id=b.user_id AND a.event_id<b.event_id AND a.ts<b.te AND b.ts<a.te""", prefix=False)
+def span_overlaps(spark, sf):
+    e = rel.table(spark, sf, "events")
+    end = F.timestamp_micros(F.unix_micros(F.col("ts").cast("timestamp")) + F.round(F.col("value") * 60000000).cast("long"))
+    s = e.select("user_id", F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("s"), end.alias("e"))
+    return projects.overlaps(s, "user_id", "s", "e", 3600)
+
+
+@query("""SELECT event_type, round(sum(epoch_us(coalesce(fin, TIMESTAMP '2024-02-01')) - epoch_us(ts))/1e6, 3) AS seconds, max(coalesce(fin, TIMESTAMP '2024-02-01')) AS last_end FROM (SELECT *, CASE WHEN event_id%7<>0 THEN ts + to_microseconds(CAST(round(value*1000000) AS BIGINT)) END AS fin FROM events) GROUP BY event_type""", prefix=False)
+def lane_clock(spark, sf):
+    e = rel.table(spark, sf, "events").withColumn("started", F.col("ts").cast("timestamp"))
+    fin = F.when(F.col("event_id") % 7 != 0, F.timestamp_micros(F.unix_micros("started") + F.round(F.col("value") * 1000000).cast("long")))
+    out = emit.lane_clock(e.withColumn("finished", fin), "event_type", "2024-02-01 00:00:00")
+    return out.withColumn("seconds", F.round("seconds", 3)).withColumn("last_end", F.col("last_end").cast("timestamp_ntz"))
+
+
+@query("""SELECT kind, count(*) AS n FROM (SELECT CASE WHEN event_type='error' AND value>100 THEN 'timeout' WHEN regexp_matches(log,'(?i)401 unauthorized|403 forbidden') THEN 'private_registry' WHEN regexp_matches(log,'(?i)could not resolve') THEN 'dependency_resolution' WHEN regexp_matches(log,'(?i)requires python') THEN 'wrong_runtime' WHEN regexp_matches(log,'(?i)command not found') THEN 'toolchain_missing' WHEN regexp_matches(log,'(?i)build failed') THEN 'build_failed' ELSE 'unclassified' END AS kind FROM (
+ SELECT *, CASE event_id%6 WHEN 0 THEN '401 Unauthorized' WHEN 1 THEN 'Could not resolve x; build failed' WHEN 2 THEN 'requires python 3.9' WHEN 3 THEN 'make: command not found' WHEN 4 THEN 'BUILD FAILED in 3s' ELSE 'done' END AS log FROM events)) GROUP BY kind""", prefix=False)
+def failure_classes(spark, sf):
+    e = rel.table(spark, sf, "events")
+    log = F.element_at(F.array(*map(F.lit, ("401 Unauthorized", "Could not resolve x; build failed", "requires python 3.9", "make: command not found", "BUILD FAILED in 3s", "done"))), (F.col("event_id") % 6 + 1).cast("int"))
+    kind = projects.failure_class(log, (F.col("event_type") == "error") & (F.col("value") > 100))
+    return e.groupBy(kind.alias("kind")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT l_returnflag, sum(a)::BIGINT AS passed, sum(b)::BIGINT AS failed, count(*) AS runs FROM (SELECT l_returnflag, CAST(trunc(l_quantity) AS INT) AS a, l_linenumber AS b FROM lineitem) GROUP BY l_returnflag", prefix=False)
+def runner_totals(spark, sf):
+    li = rel.table(spark, sf, "lineitem")
+    out = F.concat(F.lit("== "), F.col("l_linenumber"), F.lit(" failed, "), F.col("l_quantity").cast("int"), F.lit(" passed in 1.2s =="))
+    c = li.select("l_returnflag", projects.runner_counts(F.lit("pytest"), out).alias("c"))
+    return c.groupBy("l_returnflag").agg(F.sum("c.passed").alias("passed"), F.sum("c.failed").alias("failed"), F.count("*").alias("runs"))
+
+
+# ------------------------------------------------------------------ runtime
+@query("""SELECT d.p_partkey AS id, v.s AS picked FROM part d LEFT JOIN (SELECT p_partkey, arg_min(s, o) AS s FROM (SELECT d.p_partkey, c.major||'.'||c.minor AS s, (CASE WHEN c.major=18 AND c.minor=0 THEN 0 ELSE 1 END)*100000 + c.major*100 + c.minor AS o
+ FROM part d JOIN (SELECT a AS major, b AS minor FROM range(8,24) t(a), range(0,3) u(b)) c ON CASE d.p_partkey%4 WHEN 0 THEN c.major=d.p_size%24 WHEN 1 THEN c.major*100+c.minor >= (d.p_size%24)*100 WHEN 2 THEN c.major*100+c.minor>=1000 AND c.major < d.p_size%24 ELSE c.major=d.p_size%24 OR c.major=12 END) GROUP BY p_partkey) v ON v.p_partkey=d.p_partkey""", prefix=False)
+def runtime_resolution(spark, sf):
+    p = rel.table(spark, sf, "part")
+    n = F.col("p_size") % 24
+    m = F.col("p_partkey") % 4
+    spec = F.when(m == 0, n.cast("string")).when(m == 1, F.concat(F.lit(">="), n)).when(m == 2, F.concat(F.lit(">=10 <"), n)).otherwise(F.concat(n, F.lit(" || 12")))
+    declared = runtime.with_windows(p.select(F.col("p_partkey").alias("id"), F.lit("node").alias("lane"), spec.alias("spec")), "spec")
+    c = spark.range(8, 24).select(F.col("id").cast("int").alias("a")).select("a", F.explode(F.array(*map(F.lit, (0, 1, 2)))).alias("b"))
+    c = c.select(F.lit("node").alias("lane"), F.array("a", "b").alias("version"), ((F.col("a") == 18) & (F.col("b") == 0)).alias("is_default"))
+    return runtime.resolve(declared, c).select("id", F.array_join(F.col("version").cast("array<string>"), ".").alias("picked"))
+
+
+@query("SELECT o_custkey AS repo, o_orderstatus AS lane, arg_min(o_orderpriority, o_orderpriority||lpad(o_orderkey::VARCHAR,12,'0')) AS spec, min(o_orderpriority) AS priority FROM orders GROUP BY 1,2", prefix=False)
+def lane_precedence(spark, sf):
+    o = rel.table(spark, sf, "orders")
+    d = o.select(F.col("o_custkey").alias("repo"), F.col("o_orderstatus").alias("lane"), F.col("o_orderpriority").alias("spec"), F.col("o_orderpriority").alias("priority"))
+    return runtime.first_of_lane(d).select("repo", "lane", "spec", "priority")
+
+
+# ------------------------------------------------------- classes and census
+TERMS = [
+    classify.Term("frontend", "views", "views", 0.05, 3.0), classify.Term("frontend", "clicks", "clicks", 0.02, 2.0), classify.Term("backend", "orders", "purchases", 0.06, 4.0),
+    classify.Term("backend", "errors", "errors", 0.01, 1.0), classify.Term("data", "volume", "value", 0.0005, 3.0), classify.Term("infra", "signups", "signups", 0.04, 2.5),
+]
+
+_STATS_SQL = """WITH s AS (SELECT user_id, count(*) FILTER (event_type='view') AS views, count(*) FILTER (event_type='click') AS clicks, count(*) FILTER (event_type='purchase') AS purchases, count(*) FILTER (event_type='error') AS errors, count(*) FILTER (event_type='signup') AS signups, sum(round(value))::DOUBLE AS value FROM events GROUP BY user_id),
+t AS (SELECT user_id, 'frontend' AS class, round(least(views*0.05::DOUBLE,3.0::DOUBLE),3) AS v, 1 AS o FROM s UNION ALL SELECT user_id,'frontend',round(least(clicks*0.02::DOUBLE,2.0::DOUBLE),3),1 FROM s UNION ALL SELECT user_id,'backend',round(least(purchases*0.06::DOUBLE,4.0::DOUBLE),3),2 FROM s
+ UNION ALL SELECT user_id,'backend',round(least(errors*0.01::DOUBLE,1.0::DOUBLE),3),2 FROM s UNION ALL SELECT user_id,'data',round(least(value*0.0005::DOUBLE,3.0::DOUBLE),3),3 FROM s UNION ALL SELECT user_id,'infra',round(least(signups*0.04::DOUBLE,2.5::DOUBLE),3),5 FROM s),
+g AS (SELECT user_id, class, o, round(sum(v),6) AS raw, count(*) FILTER (v>=0.5) AS support FROM t GROUP BY 1,2,3),
+c AS (SELECT *, round(raw/greatest(sum(raw) OVER (PARTITION BY user_id),1.0),4) AS confidence, row_number() OVER (PARTITION BY user_id ORDER BY raw DESC, o) AS rank FROM g),
+d AS (SELECT *, confidence>=0.18 AND raw>=2 AND raw>=1 AND (support>=2 OR raw>=4) AS detected FROM c)
+"""
+
+
+def _user_stats(spark, sf):
+    e, t = rel.table(spark, sf, "events"), F.col("event_type")
+    n = lambda k: F.sum((t == k).cast("int"))
+    return e.groupBy("user_id").agg(n("view").alias("views"), n("click").alias("clicks"), n("purchase").alias("purchases"), n("error").alias("errors"), n("signup").alias("signups"), F.sum(F.round("value")).alias("value"))
+
+
+@query(_STATS_SQL + "SELECT class, count(*) FILTER (detected) AS detected, sum(rank)::BIGINT AS ranks, sum(support)::BIGINT AS support FROM d GROUP BY class", prefix=False)
+def class_scores(spark, sf):
+    long = classify.score_terms(_user_stats(spark, sf), "user_id", TERMS)
+    s = classify.score_classes(long, "user_id").withColumn("raw", F.round("raw", 6))
+    return s.groupBy("class").agg(F.sum(F.col("detected").cast("int")).alias("detected"), F.sum("rank").alias("ranks"), F.sum("support").alias("support"))
+
+
+@query(_STATS_SQL + """SELECT prim AS "primary", count(*) AS users FROM (SELECT user_id, CASE WHEN f=['backend','frontend'] THEN 'fullstack' WHEN len(f)>=2 THEN 'monorepo' ELSE coalesce(first,'backend') END AS prim FROM (SELECT user_id, coalesce(list_sort(list(class) FILTER (detected)), []) AS f, arg_min(class, rank) FILTER (detected) AS first FROM d GROUP BY user_id)) GROUP BY 1""", prefix=False)
+def primary_class(spark, sf):
+    s = classify.score_classes(classify.score_terms(_user_stats(spark, sf), "user_id", TERMS), "user_id")
+    return classify.primary(s, "user_id").groupBy("primary").agg(F.count("*").alias("users"))
+
+
+@query("""SELECT user_id, total, CASE WHEN total<0.5 THEN 0 WHEN total<3 THEN 1 WHEN total<7 THEN 2 WHEN total<14 THEN 3 WHEN total<28 THEN 4 WHEN total<55 THEN 5 ELSE 6 END AS depth FROM (SELECT user_id, round(sum(n*CASE kind WHEN 'purchase' THEN 1.5 WHEN 'signup' THEN 1.0 WHEN 'error' THEN 0.25 ELSE 0 END)::DOUBLE + 0.4::DOUBLE*least(sum(wt),sum(rp)),6) AS total FROM (SELECT user_id, event_type AS kind, count(*) AS n, count(*) FILTER (value>50) AS wt, count(*) FILTER (value<20) AS rp FROM events GROUP BY 1,2) GROUP BY user_id)""", prefix=False)
+def census_totals(spark, sf):
+    e = rel.table(spark, sf, "events")
+    c = e.groupBy("user_id", F.col("event_type").alias("kind")).agg(F.count("*").alias("n"), F.sum((F.col("value") > 50).cast("int")).alias("with_test"), F.sum((F.col("value") < 20).cast("int")).alias("repairs"))
+    return census.weighted_total(c, "user_id", {"purchase": 1.5, "signup": 1.0, "error": 0.25}).withColumn("total", F.round("total", 6))
+
+
+@query("SELECT user_id, count(*) FILTER (event_type='click') AS click, count(*) FILTER (event_type='purchase') AS purchase, count(*) FILTER (event_type='refund') AS refund FROM events GROUP BY user_id", prefix=False)
+def type_counts(spark, sf):
+    return census.type_counts(rel.table(spark, sf, "events"), "user_id", "event_type", ["click", "purchase", "refund"])
+
+
+@query("SELECT c_custkey, CASE WHEN n IS NOT NULL THEN n END AS n, CASE WHEN n IS NULL THEN 'not_measured' END AS reason FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders WHERE o_orderstatus='F' GROUP BY 1) ON c_custkey=o_custkey", prefix=False)
+def null_not_zero(spark, sf):
+    got = rel.table(spark, sf, "orders").where("o_orderstatus = 'F'").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("n"))
+    return census.block(rel.table(spark, sf, "customer").select("c_custkey"), got, "c_custkey", ["n"])
+
+
+# --------------------------------------------------------------------- emit
+@query("SELECT status, count(*) AS n FROM (SELECT CASE WHEN value>200 THEN 'timed_out' WHEN event_type<>'view' AND value<1 THEN 'unavailable' WHEN event_type='view' THEN 'skipped' ELSE 'measured' END AS status FROM events) GROUP BY status", prefix=False)
+def row_status(spark, sf):
+    e = rel.table(spark, sf, "events")
+    s = scores.row_status(F.col("value") > 200, F.col("value") >= 1, F.col("event_type") != "view")
+    return e.groupBy(s.alias("status")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT c_custkey::VARCHAR AS c_custkey, c_name, CASE WHEN c_acctbal>0 THEN 'true' ELSE 'false' END AS positive, CASE WHEN c_nationkey%2=0 THEN c_mktsegment ELSE '' END AS segment, '['||c_nationkey||','||(c_nationkey+1)||']' AS nations FROM customer", prefix=False)
+def csv_cells(spark, sf):
+    c = rel.table(spark, sf, "customer")
+    return emit.csv_row(c.select("c_custkey", "c_name", (F.col("c_acctbal") > 0).alias("positive"), F.when(F.col("c_nationkey") % 2 == 0, F.col("c_mktsegment")).alias("segment"), F.array("c_nationkey", F.col("c_nationkey") + 1).alias("nations")))
+
+
+@query(f"SELECT 'text' AS field, label, count(*) AS n FROM (SELECT coalesce({_LABELS}) AS label FROM conversations) WHERE label IS NOT NULL GROUP BY label", prefix=False)
+def leak_report(spark, sf):
+    return emit.leak_report(rel.table(spark, sf, "conversations"), ["text"])
+
+
+# --------------------------------------------------------- joins and sets
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus='F')", prefix=False)
+def anti_join(spark, sf):
+    o = rel.table(spark, sf, "orders").where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("c_custkey"))
+    return rel.table(spark, sf, "customer").join(o, "c_custkey", "left_anti").select("c_custkey")
+
+
+@query("SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice>400000)", prefix=False)
+def semi_join(spark, sf):
+    o = rel.table(spark, sf, "orders").where("o_totalprice > 400000").select(F.col("o_custkey").alias("c_custkey"))
+    return rel.table(spark, sf, "customer").join(o, "c_custkey", "left_semi").select("c_custkey")
+
+
+@query("""SELECT o_custkey, array_to_string(list_sort(list_distinct(list(o_orderpriority))), ',') AS seen, array_to_string(list_sort(list_distinct(list_filter(['1-URGENT','3-MEDIUM'], lambda x: list_contains(list(o_orderpriority), x)))), ',') AS marked, len(list_filter(['1-URGENT','2-HIGH'], lambda x: NOT list_contains(list(o_orderpriority), x)))=0 AS has_both FROM orders GROUP BY o_custkey""", prefix=False)
+def set_algebra(spark, sf):
+    g = rel.table(spark, sf, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_set("o_orderpriority")).alias("s"))
+    lit = lambda *x: F.array(*map(F.lit, x))
+    return g.select("o_custkey", F.array_join("s", ",").alias("seen"), F.array_join(F.array_sort(F.array_intersect("s", lit("1-URGENT", "3-MEDIUM"))), ",").alias("marked"), (F.size(F.array_except(lit("1-URGENT", "2-HIGH"), "s")) == 0).alias("has_both"))
