@@ -8,19 +8,21 @@ values, each equal for two sets with a probability of their similarity. Bands of
 ``ROWS`` values take their rows from different permutations; at similarity 0.8 a
 pair shares no band with a probability of some 1e-7.
 
-Documents with equal sets are folded first. In every bucket of a band two
-leaders (smallest id, smallest hash of the id) are paired with the other
-members; pairs are confirmed on full sets, and components formed. Where a bucket
-still holds several components, every pair of members from different components
-is compared too, by signature inside pairs of blocks and then on full sets, so
-no link between components is lost, and pairs inside a component are never listed.
+Documents with equal sets are folded first. Then links are looked for in three
+rounds; after each, pairs are confirmed on full sets and components formed:
+every member of a band's bucket with the bucket's two leaders; in buckets that
+still hold several components, every member with its closest members of other
+components; and where several components are left, all pairs across them. So
+no link between components is lost, while pairs inside a component are never
+listed. Buckets are compared by signature in pairs of blocks of bounded size, and
+a pair that shares several buckets is given out by the first.
 
 Texts are read again for confirmation, but only those that a fixed-size bit set
 of wanted ids lets through are shuffled.
 
 Defined cases: null, empty and blank texts have an empty set, link with nothing
 and are their own component; a null id gives a null component and is kept;
-repeated rows get equal results; rows that share an id share a component; an
+repeated rows get equal results; rows that share an id are told apart by their sets; an
 empty table gives an empty result.
 """
 
@@ -40,8 +42,8 @@ ROWS = 5
 BLOCK = 2048
 _rng = np.random.default_rng(31)
 _MUL = _rng.integers(0, 2**62, PERMUTATIONS, dtype=np.int64).astype(U64) * U64(2) + U64(1)
-#: Estimates lie within five standard deviations of the similarity above this distance from the threshold.
-SLACK = 0.14
+#: Estimates lie within four standard deviations of the similarity above this distance from the threshold.
+SLACK = 0.12
 
 
 def shingle_sets(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -76,7 +78,7 @@ def bands_of(sig: np.ndarray) -> np.ndarray:
     h = parts[:, :, 0]
     for r in range(1, ROWS):
         h = mix(h) + parts[:, :, r] * U64(0x9E3779B97F4A7C15)
-    return mix(h)
+    return mix(mix(h) + np.arange(h.shape[1]).astype(U64))
 
 
 def set_keys(v: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -133,33 +135,44 @@ def _confirm(percent: int):
                 both = int((y[np.minimum(at, len(y) - 1)] == x).sum())
                 ok[i] = 100 * both >= percent * (len(x) + len(y) - both)
             keep = pa.array(ok)
-            yield pa.RecordBatch.from_arrays([b.column(c).filter(keep) for c in ("a", "b")], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([b.column(c).filter(keep) for c in ("ka", "kb")], ["a", "b"])
 
     return run
 
 
-def _cross(percent: int):
+def _cross(percent: int, closest: int | None):
+    """Pairs of one pair of blocks of one bucket, from different components, that may be similar.
+
+    closest: only so many for each member, those with the highest estimates.
+    """
     least = percent / 100 - SLACK
 
     def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Pairs of one pair of blocks from different components that may be similar."""
         b = pa.Table.from_batches(batches)
-        lo, hi = key[2].as_py(), key[3].as_py()
+        band, lo, hi = key[1].as_py(), key[2].as_py(), key[3].as_py()
         col = lambda n: b.column(n).to_numpy()
-        k, a, n, comp, block = col("key"), col("rep"), col("n"), col("comp"), col("block")
-        sig = np.stack([np.frombuffer(x.as_py(), np.uint8) for x in b.column("sig")])
+        k, n, comp, block = col("key"), col("n"), col("comp"), col("block")
+        sig = np.stack([np.frombuffer(x.as_buffer(), np.uint8) for x in b.column("sig")])
+        tags = b.column("bands").combine_chunks().values.to_numpy().reshape(len(k), -1)
         left, right = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
-        names, back, count = np.unique(comp[left], return_inverse=True, return_counts=True)
-        major = names[count.argmax()]
+        names, count = np.unique(comp[left], return_counts=True)
+        major = names[count.argmax()] if len(names) else None
         out = []
         for i in left:
             if lo == hi and comp[i] == major:
                 continue  # met from the other side, or inside the component
             near = right[(comp[right] != comp[i]) & (100 * np.minimum(n[right], n[i]) >= percent * np.maximum(n[right], n[i]))]
-            near = near[(sig[near] == sig[i]).mean(1) >= least] if len(near) else near
-            out += [(k[i], k[j], a[i], a[j]) if (a[i], k[i]) < (a[j], k[j]) else (k[j], k[i], a[j], a[i]) for j in near]
-        cols = list(zip(*sorted(set(out)), strict=True)) if out else [[], [], [], []]
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["ka", "kb", "a", "b"])
+            if not len(near):
+                continue
+            guess = (sig[near] == sig[i]).mean(1)
+            near, guess = near[guess >= least], guess[guess >= least]
+            if closest is not None:
+                near = near[np.argsort(-guess, kind="stable")[:closest]]
+            elif band:  # given out by the first bucket that the pair shares
+                near = near[~(tags[near, :band] == tags[i, :band]).any(1)]
+            out += [(min(k[i], k[j]), max(k[i], k[j])) for j in near]
+        cols = list(zip(*sorted(set(out)), strict=True)) if out else [[], []]
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["ka", "kb"])
 
     return run
 
@@ -170,44 +183,60 @@ def _verify(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFram
     bits = bloom_of(wanted.select("doc_id"))
     texts = bloom_keep(docs, "doc_id", bits).join(wanted, "doc_id")
     sets = texts.select("key", "text").mapInArrow(_sets(k), "key long, items binary").groupBy("key").agg(F.first("items").alias("items"))
-    one = pairs.join(sets.select(F.col("key").alias("ka"), F.col("items").alias("left")), "ka")
+    one = pairs.select("ka", "kb").join(sets.select(F.col("key").alias("ka"), F.col("items").alias("left")), "ka")
     two = one.join(sets.select(F.col("key").alias("kb"), F.col("items").alias("right")), "kb")
-    return two.select("a", "b", "left", "right").mapInArrow(_confirm(percent), "a long, b long")
+    return two.select("ka", "kb", "left", "right").mapInArrow(_confirm(percent), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept): one row for each row of the input."""
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     signed = Table(src.mapInArrow(_sign(k), "doc_id long, n long, key long, bands array<long>, sig binary"), "signed")
+    rows = Table(signed.df.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("key")).alias("key")), "rows").df
     good = signed.df.where("n > 0 and doc_id is not null")
-    reps = Table(good.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig")), "reps")
-    member = reps.df.select(F.struct("rep", "key", "n").alias("m"), F.posexplode("bands").alias("band", "h"))
-    first = F.min("m").alias("one")
-    other = F.min_by("m", F.struct(F.xxhash64("m.key"), "m")).alias("two")
-    buckets = member.groupBy("band", "h").agg(first, other, F.count("*").alias("size")).where("size > 1")
-    near = member.join(buckets, ["band", "h"]).select("m", F.explode(F.array("one", "two")).alias("lead"))
-    fits = "lead.key <> m.key and 100 * least(lead.n, m.n) >= {p} * greatest(lead.n, m.n)".format(p=percent)
-    lo, hi = F.least("lead", "m"), F.greatest("lead", "m")
-    pairs = near.where(fits).select(lo.alias("x"), hi.alias("y")).select(F.col("x.key").alias("ka"), F.col("y.key").alias("kb"), F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
-    tested = Table(pairs, "pairs")
-    links = Table(_verify(src, tested.df, k, percent), "links")
-    nodes = reps.df.select(F.col("rep").alias("id")).distinct()
-    comp = Table(components(nodes, links.df), "components")
-
-    # buckets that still hold several components: all pairs across them
-    of = comp.df.select(F.col("id").alias("rep"), F.col("component").alias("comp"))
-    at = reps.df.select("rep", "key", "n", F.posexplode("bands").alias("band", "h")).join(of, "rep")
-    mixed = at.groupBy("band", "h").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("size")).where("c0 <> c1 and size > 2").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).select("band", "h", "blocks")
-    rows = at.join(mixed, ["band", "h"]).withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
-    dealt = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("band", "h", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "key", "rep", "n", "comp")
-    full = dealt.join(reps.df.select("key", "sig"), "key")
-    more = full.groupBy("band", "h", "lo", "hi").applyInArrow(_cross(percent), "ka long, kb long, a long, b long").distinct().join(tested.df, ["ka", "kb", "a", "b"], "left_anti")
-    late = Table(more, "cross-pairs")
-    if not late.df.isEmpty():
-        links2 = Table(_verify(src, late.df, k, percent), "links")
-        comp = Table(components(nodes, links.df.union(links2.df)), "components")
-    classes = reps.df.select("key", "rep").join(comp.df.select(F.col("id").alias("rep"), F.col("component").alias("component_id")), "rep").select("key", "component_id")
-    out = signed.df.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("key")).alias("key")).join(classes, "key", "left")
+    reps = Table(good.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig")), "reps").df
+    signed.drop()
+    nodes = reps.select(F.col("key").alias("id"))
+    tested: list[DataFrame] = []
+    links: list[DataFrame] = []
+
+    def confirm(found: DataFrame) -> DataFrame | None:
+        """Confirm new pairs (ka, kb); components of all links so far, None where there is nothing new."""
+        for old in tested:
+            found = found.join(old.select("ka", "kb"), ["ka", "kb"], "left_anti")
+        side = lambda key, rep, n: reps.select(F.col("key").alias(key), F.col("rep").alias(rep), F.col("n").alias(n))
+        fit = found.join(side("ka", "a", "na"), "ka").join(side("kb", "b", "nb"), "kb").where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
+        pairs = Table(fit.select("ka", "kb", "a", "b"), "pairs").df
+        tested.append(pairs)
+        if pairs.isEmpty():
+            return None
+        links.append(Table(_verify(src, pairs, k, percent), "links").df)
+        every = links[0]
+        for more in links[1:]:
+            every = every.union(more)
+        return Table(components(nodes, every), "components").df
+
+    member = reps.select("key", F.explode("bands").alias("h"))
+    lead = member.groupBy("h").agg(F.min("key").alias("one"), F.max("key").alias("two")).where("one <> two")
+    near = member.join(lead, "h").select("key", F.explode(F.array("one", "two")).alias("lead")).where("lead <> key")
+    comp = confirm(near.select(F.least("key", "lead").alias("ka"), F.greatest("key", "lead").alias("kb")).distinct())
+
+    for closest in (2, None):
+        if comp is None:
+            break
+        at = reps.select("key", F.posexplode("bands").alias("band", "h")).join(comp.select(F.col("id").alias("key"), F.col("component").alias("comp")), "key")
+        mixed = at.groupBy("h").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("size")).where("c0 <> c1 and size > 2").select("h", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
+        part = at.join(mixed, "h").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+        dealt = part.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("h", "band", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "key", "comp")
+        full = dealt.join(reps.select("key", "n", "sig", "bands"), "key")
+        found = full.groupBy("h", "band", "lo", "hi").applyInArrow(_cross(percent, closest), "ka long, kb long").distinct()
+        comp = confirm(found) or comp
+
+    if comp is None:
+        comp = nodes.select("id", F.col("id").alias("component"))
+    named = comp.withColumnRenamed("id", "key").join(reps.select("key", "rep"), "key")
+    least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
+    out = rows.join(named.join(least, "component").select("key", "component_id"), "key", "left")
     comp_id = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", comp_id.alias("component_id"), F.coalesce(F.col("doc_id") == comp_id, F.lit(True)).alias("kept"))
 
