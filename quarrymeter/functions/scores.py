@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 
 def capped(value: Column, per: float, cap: float) -> Column:
-    return F.least(value * F.lit(per), F.lit(cap))
+    return F.when(value.isNotNull(), F.least(value * F.lit(per), F.lit(cap)))
 
 
 def repair_complexity(impl: Column, diversity: Column, churn: Column) -> Column:
@@ -28,7 +28,8 @@ def depth_band(total: Column) -> Column:
 
 def clamp(raw: Column, low: int, high: int, default: int | None = None) -> Column:
     """Whole number inside bounds; what isn't a number gives the default."""
-    return F.coalesce(F.greatest(F.lit(low), F.least(F.lit(high), raw.try_cast("int"))), F.lit(default))
+    n = raw.try_cast("int")
+    return F.coalesce(F.when(n.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), n))), F.lit(default))
 
 
 def share(part: Column, whole: Column) -> Column:
