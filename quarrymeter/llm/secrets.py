@@ -55,6 +55,7 @@ _HARMLESS = re.compile(r"\b(?:" + "|".join(HARMLESS_WORDS) + r")\b")
 FEATURES = ("length", "upper", "lower", "digit", "other", "entropy", "transitions", "longest_run", "hex_only", "coverage", "vowels", "path", "assigned", "credential_word", "harmless_word", "known_prefix", "dashes", "distinct", "quoted", "word_like")
 #: Public prefixes of credential formats.
 KNOWN_PREFIXES = ("AKIA", "ASIA", "ghp_", "gho_", "ghs_", "github_pat_", "glpat-", "xoxb-", "xoxp-", "sk_live_", "rk_live_", "sk-", "AIza", "ya29", "eyJ", "SG", "npm_", "pypi-", "-----BEGIN")
+_HEADS = np.array([int.from_bytes(p[:4].encode(), "little") for p in KNOWN_PREFIXES if len(p) >= 4 and p[0] != "-"], np.uint32)
 
 
 def candidates(data: bytes, runs: np.ndarray | None = None) -> list[tuple[int, int]]:
@@ -76,19 +77,23 @@ def candidates(data: bytes, runs: np.ndarray | None = None) -> list[tuple[int, i
     return out
 
 
+def _likely(buf: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+    """Runs that are long enough and hold a digit or begin like a known credential."""
+    digits = np.concatenate([[0], np.cumsum((buf >= 48) & (buf < 58))])
+    ok = e - s >= SHORTEST
+    at = np.minimum(s, max(0, len(buf) - 4))
+    head = buf[at].astype(np.uint32) | buf[at + 1].astype(np.uint32) << 8 | buf[at + 2].astype(np.uint32) << 16 | buf[at + 3].astype(np.uint32) << 24 if len(buf) >= 4 else np.zeros(len(s), np.uint32)
+    return ok & ((digits[e] > digits[s]) | np.isin(head, _HEADS))
+
+
 def token_runs(buf: np.ndarray) -> np.ndarray:
-    """(start, end) of runs of token bytes that are long enough and hold a digit."""
+    """(start, end) of the likely runs of token bytes."""
     if not len(buf):
         return np.zeros((0, 2), np.int64)
-    t = _TOKEN[buf]
-    edge = np.flatnonzero(np.diff(t.view(np.int8), prepend=0, append=0))
+    edge = np.flatnonzero(np.diff(_TOKEN[buf].view(np.int8), prepend=0, append=0))
     s, e = edge[::2], edge[1::2]
-    long = e - s >= SHORTEST
-    s, e = s[long], e[long]
-    if not len(s):
-        return np.zeros((0, 2), np.int64)
-    digit = np.array([bool(((buf[a:b] >= 48) & (buf[a:b] < 58)).any()) for a, b in zip(s, e, strict=True)])
-    return np.stack([s[digit], e[digit]], 1)
+    ok = _likely(buf, s, e)
+    return np.stack([s[ok], e[ok]], 1)
 
 
 def features(data: bytes, start: int, stop: int) -> list[float]:
@@ -253,26 +258,21 @@ def find(forest: Forest, texts: list[bytes], buf: np.ndarray, off: np.ndarray) -
 
 
 def token_runs_by_text(buf: np.ndarray, off: np.ndarray) -> list[np.ndarray]:
-    """Token runs of a whole slice, cut at the borders of its texts."""
-    cut = []
-    for i in range(len(off) - 1):
-        cut.append((off[i], off[i + 1]))
-    whole = _TOKEN[buf]
-    edge = np.diff(whole.view(np.int8), prepend=0, append=0) if len(buf) else np.zeros(1, np.int8)
-    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    long = ends - starts >= SHORTEST
-    starts, ends = starts[long], ends[long]
-    out: list[list[tuple[int, int]]] = [[] for _ in cut]
-    first = np.searchsorted(off, starts, "right") - 1
-    for s, e, d in zip(starts, ends, first, strict=True):
-        while s < e:
-            stop = min(e, off[d + 1])
-            if stop - s >= SHORTEST and ((buf[s:stop] >= 48) & (buf[s:stop] < 58)).any():
-                out[d].append((s - off[d], stop - off[d]))
-            s, d = stop, d + 1
-            while s < e and off[d + 1] <= s:
-                d += 1
-    return [np.array(o, np.int64).reshape(-1, 2) for o in out]
+    """Likely token runs of each text of a slice; runs end where a text ends."""
+    n = len(off) - 1
+    if not len(buf):
+        return [np.zeros((0, 2), np.int64)] * n
+    token = _TOKEN[buf]
+    first, last = token.copy(), token.copy()
+    cut = np.zeros(len(buf) + 1, bool)
+    cut[off] = True
+    first[1:] &= ~token[:-1] | cut[1:-1]
+    last[:-1] &= ~token[1:] | cut[1:-1]
+    s, e = np.flatnonzero(first), np.flatnonzero(last) + 1
+    ok = _likely(buf, s, e)
+    s, e = s[ok], e[ok]
+    low = np.searchsorted(s, off)
+    return [np.stack([s[low[i] : low[i + 1]], e[low[i] : low[i + 1]]], 1) - off[i] for i in range(n)]
 
 
 def _scan(batch: pa.RecordBatch, forest: Forest):
