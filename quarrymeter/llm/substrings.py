@@ -146,7 +146,8 @@ def _window_rows(window: int, anchor: int, buckets: int):
                     _, rep, back, count = np.unique(mix(full[k] ^ h[k]), return_index=True, return_inverse=True, return_counts=True)
                     for rows, weight in ((k[rep], np.minimum(count, 2)), (k[count[back] > 1], None)):
                         # the first lot is evidence for other slices; the second is known to repeat
-                        out["bucket"].append((mix(full[rows]) % U64(buckets)).astype(np.int64))
+                        by = full[rows] if weight is not None else key[doc[start[rows]]].view(U64) + start[rows].astype(U64)
+                        out["bucket"].append((mix(by) % U64(buckets)).astype(np.int64))
                         out["key"].append(key[doc[start[rows]]])
                         out["h"].append(as_long(h[rows]))
                         out["pos"].append(start[rows] - w.doc[doc[start[rows]]])
