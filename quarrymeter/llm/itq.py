@@ -44,21 +44,24 @@ BUCKET = 48
 BLOCK = 2048
 
 
-def learn_rotation(x: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Mean and rotation (length x bits) by iterative quantisation of unit vectors."""
+def learn_rotation(x: np.ndarray, seed: int) -> np.ndarray:
+    """Rotation (length x bits) by iterative quantisation of unit vectors.
+
+    Vectors aren't centred: only planes through the origin keep the link between
+    cosine and equal bits, also where one dense group draws the mean to itself.
+    """
     d = x.shape[1]
     rng = np.random.default_rng(seed)
     turn = np.linalg.qr(rng.standard_normal((d, d)))[0]
     if len(x) < 2 * d:
-        return np.zeros(d), turn
-    mean = x.mean(0)
-    _, axes = np.linalg.eigh(np.cov((x - mean).T))
-    v = (x - mean) @ axes
+        return turn
+    _, axes = np.linalg.eigh(x.T @ x / len(x))
+    v = x @ axes
     for _ in range(ROUNDS):
         codes = np.where(v @ turn >= 0, 1.0, -1.0)
         a, _, b = np.linalg.svd(v.T @ codes)
         turn = a @ b
-    return mean, axes @ turn
+    return axes @ turn
 
 
 class Quantiser:
@@ -66,14 +69,14 @@ class Quantiser:
 
     def __init__(self, sample: list[list[float]], bits: int, tables: int):
         self.bits, self.tables = bits, tables
-        self.fitted: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        self.fitted: dict[int, list[np.ndarray]] = {}
         by_length: dict[int, list] = {}
         for v in sample:
             by_length.setdefault(len(v), []).append(v)
         for d, rows in by_length.items():
             self.fitted[d] = self._rotations(d, unit(np.array(rows, float)))
 
-    def _rotations(self, d: int, x: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    def _rotations(self, d: int, x: np.ndarray) -> list[np.ndarray]:
         each = max(1, d // self.bits)
         return [learn_rotation(x, 100 + i) for i in range(-(-self.tables // each))]
 
@@ -84,8 +87,8 @@ class Quantiser:
             self.fitted[d] = self._rotations(d, np.zeros((0, d)))
         width = min(self.bits, d)
         out = []
-        for mean, turn in self.fitted[d]:
-            b = ((x - mean) @ turn >= 0).astype(np.int64)
+        for turn in self.fitted[d]:
+            b = (x @ turn >= 0).astype(np.int64)
             out += [b[:, i : i + width] @ (1 << np.arange(width)) for i in range(0, max(1, d // self.bits) * width, width)]
         return np.stack(out[: self.tables], 1).astype(np.int32)
 
