@@ -178,7 +178,7 @@ def runs_hash(h: np.ndarray, k: int) -> np.ndarray:
     return mix(span(k)[:n])
 
 
-def pieces(batch: pa.RecordBatch, column: str = "text", limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def pieces(batch: pa.RecordBatch, column: str = "text", limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with at most ``limit`` text bytes (one document at least)."""
     _, off = text_bytes(batch.column(batch.schema.get_field_index(column)))
     i, n = 0, batch.num_rows
