@@ -29,7 +29,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces
+from .common import bounded_batches, pieces
 
 #: Split pattern of the byte-level tokenizer family (fixed value).
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -234,6 +234,8 @@ def tokenizer(path: str) -> BacktrackingBPE:
 def encode_documents(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, ids array<int>): the ids of every text, one row a row."""
 
+    bounded_batches(docs.sparkSession)
+
     def run(batches):
         bpe = tokenizer(vocab_path)
         for batch in batches:
@@ -261,6 +263,8 @@ def decode_documents(encoded: DataFrame, vocab_path: str) -> DataFrame:
 def roundtrip_digests(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256): encode, decode, digest, in one pass over the texts."""
 
+    bounded_batches(docs.sparkSession)
+
     def run(batches):
         bpe = tokenizer(vocab_path)
         for batch in batches:

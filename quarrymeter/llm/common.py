@@ -8,6 +8,7 @@ with numpy, so no Python object is made per word.
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -39,6 +40,14 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dir["dir"]
 
 
+def bounded_batches(spark: SparkSession, records: int = 2000, size: int = 16 << 20) -> None:
+    """Lower the session's Arrow batches where they are larger, so that a batch of long texts or sets stays small."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", records), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
+        now = int(re.sub(r"[^0-9-]", "", spark.conf.get(key, "0")) or 0)
+        if now <= 0 or now > most:
+            spark.conf.set(key, str(most))
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/qm-{name}-{uuid.uuid4().hex}"
 

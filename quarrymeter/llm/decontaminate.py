@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, mix, pieces, runs_hash, unique_per_doc, words_of
+from .common import Words, bounded_batches, pieces, runs_hash, unique_per_doc, words_of
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -134,6 +134,7 @@ def _item_sets(rows: list[tuple[int, str]]) -> list[tuple[int, np.ndarray, int]]
 def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, item_id, shared, item_shingles) of all pairs with enough containment."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("text")).where("item_id is not null and text is not null")
     total = items.agg(F.sum(F.size(F.split("text", r"[ \t-\r]+")))).first()[0] or 0
     n_groups = max(1, -(-total // GROUP_SHINGLES))
@@ -158,6 +159,7 @@ def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, threshold: float =
 def keep_clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents that contain no benchmark item; one pass for a benchmark of usual size."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("text")).where("item_id is not null and text is not null")
     total = items.agg(F.sum(F.size(F.split("text", r"[ \t-\r]+")))).first()[0] or 0
     n_groups = max(1, -(-total // GROUP_SHINGLES))

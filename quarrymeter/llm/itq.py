@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Table, components
+from .common import Table, bounded_batches, components
 
 THRESHOLD = 0.98
 SAMPLE = 5000
@@ -153,6 +153,7 @@ def _bucket(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> It
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """(vec_id, n_links, component_id, kept): one row for each row of the input."""
     spark = vectors.sparkSession
+    bounded_batches(spark)
     v = F.col("vector")
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).alias("label"), F.col(vector_col).cast("array<double>").alias("vector"))
     usable = F.coalesce(

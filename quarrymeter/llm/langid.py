@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Words, crc_mod, mix, pieces, words_of
+from .common import Words, bounded_batches, crc_mod, mix, pieces, words_of
 
 CHAIN = 32
 MAX_DOCS, MAX_SAMPLE, MAX_CHAINS, MAX_LANGS = 400, 4000, 16, 200
@@ -177,6 +177,7 @@ def fit(chains: list[tuple[str, str]], seed: int = 3) -> Crf | None:
 
 def train(docs: DataFrame, fold_of: int = 4, held: int = 2) -> Crf | None:
     """CRF from documents whose crc32(id) modulo ``fold_of`` is not ``held``."""
+    bounded_batches(docs.sparkSession)
     ids = docs.select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang")).where("_id is not null and _lang is not null").where(crc_mod(F.col("_id"), fold_of) != held)
     rank = F.row_number().over(Window.partitionBy("_lang").orderBy(F.xxhash64("_id"), "_id"))
     picked = ids.withColumn("_r", rank).where(F.col("_r") <= MAX_DOCS).orderBy("_r", F.xxhash64("_lang")).limit(MAX_SAMPLE).select("_id").distinct()
@@ -263,6 +264,7 @@ def forward_backward_lean(emit: np.ndarray, first: np.ndarray, size: np.ndarray,
 
 def identify(docs: DataFrame, crf: Crf | None) -> DataFrame:
     """(doc_id, lang_pred, score) of every document, in one pass."""
+    bounded_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(crf)
 
     def run(batches):

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Table, Words, as_long, bloom_keep, bloom_of, components, mix, pieces, runs_hash, unique_per_doc, words_of
+from .common import U64, Table, Words, as_long, bounded_batches, bloom_keep, bloom_of, components, mix, pieces, runs_hash, unique_per_doc, words_of
 
 PERMUTATIONS = 100
 ROWS = 5
@@ -190,6 +190,7 @@ def _verify(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFram
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept): one row for each row of the input."""
+    bounded_batches(docs.sparkSession)
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     signed = Table(src.mapInArrow(_sign(k), "doc_id long, n long, key long, bands array<long>, sig binary"), "signed")
     rows = Table(signed.df.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("key")).alias("key")), "rows").df

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Words, crc_mod, pieces, words_of
+from .common import Words, bounded_batches, crc_mod, pieces, words_of
 
 PASSAGE = 64
 MAX_BAGS = 3000
@@ -179,7 +179,7 @@ def score(model: Model, x: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 def train(docs: DataFrame, labels: DataFrame, fold_of: int = 5, held: int = 0, max_bags: int = MAX_BAGS) -> Model:
     """Model from labelled documents whose crc32(id) modulo ``fold_of`` is not ``held``."""
-    spark = docs.sparkSession
+    bounded_batches(docs.sparkSession)
     known = labels.select(F.col("doc_id").alias("_id"), F.col("quality").cast("int").alias("_y")).where("_id is not null and _y in (0, 1)").where(crc_mod(F.col("_id"), fold_of) != held)
     known = known.groupBy("_id").agg(F.min("_y").alias("_y"))
     picked = known.orderBy(F.xxhash64("_id"), "_id").limit(max_bags)  # at most max_bags rows
@@ -198,7 +198,6 @@ def train(docs: DataFrame, labels: DataFrame, fold_of: int = 5, held: int = 0, m
 
     texts = docs.select(F.col("doc_id").alias("_id"), F.col("text").alias("text")).join(F.broadcast(picked), "_id").select("_id", "_y", "text")
     got = sorted({(r.id, r.y, bytes(r.x)) for r in texts.mapInArrow(bags, "id long, y int, x binary").toLocalIterator()})
-    spark.catalog  # noqa: B018  (keeps the session referenced while iterating)
     x = [np.frombuffer(r[2], np.float16).reshape(-1, N_FEATURES).astype(np.float32) for r in got]
     off = np.concatenate([[0], np.cumsum([len(v) for v in x])]).astype(np.int64)
     return fit(np.concatenate(x) if x else np.zeros((1, N_FEATURES), np.float32), off, np.array([r[1] for r in got], float))
@@ -207,6 +206,7 @@ def train(docs: DataFrame, labels: DataFrame, fold_of: int = 5, held: int = 0, m
 def with_scores(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
     """The documents with ``score`` and ``predicted``, in one pass."""
     base = docs.drop("score", "predicted")
+    bounded_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import pieces, text_bytes
+from .common import bounded_batches, pieces, text_bytes
 
 SHORTEST = 16
 THRESHOLD = 0.5
@@ -285,6 +285,7 @@ def _scan(batch: pa.RecordBatch, forest: Forest):
 
 def scan(docs: DataFrame, forest: Forest, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, n_candidates, n_secrets, max_score, spans): one row a document; spans are byte offsets."""
+    bounded_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(forest)
     schema = "doc_id long, n_candidates long, n_secrets long, max_score double, spans array<struct<start:long,stop:long,score:double>>"
 
@@ -301,6 +302,7 @@ def scan(docs: DataFrame, forest: Forest, threshold: float = THRESHOLD) -> DataF
 
 def redact(docs: DataFrame, forest: Forest, threshold: float = THRESHOLD) -> DataFrame:
     """The documents with every secret in ``text`` replaced by a mask; all rows and columns stay."""
+    bounded_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(forest)
 
     def run(batches):

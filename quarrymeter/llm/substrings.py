@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, Table, Words, as_long, bloom_keep, bloom_of, mix, pieces, runs_hash, words_of
+from .common import U64, Table, Words, as_long, bounded_batches, bloom_keep, bloom_of, mix, pieces, runs_hash, words_of
 
 WINDOW, ANCHOR = 35, 12
 HOT = 5000
@@ -228,6 +228,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     if not 1 <= anchor <= window <= anchor + 52:
         raise ValueError("window must be at least anchor and at most anchor + 52 words")
     spark = docs.sparkSession
+    bounded_batches(spark)
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("key", F.xxhash64("doc_id", "text"))
     held = Table(src.select("key", "text").mapInArrow(_anchor_rows(window, anchor), "key long, h long, n int"), "anchors")
     index = FingerprintIndex(spark)

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pieces, scratch_path
+from .common import bounded_batches, pieces, scratch_path
 
 CACHE_WORDS = 300_000
 _codec: dict[str, tuple] = {}
@@ -111,6 +111,7 @@ def write_token_files(docs: DataFrame, vocab_path: str, out: str, end_id: int |
     where they arrive. Manifest: (part, path, n_docs, n_tokens, base, width).
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches):
