@@ -43,7 +43,7 @@ def shared_dir(spark: SparkSession) -> str:
 def bounded_batches(spark: SparkSession, records: int = 2000, size: int = 16 << 20) -> None:
     """Lower the session's Arrow batches where they are larger, so that a batch of long texts or sets stays small."""
     for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", records), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
-        now = int(re.sub(r"[^0-9-]", "", spark.conf.get(key, "0")) or 0)
+        now = int(re.sub(r"[^0-9-]", "", spark.conf.get(key)) or 0)
         if now <= 0 or now > most:
             spark.conf.set(key, str(most))
 
