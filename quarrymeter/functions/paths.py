@@ -5,15 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .. import vocab
+from ..vocab import any_of
+
 #: Path patterns. Four definitions of a test file stay separate on purpose.
-TREE_TEST = r"(^|/)(tests?|__tests__|specs?)/|(^|/)test_[^/]*\.py$|_test\.(py|go|rb)$|\.(test|spec)\.[jt]sx?$|Tests?\.(java|cs|kt)$|_spec\.rb$"
-COMMIT_TEST = r"(^|/)(tests?|specs?|__tests__)/|(^|/)test_|_test\.|\.test\.|\.spec\.|_spec\."
+TREE_TEST = any_of(vocab.TREE_TEST_FILES)
+COMMIT_TEST = any_of(vocab.COMMIT_TEST_FILES, True)
 HISTORY_TEST = r"(^|[/_.-])(test|tests|spec|specs)([/_.-]|$)"
 STRUCTURE_TEST = r"(^|/)(test|tests|spec|__tests__|testing)(/|$)|[._]test\.|[._]spec\."
-FIXTURE = r"(^|/)(fixtures?|testdata|__snapshots__|golden|mocks?)/"
+FIXTURE = any_of(vocab.FIXTURE_FILES, True)
 CREDENTIAL = r"^(\.env(\..*)?|.*\.pem|.*\.key|id_rsa.*|id_ed25519.*|.*\.p12|.*\.pfx|credentials(\..*)?|secrets?\..*|\.netrc|\.npmrc|\.pypirc|.*\.keystore|.*\.jks)$"
 CI_CONFIG = r"(^|/)(\.github/workflows|\.circleci|\.buildkite)/|(^|/)(\.gitlab-ci\.yml|\.travis\.yml|Jenkinsfile|azure-pipelines\.yml)$"
-BOT = r"(?i)\[bot\]|\bbot\b|dependabot|renovate|greenkeeper|github-actions|snyk|codecov|semantic-release|mergify"
+BOT = any_of(vocab.BOT_AUTHORS, True)
 #: Folders a scan never enters, and dot-folders it does.
 SKIP_DIRS = ("node_modules", "vendor", "dist", "build", "target", "__pycache__", "venv", "env", "third_party", "out", "coverage", "bower_components", "Pods", "site-packages")
 KEPT_DOT_DIRS = (".github", ".circleci", ".gitlab", ".buildkite")
@@ -41,6 +44,20 @@ def is_bot(name: Column, email: Column) -> Column:
     return F.concat_ws(" ", name, email).rlike(BOT)
 
 
+def commit_file_kind(path: Column) -> Column:
+    """test, test_infra, docs, schema or impl. Schema files count as implementation too."""
+    return (
+        F.when(path.rlike(any_of(vocab.TEST_INFRA_FILES, True)), "test_infra").when(path.rlike(COMMIT_TEST), "test")
+        .when(path.rlike(any_of(vocab.DOCS_FILES, True)), "docs").when(path.rlike(any_of(vocab.SCHEMA_FILES, True)), "schema").otherwise("impl")
+    )
+
+
+def subject_kind(subject: Column) -> Column:
+    """repair before noise before feature: a revert is noise as work, and a repair as a signal."""
+    like = lambda p: subject.rlike("(?i)" + p)
+    return F.when(like(vocab.REPAIR_SUBJECT), "repair").when(like(vocab.NOISE_SUBJECT), "noise").when(like(vocab.FEATURE_SUBJECT), "feature").otherwise("neutral")
+
+
 def is_credential(path: Column) -> Column:
     return base_name(path).rlike(CREDENTIAL)
 

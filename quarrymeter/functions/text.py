@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..vocab import GENERATED_HEADS
+
 LINE_CAP = 50_000
-#: Markers of generated files, looked for in the head of a file.
-GENERATED_MARKERS = ("@generated", "do not edit", "auto-generated", "autogenerated", "generated by")
 #: Redaction rules in order of application, as (label, pattern, replacement).
 REDACTIONS = (
     ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "<email>"),
@@ -34,7 +34,7 @@ def newline_count(text: Column) -> Column:
 def is_generated(text: Column, head: int = 500) -> Column:
     top = F.lower(F.substring(text, 1, head))
     out = F.lit(False)
-    for m in GENERATED_MARKERS:
+    for m in GENERATED_HEADS:
         out = out | top.contains(m)
     return F.coalesce(out, F.lit(False))
 

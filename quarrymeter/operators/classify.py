@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.scores import capped
 
 #: Classes in the order that breaks ties, and decision thresholds.
-CLASSES = ("frontend", "backend", "data", "ml", "infra", "mobile", "systems")
+CLASSES = ("frontend", "backend", "ml", "ai_research", "data_engineering", "security", "infra")
 SUPPORT, ALONE, LEAST_RAW, LEAST_SHARE = 0.5, 4.0, 2.0, 0.18
 
 

@@ -160,7 +160,7 @@ def content_digest(spark, sf):
     return tree.content_digest(rel.files(spark, sf), "repo", "path", "text")
 
 
-@query("SELECT count(*) AS files, count(*) FILTER (lower(substr(text,1,500)) SIMILAR TO '(?s).*(@generated|do not edit|auto-generated|autogenerated|generated by).*') AS generated, sum(length(text)-length(replace(text, chr(10), '')))::BIGINT AS newlines FROM documents", prefix=False)
+@query("SELECT count(*) AS files, count(*) FILTER (lower(substr(text,1,500)) SIMILAR TO '(?s).*(// code generated|# do not edit|# this file is auto-generated|// auto-generated|eslint-disable [*]/).*') AS generated, sum(length(text)-length(replace(text, chr(10), '')))::BIGINT AS newlines FROM documents", prefix=False)
 def generated_files(spark, sf):
     d = rel.table(spark, sf, "documents")
     return d.agg(F.count("*").alias("files"), F.sum(text.is_generated(F.col("text")).cast("int")).alias("generated"), F.sum(text.newline_count(F.col("text"))).alias("newlines"))
@@ -315,12 +315,12 @@ def lane_precedence(spark, sf):
 # ------------------------------------------------------- classes and census
 TERMS = [
     classify.Term("frontend", "views", "views", 0.05, 3.0), classify.Term("frontend", "clicks", "clicks", 0.02, 2.0), classify.Term("backend", "orders", "purchases", 0.06, 4.0),
-    classify.Term("backend", "errors", "errors", 0.01, 1.0), classify.Term("data", "volume", "value", 0.0005, 3.0), classify.Term("infra", "signups", "signups", 0.04, 2.5),
+    classify.Term("backend", "errors", "errors", 0.01, 1.0), classify.Term("data_engineering", "volume", "value", 0.0005, 3.0), classify.Term("infra", "signups", "signups", 0.04, 2.5),
 ]
 
 _STATS_SQL = """WITH s AS (SELECT user_id, count(*) FILTER (event_type='view') AS views, count(*) FILTER (event_type='click') AS clicks, count(*) FILTER (event_type='purchase') AS purchases, count(*) FILTER (event_type='error') AS errors, count(*) FILTER (event_type='signup') AS signups, sum(round(value))::DOUBLE AS value FROM events GROUP BY user_id),
 t AS (SELECT user_id, 'frontend' AS class, round(least(views*0.05::DOUBLE,3.0::DOUBLE),3) AS v, 1 AS o FROM s UNION ALL SELECT user_id,'frontend',round(least(clicks*0.02::DOUBLE,2.0::DOUBLE),3),1 FROM s UNION ALL SELECT user_id,'backend',round(least(purchases*0.06::DOUBLE,4.0::DOUBLE),3),2 FROM s
- UNION ALL SELECT user_id,'backend',round(least(errors*0.01::DOUBLE,1.0::DOUBLE),3),2 FROM s UNION ALL SELECT user_id,'data',round(least(value*0.0005::DOUBLE,3.0::DOUBLE),3),3 FROM s UNION ALL SELECT user_id,'infra',round(least(signups*0.04::DOUBLE,2.5::DOUBLE),3),5 FROM s),
+ UNION ALL SELECT user_id,'backend',round(least(errors*0.01::DOUBLE,1.0::DOUBLE),3),2 FROM s UNION ALL SELECT user_id,'data_engineering',round(least(value*0.0005::DOUBLE,3.0::DOUBLE),3),3 FROM s UNION ALL SELECT user_id,'infra',round(least(signups*0.04::DOUBLE,2.5::DOUBLE),3),5 FROM s),
 g AS (SELECT user_id, class, o, round(sum(v),6) AS raw, count(*) FILTER (v>=0.5) AS support FROM t GROUP BY 1,2,3),
 c AS (SELECT *, round(raw/greatest(sum(raw) OVER (PARTITION BY user_id),1.0),4) AS confidence, row_number() OVER (PARTITION BY user_id ORDER BY raw DESC, o) AS rank FROM g),
 d AS (SELECT *, confidence>=0.18 AND raw>=2 AND raw>=1 AND (support>=2 OR raw>=4) AS detected FROM c)

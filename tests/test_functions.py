@@ -19,7 +19,7 @@ def test_line_count(spark):
 
 
 def test_generated_window(spark):
-    assert one(spark, ["x" * 480 + " DO NOT EDIT", "x" * 501 + "do not edit", None], text.is_generated) == [True, False, False]
+    assert one(spark, ["x" * 480 + " # DO NOT EDIT", "x" * 501 + "# do not edit", None], text.is_generated) == [True, False, False]
 
 
 def test_redaction(spark):

@@ -91,3 +91,22 @@ def test_job_states(spark, tmp_path):
     stream = spark.readStream.schema("job string, state string, seq int").parquet(str(tmp_path / "jobs"))
     got = {(r.job, r.state, r.refused) for r in _drain(live.job_states(stream), "jobs", "update")}
     assert got == {("a", "measuring", 1), ("b", "", 1)}
+
+
+def test_measure(spark, repo, tmp_path):
+    from quarrymeter.operators import emit
+    from quarrymeter.plans.measure import measure
+
+    docs = measure(spark, [repo, str(tmp_path)], "2020-01-05 00:00:00")
+    rows = {r.repo: r for r in docs["row"].collect()}
+    got = rows[repo]
+    assert (got.commits, got.human_authors, got.span_days, got.recency_days, got.conventional_rate) == (2, 1, 2, 2, 1.0)
+    assert (got.primary_language, got.ci_tests, got.ci_deploy, got.has_ci, got.has_readme) == ("Python", True, False, True, False)
+    assert got.frameworks == ["Flask"]
+    gone = rows[str(tmp_path)]
+    assert gone.commits is None and gone.git_status == "unavailable"
+    emit.write_documents(docs["row"], str(tmp_path / "csv"), "csv")
+    emit.write_documents(docs["measurement"], str(tmp_path / "json"))
+    assert spark.read.json(str(tmp_path / "json")).count() == 2
+    with pytest.raises(NotImplementedError):
+        emit.write_documents(docs["row"], str(tmp_path / "x"), "db")
