@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import paths, scores, text
-from ..operators import census, classify, emit, history, projects, runtime, tree
+from ..operators import census, classify, emit, history, projects, runtime, tree, verdicts
 from . import relations as rel
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -401,3 +401,95 @@ def set_algebra(spark, sf):
     g = rel.table(spark, sf, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_set("o_orderpriority")).alias("s"))
     lit = lambda *x: F.array(*map(F.lit, x))
     return g.select("o_custkey", F.array_join("s", ",").alias("seen"), F.array_join(F.array_sort(F.array_intersect("s", lit("1-URGENT", "3-MEDIUM"))), ",").alias("marked"), (F.size(F.array_except(lit("1-URGENT", "2-HIGH"), "s")) == 0).alias("has_both"))
+
+
+# ----------------------------------------------------------------- verdicts
+@query("""SELECT o_custkey, coalesce(judged, fallback) AS ref, n AS candidates, CASE WHEN judged IS NULL THEN 'deterministic' ELSE 'agentic' END AS mode, coalesce(judged<>fallback, false) AS overrode FROM (
+ SELECT o_custkey, max(ref) FILTER (r=1) AS fallback, max(ref) FILTER (idx=i) AS judged, max(n) AS n FROM (SELECT *, CASE WHEN choice IS NOT NULL THEN greatest(0, least(n-1, choice)) END AS i FROM (
+ SELECT o_custkey, o_orderpriority AS ref, c, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority)-1 AS idx, row_number() OVER (PARTITION BY o_custkey ORDER BY c DESC, o_orderpriority) AS r, count(*) OVER (PARTITION BY o_custkey) AS n, CASE WHEN o_custkey%3=0 THEN NULL ELSE o_custkey%7-1 END AS choice FROM (SELECT o_custkey, o_orderpriority, count(*) AS c FROM orders GROUP BY 1,2))) GROUP BY o_custkey)""", prefix=False)
+def ref_choice(spark, sf):
+    c = rel.table(spark, sf, "orders").groupBy("o_custkey", F.col("o_orderpriority").alias("ref")).agg(F.count("*").alias("commits"))
+    c = c.withColumn("idx", F.row_number().over(Window.partitionBy("o_custkey").orderBy("ref")) - 1)
+    a = rel.table(spark, sf, "orders").select("o_custkey").distinct().withColumn("choice", F.when(F.col("o_custkey") % 3 == 0, "none").otherwise((F.col("o_custkey") % 7 - 1).cast("string")))
+    return verdicts.choose_ref(c, a, "o_custkey")
+
+
+@query("SELECT s_suppkey, CASE WHEN s_acctbal<0 THEN NULL ELSE s_nationkey END AS s_nationkey, s_nationkey AS s_nationkey_deterministic FROM supplier", prefix=False)
+def verdict_withdrawal(spark, sf):
+    s = rel.table(spark, sf, "supplier")
+    return verdicts.withdraw(s.select("s_suppkey", "s_nationkey", "s_acctbal"), F.col("s_acctbal") < 0, ["s_nationkey"]).drop("s_acctbal")
+
+
+@query("""SELECT user_id, 'full' AS requested, CASE WHEN f IS NOT NULL THEN 'full' WHEN d IS NOT NULL THEN 'discover' END AS actual, coalesce(f, d) AS value FROM (
+ SELECT user_id, max(k) FILTER (event_type='purchase' AND value>60) AS f, max(k) FILTER (event_type='click' AND value>20) AS d FROM (SELECT *, event_id AS k FROM events) GROUP BY user_id)""", prefix=False)
+def level_fallback(spark, sf):
+    e, t, v = rel.table(spark, sf, "events"), F.col("event_type"), F.col("value")
+    full = e.groupBy("user_id").agg(F.max(F.when((t == "purchase") & (v > 60), F.col("event_id"))).alias("value")).withColumn("level", F.lit("full"))
+    less = e.groupBy("user_id").agg(F.max(F.when((t == "click") & (v > 20), F.col("event_id"))).alias("value")).withColumn("level", F.lit("discover"))
+    return verdicts.attempt(full.unionByName(less), "user_id", ["full", "discover"], "value")
+
+
+@query("""SELECT kind, count(*) AS n FROM (SELECT CASE WHEN value>250 THEN 'timeout' WHEN rc=0 THEN NULL WHEN regexp_matches(o,'(?i)rate.?limit|429') THEN 'rate_limited' WHEN regexp_matches(o,'(?i)401') THEN 'auth' WHEN rc<0 OR rc BETWEEN 129 AND 159 THEN 'killed' WHEN o='' THEN 'no_output' ELSE 'other' END AS kind FROM (
+ SELECT *, CASE event_id%5 WHEN 0 THEN 0 WHEN 1 THEN -9 WHEN 2 THEN 1 WHEN 3 THEN 137 ELSE 2 END AS rc, CASE event_id%4 WHEN 0 THEN 'HTTP 429' WHEN 1 THEN '' WHEN 2 THEN 'error 401' ELSE 'odd' END AS o FROM events)) GROUP BY kind""", prefix=False)
+def run_failures(spark, sf):
+    e, i = rel.table(spark, sf, "events"), F.col("event_id")
+    rc = F.element_at(F.array(*map(F.lit, (0, -9, 1, 137, 2))), (i % 5 + 1).cast("int"))
+    out = F.element_at(F.array(*map(F.lit, ("HTTP 429", "", "error 401", "odd"))), (i % 4 + 1).cast("int"))
+    return e.groupBy(verdicts.run_failure(rc, out, F.col("value") > 250).alias("kind")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT state, count(*) AS n, count(k) AS counted FROM (SELECT CASE WHEN event_type='view' THEN 'skipped' WHEN value>10 THEN 'scored' ELSE 'unavailable' END AS state, CASE WHEN event_type<>'view' AND value>10 THEN user_id END AS k FROM events) GROUP BY state", prefix=False)
+def judged_blocks(spark, sf):
+    e = rel.table(spark, sf, "events")
+    b = verdicts.judged_block(e, "event_id", F.col("event_type") != "view", F.col("value") > 10, ["user_id"])
+    return b.groupBy("state").agg(F.count("*").alias("n"), F.count("user_id").alias("counted"))
+
+
+@query("SELECT 'measured' AS kind, 2*count(*) - count(*) FILTER (c_acctbal<0) AS present, count(*) FILTER (c_acctbal<0) AS missing FROM customer UNION ALL SELECT 'text', count(*), 0 FROM customer", prefix=False)
+def review_counts(spark, sf):
+    c = rel.table(spark, sf, "customer").withColumn("bal", F.when(F.col("c_acctbal") >= 0, F.col("c_acctbal")))
+    return verdicts.review_counts(c, {"bal": "measured", "c_nationkey": "measured", "c_name": "text"})
+
+
+@query("SELECT o_custkey, array_to_string(list(o_orderkey ORDER BY o_orderkey)[1:5], ',') AS items, greatest(count(*)-5, 0) AS overflow FROM orders GROUP BY o_custkey", prefix=False)
+def capped_lists(spark, sf):
+    out = verdicts.capped_list(rel.table(spark, sf, "orders"), "o_custkey", ["o_orderkey"], "o_orderkey", 5)
+    return out.select("o_custkey", F.array_join(F.col("items").cast("array<string>"), ",").alias("items"), "overflow")
+
+
+@query("SELECT event_id, CASE WHEN s>=3600 THEN (s//3600)||'h'||lpad(((s%3600)//60)::VARCHAR,2,'0')||'m' WHEN s>=60 THEN (s//60)||'m'||lpad((s%60)::VARCHAR,2,'0')||'s' ELSE s||'s' END AS took FROM (SELECT event_id, CAST(floor(value*37) AS BIGINT) AS s FROM events)", prefix=False)
+def durations(spark, sf):
+    return rel.table(spark, sf, "events").select("event_id", verdicts.duration(F.col("value") * 37).alias("took"))
+
+
+@query("SELECT c_custkey, coalesce(orders, 0) AS orders, price FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS orders, max(o_totalprice) AS price FROM orders GROUP BY 1) ON c_custkey=o_custkey", prefix=False)
+def left_lane_join(spark, sf):
+    o = rel.table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("orders"), F.max("o_totalprice").alias("price"))
+    return rel.table(spark, sf, "customer").select("c_custkey").join(o, "c_custkey", "left").select("c_custkey", F.coalesce("orders", F.lit(0)).alias("orders"), "price")
+
+
+@query("SELECT p_brand, sum(CASE WHEN p_type='PROMO' THEN p_size ELSE 0 END)::BIGINT AS PROMO, sum(CASE WHEN p_type='SMALL' THEN p_size ELSE 0 END)::BIGINT AS SMALL, sum(CASE WHEN p_type='LARGE' THEN p_size ELSE 0 END)::BIGINT AS LARGE FROM part GROUP BY p_brand", prefix=False)
+def type_pivot(spark, sf):
+    p = rel.table(spark, sf, "part")
+    return p.groupBy("p_brand").pivot("p_type", ["PROMO", "SMALL", "LARGE"]).agg(F.sum("p_size")).fillna(0)
+
+
+@query("SELECT ext, count(*) AS files, sum(size)::BIGINT AS bytes FROM (SELECT p_brand AS ext, p_size AS size FROM part WHERE p_brand NOT IN ('Brand#1','Brand#2')) GROUP BY ext ORDER BY files DESC, ext LIMIT 500", prefix=False)
+def unmapped_extensions(spark, sf):
+    p = rel.table(spark, sf, "part").select(F.col("p_brand").alias("ext"), F.col("p_size").alias("size"))
+    return tree.unmapped_extensions(p, ["Brand#1", "Brand#2"])
+
+
+@query("SELECT action, count(*) AS n FROM (SELECT CASE event_type WHEN 'purchase' THEN 'pass' WHEN 'error' THEN 'fail' WHEN 'view' THEN 'skip' END AS action FROM events) WHERE action IS NOT NULL GROUP BY action", prefix=False)
+def test_events(spark, sf):
+    t = F.col("event_type")
+    action = F.when(t == "purchase", "pass").when(t == "error", "fail").when(t == "view", "skip").otherwise("run")
+    lines = rel.table(spark, sf, "events").select(F.to_json(F.struct(action.alias("Action"), F.concat(F.lit("T"), F.col("event_id")).alias("Test"))).alias("line"))
+    return projects.go_events(lines)
+
+
+@query("SELECT project, count(*) FILTER (NOT after_repair AND status='ok') AS shipped_ok, count(*) FILTER (status='ok') AS repaired_ok FROM (SELECT *, phase%3=0 AS after_repair FROM phases) GROUP BY project")
+def shipped_and_repaired(spark, sf):
+    p = rel.phases(spark, sf).withColumn("after_repair", F.col("phase") % 3 == 0)
+    n = lambda df, name: df.groupBy("project").agg(F.sum(F.coalesce((F.col("status") == "ok").cast("int"), F.lit(0))).alias(name))
+    return n(projects.as_shipped(p), "shipped_ok").join(n(p, "repaired_ok"), "project")
