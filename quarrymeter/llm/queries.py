@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, hpylm, itq, langid, minhash, quality, secrets, substrings, token_files
+from . import bpe, decontaminate, hpylm, itq, langid, minhash, oracle, quality, secrets, substrings, token_files
 from .common import crc_mod
 
 WORD_VOCAB = public_tokenizers.path("word_bpe_49k.json")
@@ -82,4 +82,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_bpe_roundtrip": op10_bpe_roundtrip,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_embedding_dedup": oracle.OP2,
+    "op3_minhash_dedup": oracle.OP3,
+    "op5_decontaminate": oracle.OP5,
+    "op8_substrings": oracle.OP8,
+}
