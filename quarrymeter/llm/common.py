@@ -21,6 +21,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 U64 = np.uint64
+#: Arrow's own pools keep freed memory; workers give it back.
+pa.set_memory_pool(pa.system_memory_pool())
 _own_dir: dict[str, str] = {}
 
 
@@ -40,7 +42,7 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dir["dir"]
 
 
-def bounded_batches(spark: SparkSession, records: int = 2000, size: int = 16 << 20) -> None:
+def bounded_batches(spark: SparkSession, records: int = 1000, size: int = 4 << 20) -> None:
     """Lower the session's Arrow batches where they are larger, so that a batch of long texts or sets stays small."""
     for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", records), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
         now = int(re.sub(r"[^0-9-]", "", spark.conf.get(key)) or 0)
@@ -257,11 +259,12 @@ def bloom_keep(df: DataFrame, column: str, bits: bytes, outside: bool = False) -
     held = df.sparkSession.sparkContext.broadcast(bits)
 
     def keep(batches):
-        has = np.unpackbits(np.frombuffer(held.value, np.uint8)).view(bool)
+        packed = np.frombuffer(held.value, np.uint8)
+        has = lambda s: (packed[s >> 3] >> (7 - (s & 7)).astype(np.uint8)) & 1 == 1
         for b in batches:
             col = b.column(b.schema.get_field_index(column))
             ids = col.fill_null(0).to_numpy(zero_copy_only=False)
-            ok = np.logical_and.reduce([has[s] for s in _bloom_slots(ids)]) & ~col.is_null().to_numpy(zero_copy_only=False)
+            ok = np.logical_and.reduce([has(s) for s in _bloom_slots(ids)]) & ~col.is_null().to_numpy(zero_copy_only=False)
             if outside:
                 ok = ~ok
             if ok.any():
