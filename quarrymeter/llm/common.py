@@ -295,13 +295,11 @@ def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60) -> Data
         now = p.join(near, "id").select("id", "p", F.least("p", "q").alias("q"))
         pulled = now.groupBy(F.col("p").alias("id")).agg(F.min("q").alias("r"))
         hung = now.join(pulled, "id", "left").select("id", "p", F.least("q", F.coalesce("r", "q")).alias("q"))
-        step = Table(hung, "hung")
-        up = step.df.select(F.col("id").alias("q"), F.col("q").alias("top"))
-        new = step.df.join(up, "q", "left").select("id", F.col("p").alias("old"), F.least("q", F.coalesce("top", "q")).alias("p"))
+        up = hung.select(F.col("id").alias("q"), F.col("q").alias("top"))
+        new = hung.join(up, "q", "left").select("id", F.col("p").alias("old"), F.least("q", F.coalesce("top", "q")).alias("p"))
         done = Table(new, "labels")
-        changed = done.df.where("old <> p").limit(1).count()
+        changed = not done.df.where("old <> p").isEmpty()
         state.drop()
-        step.drop()
         state = done
         if not changed:
             break
