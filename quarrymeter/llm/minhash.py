@@ -12,7 +12,8 @@ Documents with equal sets are folded first. Then links are looked for in three
 rounds; after each, pairs are confirmed on full sets and components formed:
 every member of a band's bucket with the bucket's two leaders; in buckets that
 still hold several components, every member with its closest members of other
-components; and where several components are left, all pairs across them. So
+components; and where several components are left, all pairs across them, on full sets
+that come to the bucket, so only links are given out. So
 no link between components is lost, while pairs inside a component are never
 listed. Buckets are compared by signature in pairs of blocks of bounded size, and
 a pair that shares several buckets is given out by the first.
@@ -40,6 +41,7 @@ from .common import U64, Table, Words, as_long, bounded_batches, bloom_keep, blo
 PERMUTATIONS = 100
 ROWS = 5
 BLOCK = 2048
+BLOCK_ITEMS = 6_000_000
 _rng = np.random.default_rng(31)
 _MUL = _rng.integers(0, 2**62, PERMUTATIONS, dtype=np.int64).astype(U64) * U64(2) + U64(1)
 #: Estimates lie within four standard deviations of the similarity above this distance from the threshold.
@@ -122,18 +124,19 @@ def _sets(k: int):
     return run
 
 
+def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets have 100 * intersection >= percent * union."""
+    if len(x) > len(y):
+        x, y = y, x
+    both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
 def _confirm(percent: int):
     def run(batches):
         for b in batches:
             left, right = b.column("left"), b.column("right")
-            ok = np.zeros(b.num_rows, bool)
-            for i in range(b.num_rows):
-                x, y = np.frombuffer(left[i].as_buffer(), U64), np.frombuffer(right[i].as_buffer(), U64)
-                if len(x) > len(y):
-                    x, y = y, x
-                at = np.searchsorted(y, x)
-                both = int((y[np.minimum(at, len(y) - 1)] == x).sum())
-                ok[i] = 100 * both >= percent * (len(x) + len(y) - both)
+            ok = np.array([similar(np.frombuffer(x.as_buffer(), U64), np.frombuffer(y.as_buffer(), U64), percent) for x, y in zip(left, right, strict=True)], bool)
             keep = pa.array(ok)
             yield pa.RecordBatch.from_arrays([b.column(c).filter(keep) for c in ("ka", "kb")], ["a", "b"])
 
@@ -141,9 +144,11 @@ def _confirm(percent: int):
 
 
 def _cross(percent: int, closest: int | None):
-    """Pairs of one pair of blocks of one bucket, from different components, that may be similar.
+    """Work of one pair of blocks of one bucket, between members of different components.
 
-    closest: only so many for each member, those with the highest estimates.
+    With ``closest``: pairs (a, b) of each member with so many others, those with
+    the highest estimates. Without: links (a, b) confirmed on full sets, one for each
+    member and component that it links with.
     """
     least = percent / 100 - SLACK
 
@@ -154,6 +159,7 @@ def _cross(percent: int, closest: int | None):
         k, n, comp, block = col("key"), col("n"), col("comp"), col("block")
         sig = np.stack([np.frombuffer(x.as_buffer(), np.uint8) for x in b.column("sig")])
         tags = b.column("bands").combine_chunks().values.to_numpy().reshape(len(k), -1)
+        items = [np.frombuffer(x.as_buffer(), U64) for x in b.column("items")] if closest is None else []
         left, right = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
         names, count = np.unique(comp[left], return_counts=True)
         major = names[count.argmax()] if len(names) else None
@@ -166,23 +172,34 @@ def _cross(percent: int, closest: int | None):
                 continue
             guess = (sig[near] == sig[i]).mean(1)
             near, guess = near[guess >= least], guess[guess >= least]
+            order = np.argsort(-guess, kind="stable")
             if closest is not None:
-                near = near[np.argsort(-guess, kind="stable")[:closest]]
-            elif band:  # given out by the first bucket that the pair shares
+                out += [(min(k[i], k[j]), max(k[i], k[j])) for j in near[order[:closest]]]
+                continue
+            near = near[order]
+            if band:  # the first bucket that a pair shares looks at it
                 near = near[~(tags[near, :band] == tags[i, :band]).any(1)]
-            out += [(min(k[i], k[j]), max(k[i], k[j])) for j in near]
+            linked: set[int] = set()
+            for j in near:
+                if comp[j] not in linked and similar(items[i], items[j], percent):
+                    linked.add(comp[j])
+                    out.append((min(k[i], k[j]), max(k[i], k[j])))
         cols = list(zip(*sorted(set(out)), strict=True)) if out else [[], []]
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["ka", "kb"])
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["a", "b"])
 
     return run
 
 
+def _sets_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """(key, items) of the wanted (doc_id, key)."""
+    texts = bloom_keep(docs, "doc_id", bloom_of(wanted.select("doc_id"))).join(wanted, "doc_id")
+    return texts.select("key", "text").mapInArrow(_sets(k), "key long, items binary").groupBy("key").agg(F.first("items").alias("items"))
+
+
 def _verify(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
     """(a, b) of the pairs (ka, kb, a, b) whose full sets are similar enough."""
     wanted = pairs.select(F.col("a").alias("doc_id"), F.col("ka").alias("key")).union(pairs.select("b", "kb")).distinct()
-    bits = bloom_of(wanted.select("doc_id"))
-    texts = bloom_keep(docs, "doc_id", bits).join(wanted, "doc_id")
-    sets = texts.select("key", "text").mapInArrow(_sets(k), "key long, items binary").groupBy("key").agg(F.first("items").alias("items"))
+    sets = _sets_of(docs, wanted, k)
     one = pairs.select("ka", "kb").join(sets.select(F.col("key").alias("ka"), F.col("items").alias("left")), "ka")
     two = one.join(sets.select(F.col("key").alias("kb"), F.col("items").alias("right")), "kb")
     return two.select("ka", "kb", "left", "right").mapInArrow(_confirm(percent), "a long, b long")
@@ -201,8 +218,15 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     tested: list[DataFrame] = []
     links: list[DataFrame] = []
 
+    def settle() -> DataFrame:
+        """Components of all links so far."""
+        every = links[0]
+        for more in links[1:]:
+            every = every.union(more)
+        return Table(components(nodes, every), "components").df
+
     def confirm(found: DataFrame) -> DataFrame | None:
-        """Confirm new pairs (ka, kb); components of all links so far, None where there is nothing new."""
+        """Confirm new pairs (ka, kb); components after that, None where there is nothing new."""
         for old in tested:
             found = found.join(old.select("ka", "kb"), ["ka", "kb"], "left_anti")
         side = lambda key, rep, n: reps.select(F.col("key").alias(key), F.col("rep").alias(rep), F.col("n").alias(n))
@@ -212,26 +236,34 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
         if pairs.isEmpty():
             return None
         links.append(Table(_verify(src, pairs, k, percent), "links").df)
-        every = links[0]
-        for more in links[1:]:
-            every = every.union(more)
-        return Table(components(nodes, every), "components").df
+        return settle()
+
+    def mixed_buckets(now: DataFrame) -> DataFrame:
+        """Members of the buckets that hold several components, dealt to pairs of blocks of bounded rows and bytes."""
+        at = reps.select("key", "n", F.posexplode("bands").alias("band", "h")).join(now.select(F.col("id").alias("key"), F.col("component").alias("comp")), "key")
+        size = F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_ITEMS)
+        mixed = at.groupBy("h").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("size"), F.ceil(size).cast("int").alias("blocks")).where("c0 <> c1 and size > 2").select("h", "blocks")
+        part = at.join(mixed, "h").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+        dealt = part.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        return Table(dealt.select("h", "band", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "key", "comp"), "mixed").df
 
     member = reps.select("key", F.explode("bands").alias("h"))
     lead = member.groupBy("h").agg(F.min("key").alias("one"), F.max("key").alias("two")).where("one <> two")
     near = member.join(lead, "h").select("key", F.explode(F.array("one", "two")).alias("lead")).where("lead <> key")
     comp = confirm(near.select(F.least("key", "lead").alias("ka"), F.greatest("key", "lead").alias("kb")).distinct())
-
-    for closest in (2, None):
-        if comp is None:
-            break
-        at = reps.select("key", F.posexplode("bands").alias("band", "h")).join(comp.select(F.col("id").alias("key"), F.col("component").alias("comp")), "key")
-        mixed = at.groupBy("h").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("size")).where("c0 <> c1 and size > 2").select("h", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
-        part = at.join(mixed, "h").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
-        dealt = part.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("h", "band", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "key", "comp")
-        full = dealt.join(reps.select("key", "n", "sig", "bands"), "key")
-        found = full.groupBy("h", "band", "lo", "hi").applyInArrow(_cross(percent, closest), "ka long, kb long").distinct()
-        comp = confirm(found) or comp
+    signs = reps.select("key", "n", "sig", "bands")
+    if comp is not None:
+        full = mixed_buckets(comp).join(signs, "key")
+        found = full.groupBy("h", "band", "lo", "hi").applyInArrow(_cross(percent, 2), "a long, b long").distinct()
+        comp = confirm(found.select(F.col("a").alias("ka"), F.col("b").alias("kb"))) or comp
+        dealt = mixed_buckets(comp)
+        if not dealt.isEmpty():
+            wanted = dealt.select("key").distinct().join(reps.select("key", F.col("rep").alias("doc_id")), "key").select("doc_id", "key")
+            full = dealt.join(signs, "key").join(_sets_of(src, Table(wanted, "wanted").df, k), "key")
+            late = Table(full.groupBy("h", "band", "lo", "hi").applyInArrow(_cross(percent, None), "a long, b long"), "links").df
+            if not late.isEmpty():
+                links.append(late)
+                comp = settle()
 
     if comp is None:
         comp = nodes.select("id", F.col("id").alias("component"))
