@@ -33,9 +33,9 @@ from .common import bounded_batches, pieces
 
 #: Split pattern of the byte-level tokenizer family (fixed value).
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-CACHE_PIECES = 500_000
-CACHE_CHUNKS = 300_000
-_PAIR_MEMO = 1_000_000
+CACHE_PIECES = 150_000
+CACHE_CHUNKS = 100_000
+_PAIR_MEMO = 300_000
 
 
 def byte_chars() -> dict[str, int]:
