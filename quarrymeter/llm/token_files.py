@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import bounded_batches, pieces, scratch_path
 
-CACHE_WORDS = 300_000
+CACHE_WORDS = 700_000
 _codec: dict[str, tuple] = {}
 _NULL_ID = -(2**63)
 
