@@ -2,9 +2,12 @@
 
 Texts are words ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased; an item is the set
 of its shingles of five words (fewer where the item has fewer words). Items are
-partitioned by size: class s holds the items with at most s shingles and more
+partitioned by size. Those of at most ``SMALLEST`` shingles are found exactly:
+containment allows an item of n shingles to miss m, so one of any m + 1 of its
+shingles is in the document, and every shingle of a document is looked up among
+those. Above, class s holds the items with at most s shingles and more
 than s/2. For class s a document is cut into windows of 2s shingles, one every
-s shingles, so short items are compared with pieces of their own size however
+s shingles, so items are compared with pieces of their own size however
 long the document is. Item and windows get MinHash values under the same
 permutations; one equal value makes (document, item) a candidate. Containment
 of at least 0.8 spread over any windows is missed with a probability of some
@@ -22,6 +25,8 @@ empty result.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -47,18 +52,32 @@ def shingles(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     return h[inside] + np.uint64(k), doc[: len(h)][inside]
 
 
+def needed(n: int, threshold: float) -> int:
+    """Shared shingles that an item of n shingles needs, one at least."""
+    return max(1, math.ceil(threshold * n - 1e-9))
+
+
 class Index:
-    """MinHash values of a group of items, by shingle length and size class."""
+    """A group of items, by shingle length: shingles of small ones, and MinHash values of others by size class."""
 
-    def __init__(self, items: list[tuple[int, np.ndarray, int]]):
+    def __init__(self, items: list[tuple[int, np.ndarray, int]], threshold: float = THRESHOLD):
         # items: (item id, sorted shingle hashes, shingle length)
-        self.items = items
+        self.items, self.threshold = items, threshold
         self.groups: dict[tuple[int, int], list[int]] = {}
+        small: dict[int, list[tuple[int, int]]] = {}
         for i, (_, s, k) in enumerate(items):
-            c = SMALLEST
+            if len(s) <= SMALLEST:
+                small.setdefault(k, []).extend((h, i) for h in s[: len(s) - needed(len(s), threshold) + 1])
+                continue
+            c = 2 * SMALLEST
             while c < len(s):
                 c *= 2
             self.groups.setdefault((k, c), []).append(i)
+        self.small = {}
+        for k, rows in small.items():
+            rows.sort()
+            keys, first = np.unique(np.array([h for h, _ in rows], np.uint64), return_index=True)
+            self.small[k] = keys, np.append(first, len(rows)), np.array([i for _, i in rows])
         self.tables = {}
         for key, members in self.groups.items():
             mins = np.array([[(items[i][1] * m).min() for i in members] for m in _MUL])
@@ -66,13 +85,22 @@ class Index:
             self.tables[key] = [(row[o], np.array(members)[o]) for row, o in zip(mins, order, strict=True)]
 
     def candidates(self, words: Words) -> set[tuple[int, int]]:
-        """(document, item) pairs with an equal MinHash value in some window."""
+        """(document, item) pairs with a looked-up shingle, or with an equal MinHash value in some window."""
         found: set[tuple[int, int]] = set()
-        for k in {key[0] for key in self.tables}:
+        for k in {*self.small, *(key[0] for key in self.tables)}:
             h, doc = shingles(words, k)
             if not len(h):
                 continue
+            if k in self.small:
+                keys, first, who = self.small[k]
+                at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+                hit = np.flatnonzero(keys[at] == h)
+                for pair in np.unique(doc[hit] * len(keys) + at[hit]):
+                    d, j = divmod(int(pair), len(keys))
+                    found.update((d, int(i)) for i in who[first[j] : first[j + 1]])
             classes = sorted(c for kk, c in self.tables if kk == k)
+            if not classes:
+                continue
             start = np.searchsorted(doc, np.arange(len(words.doc) - 1))
             place = np.arange(len(h)) - start[doc]
             block = np.flatnonzero(place % classes[0] == 0)
@@ -99,7 +127,7 @@ class Index:
                             j += 1
         return found
 
-    def matches(self, words: Words, threshold: float) -> list[tuple[int, int, int, int]]:
+    def matches(self, words: Words) -> list[tuple[int, int, int, int]]:
         """(document, item index, shared, item shingles) of the verified pairs."""
         found = sorted(self.candidates(words))
         out, sets = [], {}
@@ -111,7 +139,7 @@ class Index:
                 h = words.hash[words.doc[d] : words.doc[d + 1]]
                 sets[d, k] = np.unique(runs_hash(h, k) + np.uint64(k))
             shared = int(np.isin(s, sets[d, k], assume_unique=True).sum())
-            if shared >= threshold * len(s) - 1e-9:
+            if shared >= needed(len(s), self.threshold):
                 out.append((d, i, shared, len(s)))
         return out
 
@@ -144,11 +172,11 @@ def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, threshold: float =
         held = spark.sparkContext.broadcast(_item_sets([(r.item_id, r.text) for r in rows.toLocalIterator()]))  # about GROUP_SHINGLES at most
 
         def run(batches, held=held):
-            index = Index(held.value)
+            index = Index(held.value, threshold)
             for batch in batches:
                 for b in pieces(batch):
                     ids = b.column("doc_id")
-                    got = index.matches(words_of(b.column("text"), True), threshold) if index.items else []
+                    got = index.matches(words_of(b.column("text"), True)) if index.items else []
                     yield pa.RecordBatch.from_arrays([ids.take(pa.array([m[0] for m in got], pa.int64())), pa.array([index.items[m[1]][0] for m in got], pa.int64()), pa.array([m[2] for m in got], pa.int64()), pa.array([m[3] for m in got], pa.int64())], ["doc_id", "item_id", "shared", "item_shingles"])
 
         part = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, item_id long, shared long, item_shingles long")
@@ -168,12 +196,12 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
         held = spark.sparkContext.broadcast(_item_sets([(r.item_id, r.text) for r in rows.toLocalIterator()]))
 
         def run(batches, held=held):
-            index = Index(held.value)
+            index = Index(held.value, threshold)
             for batch in batches:
                 for b in pieces(batch):
                     keep = np.ones(b.num_rows, bool)
                     if index.items:
-                        keep[[m[0] for m in index.matches(words_of(b.column("text"), True), threshold)]] = False
+                        keep[[m[0] for m in index.matches(words_of(b.column("text"), True))]] = False
                     yield b.filter(pa.array(keep))
 
         docs = docs.mapInArrow(run, docs.schema)

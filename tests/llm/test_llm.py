@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -264,6 +265,23 @@ def test_decontaminate(spark, docs, empty):
     assert decontaminate.contaminated_pairs(empty, bench).count() == 0
 
 
+def test_decontaminate_finds_small_items():
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7))
+    items = [[word() for _ in range(1 + i % 12)] for i in range(600)]
+    held = decontaminate._item_sets([(i, " ".join(x)) for i, x in enumerate(items)])
+    assert {len(s) for _, s, _ in held} == set(range(1, 9))
+    texts = []
+    for i in range(0, 600, 4):
+        parts = [[word() for _ in range(r.randrange(50, 400))] for _ in range(5)]
+        texts.append(" ".join(w for own, x in zip(parts, [*items[i : i + 4], []], strict=True) for w in own + x))
+    texts += [" ".join(items[i][:-1] + [word()]) for i in range(11, 600, 12)]  # 7 of 8 shingles
+    got = decontaminate.Index(held).matches(common.words_of(pa.array(texts), True))
+    n = {i: len(s) for i, s, _ in held}
+    planted = {(i // 4, i, n[i], n[i]) for i in range(600)} | {(150 + j, i, 7, 8) for j, i in enumerate(range(11, 600, 12))}
+    assert set(got) == planted
+
+
 def test_decontaminate_in_groups(spark, docs, monkeypatch):
     bench = docs.select(F.col("doc_id").alias("item_id"), "text").where("doc_id < 30")
     whole = sorted(map(tuple, decontaminate.contaminated_pairs(docs, bench).collect()))
