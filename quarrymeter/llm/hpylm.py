@@ -6,12 +6,14 @@ uniform base. Tables of a restaurant are the customers of the parent.
 
 Where things are computed. A slice of documents becomes sorted lists of its
 distinct word pairs with the documents that hold them, cut into buckets by
-context and shuffled once. A bucket adds up its pairs and reports its words; word
-buckets add those up and answer with the global figures of each word; the
-bucket then samples its restaurants' seating by Gibbs, averages the predictive
-probabilities over samples, scores its pairs, and returns sums for documents,
-packed by slice. What is shuffled follows the distinct pairs of the slices,
-and nothing that grows with the corpus reaches the driver or a broadcast.
+context and shuffled. A bucket adds up its pairs and reports its words; word
+parts add those up and answer with the global figures of each word. Before each
+Gibbs sweep and before scoring the buckets exchange figures this way; the seating
+of a bucket is written to the shared folder in between. Predictive probabilities
+are averaged over the kept sweeps. Last, the slices are made again, a bucket
+scores its pairs, and returns sums for documents, packed by slice. What is
+shuffled follows the distinct pairs of the slices; the driver sees a few sums and
+the figures of at most ``HEAVY`` contexts.
 
 Sampling. The number of tables of a word in a restaurant is drawn from its
 conditional given the others, (generalised Stirling number of its customers)
@@ -20,8 +22,8 @@ Above ``EXACT`` customers the seating is drawn customer by customer in blocks.
 Restaurants start with one table a word. Discounts come from counts of counts.
 
 Frequent contexts (found on a bounded sample of documents, ``HEAVY`` at most)
-are split over all buckets by following word; the number of their tables in other
-buckets is carried on from the bucket's own growth.
+are split over all buckets by following word; their customers and sampled tables
+are added up over the buckets after every sweep.
 
 Defined cases: null and empty texts are one end token; a null id counts as
 training and not held out; repeated rows count as often as they occur and score
@@ -30,7 +32,9 @@ equally; without training tokens scores are those of the uniform base.
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
+from dataclasses import dataclass, replace
 from functools import lru_cache
 
 import numpy as np
@@ -39,7 +43,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, bounded_batches, crc_mod, mix, pieces, words_of
+from .common import U64, Table, bounded_batches, crc_mod, mix, pieces, words_of
 
 END, START = U64(0x1F0E4D2C3B5A6978), U64(0x5C6D7E8F90A1B2C3)
 EXACT = 48
@@ -47,6 +51,7 @@ BURN, SAMPLES = 3, 3
 STRENGTH = 0.5
 SLICE_BYTES = 8 << 20
 BUCKET_CHARS = 12_000_000
+CHUNK = 1 << 18
 HEAVY, HEAVY_SHARE, HEAVY_SAMPLE = 128, 0.004, 2000
 
 
@@ -154,55 +159,179 @@ def _word_part(words: np.ndarray, parts: int) -> np.ndarray:
     return (mix(words + U64(3)) % U64(parts)).astype(np.int64)
 
 
-def _report(heavy: np.ndarray, parts: int):
-    """What a bucket knows of its words: packed (part, words, customers, contexts)."""
+def _pack(x: np.ndarray) -> bytes:
+    """Counts in the fewest bytes that hold the largest."""
+    return x.astype(np.min_scalar_type(int(x.max(initial=0)))).tobytes()
 
-    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        k = Bucket(batches, False)
-        seen = k.count > 0
-        c = np.bincount(k.word, k.count, len(k.words)).astype(np.int64)
-        t = np.bincount(k.word[seen], minlength=len(k.words))
-        part = _word_part(k.words, parts)
-        order = np.lexsort((k.words, part))
+
+def _unpack(raw: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(raw, f"u{max(1, len(raw) // max(1, n))}").astype(np.int64)
+
+
+@dataclass
+class Figures:
+    """Of the whole corpus after a sweep: a few numbers, and customers and tables of the split restaurants."""
+
+    tokens: int
+    types: int
+    discount: float
+    top: float
+    customers: int  # of the parent
+    tables: int  # of the parent
+    drawn: float
+    split: dict[int, tuple[int, int]]
+
+
+class Seats:
+    """Seating of the restaurants of one bucket: tables of each pair, and what is known of its words.
+
+    Pairs are in ``order`` of those of ``Bucket``, by context and word, which packs well. p: sum of the predictive probabilities so far.
+    """
+
+    def __init__(self, k: Bucket):
+        at = self.order(k)
+        self.words, self.contexts, self.word, self.context, self.count = k.words, k.contexts, k.word[at], k.context[at], k.count[at]
+        self.tables = (self.count > 0).astype(np.int64)
+        self.seen = np.bincount(k.word, k.count, len(k.words)).astype(np.int64)
+        self.c0, self.t0 = np.bincount(k.word, self.tables, len(k.words)).astype(np.int64), np.zeros(len(k.words), np.int64)
+        self.drawn, self.p = None, None
+
+    @staticmethod
+    def order(k: Bucket) -> np.ndarray:
+        return np.lexsort((k.word, k.context))
+
+    @classmethod
+    def read(cls, rows: list[dict], parts: int) -> Seats:
+        """From the rows of a sweep and the answers to its reports."""
+        self = cls.__new__(cls)
+        state = sorted((r for r in rows if r["chunk"] is not None), key=lambda r: r["chunk"])
+        answers = sorted((r for r in rows if r["chunk"] is None), key=lambda r: r["part"])
+        head = state[0]
+        self.words, self.contexts = np.frombuffer(head["vocab"], U64), np.frombuffer(head["contexts"], U64)
+        sizes = [r["pairs"] for r in state]
+        self.word, self.context, self.count, self.tables = (np.concatenate([_unpack(r[x], n) for r, n in zip(state, sizes, strict=True)]) for x in ("word", "step", "count", "tables"))
+        self.context = np.cumsum(self.context)
+        self.p = np.concatenate([np.frombuffer(r["p"], np.float32) for r in state]).astype(float) if head["p"] is not None else None
+        order = np.lexsort((self.words, _word_part(self.words, parts)))
+
+        def told(name: str, kind=None) -> np.ndarray:
+            got = np.concatenate([np.frombuffer(r[name], kind) if kind else _unpack(r[name], r["words_n"]) for r in answers])
+            out = np.empty(len(order), got.dtype)
+            out[order] = got
+            return out
+
+        self.c0, self.t0 = told("t"), told("t0")
+        self.seen = told("c") if answers[0]["c"] is not None else _unpack(head["seen"], len(self.words))
+        self.drawn = told("drawn", np.float32).astype(float) if answers[0]["drawn"] is not None else None
+        return self
+
+    def split(self, now: Figures) -> tuple[np.ndarray, np.ndarray]:
+        """Customers of each restaurant, and its tables in other buckets."""
+        n = len(self.contexts)
+        customers, own, elsewhere = np.bincount(self.context, self.count, n), np.bincount(self.context, self.tables, n), np.zeros(n)
+        if now.split:
+            names = np.array(sorted(now.split), np.int64).view(U64)
+            for i in np.flatnonzero(np.isin(self.contexts, names)):
+                customers[i], tables = now.split[int(self.contexts[i : i + 1].view(np.int64)[0])]
+                elsewhere[i] = tables - own[i]
+        return customers, elsewhere
+
+    def parent(self, now: Figures) -> np.ndarray:
+        """Predictive probability of each word in the parent."""
+        return (np.maximum(self.c0 - now.top * self.t0, 0) + (STRENGTH + now.top * now.tables) / (now.types + 1)) / (STRENGTH + now.customers)
+
+    def predict(self, now: Figures) -> np.ndarray:
+        """Adds the predictive probabilities of this state to p."""
+        customers, elsewhere = self.split(now)
+        pw = self.parent(now)[self.word]
+        spread = np.bincount(self.context, self.tables, len(self.contexts)) + elsewhere
+        c = customers[self.context]
+        p = np.where(c > 0, (self.count - now.discount * self.tables + (STRENGTH + now.discount * spread[self.context]) * pw) / (STRENGTH + c), pw)
+        self.p = p if self.p is None else self.p + p
+        return self.p
+
+    def sweep(self, now: Figures, seed: tuple[int, int]) -> None:
+        """New tables of every pair, given the parent and the other buckets' tables."""
+        pw = self.parent(now)
+        seat(self.count, self.context, len(self.contexts), pw[self.word], now.discount, STRENGTH, self.split(now)[1], self.tables, np.random.default_rng(seed))
+
+    def rows(self, bucket: int, heavy: np.ndarray, parts: int, first: bool) -> Iterator[pa.RecordBatch]:
+        """The state in chunks, and reports of its words to their parts."""
+        kind = pa.schema([*((x, pa.int32()) for x in ("bucket", "part", "chunk", "pairs", "words_n")), *((x, pa.binary()) for x in ("words", "c", "t", "t0", "vocab", "contexts", "seen", "word", "step", "count", "tables", "p")), ("n1", pa.int64()), ("n2", pa.int64()), ("heavy", pa.list_(pa.struct([(x, pa.int64()) for x in ("context", "c", "t")])))])
+        batch = lambda rows: pa.RecordBatch.from_pylist(rows, kind)
+        step = np.diff(self.context, prepend=0)
+        for chunk, i in enumerate(range(0, len(self.count), CHUNK)):
+            at = slice(i, i + CHUNK)
+            row = {"bucket": bucket, "chunk": chunk, "pairs": len(self.count[at]), "p": self.p[at].astype(np.float32).tobytes() if self.p is not None else None}
+            row |= {"step": _pack(step[at])} | {x: _pack(getattr(self, x)[at]) for x in ("word", "count", "tables")}
+            yield batch([row | ({} if chunk else {"vocab": self.words.tobytes(), "contexts": self.contexts.tobytes(), "seen": _pack(self.seen)})])
+        t = np.bincount(self.word, (self.count > 0).astype(np.int64), len(self.words)).astype(np.int64)
+        part = _word_part(self.words, parts)
+        order = np.lexsort((self.words, part))
         low = np.searchsorted(part[order], np.arange(parts + 1))
-        at = [(p, order[low[p] : low[p + 1]]) for p in range(parts) if low[p] < low[p + 1]]
-        mine = np.flatnonzero(np.isin(k.contexts, heavy))
-        total_c, total_t = (np.bincount(k.context, x, len(k.contexts)).astype(np.int64) for x in (k.count, seen))
-        packed = np.stack([k.contexts[mine].view(np.int64), total_c[mine], total_t[mine]]).tobytes()
-        n1, n2 = int((k.count == 1).sum()), int((k.count == 2).sum())
-        m = len(at)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([p for p, _ in at], pa.int32()), pa.array([key[0].as_py()] * m, pa.int32()), pa.array([k.words[i].tobytes() for _, i in at], pa.binary()), pa.array([c[i].astype(np.uint32).tobytes() if c.max() < 2**32 else c[i].tobytes() for _, i in at], pa.binary()), pa.array([t[i].astype(np.uint32).tobytes() for _, i in at], pa.binary()), pa.array([n1] + [0] * (m - 1), pa.int64()), pa.array([n2] + [0] * (m - 1), pa.int64()), pa.array([packed] + [b""] * (m - 1), pa.binary())],
-            ["part", "bucket", "words", "c", "t", "n1", "n2", "heavy"],
-        )
+        n = len(self.contexts)
+        total_c, total_t = (np.bincount(self.context, x, n).astype(np.int64) for x in (self.count, self.tables))
+        figures = {"n1": int((self.count == 1).sum()), "n2": int((self.count == 2).sum()), "heavy": [{"context": int(self.contexts[i : i + 1].view(np.int64)[0]), "c": int(total_c[i]), "t": int(total_t[i])} for i in np.flatnonzero(np.isin(self.contexts, heavy))]}
+        out = []
+        for p in np.flatnonzero(np.diff(low)):
+            at = order[low[p] : low[p + 1]]
+            row = {"bucket": bucket, "part": int(p), "words_n": len(at), "words": self.words[at].tobytes(), "c": _pack(self.seen[at]) if first else None, "t": _pack(t[at]), "t0": _pack(self.t0[at])}
+            out.append(row | ({} if out else figures))
+        yield batch(out)
+
+
+ROUND_SCHEMA = "bucket int, part int, chunk int, pairs int, words_n int, words binary, c binary, t binary, t0 binary, vocab binary, contexts binary, seen binary, word binary, step binary, count binary, tables binary, p binary, n1 long, n2 long, heavy array<struct<context:long,c:long,t:long>>"
+STATE = ("bucket", "chunk", "pairs", "vocab", "contexts", "seen", "word", "step", "count", "tables", "p")
+REPORT = ("bucket", "part", "words_n", "words", "c", "t", "t0")
+
+
+def _start(heavy: np.ndarray, parts: int):
+    """First seating of a bucket: one table a word in each restaurant."""
+
+    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from Seats(Bucket(batches, False)).rows(key[0].as_py(), heavy, parts, True)
 
     return run
 
 
-REPORT_SCHEMA = "part int, bucket int, words binary, c binary, t binary, n1 long, n2 long, heavy binary"
+def _sweep(heavy: np.ndarray, parts: int, now: Figures, number: int):
+    """One sweep of a bucket; states after the first BURN sweeps count."""
+
+    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        k = Seats.read([r for b in batches for r in b.to_pylist()], parts)
+        if number > BURN:
+            k.predict(now)
+        k.sweep(now, (number, key[0].as_py()))
+        yield from k.rows(key[0].as_py(), heavy, parts, False)
+
+    return run
 
 
-def _answer(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _answer(now: Figures | None, number: int):
     """Global figures of the words of one part, for each bucket that asked; sums of the part."""
-    rows = []
-    for b in batches:
-        for r in b.to_pylist():
-            w = np.frombuffer(r["words"], U64)
-            rows.append((r["bucket"], w, np.frombuffer(r["c"], np.uint32 if len(r["c"]) == 4 * len(w) else np.int64), np.frombuffer(r["t"], np.uint32), r["n1"], r["n2"], r["heavy"]))
-    words, back = np.unique(np.concatenate([r[1] for r in rows]), return_inverse=True)
-    c = np.bincount(back, np.concatenate([r[2] for r in rows]), len(words)).astype(np.int64)
-    t = np.bincount(back, np.concatenate([r[3] for r in rows]), len(words)).astype(np.int64)
-    ends = np.cumsum([len(r[1]) for r in rows])
-    at = [back[e - len(r[1]) : e] for r, e in zip(rows, ends, strict=True)]
-    m = len(rows)
-    sums = [int(c.sum()), int((c > 0).sum()), int(t.sum()), int((t == 1).sum()), int((t == 2).sum())]
-    yield pa.RecordBatch.from_arrays(
-        [pa.array([r[0] for r in rows], pa.int32()), pa.array([key[0].as_py()] * m, pa.int32()), pa.array([c[i].astype(np.uint32).tobytes() if c.max() < 2**32 else c[i].tobytes() for i in at], pa.binary()), pa.array([t[i].astype(np.uint32).tobytes() for i in at], pa.binary()), *(pa.array([s] + [0] * (m - 1), pa.int64()) for s in sums), pa.array([r[4] for r in rows], pa.int64()), pa.array([r[5] for r in rows], pa.int64()), pa.array([r[6] for r in rows], pa.binary())],
-        ["bucket", "part", "c", "t", "tokens", "types", "tables", "t1", "t2", "n1", "n2", "heavy"],
-    )
+
+    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [r for b in batches for r in b.to_pylist()]
+        words, back = np.unique(np.concatenate([np.frombuffer(r["words"], U64) for r in rows]), return_inverse=True)
+        got = lambda x: np.concatenate([_unpack(r[x], r["words_n"]) for r in rows])
+        sum_of = lambda x: np.bincount(back, got(x), len(words)).astype(np.int64)
+        c = sum_of("c") if now is None else None
+        t, drawn = sum_of("t"), None
+        t0 = (t > 0).astype(np.int64)
+        cuts = np.cumsum([r["words_n"] for r in rows])
+        sums = {"tokens": 0 if c is None else int(c.sum()), "types": int((t > 0).sum()), "customers": int(t.sum()), "tops": int(t0.sum()), "t1": int((t == 1).sum()), "t2": int((t == 2).sum()), "drawn_sum": 0.0 if drawn is None else float(drawn.sum(dtype=float))}
+        zero = {x: 0 for x in sums}
+        out = []
+        for r, end in zip(rows, cuts, strict=True):
+            at = back[end - r["words_n"] : end]
+            out.append({"bucket": r["bucket"], "part": key[0].as_py(), "words_n": r["words_n"], "c": None if c is None else _pack(c[at]), "t": _pack(t[at]), "t0": _pack(t0[at]), "drawn": None if drawn is None else drawn[at].tobytes()} | (zero if out else sums))
+        kind = pa.schema([*((x, pa.int32()) for x in ("bucket", "part", "words_n")), *((x, pa.binary()) for x in ("c", "t", "t0", "drawn")), *((x, pa.float64() if x == "drawn_sum" else pa.int64()) for x in sums)])
+        yield pa.RecordBatch.from_pylist(out, kind)
+
+    return run
 
 
-ANSWER_SCHEMA = "bucket int, part int, c binary, t binary, tokens long, types long, tables long, t1 long, t2 long, n1 long, n2 long, heavy binary"
+ANSWER_SCHEMA = "bucket int, part int, words_n int, c binary, t binary, t0 binary, drawn binary, tokens long, types long, customers long, tops long, t1 long, t2 long, drawn_sum double"
 
 
 @lru_cache(8)
@@ -217,95 +346,74 @@ def log_stirling(discount: float) -> np.ndarray:
     return out
 
 
-def gibbs(count: np.ndarray, context: np.ndarray, n_contexts: int, parent: np.ndarray, discount: float, strength: float, outside: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Mean tables of each pair and of each restaurant over the kept samples.
+def seat(count: np.ndarray, context: np.ndarray, n_contexts: int, parent: np.ndarray, discount: float, strength: float, elsewhere: np.ndarray, tables: np.ndarray, rng: np.random.Generator) -> None:
+    """One Gibbs sweep over the tables of each pair, in place.
 
-    outside: tables of each restaurant in other buckets for each of its own here
-    (zero unless the restaurant is split).
+    elsewhere: tables of each restaurant in other buckets (zero unless the
+    restaurant is split).
     """
-    rng = np.random.default_rng(seed)
-    tables = (count > 0).astype(np.int64)
-    total = np.bincount(context, tables, n_contexts)
-    mean_pair, mean_total = np.zeros(len(count)), np.zeros(n_contexts)
+    total = np.bincount(context, tables, n_contexts).astype(np.int64)
     order = np.argsort(count, kind="stable")
     cuts = np.searchsorted(count[order], np.arange(2, EXACT + 2))
     stirling = log_stirling(round(discount, 6))
-    for sweep in range(BURN + SAMPLES):
-        for c in range(2, EXACT + 1):
-            at = order[cuts[c - 2] : cuts[c - 1]]
-            for i in range(0, len(at), 1 << 15):
-                e = at[i : i + (1 << 15)]
-                rest = (total[context[e]] - tables[e]) * (1 + outside[context[e]])
-                j = np.arange(c)
-                grow = np.log(np.maximum(strength + discount * (rest[:, None] + j), 1e-300)) + np.log(parent[e])[:, None]
-                logit = np.cumsum(grow, 1) + stirling[c, 1 : c + 1]
-                new = 1 + (logit + rng.gumbel(size=logit.shape)).argmax(1)
-                np.add.at(total, context[e], new - tables[e])
-                tables[e] = new
-        e = order[cuts[-1] :]
-        if len(e):
-            rest = (total[context[e]] - tables[e]) * (1 + outside[context[e]])
-            new, left, done = np.ones(len(e)), count[e].astype(float), np.ones(len(e))
-            while True:
-                step = np.minimum(np.maximum(1, np.floor(done / 8)), left - done)
-                if not (step > 0).any():
-                    break
-                open_ = (strength + discount * (rest + new)) * parent[e]
-                p = open_ / (open_ + np.maximum(done + step / 2 - discount * new, 1e-9))
-                new = np.minimum(new + np.minimum(rng.poisson(step * p), step), left)
-                done = done + step
-            new = new.astype(np.int64)
+    for c in range(2, EXACT + 1):
+        at = order[cuts[c - 2] : cuts[c - 1]]
+        for i in range(0, len(at), 1 << 15):
+            e = at[i : i + (1 << 15)]
+            rest = total[context[e]] - tables[e] + elsewhere[context[e]]
+            j = np.arange(c)
+            grow = np.log(np.maximum(strength + discount * (rest[:, None] + j), 1e-300)) + np.log(parent[e])[:, None]
+            logit = np.cumsum(grow, 1) + stirling[c, 1 : c + 1]
+            new = 1 + (logit + rng.gumbel(size=logit.shape)).argmax(1)
             np.add.at(total, context[e], new - tables[e])
             tables[e] = new
-        if sweep >= BURN:
-            mean_pair += tables / SAMPLES
-            mean_total += total / SAMPLES
-    return mean_pair, mean_total
+    e = order[cuts[-1] :]
+    if len(e):
+        rest = total[context[e]] - tables[e] + elsewhere[context[e]]
+        new, left, done = np.ones(len(e)), count[e].astype(float), np.ones(len(e))
+        while True:
+            step = np.minimum(np.maximum(1, np.floor(done / 8)), left - done)
+            if not (step > 0).any():
+                break
+            open_ = (strength + discount * (rest + new)) * parent[e]
+            p = open_ / (open_ + np.maximum(done + step / 2 - discount * new, 1e-9))
+            new = np.minimum(new + np.minimum(rng.poisson(step * p), step), left)
+            done = done + step
+        tables[e] = new.astype(np.int64)
+
+
+def gibbs(count: np.ndarray, context: np.ndarray, n_contexts: int, parent: np.ndarray, discount: float, strength: float, elsewhere: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Mean tables of each pair and of each restaurant over the kept samples, under one parent."""
+    rng = np.random.default_rng(seed)
+    tables = (count > 0).astype(np.int64)
+    mean = np.zeros(len(count))
+    for number in range(BURN + SAMPLES):
+        seat(count, context, n_contexts, parent, discount, strength, elsewhere, tables, rng)
+        if number >= BURN:
+            mean += tables / SAMPLES
+    return mean, np.bincount(context, mean, n_contexts)
 
 
 def _discount(n1: float, n2: float) -> float:
     return float(np.clip(n1 / (n1 + 2 * n2) if n1 + n2 else 0.5, 0.1, 0.95))
 
 
-def _score(heavy: np.ndarray, parts: int):
+def _score(parts: int, now: Figures):
     """Sums of one bucket for the documents of each slice."""
     kind = pa.schema([("slice", pa.int64()), ("score", pa.binary()), ("base", pa.binary()), ("known", pa.binary()), ("ids", pa.list_(pa.int64())), ("tokens", pa.binary()), ("N", pa.int64())])
 
     def run(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
-        answers = right.to_pylist()
-        if not left.num_rows or not answers:
+        rows = right.to_pylist()
+        if not left.num_rows or not rows:
             return kind.empty_table()
-        k = Bucket(left.to_batches(), True)
-        answers.sort(key=lambda r: r["part"])
-        sums_row, *answers = answers  # part -1 carries the sums
-        N, V, T, t1, t2, n1, n2 = (sums_row[f"all_{x}"] for x in ("tokens", "types", "tables", "t1", "t2", "n1", "n2"))
-        order = np.lexsort((k.words, _word_part(k.words, parts)))
-        wc, wt = np.zeros(len(k.words), np.int64), np.zeros(len(k.words), np.int64)
-        for name, out in (("c", wc), ("t", wt)):
-            got = [np.frombuffer(r[name], np.uint32 if len(r[name]) == len(r["t"]) else np.int64) for r in answers]
-            out[order] = np.concatenate(got)
-        discount, top = _discount(n1, n2), _discount(t1, t2)
-        parent = (np.maximum(wt - top, 0) + (STRENGTH + top * V) / (V + 1)) / (STRENGTH + T)
-        share = np.zeros(len(k.contexts))
-        customers = np.bincount(k.context, k.count, len(k.contexts))
-        own = np.bincount(k.context, k.count > 0, len(k.contexts))
-        packed = [np.frombuffer(x, np.int64).reshape(3, -1) for x in sums_row["all_heavy"] if x]
-        elsewhere = np.zeros(len(k.contexts))  # tables of restaurants that have none here
-        if packed:
-            every = np.concatenate(packed, 1)
-            names, back = np.unique(every[0].view(U64), return_inverse=True)
-            total_c, total_t = (np.bincount(back, every[i], len(names)) for i in (1, 2))
-            at = np.minimum(np.searchsorted(names, k.contexts), len(names) - 1)
-            hit = names[at] == k.contexts
-            customers[hit] = total_c[at[hit]]
-            share[hit] = np.where(own[hit] > 0, total_t[at[hit]] / np.maximum(own[hit], 1) - 1, 0)
-            elsewhere[hit] = np.where(own[hit] > 0, 0, total_t[at[hit]])
-        pw = parent[k.word]
-        tables, total = gibbs(k.count, k.context, len(k.contexts), pw, discount, STRENGTH, share, 1 + key[0].as_py())
-        spread = total * (1 + share) + elsewhere
-        c = customers[k.context]
-        p = np.where(c > 0, (k.count - discount * tables + (STRENGTH + discount * spread[k.context]) * pw) / (STRENGTH + c), pw)
-        value = np.log10(np.maximum(p, 1e-300))
+        k, seats = Bucket(left.to_batches(), True), Seats.read(rows, parts)
+        at = Seats.order(k)
+        if not (np.array_equal(k.words, seats.words) and np.array_equal(k.word[at], seats.word) and np.array_equal(k.count[at], seats.count)):
+            raise RuntimeError("documents changed between the passes")
+        del left, right, rows
+        value = np.empty(len(at))
+        value[at] = np.log10(np.maximum(seats.predict(now) / SAMPLES, 1e-300))
+        N, V, wc = now.tokens, now.types, seats.seen
         base = np.log10((wc + 0.5) / (N + 0.5 * (V + 1)))[k.word]
         known = (wc > 0)[k.word]
         sums: dict[str, list] = {n: [] for n in ("slice", "score", "base", "known", "ids", "tokens", "N")}
@@ -354,6 +462,17 @@ def _heavy_contexts(docs: DataFrame) -> np.ndarray:
     return np.array(sorted(r.c for r in top if r.n >= HEAVY_SHARE * total), np.int64).view(U64)
 
 
+def _figures(state: DataFrame, told: DataFrame, before: Figures | None) -> Figures:
+    """One row of sums, and a row for each of at most HEAVY split restaurants."""
+    split = state.select(F.explode("heavy").alias("h")).groupBy("h.context").agg(F.sum("h.c").alias("c"), F.sum("h.t").alias("t")).collect()
+    s = told.agg(*[F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in ("tokens", "types", "customers", "tops", "t1", "t2", "drawn_sum")]).first()
+    pairs = {r.context: (r.c, r.t) for r in split}
+    if before:
+        return replace(before, customers=s.customers, tables=s.tops, drawn=s.drawn_sum, split=pairs)
+    n = state.agg(F.sum("n1").alias("n1"), F.sum("n2").alias("n2")).first()
+    return Figures(s.tokens, s.types, _discount(n.n1 or 0, n.n2 or 0), _discount(s.t1, s.t2), s.customers, s.tops, 0.0, pairs)
+
+
 def score_documents(docs: DataFrame, fold_of: int = 5, held: int = 1, buckets: int | None = None) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score): one row a document."""
     spark = docs.sparkSession
@@ -366,13 +485,20 @@ def score_documents(docs: DataFrame, fold_of: int = 5, held: int = 1, buckets: i
     parts = buckets
     heavy = _heavy_contexts(src)
     slices = src.mapInArrow(_slices(heavy, buckets), SLICE_SCHEMA)
-    reports = slices.groupBy("bucket").applyInArrow(_report(heavy, parts), REPORT_SCHEMA)
-    answers = reports.groupBy("part").applyInArrow(_answer, ANSWER_SCHEMA)
-    sums = [F.sum(n).alias(f"all_{n}") for n in ("tokens", "types", "tables", "t1", "t2", "n1", "n2")]
-    # one row: a few numbers and the figures of at most HEAVY contexts in each bucket
-    totals = answers.agg(*sums, F.collect_set(F.when(F.length("heavy") > 0, F.col("heavy"))).alias("all_heavy")).withColumn("one", F.lit(1))
-    each = spark.range(buckets).select(F.col("id").cast("int").alias("bucket"), F.lit(-1).alias("part"), F.lit(1).alias("one")).join(F.broadcast(totals), "one").drop("one")
-    told = answers.select("bucket", "part", "c", "t").unionByName(each, allowMissingColumns=True)
-    partial = slices.groupBy("bucket").cogroup(told.groupBy("bucket")).applyInArrow(_score(heavy, parts), "slice long, score binary, base binary, known binary, ids array<long>, tokens binary, N long")
+    now, state, told = None, Table(slices.groupBy("bucket").applyInArrow(_start(heavy, parts), ROUND_SCHEMA), "seats"), None
+    for number in range(BURN + SAMPLES + 1):
+        if number:
+            both = state.df.where("chunk is not null").select(*STATE).unionByName(told.df, allowMissingColumns=True)
+            new = Table(both.groupBy("bucket").applyInArrow(_sweep(heavy, parts, now, number - 1), ROUND_SCHEMA), "seats")
+            state.drop()
+            told.drop()
+            state = new
+        told = Table(state.df.where("part is not null").select(*REPORT).groupBy("part").applyInArrow(_answer(now, number), ANSWER_SCHEMA), "parent")
+        now = _figures(state.df, told.df, now)
+        # the sweep's shuffle files go when the driver collects its garbage
+        gc.collect()
+        spark._jvm.System.gc()
+    both = state.df.where("chunk is not null").select(*STATE).unionByName(told.df, allowMissingColumns=True)
+    partial = slices.groupBy("bucket").cogroup(both.groupBy("bucket")).applyInArrow(_score(parts, now), "slice long, score binary, base binary, known binary, ids array<long>, tokens binary, N long")
     rows = partial.groupBy("slice").applyInArrow(_collect, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return rows.select("doc_id", F.coalesce(crc_mod(F.col("doc_id"), fold_of) == held, F.lit(False)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

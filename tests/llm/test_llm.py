@@ -231,6 +231,28 @@ def test_hpylm_is_a_distribution():
     assert np.isclose(p.sum(), 1) and (p > 0).all() and ((t >= 1) == (count > 0)).all() and (t <= count).all()
 
 
+@pytest.fixture(scope="module")
+def frequent_words(spark):
+    """Documents of a word with many followers of very unequal numbers."""
+    r = np.random.default_rng(4)
+    share = 1 / np.arange(1, 4001) ** 1.1
+    rows = []
+    for i in range(300):
+        f = r.choice(4000, 60, p=share / share.sum())
+        rows.append((i, " ".join(f"the f{x}" for x in f)))
+    return spark.createDataFrame(rows, "doc_id long, text string").cache()
+
+
+def test_hpylm_split_contexts_agree(frequent_words):
+    got = []
+    for buckets in (1, 3, 200):
+        rows = hpylm.score_documents(frequent_words, buckets=buckets).orderBy("doc_id").collect()
+        got.append(np.array([x.score / x.n_tokens for x in rows]))
+    for other in got[1:]:
+        assert abs(other.mean() - got[0].mean()) < 0.005
+        assert np.abs(other - got[0]).max() < 0.03
+
+
 def test_stirling():
     s = np.exp(hpylm.log_stirling(0.5))
     assert np.isclose(s[3, 1], 0.5 * 1.5) and np.isclose(s[3, 3], 1) and np.isclose(s[3, 2], 0.5 + (2 - 1.0))
