@@ -19,7 +19,11 @@ Sampling. The number of tables of a word in a restaurant is drawn from its
 conditional given the others, (generalised Stirling number of its customers)
 times (probability of so many new tables); seats within tables integrate out.
 Above ``EXACT`` customers the seating is drawn customer by customer in blocks.
-Restaurants start with one table a word. Discounts come from counts of counts.
+The parent's customers are the sampled tables of all restaurants. Its own tables
+are drawn in the same way after each sweep, and the next sweep works under a draw
+of the parent's probabilities, given which the restaurants are independent; what
+the parent leaves to its base is spread evenly. Scores use the parent's predictive
+probabilities. Restaurants start with one table a word. Discounts come from counts of counts.
 
 Frequent contexts (found on a bounded sample of documents, ``HEAVY`` at most)
 are split over all buckets by following word; their customers and sampled tables
@@ -253,6 +257,10 @@ class Seats:
     def sweep(self, now: Figures, seed: tuple[int, int]) -> None:
         """New tables of every pair, given the parent and the other buckets' tables."""
         pw = self.parent(now)
+        if self.drawn is not None:
+            # given a draw of the parent, restaurants don't depend on each other
+            rest = np.random.default_rng(seed[0]).gamma(STRENGTH + now.top * now.tables)
+            pw = (self.drawn + rest / (now.types + 1)) / (now.drawn + rest)
         seat(self.count, self.context, len(self.contexts), pw[self.word], now.discount, STRENGTH, self.split(now)[1], self.tables, np.random.default_rng(seed))
 
     def rows(self, bucket: int, heavy: np.ndarray, parts: int, first: bool) -> Iterator[pa.RecordBatch]:
@@ -265,7 +273,7 @@ class Seats:
             row = {"bucket": bucket, "chunk": chunk, "pairs": len(self.count[at]), "p": self.p[at].astype(np.float32).tobytes() if self.p is not None else None}
             row |= {"step": _pack(step[at])} | {x: _pack(getattr(self, x)[at]) for x in ("word", "count", "tables")}
             yield batch([row | ({} if chunk else {"vocab": self.words.tobytes(), "contexts": self.contexts.tobytes(), "seen": _pack(self.seen)})])
-        t = np.bincount(self.word, (self.count > 0).astype(np.int64), len(self.words)).astype(np.int64)
+        t = np.bincount(self.word, self.tables, len(self.words)).astype(np.int64)
         part = _word_part(self.words, parts)
         order = np.lexsort((self.words, part))
         low = np.searchsorted(part[order], np.arange(parts + 1))
@@ -318,6 +326,13 @@ def _answer(now: Figures | None, number: int):
         c = sum_of("c") if now is None else None
         t, drawn = sum_of("t"), None
         t0 = (t > 0).astype(np.int64)
+        if now is not None:
+            rng = np.random.default_rng((number, 1, key[0].as_py()))
+            before = np.zeros(len(words), np.int64)
+            before[back] = got("t0")
+            t0 = np.where(t > 0, np.clip(before, 1, t), 0)
+            seat(t, np.zeros(len(t), np.int64), 1, np.full(len(t), 1 / (now.types + 1)), now.top, STRENGTH, np.array([now.tables - before.sum()]), t0, rng)
+            drawn = rng.gamma(np.maximum(t - now.top * t0, 0)).astype(np.float32)
         cuts = np.cumsum([r["words_n"] for r in rows])
         sums = {"tokens": 0 if c is None else int(c.sum()), "types": int((t > 0).sum()), "customers": int(t.sum()), "tops": int(t0.sum()), "t1": int((t == 1).sum()), "t2": int((t == 2).sum()), "drawn_sum": 0.0 if drawn is None else float(drawn.sum(dtype=float))}
         zero = {x: 0 for x in sums}

@@ -253,6 +253,14 @@ def test_hpylm_split_contexts_agree(frequent_words):
         assert np.abs(other - got[0]).max() < 0.03
 
 
+def test_hpylm_parent_has_the_sampled_tables(spark):
+    held = [i for i in range(200) if zlib.crc32(str(i).encode()) % 5 == 1][:2]
+    free = [i for i in range(2000) if zlib.crc32(str(i).encode()) % 5 != 1]
+    rows = [(i, "a often") for i in free[:400]] + [(free[400], "a once")] + [(i, f"a r{i}") for i in free[401:801]] + [(held[0], "new often"), (held[1], "new once")]
+    got = {x.doc_id: x.score for x in hpylm.score_documents(spark.createDataFrame(rows, "doc_id long, text string"), buckets=3).where("held_out").collect()}
+    assert got[held[0]] > got[held[1]] + 0.6  # 0.26 with one table a word
+
+
 def test_stirling():
     s = np.exp(hpylm.log_stirling(0.5))
     assert np.isclose(s[3, 1], 0.5 * 1.5) and np.isclose(s[3, 3], 1) and np.isclose(s[3, 2], 0.5 + (2 - 1.0))
