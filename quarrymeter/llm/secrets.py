@@ -1,7 +1,9 @@
 """Secret scan with a random forest against false positives (operator 6).
 
 Candidates are runs of token characters of at least 16 bytes with a digit, values
-given to a credential word (``password=...``), and private-key headers. Each has
+given to a credential word (``password=...``) up to a quote or white space, and
+private keys from header to END line, or the header alone where the end of the
+text or the next header comes first. Each has
 the figures below (length, class shares and transitions, entropy, dictionary
 coverage, path and neighbouring words); a random forest trained on labelled
 findings removes the false ones.
@@ -21,6 +23,7 @@ from __future__ import annotations
 
 import random
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -45,8 +48,8 @@ COMMON_PARTS = ("the", "and", "ing", "ion", "tio", "ent", "for", "tha", "ter", "
 
 _TOKEN = np.zeros(256, bool)
 _TOKEN[[*range(48, 58), *range(65, 91), *range(97, 123), *b"+/_-"]] = True
-_ASSIGNED = re.compile(rb"(?i)(?:" + b"|".join(w.encode() for w in CREDENTIAL_WORDS) + rb")[\"']?\s{0,3}(?:=|:)\s{0,3}[\"']?([^\s\"']{6,256})")
-_BEGIN = re.compile(rb"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----(?:[A-Za-z0-9+/=\s]{0,8000}-----END [A-Z ]{0,30}PRIVATE KEY-----)?")
+_ASSIGNED = re.compile(rb"(?i)(?:" + b"|".join(w.encode() for w in CREDENTIAL_WORDS) + rb")[\"']?\s{0,3}(?:=|:)\s{0,3}[\"']?([^\s\"']{6,})")
+_KEY_LINE = re.compile(rb"-----(BEGIN|END) [A-Z ]{0,30}PRIVATE KEY-----")
 _HINT = re.compile(rb"(?i)passw|pwd|secret|token|api.?key|access_key|auth|credential|private_key")
 _PARTS = re.compile("|".join(sorted(COMMON_PARTS, key=len, reverse=True)))
 _CREDENTIAL = re.compile("|".join(CREDENTIAL_WORDS))
@@ -67,7 +70,7 @@ def candidates(data: bytes, runs: np.ndarray | None = None) -> list[tuple[int, i
     if _HINT.search(data):
         spans += [m.span(1) for m in _ASSIGNED.finditer(data)]
     if b"-----BEGIN " in data:
-        spans += [m.span() for m in _BEGIN.finditer(data)]
+        spans += key_blocks(data)
     out: list[tuple[int, int]] = []
     for s, e in sorted(spans):
         if out and s < out[-1][1]:
@@ -77,6 +80,18 @@ def candidates(data: bytes, runs: np.ndarray | None = None) -> list[tuple[int, i
     return out
 
 
+def key_blocks(data: bytes) -> list[tuple[int, int]]:
+    """Spans of private keys, whatever lies between header and END line."""
+    out, last = [], b"END"
+    for m in _KEY_LINE.finditer(data):
+        if m[1] == b"BEGIN":
+            out.append(m.span())
+        elif last == b"BEGIN":
+            out[-1] = (out[-1][0], m.end())
+        last = m[1]
+    return out
+
+
 def _likely(buf: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
     """Runs that are long enough and hold a digit or begin like a known credential."""
     digits = np.concatenate([[0], np.cumsum((buf >= 48) & (buf < 58))])
@@ -103,7 +118,7 @@ def features(data: bytes, start: int, stop: int) -> list[float]:
     after = data[stop : stop + 8].decode("utf-8", "replace")
     n = max(1, len(x))
     kinds = ["U" if c.isupper() else "L" if c.islower() else "D" if c.isdigit() else "O" for c in x]
-    counts = {c: x.count(c) for c in set(x)}
+    counts = Counter(x)
     run = best = 0
     for a, b in zip(" " + x, x, strict=False):
         run = run + 1 if a == b else 1
