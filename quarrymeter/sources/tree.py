@@ -19,12 +19,22 @@ from pyspark.sql import functions as F
 from ..functions.paths import KEPT_DOT_DIRS, extension, in_skipped_dir
 
 
-def scan(spark: SparkSession, root: str, max_bytes: int = 1_000_000) -> DataFrame:
-    """(repo, path, ext, size, content) of the files below a root, relative paths, skipped folders left out."""
+#: Larger files aren't parsed for decisions.
+PARSED_BYTES = 1_000_000
+
+
+def scan(spark: SparkSession, root: str) -> DataFrame:
+    """(repo, path, ext, size, content) of all files below a root, relative paths, skipped folders left out.
+
+    Files above Spark's limit for one value (``spark.sql.sources.binaryFile.maxLength``, 2 GB)
+    keep their row with null content.
+    """
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("ignoreMissingFiles", True).load([root, *_dot_folders(spark, root)])
     base = root.rstrip("/").split("://")[-1]
     rel = F.regexp_replace("path", "^.*?" + re.escape(base) + "/", "")
-    out = raw.where(F.col("length") <= max_bytes).select(F.lit(root).alias("repo"), rel.alias("path"), F.col("length").alias("size"), "content")
+    most = int(spark.conf.get("spark.sql.sources.binaryFile.maxLength"))
+    columns = lambda content: [F.lit(root).alias("repo"), rel.alias("path"), F.col("length").alias("size"), content.alias("content")]
+    out = raw.where(F.col("length") <= most).select(*columns(F.col("content"))).unionByName(raw.where(F.col("length") > most).select(*columns(F.lit(None).cast("binary"))))
     return out.where(~in_skipped_dir(F.col("path"))).withColumn("ext", extension(F.col("path")))
 
 
@@ -252,14 +262,14 @@ def python_decisions(text: str) -> list[tuple[str, int]] | None:
 
 
 def function_decisions(files: DataFrame) -> DataFrame:
-    """(repo, path, parsed, function, decisions); files that don't parse keep one row."""
+    """(repo, path, parsed, function, decisions); files that don't parse or exceed PARSED_BYTES keep one row."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
             for r, p, e, t in zip(b.repo, b.path, b.ext, b.text, strict=True):
-                got = python_decisions(t or "") if e == ".py" else None
+                got = python_decisions(t) if e == ".py" and t is not None else None
                 rows += [(r, p, False, None, None)] if got is None else [(r, p, True, f, n) for f, n in got]
             yield pd.DataFrame(rows, columns=["repo", "path", "parsed", "function", "decisions"]).astype({"decisions": "Int32"})
 
-    return files.select("repo", "path", "ext", "text").mapInPandas(run, "repo string, path string, parsed boolean, function string, decisions int")
+    return files.select("repo", "path", "ext", F.when(F.col("size") <= PARSED_BYTES, F.col("text")).alias("text")).mapInPandas(run, "repo string, path string, parsed boolean, function string, decisions int")

@@ -6,6 +6,7 @@ import subprocess
 import pytest
 from pyspark.sql import functions as F
 
+from quarrymeter.operators.tree import with_loc
 from quarrymeter.sources import git, tree
 from quarrymeter.streaming import live
 
@@ -61,6 +62,29 @@ def test_tree(spark, repo):
     assert got == {"f": 3, "g": 0}
 
 
+def test_tree_keeps_large_files(spark, tmp_path):
+    d = str(tmp_path)
+    line = "x = 1  # " + "y" * 90 + "\n"
+    for name, text in {"big.py": line * 12_000 + "def f():\n    return 1\n", "small.py": "def g():\n    return 1\n", "requirements.txt": "# " + "c" * 1_100_000 + "\nflask\n"}.items():
+        with open(f"{d}/{name}", "w") as f:
+            f.write(text)
+    files = tree.as_text(tree.scan(spark, d))
+    assert {r.path: r.size > 1_000_000 for r in files.collect()} == {"big.py": True, "small.py": False, "requirements.txt": True}
+    assert {r.path: r["loc"] for r in with_loc(files).where("ext = '.py'").collect()} == {"big.py": 12_002, "small.py": 2}
+    assert [r.name for r in tree.dependencies(files).collect()] == ["flask"]
+    got = {(r.path, r.function): r.parsed for r in tree.function_decisions(files.where("ext = '.py'")).collect()}
+    assert got == {("big.py", None): False, ("small.py", "g"): True}
+
+
+def test_tree_keeps_files_above_the_readers_limit(spark, repo):
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", "60")
+    try:
+        got = {r.path: r.content is None for r in tree.scan(spark, repo).collect()}
+    finally:
+        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
+    assert got["a.py"] and not got["requirements.txt"] and set(got) == {r.path for r in tree.scan(spark, repo).collect()}
+
+
 def test_readers():
     assert tree.make_recipes("a: b\n\t@echo x\n\techo y\nb:\n\tls\n") == {"a": "echo x\necho y", "b": "ls"}
     assert tree.yaml_block_keys("dependencies:\n  a: 1\n    x: 2\n  b:\nother:\n  c: 1\n", {"dependencies"}) == ["a", "b"]
