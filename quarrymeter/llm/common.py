@@ -8,12 +8,14 @@ with numpy, so no Python object is made per word.
 from __future__ import annotations
 
 import atexit
+import os
 import re
 import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
@@ -30,12 +32,15 @@ _own_dir: dict[str, str] = {}
 def shared_dir(spark: SparkSession) -> str:
     """Folder that the driver and all executors share.
 
-    It is ``spark.checkpoint.dir`` of the session. Only where that is unset (a
-    local session, as in tests) a temporary folder is made.
+    It is ``spark.checkpoint.dir`` of the session. Only where that is unset in a
+    local session, as in tests, a temporary folder is made; elsewhere executors
+    would not see it, so that is an error.
     """
     told = spark.conf.get("spark.checkpoint.dir", None)
     if told:
         return told.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if "dir" not in _own_dir:
         _own_dir["dir"] = tempfile.mkdtemp(prefix="quarrymeter-")
         atexit.register(shutil.rmtree, _own_dir["dir"], True)
@@ -60,6 +65,41 @@ def delete_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def local_path(uri: str) -> str | None:
+    """Plain path of a URI on a mounted file system, else None."""
+    u = urlparse(uri)
+    return u.path if u.scheme in ("", "file") else None
+
+
+def put_file(uri: str, data: bytes) -> None:
+    """Write a file under a temporary name, then rename it, so a task that runs twice leaves one whole file."""
+    tmp = f"{uri}.{uuid.uuid4().hex}.tmp"
+    if path := local_path(tmp):
+        os.makedirs(os.path.dirname(path), exist_ok=True)
+        with open(path, "wb") as f:
+            f.write(data)
+        os.replace(path, local_path(uri))
+        return
+    from pyarrow import fs
+
+    store, path = fs.FileSystem.from_uri(tmp)
+    store.create_dir(os.path.dirname(path), recursive=True)
+    with store.open_output_stream(path) as f:
+        f.write(data)
+    store.move(path, fs.FileSystem.from_uri(uri)[1])
+
+
+def read_file(uri: str) -> bytes:
+    if path := local_path(uri):
+        with open(path, "rb") as f:
+            return f.read()
+    from pyarrow import fs
+
+    store, path = fs.FileSystem.from_uri(uri)
+    with store.open_input_file(path) as f:
+        return f.read()
+
+
 class Table:
     """A DataFrame written to the shared folder; ``drop()`` removes the files."""
 

@@ -6,37 +6,48 @@ uniform base. Tables of a restaurant are the customers of the parent.
 
 Where things are computed. A slice of documents becomes sorted lists of its
 distinct word pairs with the documents that hold them, cut into buckets by
-context and shuffled. A bucket adds up its pairs and reports its words; word
-parts add those up and answer with the global figures of each word. Before each
-Gibbs sweep and before scoring the buckets exchange figures this way; the seating
-of a bucket is written to the shared folder in between. Predictive probabilities
-are averaged over the kept sweeps. Last, the slices are made again, a bucket
-scores its pairs, and returns sums for documents, packed by slice. What is
-shuffled follows the distinct pairs of the slices; the driver sees a few sums and
-the figures of at most ``HEAVY`` contexts.
+context and shuffled once. A bucket adds up its pairs, keeps its seating in a
+file of the shared folder, and reports its words; word parts add those up, sit
+the parent's customers and answer with the global figures of each word. A round
+is some sweeps of the buckets' restaurants and one such exchange, so the seating
+itself is never shuffled. Predictive probabilities are averaged over the kept
+rounds. Last, the slices are made again, a bucket scores its pairs, and returns
+sums for documents, packed by slice. The driver sees a few sums and the figures
+of at most ``HEAVY`` contexts.
 
 Sampling. The number of tables of a word in a restaurant is drawn from its
 conditional given the others, (generalised Stirling number of its customers)
 times (probability of so many new tables); seats within tables integrate out.
-Above ``EXACT`` customers the seating is drawn customer by customer in blocks.
+Above ``EXACT`` customers the tables are drawn customer by customer in blocks,
+because the Stirling numbers' table grows with the square of the customers.
+Words of one restaurant with equal numbers of customers are drawn together.
 The parent's customers are the sampled tables of all restaurants. Its own tables
-are drawn in the same way after each sweep, and the next sweep works under a draw
+are drawn in the same way in each round, and the next sweeps work under a draw
 of the parent's probabilities, given which the restaurants are independent; what
 the parent leaves to its base is spread evenly. Scores use the parent's predictive
-probabilities. Restaurants start with one table a word. Discounts come from counts of counts.
-
-Frequent contexts (found on a bounded sample of documents, ``HEAVY`` at most)
-are split over all buckets by following word; their customers and sampled tables
-are added up over the buckets after every sweep.
-
-Defined cases: null and empty texts are one end token; a null id counts as
-training and not held out; repeated rows count as often as they occur and score
-equally; without training tokens scores are those of the uniform base.
+probabilities. Restaurants start with one table a word. Discounts come from counts
+of counts.
+
+Every draw is a function of its round, context and word alone, so scores don't
+depend on the number of buckets or partitions, nor on which attempt of a task won.
+
+Frequent contexts (found on a bounded sample of documents, by their share of the
+corpus) are split over all
+buckets by following word; their customers and tables are added up over the
+buckets in every exchange and stand still within a round.
+
+Defined cases: null and empty texts are one end token, a very long text is cut
+into nothing smaller than itself; a null id counts as training and not held out;
+repeated rows count as often as they occur and score equally; rows that share an
+id get a row each; columns other than id and text are not read, whatever their
+names; without training tokens scores are those of the uniform base; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
 
 import gc
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
 from functools import lru_cache
@@ -44,19 +55,20 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import U64, Table, bounded_batches, crc_mod, mix, pieces, words_of
+from .common import U64, Table, bounded_batches, crc_mod, delete_path, mix, pieces, put_file, read_file, scratch_path, words_of
 
 END, START = U64(0x1F0E4D2C3B5A6978), U64(0x5C6D7E8F90A1B2C3)
-EXACT = 48
-BURN, SAMPLES = 3, 3
+EXACT = 256
+BURN, SAMPLES = 1, 3
+FIRST_SWEEPS = 3
 STRENGTH = 0.5
 SLICE_BYTES = 8 << 20
 BUCKET_CHARS = 12_000_000
-CHUNK = 1 << 18
-HEAVY, HEAVY_SHARE, HEAVY_SAMPLE = 128, 0.004, 2000
+HEAVY, HEAVY_SHARE, HEAVY_CHARS, HEAVY_SAMPLE = 1 << 16, 0.001, 3_000_000, 2000
+GRAIN = 1 << 12  # draws of the parent are kept as multiples of 1 / GRAIN, so that their sum is exact
 
 
 def pairs_of(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -172,9 +184,134 @@ def _unpack(raw: bytes, n: int) -> np.ndarray:
     return np.frombuffer(raw, f"u{max(1, len(raw) // max(1, n))}").astype(np.int64)
 
 
+# ------------------------------------------------------------------- draws
+def uniform(key: np.ndarray, *salt: int) -> np.ndarray:
+    """A number in (0, 1) for each key, the same for the same key and salt."""
+    x = key
+    for s in salt:
+        x = mix(x + U64(0x9E3779B97F4A7C15 * (s + 1) & 0xFFFFFFFFFFFFFFFF))
+    return ((x >> U64(11)).astype(np.float64) + 0.5) * 2.0**-53
+
+
+def normal(key: np.ndarray, *salt: int) -> np.ndarray:
+    return np.sqrt(-2 * np.log(uniform(key, *salt, 0))) * np.cos(2 * np.pi * uniform(key, *salt, 1))
+
+
+def gamma(shape: np.ndarray, key: np.ndarray, salt: int) -> np.ndarray:
+    """A gamma draw for each key (Marsaglia and Tsang; shapes below one by the power of a uniform)."""
+    out = np.zeros(len(shape))
+    left = np.flatnonzero(shape > 0)
+    a = np.where(shape < 1, shape + 1, shape) - 1 / 3
+    attempt = 0
+    while len(left):
+        d, k = a[left], key[left]
+        x = normal(k, salt, 2 + attempt)
+        v = np.maximum(1 + x / np.sqrt(9 * d), 1e-12) ** 3
+        ok = np.log(uniform(k, salt, 500 + attempt)) < x * x / 2 + d - d * v + d * np.log(v)
+        out[left[ok]] = (d * v)[ok]
+        left = left[~ok]
+        attempt += 1
+    small = np.flatnonzero((shape > 0) & (shape < 1))
+    out[small] *= uniform(key[small], salt, 999) ** (1 / shape[small])
+    return out
+
+
+def poisson(mean: np.ndarray, key: np.ndarray, *salt: int) -> np.ndarray:
+    """By the cumulative sum up to a mean of 30, then by the normal of that mean."""
+    out = np.maximum(0, np.rint(mean + np.sqrt(mean) * normal(key, *salt)))
+    at = np.flatnonzero(mean < 30)
+    u, p, k = uniform(key[at], *salt), np.exp(-mean[at]), 0
+    total, got = p.copy(), np.zeros(len(at))
+    while k < 120:
+        more = u > total
+        if not more.any():
+            break
+        got += more
+        k += 1
+        p = p * mean[at] / k
+        total += p
+    out[at] = got
+    return out
+
+
+@lru_cache(8)
+def log_stirling(discount: float) -> np.ndarray:
+    """log of generalised Stirling numbers, [customers, tables] up to EXACT."""
+    out = np.full((EXACT + 1, EXACT + 2), -np.inf)
+    out[1, 1] = 0.0
+    t = np.arange(1, EXACT + 1)
+    with np.errstate(divide="ignore"):
+        for c in range(1, EXACT):
+            out[c + 1, 1:-1] = np.logaddexp(out[c, :-2], out[c, 1:-1] + np.log(np.maximum(c - t * discount, 0)))
+    return out[:, :-1]
+
+
+def seat(count: np.ndarray, context: np.ndarray, total: np.ndarray, still: np.ndarray, parent: np.ndarray, discount: float, strength: float, tables: np.ndarray, key: np.ndarray, *salt: int, told: np.ndarray | None = None) -> None:
+    """One Gibbs sweep over the tables of each pair, in place.
+
+    total: tables of each restaurant. still: restaurants whose total doesn't
+    follow the sweep, because other buckets hold a part of it; what it holds of a
+    pair is ``told``, the tables that the pair had in the last exchange. Pairs go by their
+    number of customers, and small numbers in four lots by key; within such a
+    group all see the same totals, whatever else the bucket holds.
+    """
+    total, told = total.astype(np.int64), tables.copy() if told is None else told
+    move = ~still
+    others = lambda e: total[context[e]] - np.where(still[context[e]], told[e], tables[e])
+    order = np.argsort(count, kind="stable")
+    cuts = np.searchsorted(count[order], np.arange(2, EXACT + 2))
+    stirling = log_stirling(round(discount, 6))
+    for c in range(2, EXACT + 1):
+        every = order[cuts[c - 2] : cuts[c - 1]]
+        if not len(every):
+            continue
+        lots = [every[(key[every] & U64(3)) == lot] for lot in range(4)] if c <= 8 else [every]
+        for at in lots:
+            new = np.empty(len(at), np.int64)
+            wide = max(1, (1 << 19) // c)
+            for i in range(0, len(at), wide):
+                e = at[i : i + wide]
+                rest = others(e)
+                grow = np.log(np.maximum(strength + discount * (rest[:, None] + np.arange(c)), 1e-300)) + np.log(parent[e])[:, None]
+                weight = np.cumsum(grow, 1) + stirling[c, 1 : c + 1]
+                weight = np.cumsum(np.exp(weight - weight.max(1, keepdims=True)), 1)
+                new[i : i + wide] = 1 + (weight[:, :-1] < (uniform(key[e], *salt) * weight[:, -1])[:, None]).sum(1)
+            np.add.at(total, context[at], (new - tables[at]) * move[context[at]])
+            tables[at] = new
+    e = order[cuts[-1] :]
+    if len(e):
+        rest = others(e)
+        new, done, block = np.ones(len(e)), np.ones(len(e)), 0
+        while True:
+            step = np.minimum(np.maximum(1, np.floor(done / 8)), count[e] - done)
+            if not (step > 0).any():
+                break
+            open_ = (strength + discount * (rest + new)) * parent[e]
+            p = open_ / (open_ + np.maximum(done + step / 2 - discount * new, 1e-9))
+            new = np.minimum(new + np.minimum(poisson(step * p, key[e], *salt, block), step), count[e])
+            done, block = done + step, block + 1
+        tables[e] = new.astype(np.int64)
+
+
+def gibbs(count: np.ndarray, context: np.ndarray, n_contexts: int, parent: np.ndarray, discount: float, strength: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Mean tables of each pair and of each restaurant over some samples, under one parent."""
+    tables = (count > 0).astype(np.int64)
+    mean, kept, key = np.zeros(len(count)), 8, mix(np.arange(len(count)).astype(U64))
+    for number in range(kept + 4):
+        seat(count, context, np.bincount(context, tables, n_contexts), np.zeros(n_contexts, bool), parent, discount, strength, tables, key, seed, number)
+        if number >= 4:
+            mean += tables / kept
+    return mean, np.bincount(context, mean, n_contexts)
+
+
+def _discount(n1: float, n2: float) -> float:
+    return float(np.clip(n1 / (n1 + 2 * n2) if n1 + n2 else 0.5, 0.1, 0.95))
+
+
+# ------------------------------------------------------------------ seating
 @dataclass
 class Figures:
-    """Of the whole corpus after a sweep: a few numbers, and customers and tables of the split restaurants."""
+    """Of the whole corpus after a round: a few numbers, and customers and tables of the split restaurants."""
 
     tokens: int
     types: int
@@ -182,7 +319,8 @@ class Figures:
     top: float
     customers: int  # of the parent
     tables: int  # of the parent
-    drawn: float
+    drawn: int  # sum of the parent's draw, in GRAIN; 0: none yet
+    rest: float  # what that draw leaves to the base, in GRAIN
     split: dict[int, tuple[int, int]]
 
 
@@ -192,53 +330,78 @@ class Seats:
     Pairs are in ``order`` of those of ``Bucket``, by context and word, which packs well. p: sum of the predictive probabilities so far.
     """
 
+    KEPT = ("words", "contexts", "word", "step", "count", "tables", "seen", "p")
+
     def __init__(self, k: Bucket):
         at = self.order(k)
         self.words, self.contexts, self.word, self.context, self.count = k.words, k.contexts, k.word[at], k.context[at], k.count[at]
         self.tables = (self.count > 0).astype(np.int64)
         self.seen = np.bincount(k.word, k.count, len(k.words)).astype(np.int64)
-        self.c0, self.t0 = np.bincount(k.word, self.tables, len(k.words)).astype(np.int64), np.zeros(len(k.words), np.int64)
+        self.c0, self.t0 = np.bincount(k.word, self.tables_of(k), len(k.words)).astype(np.int64), np.zeros(len(k.words), np.int64)
         self.drawn, self.p = None, None
 
+    @staticmethod
+    def tables_of(k: Bucket) -> np.ndarray:
+        return (k.count > 0).astype(np.int64)
+
     @staticmethod
     def order(k: Bucket) -> np.ndarray:
         return np.lexsort((k.word, k.context))
 
+    def write(self, path: str) -> None:
+        """The state, as one file of the shared folder."""
+        codec = pa.Codec("zstd", 1)
+        self.step = np.diff(self.context, prepend=0)
+        out = {}
+        for name in self.KEPT:
+            x = getattr(self, name)
+            if x is not None:
+                small = x if name in ("words", "contexts") else x.astype(np.float32) if name == "p" else x.astype(np.min_scalar_type(int(x.max(initial=0))))
+                raw = small.tobytes()
+                out[name] = small.dtype.str, len(raw), codec.compress(raw, asbytes=True)
+        put_file(path, pickle.dumps(out))
+
     @classmethod
-    def read(cls, rows: list[dict], parts: int) -> Seats:
-        """From the rows of a sweep and the answers to its reports."""
+    def read(cls, path: str, answers: list[dict], parts: int) -> Seats:
+        """From the file of the last round and the answers to its reports."""
         self = cls.__new__(cls)
-        state = sorted((r for r in rows if r["chunk"] is not None), key=lambda r: r["chunk"])
-        answers = sorted((r for r in rows if r["chunk"] is None), key=lambda r: r["part"])
-        head = state[0]
-        self.words, self.contexts = np.frombuffer(head["vocab"], U64), np.frombuffer(head["contexts"], U64)
-        sizes = [r["pairs"] for r in state]
-        self.word, self.context, self.count, self.tables = (np.concatenate([_unpack(r[x], n) for r, n in zip(state, sizes, strict=True)]) for x in ("word", "step", "count", "tables"))
-        self.context = np.cumsum(self.context)
-        self.p = np.concatenate([np.frombuffer(r["p"], np.float32) for r in state]).astype(float) if head["p"] is not None else None
+        codec, stored = pa.Codec("zstd"), pickle.loads(read_file(path))
+        for name in cls.KEPT:
+            value = None
+            if name in stored:
+                kind, size, raw = stored.pop(name)
+                value = np.frombuffer(codec.decompress(raw, size, asbytes=True), kind)
+                if value.dtype.kind == "u" and name not in ("words", "contexts"):
+                    value = value.astype(np.int64)
+            setattr(self, name, value)
+        self.context = np.cumsum(self.step)
+        del self.step
+        self.p = self.p.astype(float) if self.p is not None else None
+        answers = sorted(answers, key=lambda r: r["part"])
         order = np.lexsort((self.words, _word_part(self.words, parts)))
 
-        def told(name: str, kind=None) -> np.ndarray:
-            got = np.concatenate([np.frombuffer(r[name], kind) if kind else _unpack(r[name], r["words_n"]) for r in answers])
+        def told(name: str) -> np.ndarray:
+            got = np.concatenate([_unpack(r[name], r["words_n"]) for r in answers])
             out = np.empty(len(order), got.dtype)
             out[order] = got
             return out
 
         self.c0, self.t0 = told("t"), told("t0")
-        self.seen = told("c") if answers[0]["c"] is not None else _unpack(head["seen"], len(self.words))
-        self.drawn = told("drawn", np.float32).astype(float) if answers[0]["drawn"] is not None else None
+        self.drawn = told("drawn") if answers[0]["drawn"] is not None else None
+        if answers[0]["c"] is not None:
+            self.seen = told("c")
         return self
 
-    def split(self, now: Figures) -> tuple[np.ndarray, np.ndarray]:
-        """Customers of each restaurant, and its tables in other buckets."""
+    def split(self, now: Figures) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Customers and tables of each restaurant, and whether other buckets hold a part of it."""
         n = len(self.contexts)
-        customers, own, elsewhere = np.bincount(self.context, self.count, n), np.bincount(self.context, self.tables, n), np.zeros(n)
+        customers, tables, still = np.bincount(self.context, self.count, n), np.bincount(self.context, self.tables, n), np.zeros(n, bool)
         if now.split:
             names = np.array(sorted(now.split), np.int64).view(U64)
             for i in np.flatnonzero(np.isin(self.contexts, names)):
-                customers[i], tables = now.split[int(self.contexts[i : i + 1].view(np.int64)[0])]
-                elsewhere[i] = tables - own[i]
-        return customers, elsewhere
+                customers[i], tables[i] = now.split[int(self.contexts[i : i + 1].view(np.int64)[0])]
+                still[i] = True
+        return customers, tables, still
 
     def parent(self, now: Figures) -> np.ndarray:
         """Predictive probability of each word in the parent."""
@@ -246,71 +409,80 @@ class Seats:
 
     def predict(self, now: Figures) -> np.ndarray:
         """Adds the predictive probabilities of this state to p."""
-        customers, elsewhere = self.split(now)
+        customers, spread, _ = self.split(now)
         pw = self.parent(now)[self.word]
-        spread = np.bincount(self.context, self.tables, len(self.contexts)) + elsewhere
         c = customers[self.context]
         p = np.where(c > 0, (self.count - now.discount * self.tables + (STRENGTH + now.discount * spread[self.context]) * pw) / (STRENGTH + c), pw)
         self.p = p if self.p is None else self.p + p
         return self.p
 
-    def sweep(self, now: Figures, seed: tuple[int, int]) -> None:
-        """New tables of every pair, given the parent and the other buckets' tables."""
-        pw = self.parent(now)
-        if self.drawn is not None:
-            # given a draw of the parent, restaurants don't depend on each other
-            rest = np.random.default_rng(seed[0]).gamma(STRENGTH + now.top * now.tables)
-            pw = (self.drawn + rest / (now.types + 1)) / (now.drawn + rest)
-        seat(self.count, self.context, len(self.contexts), pw[self.word], now.discount, STRENGTH, self.split(now)[1], self.tables, np.random.default_rng(seed))
-
-    def rows(self, bucket: int, heavy: np.ndarray, parts: int, first: bool) -> Iterator[pa.RecordBatch]:
-        """The state in chunks, and reports of its words to their parts."""
-        kind = pa.schema([*((x, pa.int32()) for x in ("bucket", "part", "chunk", "pairs", "words_n")), *((x, pa.binary()) for x in ("words", "c", "t", "t0", "vocab", "contexts", "seen", "word", "step", "count", "tables", "p")), ("n1", pa.int64()), ("n2", pa.int64()), ("heavy", pa.list_(pa.struct([(x, pa.int64()) for x in ("context", "c", "t")])))])
-        batch = lambda rows: pa.RecordBatch.from_pylist(rows, kind)
-        step = np.diff(self.context, prepend=0)
-        for chunk, i in enumerate(range(0, len(self.count), CHUNK)):
-            at = slice(i, i + CHUNK)
-            row = {"bucket": bucket, "chunk": chunk, "pairs": len(self.count[at]), "p": self.p[at].astype(np.float32).tobytes() if self.p is not None else None}
-            row |= {"step": _pack(step[at])} | {x: _pack(getattr(self, x)[at]) for x in ("word", "count", "tables")}
-            yield batch([row | ({} if chunk else {"vocab": self.words.tobytes(), "contexts": self.contexts.tobytes(), "seen": _pack(self.seen)})])
+    def sweep(self, now: Figures, number: int, times: int) -> None:
+        """New tables of every pair with several customers, given the parent."""
+        pw = self.parent(now) if self.drawn is None else (self.drawn + now.rest / (now.types + 1)) / (now.drawn + now.rest)
+        _, total, still = self.split(now)
+        at = np.flatnonzero(self.count > 1)
+        context, word, tables = self.context[at], self.word[at], self.tables[at]
+        told = tables.copy()
+        key = mix(self.contexts[context] ^ (self.words[word] * U64(0xD1342543DE82EF95)))
+        for i in range(times):
+            before = tables.copy()
+            seat(self.count[at], context, total, still, pw[word], now.discount, STRENGTH, tables, key, number, i, told=told)
+            np.add.at(total, context, (tables - before) * ~still[context])
+        self.tables = self.tables.copy()
+        self.tables[at] = tables
+
+    def reports(self, bucket: int, heavy: np.ndarray, parts: int, first: bool) -> Iterator[pa.RecordBatch]:
+        """Reports of the bucket's words to their parts, and of split restaurants to the parts of their names."""
         t = np.bincount(self.word, self.tables, len(self.words)).astype(np.int64)
         part = _word_part(self.words, parts)
         order = np.lexsort((self.words, part))
         low = np.searchsorted(part[order], np.arange(parts + 1))
         n = len(self.contexts)
         total_c, total_t = (np.bincount(self.context, x, n).astype(np.int64) for x in (self.count, self.tables))
-        figures = {"n1": int((self.count == 1).sum()), "n2": int((self.count == 2).sum()), "heavy": [{"context": int(self.contexts[i : i + 1].view(np.int64)[0]), "c": int(total_c[i]), "t": int(total_t[i])} for i in np.flatnonzero(np.isin(self.contexts, heavy))]}
-        out = []
+        out: dict[int, dict] = {}
         for p in np.flatnonzero(np.diff(low)):
             at = order[low[p] : low[p + 1]]
-            row = {"bucket": bucket, "part": int(p), "words_n": len(at), "words": self.words[at].tobytes(), "c": _pack(self.seen[at]) if first else None, "t": _pack(t[at]), "t0": _pack(self.t0[at])}
-            out.append(row | ({} if out else figures))
-        yield batch(out)
+            out[int(p)] = {"bucket": bucket, "part": int(p), "words_n": len(at), "words": self.words[at].tobytes(), "c": _pack(self.seen[at]) if first else None, "t": _pack(t[at]), "t0": _pack(self.t0[at]), "split": []}
+        mine = np.flatnonzero(np.isin(self.contexts, heavy))
+        for i, p in zip(mine, _word_part(self.contexts[mine], parts), strict=True):
+            row = out.setdefault(int(p), {"bucket": bucket, "part": int(p), "words_n": 0, "words": b"", "c": b"" if first else None, "t": b"", "t0": b"", "split": []})
+            row["split"].append({"context": int(self.contexts[i : i + 1].view(np.int64)[0]), "c": int(total_c[i]), "t": int(total_t[i])})
+        rows = list(out.values())
+        rows[0] |= {"n1": int((self.count == 1).sum()), "n2": int((self.count == 2).sum())}
+        kind = pa.schema([*((x, pa.int32()) for x in ("bucket", "part", "words_n")), *((x, pa.binary()) for x in ("words", "c", "t", "t0")), ("n1", pa.int64()), ("n2", pa.int64()), ("split", SPLIT)])
+        for i in range(0, len(rows), 64):
+            yield pa.RecordBatch.from_pylist(rows[i : i + 64], kind)
 
 
-ROUND_SCHEMA = "bucket int, part int, chunk int, pairs int, words_n int, words binary, c binary, t binary, t0 binary, vocab binary, contexts binary, seen binary, word binary, step binary, count binary, tables binary, p binary, n1 long, n2 long, heavy array<struct<context:long,c:long,t:long>>"
-STATE = ("bucket", "chunk", "pairs", "vocab", "contexts", "seen", "word", "step", "count", "tables", "p")
-REPORT = ("bucket", "part", "words_n", "words", "c", "t", "t0")
+SPLIT = pa.list_(pa.struct([(x, pa.int64()) for x in ("context", "c", "t")]))
+REPORT_SCHEMA = "bucket int, part int, words_n int, words binary, c binary, t binary, t0 binary, n1 long, n2 long, split array<struct<context:long,c:long,t:long>>"
+SUMS = ("tokens", "types", "customers", "tops", "t1", "t2", "n1", "n2", "drawn_sum")
+ANSWER_SCHEMA = "bucket int, part int, words_n int, c binary, t binary, t0 binary, drawn binary, split array<struct<context:long,c:long,t:long>>, " + ", ".join(f"{x} long" for x in SUMS)
 
 
-def _start(heavy: np.ndarray, parts: int):
+def _start(heavy: np.ndarray, parts: int, folder: str):
     """First seating of a bucket: one table a word in each restaurant."""
 
     def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from Seats(Bucket(batches, False)).rows(key[0].as_py(), heavy, parts, True)
+        bucket = key[0].as_py()
+        k = Seats(Bucket(batches, False))
+        k.write(f"{folder}/0/{bucket}")
+        yield from k.reports(bucket, heavy, parts, True)
 
     return run
 
 
-def _sweep(heavy: np.ndarray, parts: int, now: Figures, number: int):
-    """One sweep of a bucket; states after the first BURN sweeps count."""
+def _round(heavy: np.ndarray, parts: int, folder: str, now: Figures, number: int):
+    """The sweeps of one round of a bucket; states after the first BURN rounds count."""
 
     def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        k = Seats.read([r for b in batches for r in b.to_pylist()], parts)
-        if number > BURN:
+        bucket = key[0].as_py()
+        k = Seats.read(f"{folder}/{number - 1}/{bucket}", [r for b in batches for r in b.to_pylist()], parts)
+        if number - 1 > BURN:
             k.predict(now)
-        k.sweep(now, (number, key[0].as_py()))
-        yield from k.rows(key[0].as_py(), heavy, parts, False)
+        k.sweep(now, number, FIRST_SWEEPS if number == 1 else 1)
+        k.write(f"{folder}/{number}/{bucket}")
+        yield from k.reports(bucket, heavy, parts, False)
 
     return run
 
@@ -319,7 +491,7 @@ def _answer(now: Figures | None, number: int):
     """Global figures of the words of one part, for each bucket that asked; sums of the part."""
 
     def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [r for b in batches for r in b.to_pylist()]
+        rows = sorted((r for b in batches for r in b.to_pylist()), key=lambda r: r["bucket"])
         words, back = np.unique(np.concatenate([np.frombuffer(r["words"], U64) for r in rows]), return_inverse=True)
         got = lambda x: np.concatenate([_unpack(r[x], r["words_n"]) for r in rows])
         sum_of = lambda x: np.bincount(back, got(x), len(words)).astype(np.int64)
@@ -327,93 +499,33 @@ def _answer(now: Figures | None, number: int):
         t, drawn = sum_of("t"), None
         t0 = (t > 0).astype(np.int64)
         if now is not None:
-            rng = np.random.default_rng((number, 1, key[0].as_py()))
             before = np.zeros(len(words), np.int64)
             before[back] = got("t0")
             t0 = np.where(t > 0, np.clip(before, 1, t), 0)
-            seat(t, np.zeros(len(t), np.int64), 1, np.full(len(t), 1 / (now.types + 1)), now.top, STRENGTH, np.array([now.tables - before.sum()]), t0, rng)
-            drawn = rng.gamma(np.maximum(t - now.top * t0, 0)).astype(np.float32)
+            seat(t, np.zeros(len(t), np.int64), np.array([now.tables]), np.ones(1, bool), np.full(len(t), 1 / (now.types + 1)), now.top, STRENGTH, t0, words, number, 7)
+            drawn = np.rint(gamma(np.maximum(t - now.top * t0, 0), words, number) * GRAIN).astype(np.int64)
+        split: dict[int, list[int]] = {}
+        for s in (s for r in rows for s in r["split"]):
+            own = split.setdefault(s["context"], [0, 0])
+            own[0] += s["c"]
+            own[1] += s["t"]
         cuts = np.cumsum([r["words_n"] for r in rows])
-        sums = {"tokens": 0 if c is None else int(c.sum()), "types": int((t > 0).sum()), "customers": int(t.sum()), "tops": int(t0.sum()), "t1": int((t == 1).sum()), "t2": int((t == 2).sum()), "drawn_sum": 0.0 if drawn is None else float(drawn.sum(dtype=float))}
+        sums = {"tokens": 0 if c is None else int(c.sum()), "types": int((t > 0).sum()), "customers": int(t.sum()), "tops": int(t0.sum()), "t1": int((t == 1).sum()), "t2": int((t == 2).sum()), "drawn_sum": 0 if drawn is None else int(drawn.sum())}
+        sums |= {x: sum(r[x] or 0 for r in rows) for x in ("n1", "n2")}
         zero = {x: 0 for x in sums}
+        first = {"split": [{"context": k, "c": v[0], "t": v[1]} for k, v in sorted(split.items())]} | sums
         out = []
         for r, end in zip(rows, cuts, strict=True):
             at = back[end - r["words_n"] : end]
-            out.append({"bucket": r["bucket"], "part": key[0].as_py(), "words_n": r["words_n"], "c": None if c is None else _pack(c[at]), "t": _pack(t[at]), "t0": _pack(t0[at]), "drawn": None if drawn is None else drawn[at].tobytes()} | (zero if out else sums))
-        kind = pa.schema([*((x, pa.int32()) for x in ("bucket", "part", "words_n")), *((x, pa.binary()) for x in ("c", "t", "t0", "drawn")), *((x, pa.float64() if x == "drawn_sum" else pa.int64()) for x in sums)])
-        yield pa.RecordBatch.from_pylist(out, kind)
+            out.append({"bucket": r["bucket"], "part": key[0].as_py(), "words_n": r["words_n"], "c": None if c is None else _pack(c[at]), "t": _pack(t[at]), "t0": _pack(t0[at]), "drawn": None if drawn is None else _pack(drawn[at])} | (zero if out else first))
+        kind = pa.schema([*((x, pa.int32()) for x in ("bucket", "part", "words_n")), *((x, pa.binary()) for x in ("c", "t", "t0", "drawn")), ("split", SPLIT), *((x, pa.int64()) for x in SUMS)])
+        for i in range(0, len(out), 64):
+            yield pa.RecordBatch.from_pylist(out[i : i + 64], kind)
 
     return run
 
 
-ANSWER_SCHEMA = "bucket int, part int, words_n int, c binary, t binary, t0 binary, drawn binary, tokens long, types long, customers long, tops long, t1 long, t2 long, drawn_sum double"
-
-
-@lru_cache(8)
-def log_stirling(discount: float) -> np.ndarray:
-    """log of generalised Stirling numbers, [customers, tables] up to EXACT."""
-    out = np.full((EXACT + 1, EXACT + 1), -np.inf)
-    out[1, 1] = 0.0
-    for c in range(1, EXACT):
-        for t in range(1, c + 2):
-            stay = out[c, t] + np.log(c - t * discount) if t <= c else -np.inf
-            out[c + 1, t] = np.logaddexp(out[c, t - 1], stay)
-    return out
-
-
-def seat(count: np.ndarray, context: np.ndarray, n_contexts: int, parent: np.ndarray, discount: float, strength: float, elsewhere: np.ndarray, tables: np.ndarray, rng: np.random.Generator) -> None:
-    """One Gibbs sweep over the tables of each pair, in place.
-
-    elsewhere: tables of each restaurant in other buckets (zero unless the
-    restaurant is split).
-    """
-    total = np.bincount(context, tables, n_contexts).astype(np.int64)
-    order = np.argsort(count, kind="stable")
-    cuts = np.searchsorted(count[order], np.arange(2, EXACT + 2))
-    stirling = log_stirling(round(discount, 6))
-    for c in range(2, EXACT + 1):
-        at = order[cuts[c - 2] : cuts[c - 1]]
-        for i in range(0, len(at), 1 << 15):
-            e = at[i : i + (1 << 15)]
-            rest = total[context[e]] - tables[e] + elsewhere[context[e]]
-            j = np.arange(c)
-            grow = np.log(np.maximum(strength + discount * (rest[:, None] + j), 1e-300)) + np.log(parent[e])[:, None]
-            logit = np.cumsum(grow, 1) + stirling[c, 1 : c + 1]
-            new = 1 + (logit + rng.gumbel(size=logit.shape)).argmax(1)
-            np.add.at(total, context[e], new - tables[e])
-            tables[e] = new
-    e = order[cuts[-1] :]
-    if len(e):
-        rest = total[context[e]] - tables[e] + elsewhere[context[e]]
-        new, left, done = np.ones(len(e)), count[e].astype(float), np.ones(len(e))
-        while True:
-            step = np.minimum(np.maximum(1, np.floor(done / 8)), left - done)
-            if not (step > 0).any():
-                break
-            open_ = (strength + discount * (rest + new)) * parent[e]
-            p = open_ / (open_ + np.maximum(done + step / 2 - discount * new, 1e-9))
-            new = np.minimum(new + np.minimum(rng.poisson(step * p), step), left)
-            done = done + step
-        tables[e] = new.astype(np.int64)
-
-
-def gibbs(count: np.ndarray, context: np.ndarray, n_contexts: int, parent: np.ndarray, discount: float, strength: float, elsewhere: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Mean tables of each pair and of each restaurant over the kept samples, under one parent."""
-    rng = np.random.default_rng(seed)
-    tables = (count > 0).astype(np.int64)
-    mean = np.zeros(len(count))
-    for number in range(BURN + SAMPLES):
-        seat(count, context, n_contexts, parent, discount, strength, elsewhere, tables, rng)
-        if number >= BURN:
-            mean += tables / SAMPLES
-    return mean, np.bincount(context, mean, n_contexts)
-
-
-def _discount(n1: float, n2: float) -> float:
-    return float(np.clip(n1 / (n1 + 2 * n2) if n1 + n2 else 0.5, 0.1, 0.95))
-
-
-def _score(parts: int, now: Figures):
+def _score(parts: int, folder: str, now: Figures):
     """Sums of one bucket for the documents of each slice."""
     kind = pa.schema([("slice", pa.int64()), ("score", pa.binary()), ("base", pa.binary()), ("known", pa.binary()), ("ids", pa.list_(pa.int64())), ("tokens", pa.binary()), ("N", pa.int64())])
 
@@ -421,7 +533,7 @@ def _score(parts: int, now: Figures):
         rows = right.to_pylist()
         if not left.num_rows or not rows:
             return kind.empty_table()
-        k, seats = Bucket(left.to_batches(), True), Seats.read(rows, parts)
+        k, seats = Bucket(left.to_batches(), True), Seats.read(f"{folder}/{BURN + SAMPLES}/{key[0].as_py()}", rows, parts)
         at = Seats.order(k)
         if not (np.array_equal(k.words, seats.words) and np.array_equal(k.word[at], seats.word) and np.array_equal(k.count[at], seats.count)):
             raise RuntimeError("documents changed between the passes")
@@ -431,6 +543,7 @@ def _score(parts: int, now: Figures):
         N, V, wc = now.tokens, now.types, seats.seen
         base = np.log10((wc + 0.5) / (N + 0.5 * (V + 1)))[k.word]
         known = (wc > 0)[k.word]
+        del seats
         sums: dict[str, list] = {n: [] for n in ("slice", "score", "base", "known", "ids", "tokens", "N")}
         start = 0
         for (name, n_docs, held, doc, times, ids, tokens), size in zip(k.rows, k.sizes, strict=True):
@@ -460,8 +573,8 @@ def _collect(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> I
     yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(tokens.astype(np.int64)), pa.array(np.rint(total[2]).astype(np.int64)), pa.array([N] * len(ids), pa.int64()), pa.array(total[1]), pa.array(total[0])], ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
 
-def _heavy_contexts(docs: DataFrame) -> np.ndarray:
-    """Contexts with a large share of the tokens of a bounded sample; they only steer where pairs are computed."""
+def _heavy_contexts(docs: DataFrame, chars: int) -> np.ndarray:
+    """Contexts that would be a large part of a bucket, by a bounded sample; they only steer where pairs are computed."""
 
     def count(batches):
         for batch in batches:
@@ -472,20 +585,19 @@ def _heavy_contexts(docs: DataFrame) -> np.ndarray:
 
     picked = docs.select("doc_id").where("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(HEAVY_SAMPLE).distinct()
     rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").mapInArrow(lambda it: count(it), "c long, n long").groupBy("c").agg(F.sum("n").alias("n"))
-    top = rows.orderBy(F.desc("n"), "c").limit(HEAVY).collect()
-    total = rows.agg(F.sum("n")).first()[0] or 1
-    return np.array(sorted(r.c for r in top if r.n >= HEAVY_SHARE * total), np.int64).view(U64)
+    total = F.sum("n").over(Window.partitionBy())
+    top = rows.select("c", "n", total.alias("total")).where(F.col("n") >= min(HEAVY_SHARE, HEAVY_CHARS / max(1, chars)) * F.col("total")).orderBy(F.desc("n"), "c").limit(HEAVY).collect()
+    return np.array(sorted(r.c for r in top if r.n > 20), np.int64).view(U64)
 
 
-def _figures(state: DataFrame, told: DataFrame, before: Figures | None) -> Figures:
-    """One row of sums, and a row for each of at most HEAVY split restaurants."""
-    split = state.select(F.explode("heavy").alias("h")).groupBy("h.context").agg(F.sum("h.c").alias("c"), F.sum("h.t").alias("t")).collect()
-    s = told.agg(*[F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in ("tokens", "types", "customers", "tops", "t1", "t2", "drawn_sum")]).first()
-    pairs = {r.context: (r.c, r.t) for r in split}
+def _figures(told: DataFrame, before: Figures | None, number: int) -> Figures:
+    """One row of sums, and a row for each of the split restaurants."""
+    split = {r.context: (r.c, r.t) for r in told.select(F.explode("split").alias("h")).select("h.*").collect()}
+    s = told.agg(*[F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in SUMS]).first()
     if before:
-        return replace(before, customers=s.customers, tables=s.tops, drawn=s.drawn_sum, split=pairs)
-    n = state.agg(F.sum("n1").alias("n1"), F.sum("n2").alias("n2")).first()
-    return Figures(s.tokens, s.types, _discount(n.n1 or 0, n.n2 or 0), _discount(s.t1, s.t2), s.customers, s.tops, 0.0, pairs)
+        rest = float(np.random.default_rng(number).gamma(STRENGTH + before.top * s.tops)) * GRAIN
+        return replace(before, customers=s.customers, tables=s.tops, drawn=s.drawn_sum, rest=rest, split=split)
+    return Figures(s.tokens, s.types, _discount(s.n1, s.n2), _discount(s.t1, s.t2), s.customers, s.tops, 0, 0.0, split)
 
 
 def score_documents(docs: DataFrame, fold_of: int = 5, held: int = 1, buckets: int | None = None) -> DataFrame:
@@ -494,26 +606,25 @@ def score_documents(docs: DataFrame, fold_of: int = 5, held: int = 1, buckets: i
     bounded_batches(spark, records=4000, size=16 << 20)
     out_of = F.coalesce(crc_mod(F.col("doc_id"), fold_of) == held, F.lit(False))
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("train", ~out_of)
-    if buckets is None:
-        chars = src.agg(F.sum(F.length("text"))).first()[0] or 0
-        buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), chars // BUCKET_CHARS + 1)
-    parts = buckets
-    heavy = _heavy_contexts(src)
+    usual = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    chars = src.agg(F.sum(F.length("text"))).first()[0] or 0
+    buckets = buckets or max(usual, chars // BUCKET_CHARS + 1)
+    parts = max(min(usual, buckets), buckets // 16)  # a part's words come from all buckets, so parts grow with them
+    heavy, folder = _heavy_contexts(src, chars), scratch_path(spark, "seats")
     slices = src.mapInArrow(_slices(heavy, buckets), SLICE_SCHEMA)
-    now, state, told = None, Table(slices.groupBy("bucket").applyInArrow(_start(heavy, parts), ROUND_SCHEMA), "seats"), None
+    reports, now, told = slices.groupBy("bucket").applyInArrow(_start(heavy, parts, folder), REPORT_SCHEMA), None, None
     for number in range(BURN + SAMPLES + 1):
         if number:
-            both = state.df.where("chunk is not null").select(*STATE).unionByName(told.df, allowMissingColumns=True)
-            new = Table(both.groupBy("bucket").applyInArrow(_sweep(heavy, parts, now, number - 1), ROUND_SCHEMA), "seats")
-            state.drop()
+            reports = told.df.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_round(heavy, parts, folder, now, number), REPORT_SCHEMA)
+        new = Table(reports.groupBy("part").applyInArrow(_answer(now, number), ANSWER_SCHEMA), "parent")
+        if number:
             told.drop()
-            state = new
-        told = Table(state.df.where("part is not null").select(*REPORT).groupBy("part").applyInArrow(_answer(now, number), ANSWER_SCHEMA), "parent")
-        now = _figures(state.df, told.df, now)
-        # the sweep's shuffle files go when the driver collects its garbage
+            delete_path(spark, f"{folder}/{number - 1}")
+        told = new
+        now = _figures(told.df, now, number)
+        # the round's shuffle files go when the driver collects its garbage
         gc.collect()
         spark._jvm.System.gc()
-    both = state.df.where("chunk is not null").select(*STATE).unionByName(told.df, allowMissingColumns=True)
-    partial = slices.groupBy("bucket").cogroup(both.groupBy("bucket")).applyInArrow(_score(parts, now), "slice long, score binary, base binary, known binary, ids array<long>, tokens binary, N long")
+    partial = slices.groupBy("bucket").cogroup(told.df.groupBy("bucket")).applyInArrow(_score(parts, folder, now), "slice long, score binary, base binary, known binary, ids array<long>, tokens binary, N long")
     rows = partial.groupBy("slice").applyInArrow(_collect, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return rows.select("doc_id", F.coalesce(crc_mod(F.col("doc_id"), fold_of) == held, F.lit(False)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

@@ -19,9 +19,6 @@ gives a manifest without rows.
 from __future__ import annotations
 
 import os
-import uuid
-import zlib
-from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
@@ -29,38 +26,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, pieces, scratch_path
+from .common import bounded_batches, local_path, pieces, put_file, scratch_path
 
 CACHE_WORDS = 700_000
 _codec: dict[str, tuple] = {}
 _NULL_ID = -(2**63)
 
 
-def _local(uri: str) -> str | None:
-    """Plain path of a URI on a mounted file system, else None."""
-    u = urlparse(uri)
-    return u.path if u.scheme in ("", "file") else None
-
-
-def _put(uri: str, data: bytes) -> None:
-    tmp = f"{uri}.{uuid.uuid4().hex}.tmp"
-    if path := _local(tmp):
-        os.makedirs(os.path.dirname(path), exist_ok=True)
-        with open(path, "wb") as f:
-            f.write(data)
-        os.replace(path, _local(uri))
-        return
-    from pyarrow import fs
-
-    store, path = fs.FileSystem.from_uri(tmp)
-    store.create_dir(os.path.dirname(path), recursive=True)
-    with store.open_output_stream(path) as f:
-        f.write(data)
-    store.move(path, fs.FileSystem.from_uri(uri)[1])
-
-
 def _map(uri: str, kind) -> np.ndarray:
-    if path := _local(uri):
+    if path := local_path(uri):
         return np.memmap(path, kind, "r") if os.path.getsize(path) else np.zeros(0, kind)
     from pyarrow import fs
 
@@ -129,8 +103,8 @@ def write_token_files(docs: DataFrame, vocab_path: str, out: str, end_id: int |
             return
         sizes, ids = np.concatenate(sizes), np.concatenate(ids)
         path = f"{out}/part-{part:06d}"
-        _put(f"{path}.bin", b"".join(blobs))
-        _put(f"{path}.idx", ids.astype("<i8").tobytes() + np.concatenate([[0], np.cumsum(sizes)]).astype("<i8").tobytes())
+        put_file(f"{path}.bin", b"".join(blobs))
+        put_file(f"{path}.idx", ids.astype("<i8").tobytes() + np.concatenate([[0], np.cumsum(sizes)]).astype("<i8").tobytes())
         yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([path]), pa.array([len(ids)], pa.int64()), pa.array([int(sizes.sum())], pa.int64()), pa.array([enc.kind.itemsize], pa.int32())], ["part", "path", "n_docs", "n_tokens", "width"])
 
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
