@@ -68,6 +68,7 @@ STRENGTH = 0.5
 SLICE_BYTES = 8 << 20
 BUCKET_CHARS = 12_000_000
 HEAVY, HEAVY_SHARE, HEAVY_CHARS, HEAVY_SAMPLE = 1 << 16, 0.001, 3_000_000, 2000
+_ZSTD = pa.Codec("zstd", 1)
 GRAIN = 1 << 12  # draws of the parent are kept as multiples of 1 / GRAIN, so that their sum is exact
 
 
@@ -91,6 +92,50 @@ def bucket_of(context: np.ndarray, word: np.ndarray, heavy: np.ndarray, buckets:
     return (np.where(split, mix(context ^ (word * U64(0xD1342543DE82EF95))), mix(context)) % U64(buckets)).astype(np.int64)
 
 
+def squeeze(x: np.ndarray) -> bytes:
+    """An array of small numbers, compressed; its width and length come first."""
+    raw = x.tobytes()
+    return bytes([x.itemsize]) + len(raw).to_bytes(7, "little") + _ZSTD.compress(raw, asbytes=True)
+
+
+def unsqueeze(raw: pa.Buffer) -> np.ndarray:
+    head = raw.slice(0, 8).to_pybytes()
+    return np.frombuffer(_ZSTD.decompress(raw.slice(8), int.from_bytes(head[1:], "little"), asbytes=True), f"u{head[0]}")
+
+
+def _small(x: np.ndarray) -> np.ndarray:
+    """Counts in the narrowest type that holds the largest."""
+    return x.astype(np.min_scalar_type(int(x.max(initial=0))))
+
+
+def ordered(part: np.ndarray, word: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The columns sorted by bucket, context, word and document.
+
+    The context of a word is the one before it, or START. Contexts and words come as
+    ranks, with the hashes of the ranks last, so that a row is one whole number
+    where it fits, and is sorted as such.
+    """
+    names, w = np.unique(word, return_inverse=True)
+    names = np.insert(names, np.searchsorted(names, START), START)
+    begin = int(np.searchsorted(names, START))
+    w += w >= begin
+    c = np.empty_like(w)
+    c[1:] = w[:-1]
+    c[np.flatnonzero(np.diff(doc, prepend=-1))] = begin
+    n, d = len(names), int(doc.max(initial=0)) + 1
+    left, right = part * n + c, w * d + doc
+    if (int(part.max(initial=0)) + 1) * n * n * d < 2**62:
+        both = left * (n * d) + right
+        both.sort()
+        left, right = np.divmod(both, n * d)
+    else:
+        order = np.lexsort((right, left))
+        left, right = left[order], right[order]
+    p, c = np.divmod(left, n)
+    w, doc = np.divmod(right, d)
+    return p, c, w, doc, names
+
+
 def _slices(heavy: np.ndarray, buckets: int):
     def run(batches):
         part_id, number = TaskContext.get().partitionId(), 0
@@ -99,10 +144,8 @@ def _slices(heavy: np.ndarray, buckets: int):
                 context, word, doc, n = pairs_of(b.column("text"))
                 train = b.column("train").to_numpy(zero_copy_only=False).astype(bool)
                 part = bucket_of(context, word, heavy, buckets)
-                order = np.lexsort((doc, word, context, part))
-                p, c, w, d = part[order], context[order], word[order], doc[order]
-                del part, context, doc, order
-                del word
+                p, c, w, d, names = ordered(part, word, doc)
+                del part, context, word, doc
                 same_pair = np.concatenate([[False], (p[1:] == p[:-1]) & (c[1:] == c[:-1]) & (w[1:] == w[:-1])])
                 entry = np.flatnonzero(~(same_pair & np.concatenate([[False], d[1:] == d[:-1]])))
                 times = np.diff(np.concatenate([entry, [len(d)]]))
@@ -112,34 +155,38 @@ def _slices(heavy: np.ndarray, buckets: int):
                 new = np.flatnonzero(np.concatenate([[True], (c[at][1:] != c[at][:-1]) | (p[at][1:] != p[at][:-1])]))
                 follow = np.diff(np.concatenate([new, [len(at)]]))
                 name, number = (part_id << 32) + number, number + 1
-                rows = {k: [] for k in ("bucket", "context", "follow", "word", "held", "doc", "times")}
+                rows = {k: [] for k in ("bucket", "context", "follow", "vocab", "word", "held", "doc", "times")}
                 low = np.searchsorted(p[at][new], np.arange(buckets + 1))
+                small = np.uint16 if b.num_rows < 65536 else np.uint32
                 for k in range(buckets):
                     if low[k] == low[k + 1]:
                         continue
                     cs = slice(low[k], low[k + 1])
                     ps = slice(new[low[k]], new[low[k + 1]] if low[k + 1] < len(new) else len(at))
                     es = slice(pair[ps.start], pair[ps.stop] if ps.stop < len(pair) else len(entry))
+                    ranks = w[at[ps]]
+                    own = np.unique(ranks)
                     rows["bucket"].append(k)
-                    rows["context"].append(c[at[new[cs]]].tobytes())
-                    rows["follow"].append(follow[cs].astype(np.uint32).tobytes())
-                    rows["word"].append(w[at[ps]].tobytes())
-                    rows["held"].append(held[ps].astype(np.uint16 if b.num_rows < 65536 else np.uint32).tobytes())
-                    rows["doc"].append(d[entry[es]].astype(np.uint16 if b.num_rows < 65536 else np.uint32).tobytes())
-                    rows["times"].append(np.minimum(times[es], 2**32 - 1).astype(np.uint32).tobytes() if times[es].max() > 65535 else times[es].astype(np.uint16).tobytes())
+                    rows["context"].append(names[c[at[new[cs]]]].tobytes())
+                    rows["follow"].append(squeeze(follow[cs].astype(np.uint32)))
+                    rows["vocab"].append(names[own].tobytes())
+                    rows["word"].append(squeeze(np.searchsorted(own, ranks).astype(np.uint16 if len(own) <= 65536 else np.uint32)))
+                    rows["held"].append(squeeze(held[ps].astype(small)))
+                    rows["doc"].append(squeeze(d[entry[es]].astype(small)))
+                    rows["times"].append(squeeze(_small(times[es])))
                 k = len(rows["bucket"])
                 blob = lambda x: pa.array(x, pa.binary())
                 # documents of the slice travel once, with its first bucket
                 ids_col = pa.array([b.column("doc_id").to_pylist()] + [None] * (k - 1), pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(rows["bucket"], pa.int32()), pa.array([name] * k, pa.int64()), *(blob(rows[x]) for x in ("context", "follow", "word", "held", "doc", "times")), blob([np.packbits(train).tobytes()] * k), pa.array([b.num_rows] * k, pa.int32()), ids_col, blob([n.astype(np.uint32).tobytes()] + [None] * (k - 1))],
-                    ["bucket", "slice", "context", "follow", "word", "held", "doc", "times", "train", "n_docs", "ids", "tokens"],
+                    [pa.array(rows["bucket"], pa.int32()), pa.array([name] * k, pa.int64()), *(blob(rows[x]) for x in ("context", "follow", "vocab", "word", "held", "doc", "times")), blob([np.packbits(train).tobytes()] * k), pa.array([b.num_rows] * k, pa.int32()), ids_col, blob([n.astype(np.uint32).tobytes()] + [None] * (k - 1))],
+                    ["bucket", "slice", "context", "follow", "vocab", "word", "held", "doc", "times", "train", "n_docs", "ids", "tokens"],
                 )
 
     return run
 
 
-SLICE_SCHEMA = "bucket int, slice long, context binary, follow binary, word binary, held binary, doc binary, times binary, train binary, n_docs int, ids array<long>, tokens binary"
+SLICE_SCHEMA = "bucket int, slice long, context binary, follow binary, vocab binary, word binary, held binary, doc binary, times binary, train binary, n_docs int, ids array<long>, tokens binary"
 
 
 class Bucket:
@@ -152,17 +199,15 @@ class Bucket:
             for i in range(b.num_rows):
                 get = lambda n, kind, b=b, i=i: np.frombuffer(b.column(n)[i].as_buffer(), kind)
                 n_docs = b.column("n_docs")[i].as_py()
-                w = get("word", U64)
-                small = np.uint16 if n_docs < 65536 else np.uint32
-                held, doc = get("held", small).astype(np.int64), get("doc", small).astype(np.int64)
-                raw = b.column("times")[i].as_buffer()
-                times = np.frombuffer(raw, np.uint16 if raw.size == 2 * len(doc) else np.uint32)
+                squeezed = lambda n, b=b, i=i: unsqueeze(b.column(n)[i].as_buffer())
+                w = get("vocab", U64)[squeezed("word")]
+                held, doc, times = squeezed("held").astype(np.int64), squeezed("doc"), squeezed("times")
                 train = np.unpackbits(get("train", np.uint8))[:n_docs].astype(bool)
-                ctx.append(np.repeat(get("context", U64), get("follow", np.uint32)))
+                ctx.append(np.repeat(get("context", U64), squeezed("follow")))
                 word.append(w)
-                count.append(np.add.reduceat(times * train[doc], np.cumsum(held) - held))
+                count.append(np.add.reduceat(times * train[doc].astype(np.int64), np.cumsum(held) - held))
                 if docs:
-                    self.rows.append((b.column("slice")[i].as_py(), n_docs, held, doc.astype(small), times, b.column("ids")[i].as_py(), get("tokens", np.uint32) if b.column("tokens")[i].is_valid else None))
+                    self.rows.append((b.column("slice")[i].as_py(), n_docs, held, doc, times, b.column("ids")[i].as_py(), get("tokens", np.uint32) if b.column("tokens")[i].is_valid else None))
         ctx, word, count = np.concatenate(ctx), np.concatenate(word), np.concatenate(count).astype(np.int64)
         _, first, self.back = np.unique(mix(ctx * U64(0x2545F4914F6CDD1D) + word), return_index=True, return_inverse=True)
         self.sizes = [len(r[2]) for r in self.rows]
@@ -177,7 +222,7 @@ def _word_part(words: np.ndarray, parts: int) -> np.ndarray:
 
 def _pack(x: np.ndarray) -> bytes:
     """Counts in the fewest bytes that hold the largest."""
-    return x.astype(np.min_scalar_type(int(x.max(initial=0)))).tobytes()
+    return _small(x).tobytes()
 
 
 def _unpack(raw: bytes, n: int) -> np.ndarray:
@@ -350,27 +395,26 @@ class Seats:
 
     def write(self, path: str) -> None:
         """The state, as one file of the shared folder."""
-        codec = pa.Codec("zstd", 1)
         self.step = np.diff(self.context, prepend=0)
         out = {}
         for name in self.KEPT:
             x = getattr(self, name)
             if x is not None:
-                small = x if name in ("words", "contexts") else x.astype(np.float32) if name == "p" else x.astype(np.min_scalar_type(int(x.max(initial=0))))
+                small = x if name in ("words", "contexts") else x.astype(np.float32) if name == "p" else _small(x)
                 raw = small.tobytes()
-                out[name] = small.dtype.str, len(raw), codec.compress(raw, asbytes=True)
+                out[name] = small.dtype.str, len(raw), _ZSTD.compress(raw, asbytes=True)
         put_file(path, pickle.dumps(out))
 
     @classmethod
     def read(cls, path: str, answers: list[dict], parts: int) -> Seats:
         """From the file of the last round and the answers to its reports."""
         self = cls.__new__(cls)
-        codec, stored = pa.Codec("zstd"), pickle.loads(read_file(path))
+        stored = pickle.loads(read_file(path))
         for name in cls.KEPT:
             value = None
             if name in stored:
                 kind, size, raw = stored.pop(name)
-                value = np.frombuffer(codec.decompress(raw, size, asbytes=True), kind)
+                value = np.frombuffer(_ZSTD.decompress(raw, size, asbytes=True), kind)
                 if value.dtype.kind == "u" and name not in ("words", "contexts"):
                     value = value.astype(np.int64)
             setattr(self, name, value)
@@ -551,7 +595,8 @@ def _score(parts: int, folder: str, now: Figures):
             start += size
             sums["slice"].append(name)
             for n, v in (("score", value), ("base", base), ("known", known)):
-                sums[n].append(np.bincount(doc, v[e] * times, n_docs).astype(np.float64).tobytes())
+                got = np.bincount(doc, v[e] * times, n_docs)
+                sums[n].append(got.tobytes() if n != "known" else squeeze(_small(np.rint(got).astype(np.int64))))
             sums["ids"].append(ids)
             sums["tokens"].append(tokens.tobytes() if tokens is not None else None)
             sums["N"].append(N)
@@ -565,7 +610,7 @@ def _collect(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> I
     total, ids, tokens, N = None, None, None, 0
     for b in batches:
         for r in b.to_pylist():
-            v = np.stack([np.frombuffer(r[n], np.float64) for n in ("score", "base", "known")])
+            v = np.stack([*(np.frombuffer(r[n], np.float64) for n in ("score", "base")), unsqueeze(pa.py_buffer(r["known"])).astype(float)])
             total = v if total is None else total + v
             N = r["N"]
             if r["ids"] is not None:
