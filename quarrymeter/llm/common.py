@@ -314,6 +314,27 @@ def bloom_keep(df: DataFrame, column: str, bits: bytes, outside: bool = False) -
 
 
 # -------------------------------------------------------------- components
+HOT_SHARE = 2000
+
+
+def unskewed(rows: DataFrame, named: DataFrame, key: str) -> DataFrame:
+    """Left join of a written table with one that has each key once, where a few keys may hold most rows.
+
+    Keys with more than 1/HOT_SHARE of the rows, so HOT_SHARE keys at most, take
+    their partner from a broadcast; all others are joined by a shuffle.
+    """
+    count = rows.where(F.col(key).isNotNull()).groupBy(key).count()
+    total = rows.count()
+    hot = [r[0] for r in count.where(F.col("count") > max(1, total // HOT_SHARE)).select(key).collect()] if total else []
+    if not hot:
+        return rows.join(named, key, "left")
+    few = F.broadcast(rows.sparkSession.createDataFrame([(h, True) for h in hot], f"`{key}` {dict(rows.dtypes)[key]}, _hot boolean"))
+    told = named.join(few, key, "left_semi")
+    marked = rows.join(few, key, "left")
+    common = marked.where("_hot is null").drop("_hot").join(named, key, "left")
+    return common.unionByName(marked.where("_hot").drop("_hot").join(F.broadcast(told), key, "left"))
+
+
 def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Smallest reachable id of every node.
 
@@ -321,24 +342,25 @@ def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60) -> Data
     repeated or not. Each round takes the smallest label of the neighbours,
     lowers the label of the whole tree that a node hangs on, and follows the
     label of the label. Every round is a few joins of skinny rows with map-side
-    minimums, written to the shared folder; the only thing the driver sees is
-    the number of labels that changed. Returns (id, component).
+    minimums, written to the shared folder; hubs and the labels of giant
+    components are joined by broadcast, so no key fills a task. The only thing the
+    driver sees is the number of labels that changed, and at most ``HOT_SHARE``
+    frequent keys. Returns (id, component).
     """
-    spark = nodes.sparkSession
     e = edges.where("a <> b and a is not null and b is not null")
     both = Table(e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     touched = both.df.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("p"))
     state = Table(touched, "labels")
     for _ in range(max_rounds):
         p = state.df
-        near = both.df.join(p, both.df.a == p.id).groupBy(F.col("b").alias("id")).agg(F.min("p").alias("q"))
+        near = unskewed(both.df, p.withColumnRenamed("id", "a"), "a").groupBy(F.col("b").alias("id")).agg(F.min("p").alias("q"))
         now = p.join(near, "id").select("id", "p", F.least("p", "q").alias("q"))
         pulled = now.groupBy(F.col("p").alias("id")).agg(F.min("q").alias("r"))
-        hung = now.join(pulled, "id", "left").select("id", "p", F.least("q", F.coalesce("r", "q")).alias("q"))
-        up = hung.select(F.col("id").alias("q"), F.col("q").alias("top"))
-        new = hung.join(up, "q", "left").select("id", F.col("p").alias("old"), F.least("q", F.coalesce("top", "q")).alias("p"))
-        done = Table(new, "labels")
+        hung = Table(now.join(pulled, "id", "left").select("id", "p", F.least("q", F.coalesce("r", "q")).alias("q")), "hung")
+        up = hung.df.select(F.col("id").alias("q"), F.col("q").alias("top"))
+        done = Table(unskewed(hung.df, up, "q").select("id", F.col("p").alias("old"), F.least("q", F.coalesce("top", "q")).alias("p")), "labels")
         changed = not done.df.where("old <> p").isEmpty()
+        hung.drop()
         state.drop()
         state = done
         if not changed:

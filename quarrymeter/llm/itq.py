@@ -1,27 +1,36 @@
 """Embedding near-dedup by iterative quantisation (operator 2).
 
 Vectors are compared only inside a label (and length). A rotation is learned on
-a bounded sample (``SAMPLE`` vectors, smallest hash of the id): principal axes,
-then alternating between binary codes and the rotation that fits them best, so
-codes are balanced. Several rotations from different starts give enough bits.
-The bits are cut into hash tables of ``bits`` bits; vectors that share a table's
-key meet in a bucket and are reranked there by cosine in double precision.
-
-``bits`` follows the log of the mean label size, so buckets keep their size, and
-the number of tables follows from ``bits``: a pair at cosine 0.98 differs in a
-bit with probability acos(0.98)/pi, and tables are added until such a pair is
-missed with a probability below ``MISS`` (closer pairs less often).
-
-Exact copies are folded into one representative first. Inside a bucket, links are
-counted by blocked matrix products: a pair that meets in several tables counts
-in the first. A bucket above ``BLOCK`` vectors is split into pairs of blocks, so
-no task holds a whole hot bucket. A bucket returns for each vector a number of
-links and one edge to its local root, never all pairs.
+a bounded sample (``SAMPLE`` vectors, smallest digest): principal axes, then
+alternating between binary codes and the rotation that fits them best, so codes
+are balanced. Several rotations from different starts give enough bits. Vectors
+aren't centred, because only planes through the origin keep cosine and equal bits
+linked, so codes are balanced as far as the data lie around the origin.
+
+Multi-index tables: the code's bits are cut into hash tables of ``bits`` bits.
+``bits`` follows the log of the label's own size, so buckets keep their size in
+small and large labels alike, and the number of tables follows from ``bits``: a
+pair at cosine 0.98 differs in a bit with probability acos(0.98)/pi, and tables
+are added until such a pair is missed with a probability below ``MISS`` (closer
+pairs less often). Labels of at most ``BUCKET`` vectors are one bucket.
+
+Only ids and codes go to the buckets. There, pairs whose codes of ``CODE`` bits
+differ in more than ``MOST`` bits are ruled out (a pair at 0.98 does with less
+than 1e-8), and a pair that meets in several tables counts in the first. Vectors
+are fetched only for the survivors, and reranked by cosine in double precision.
+
+Exact copies are folded into one representative first; representatives have ids
+of their own, so vectors may share a ``vec_id``. A bucket above ``BLOCK`` vectors
+is split into pairs of blocks, so no task holds a whole hot bucket. A bucket
+returns for each vector a number of links and one edge to its local root, never
+all pairs.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite
 components, and those with a null label or id, link with nothing; vectors of
 different lengths never link; repeated rows are vectors of their own and link
-with each other; an empty table gives an empty result.
+with each other, and so are different vectors that share an id; pairs at exactly
+the threshold link; other columns are not read, whatever their names; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -34,14 +43,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Table, bounded_batches, components
+from .common import Table, bounded_batches, components, unskewed
 
 THRESHOLD = 0.98
 SAMPLE = 5000
 ROUNDS = 30
 MISS = 2e-5
-BUCKET = 48
-BLOCK = 2048
+BUCKET = 256
+BLOCK = 1024
+MAX_BITS = 30
+CODE, MOST = 256, 42
 
 
 def learn_rotation(x: np.ndarray, seed: int) -> np.ndarray:
@@ -65,32 +76,33 @@ def learn_rotation(x: np.ndarray, seed: int) -> np.ndarray:
 
 
 class Quantiser:
-    """Table keys of vectors; rotations are learned for the sampled lengths, random for others."""
+    """Codes and table keys of vectors; rotations are learned for the sampled lengths, random for others."""
 
-    def __init__(self, sample: list[list[float]], bits: int, tables: int):
-        self.bits, self.tables = bits, tables
-        self.fitted: dict[int, list[np.ndarray]] = {}
+    def __init__(self, sample: list[list[float]], n_bits: int):
+        self.n_bits = n_bits
+        self.fitted: dict[int, np.ndarray] = {}
         by_length: dict[int, list] = {}
         for v in sample:
             by_length.setdefault(len(v), []).append(v)
         for d, rows in by_length.items():
             self.fitted[d] = self._rotations(d, unit(np.array(rows, float)))
 
-    def _rotations(self, d: int, x: np.ndarray) -> list[np.ndarray]:
-        each = max(1, d // self.bits)
-        return [learn_rotation(x, 100 + i) for i in range(-(-self.tables // each))]
+    def _rotations(self, d: int, x: np.ndarray) -> np.ndarray:
+        return np.concatenate([learn_rotation(x, 100 + i) for i in range(-(-self.n_bits // d))], 1)[:, : self.n_bits]
 
-    def keys(self, x: np.ndarray) -> np.ndarray:
-        """(vectors x tables) keys of unit vectors of one length."""
+    def bits(self, x: np.ndarray) -> np.ndarray:
+        """(vectors x n_bits) bits of unit vectors of one length."""
         d = x.shape[1]
         if d not in self.fitted:
             self.fitted[d] = self._rotations(d, np.zeros((0, d)))
-        width = min(self.bits, d)
-        out = []
-        for turn in self.fitted[d]:
-            b = (x @ turn >= 0).astype(np.int64)
-            out += [b[:, i : i + width] @ (1 << np.arange(width)) for i in range(0, max(1, d // self.bits) * width, width)]
-        return np.stack(out[: self.tables], 1).astype(np.int32)
+        return x @ self.fitted[d] >= 0
+
+
+def keys_of(bits: np.ndarray, width: int, tables: int) -> np.ndarray:
+    """(vectors x tables) keys: the next ``width`` bits for each table."""
+    if not width:
+        return np.zeros((len(bits), 1), np.int32)
+    return np.stack([bits[:, i * width : (i + 1) * width] @ (1 << np.arange(width)) for i in range(tables)], 1).astype(np.int32)
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -99,25 +111,60 @@ def unit(x: np.ndarray) -> np.ndarray:
 
 
 def plan_of(n_label: float) -> tuple[int, int]:
-    """(bits of a table, tables) for a mean number of vectors in a label."""
-    bits = int(min(24, max(6, math.ceil(math.log2(max(1.0, n_label / BUCKET))))))
+    """(bits of a table, tables) for a number of vectors in a label."""
+    bits = int(min(MAX_BITS, max(0, math.ceil(math.log2(max(1.0, n_label / BUCKET))))))
+    if not bits:
+        return 0, 1
     same = (1 - math.acos(THRESHOLD) / math.pi) ** bits
     return bits, math.ceil(math.log(MISS) / math.log(1 - same))
 
 
-def _bucket(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _members(batches: Iterator[pa.RecordBatch], lo: int, hi: int) -> tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of one pair of blocks: left and right members, and table keys."""
+    t = pa.Table.from_batches(batches)
+    block = t.column("block").to_numpy()
+    keys = np.stack([np.frombuffer(k.as_buffer(), np.int32) for k in t.column("keys")])
+    return t, np.flatnonzero(block == lo), np.flatnonzero(block == hi), keys
+
+
+def _fresh(a: np.ndarray, b: np.ndarray, keys: np.ndarray, table: int) -> np.ndarray:
+    """Pairs that share no earlier table."""
+    return ~(keys[a, :table] == keys[b, :table]).any(1) if table else np.ones(len(a), bool)
+
+
+def _survivors(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Members of one pair of blocks of one bucket that have a partner by Hamming distance."""
+    table, lo, hi = key[2].as_py(), key[4].as_py(), key[5].as_py()
+    t, left, right, keys = _members(batches, lo, hi)
+    code = np.stack([np.frombuffer(c.as_buffer(), np.uint64) for c in t.column("code")])
+    some = np.zeros(len(code), bool)
+    for i in range(0, len(left), 256):
+        rows = left[i : i + 256]
+        far = np.zeros((len(rows), len(right)), np.uint16)
+        for w in range(code.shape[1]):
+            far += np.bitwise_count(code[rows, w][:, None] ^ code[right, w][None])
+        a, b = np.nonzero(far <= MOST)
+        a, b = rows[a], right[b]
+        ok = a < b if lo == hi else np.ones(len(a), bool)
+        a, b = a[ok], b[ok]
+        for j in range(0, len(a), 1 << 16):
+            aa, bb = a[j : j + (1 << 16)], b[j : j + (1 << 16)]
+            new = _fresh(aa, bb, keys, table)
+            some[aa[new]] = True
+            some[bb[new]] = True
+    yield from t.filter(pa.array(some)).select(MET).to_batches()
+
+
+MET = ["label", "length", "tab", "key", "lo", "hi", "block", "id", "keys"]
+
+
+def _links(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links inside one pair of blocks of one bucket: (id, links, root)."""
-    cols = {n: [] for n in ("id", "copies", "block", "vector", "keys")}
-    for b in batches:
-        for n in cols:
-            cols[n] += b.column(n).to_pylist()
     table, lo, hi = key[2].as_py(), key[4].as_py(), key[5].as_py()
-    ids = np.array(cols["id"], np.int64)
-    block = np.array(cols["block"])
-    x = unit(np.stack([np.frombuffer(v, np.float64) for v in cols["vector"]]))
-    keys = np.stack([np.frombuffer(k, np.int32) for k in cols["keys"]])
-    copies = np.array(cols["copies"], np.int64)
-    left, right = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
+    t, left, right, keys = _members(batches, lo, hi)
+    vector = t.column("vector").combine_chunks()
+    x = unit(vector.values.to_numpy()[vector.offsets[0].as_py() : vector.offsets[-1].as_py()].astype(float).reshape(len(vector), -1))
+    ids, copies = t.column("id").to_numpy(), t.column("copies").to_numpy()
     links = np.zeros(len(ids), np.int64)
     root = np.arange(len(ids))
     pairs = []
@@ -129,9 +176,8 @@ def _bucket(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> It
         a, b = a[ok], b[ok]
         for j in range(0, len(a), 1 << 16):
             aa, bb = a[j : j + (1 << 16)], b[j : j + (1 << 16)]
-            if table:
-                first = ~(keys[aa, :table] == keys[bb, :table]).any(1)
-                aa, bb = aa[first], bb[first]
+            new = _fresh(aa, bb, keys, table)
+            aa, bb = aa[new], bb[new]
             np.add.at(links, aa, copies[bb])
             np.add.at(links, bb, copies[aa])
             pairs.append((aa.astype(np.int32), bb.astype(np.int32)))
@@ -155,7 +201,8 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     spark = vectors.sparkSession
     bounded_batches(spark)
     v = F.col("vector")
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).alias("label"), F.col(vector_col).cast("array<double>").alias("vector"))
+    narrow = "array<float>" if dict(vectors.dtypes)[vector_col] == "array<float>" else "array<double>"
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).alias("label"), F.col(vector_col).cast(narrow).alias("vector"))
     usable = F.coalesce(
         F.col("vec_id").isNotNull() & F.col("label").isNotNull() & (F.size(v) > 0)
         & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(v, lambda x: x != 0),
@@ -164,42 +211,57 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     digest = F.when(usable, F.md5(F.concat_ws(",", F.col("label").cast("string"), v.cast("array<string>"))))
     rows = rows.withColumn("digest", digest)
     good = rows.where("digest is not null")
-    reps = Table(good.groupBy("digest").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies"), F.first("label").alias("label"), F.first("vector").alias("vector")), "reps")
-    n, labels = reps.df.agg(F.count("*"), F.countDistinct("label")).first()
-    bits, tables = plan_of(n / max(1, labels))
-    sample = [list(r.vector) for r in reps.df.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("vector").collect()]  # at most SAMPLE rows
-    held = spark.sparkContext.broadcast(Quantiser(sample, bits, tables))
+    first = good.groupBy("digest").agg(F.min("vec_id").alias("low"), F.count("*").alias("copies"), F.first("label").alias("label"), F.first("vector").alias("vector"))
+    # ids of the representatives are fixed once they are written
+    reps = Table(first.select(F.monotonically_increasing_id().alias("id"), "*", F.size("vector").alias("length")), "reps")
+    sizes = reps.df.groupBy("label", "length").agg(F.count("*").alias("n_label"))
+    most = sizes.agg(F.max("n_label")).first()[0] or 1
+    widest = max(b * t for b, t in (plan_of(BUCKET * 2.0**k) for k in range(max(1, math.ceil(math.log2(max(1.0, most / BUCKET)))) + 1)))
+    sample = [list(r.vector) for r in reps.df.orderBy("digest").limit(SAMPLE).select("vector").collect()]  # at most SAMPLE rows
+    held = spark.sparkContext.broadcast(Quantiser(sample, max(CODE, widest)))
 
     def encode(batches):
         q = held.value
         for b in batches:
-            vecs = b.column("vector").to_pylist()
-            size = np.array([len(x) for x in vecs])
-            keys = np.zeros((len(vecs), q.tables), np.int32)
+            vector, n_label = b.column("vector"), b.column("n_label").to_numpy()
+            start = vector.offsets.to_numpy()
+            flat, size = vector.values.to_numpy(), np.diff(start)
+            codes, packed, lists = ([None] * b.num_rows for _ in range(3))
+            plans = np.array([plan_of(n) for n in n_label]).reshape(-1, 2)
             for d in np.unique(size):
                 at = np.flatnonzero(size == d)
-                keys[at] = q.keys(unit(np.array([vecs[i] for i in at], float)))
-            raw = [np.array(x, float).tobytes() for x in vecs]
-            packed = [k.tobytes() for k in keys]
+                bits = q.bits(unit(np.stack([flat[start[i] : start[i + 1]] for i in at]).astype(float)))
+                code = np.packbits(bits[:, :CODE], axis=1)
+                for width, tables in np.unique(plans[at], axis=0):
+                    same = (plans[at] == (width, tables)).all(1)
+                    keys = keys_of(bits[same], int(width), int(tables))
+                    for i, c, k in zip(at[same], code[same], keys, strict=True):
+                        codes[i], packed[i], lists[i] = c.tobytes(), k.tobytes(), k
             yield pa.RecordBatch.from_arrays(
-                [b.column("id"), b.column("copies"), b.column("label"), pa.array(size, pa.int32()), pa.array(raw, pa.binary()), pa.array(packed, pa.binary()), pa.array(list(keys), pa.list_(pa.int32()))],
-                ["id", "copies", "label", "length", "vector", "keys", "key"],
+                [*(b.column(c) for c in ("id", "label", "length")), pa.array(codes, pa.binary()), pa.array(packed, pa.binary()), pa.array(lists, pa.list_(pa.int32()))],
+                ["id", "label", "length", "code", "keys", "key"],
             )
 
     kind = dict(reps.df.dtypes)["label"]
-    coded = Table(reps.df.select("id", "copies", "label", "vector").mapInArrow(encode, f"id long, copies long, label {kind}, length int, vector binary, keys binary, key array<int>"), "codes")
-    skinny = coded.df.select("id", "label", "length", F.posexplode("key").alias("tab", "key"))
+    cell = f"label {kind}, length int, tab int, key int, lo int, hi int"
+    planned = reps.df.join(sizes, ["label", "length"]).select("id", "label", "length", "vector", "n_label")
+    coded = Table(planned.mapInArrow(encode, f"id long, label {kind}, length int, code binary, keys binary, key array<int>"), "codes")
     bucket = ["label", "length", "tab", "key"]
-    sizes = skinny.groupBy(*bucket).agg(F.count("*").alias("m")).where("m > 1")
-    met = skinny.join(sizes, bucket).withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    dealt = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(*bucket, "id", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
-    full = dealt.join(coded.df.select("id", "copies", "vector", "keys"), "id")
-    found = Table(full.groupBy(*bucket, "lo", "hi").applyInArrow(_bucket, "id long, links long, root long"), "links")
+    skinny = coded.df.select("id", "label", "length", "code", "keys", F.posexplode("key").alias("tab", "key"))
+    filled = skinny.groupBy(*bucket).agg(F.count("*").alias("m")).where("m > 1")
+    met = skinny.join(filled, bucket).withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    dealt = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(*bucket, "id", "code", "keys", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
+    near = Table(dealt.groupBy(*bucket, "lo", "hi").applyInArrow(_survivors, f"{cell}, block int, id long, keys binary"), "near")
+    coded.drop()
+    full = near.df.join(reps.df.select("id", "copies", "vector"), "id")
+    found = Table(full.groupBy(*bucket, "lo", "hi").applyInArrow(_links, "id long, links long, root long"), "links")
+    near.drop()
     counts = found.df.groupBy("id").agg(F.sum("links").alias("links"))
     edges = found.df.where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b"))
     comp = components(reps.df.select("id"), edges)
-    known = reps.df.select("digest", "id", "copies").join(counts, "id", "left").join(comp, "id")
-    known = known.select("digest", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.col("component").alias("component_id"))
-    out = rows.select("vec_id", "digest").join(known, "digest", "left")
+    named = Table(reps.df.select("digest", "id", "low", "copies").join(counts, "id", "left").join(comp, "id"), "named").df
+    low = named.groupBy("component").agg(F.min("low").alias("component_id"))
+    known = unskewed(named, low, "component").select("digest", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
+    out = unskewed(Table(rows.select("vec_id", "digest"), "rows").df, known, "digest")
     comp_id = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), comp_id.alias("component_id"), F.coalesce(F.col("vec_id") == comp_id, F.lit(True)).alias("kept"))

@@ -99,6 +99,13 @@ def test_components(spark):
     assert common.components(nodes, spark.createDataFrame([], "a long, b long")).where("id <> component").count() == 0
 
 
+def test_unskewed_join(spark):
+    rows = spark.createDataFrame([(i, "hot" if i % 3 == 0 else None if i % 50 == 1 else f"k{i}") for i in range(3000)], "i long, k string")
+    named = spark.createDataFrame([("hot", 1), ("k2", 2), ("k4", 3)], "k string, v int")
+    got = sorted((r.i, r.k, r.v) for r in common.unskewed(rows, named, "k").collect())
+    assert got == sorted((r.i, r.k, r.v) for r in rows.join(named, "k", "left").collect())
+
+
 def test_bit_set_loses_nothing(spark):
     ids = spark.range(0, 1000, 7).select("id")
     bits = common.bloom_of(ids)
@@ -125,6 +132,38 @@ def test_quality_learns(spark, docs, empty):
     assert quality.with_scores(empty, quality.train(empty, labels)).count() == 0
 
 
+def test_quality_reads_whole_texts(spark):
+    """What tells the labels apart stands once, far behind the first 48 passages."""
+    r = random.Random(6)
+    rows = []
+    for i in range(160):
+        body = [prose(r, n=20) for _ in range(190)]
+        body[r.randrange(170, 190)] += (" spam spam" * 40) if i % 2 else (" " + prose(r, n=80))
+        rows.append((i, " ".join(body)))
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1 - i % 2) for i, _ in rows], "doc_id long, quality int")
+    got = {x.doc_id: x.score for x in quality.with_scores(d, quality.train(d, labels)).collect()}
+    held = [i for i, _ in rows if zlib.crc32(str(i).encode()) % 5 == 0]
+    assert np.mean([got[a] > got[b] for a in held for b in held if a % 2 == 0 and b % 2]) > 0.9  # 0.5 without the late passage
+
+
+def test_quality_equals_plain_forward_pass(spark, docs):
+    """Scores of the query against gated attention written out for one document at a time."""
+    labels = spark.createDataFrame([(i, int(g == "en")) for i, _, g in corpus() if i < 90], "doc_id long, quality int")
+    m = quality.train(docs, labels)
+    got = {x.doc_id: x.score for x in quality.with_scores(docs, m).collect()}
+    sig = lambda v: 1 / (1 + np.exp(-v))
+    for i, t, *_ in corpus():
+        x, off = quality.passages(common.words_of(pa.array([t or ""]), False))
+        n = max(1, -(-len((t or "").encode().split()) // quality.PASSAGE))
+        assert off.tolist() == [0, n] and len(x) == n
+        h = np.tanh(((x - m.mean) / m.scale).astype(float) @ m.w["W"] + m.w["b"])
+        gate = np.array([m.w["w"] @ (np.tanh(m.w["V"].T @ v) * sig(m.w["U"].T @ v)) for v in h])
+        weight = np.exp(gate - gate.max())
+        z = (weight / weight.sum()) @ h
+        assert np.isclose(got[i], sig(z @ m.w["c"] + m.w["d"][0]), atol=1e-3), (i, got[i], sig(z @ m.w["c"] + m.w["d"][0]))
+
+
 # --------------------------------------------------------------- operator 2
 def test_itq_equals_brute_force(spark):
     rng = np.random.default_rng(3)
@@ -149,6 +188,42 @@ def test_itq_equals_brute_force(spark):
     assert all(x.n_links == 0 and x.kept for x in got if x.vec_id is None or 502 <= x.vec_id <= 508)
 
 
+def brute_links(rows):
+    """(id, links, component) of each usable row, rows told apart by position."""
+    good = [(i, np.array(v) / np.linalg.norm(v), y) for i, v, y in rows]
+    uf, n = Links(), collections.Counter()
+    for a in range(len(good)):
+        for b in range(a):
+            if good[a][2] == good[b][2] and len(good[a][1]) == len(good[b][1]) and good[a][1] @ good[b][1] >= 0.98:
+                uf.join(a, b)
+                n[a] += 1
+                n[b] += 1
+    low = collections.defaultdict(list)
+    for k, (i, *_) in enumerate(good):
+        low[uf.find(k)].append(i)
+    return collections.Counter((i, n[k], min(low[uf.find(k)])) for k, (i, *_) in enumerate(good))
+
+
+def test_itq_repeated_ids(spark):
+    rows = [(1, [1.0, 0.0], 0), (1, [0.0, 1.0], 0), (2, [1.0, 0.01], 0), (3, [0.01, 1.0], 0), (3, [0.01, 1.0], 0)]
+    got = itq.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()
+    assert collections.Counter((x.vec_id, x.n_links, x.component_id) for x in got) == brute_links(rows)
+
+
+def test_itq_skewed_labels(spark, monkeypatch):
+    """One large label among many small ones: each gets bits of its own, and no link is lost."""
+    monkeypatch.setattr(itq, "BUCKET", 8)
+    rng = np.random.default_rng(8)
+    rows = []
+    for i in range(700):
+        label = 0 if i < 500 else i
+        centre = np.random.default_rng(i % 60).standard_normal(32)
+        rows.append((i // 2, [float(x) for x in (centre + rng.standard_normal(32) * rng.choice([0.02, 0.1, 0.14]))], label))
+    assert itq.plan_of(500)[0] > 4 > itq.plan_of(2)[0] == 0
+    got = itq.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert collections.Counter((x.vec_id, x.n_links, x.component_id) for x in got) == brute_links(rows)
+
+
 def test_itq_blocks(spark, monkeypatch):
     monkeypatch.setattr(itq, "BLOCK", 16)
     rng = np.random.default_rng(5)
@@ -455,7 +530,7 @@ def test_forward_backward_equals_enumeration():
     rng = np.random.default_rng(1)
     crf = langid.Crf(["a", "b"], np.zeros((1, 2)), rng.standard_normal((2, 2)), rng.standard_normal(2))
     emit = rng.standard_normal((4, 2))
-    post, pair = langid.forward_backward(emit, np.array([0]), np.array([4]), crf)
+    post, pair = langid.forward_backward(emit, np.array([0, 4]), crf, True)
     total, exp = 0.0, np.zeros((4, 2))
     for path in itertools.product((0, 1), repeat=4):
         s = crf.start[path[0]] + sum(emit[i, p] for i, p in enumerate(path)) + sum(crf.move[a, b] for a, b in zip(path, path[1:], strict=False))
@@ -463,7 +538,71 @@ def test_forward_backward_equals_enumeration():
         for i, p in enumerate(path):
             exp[i, p] += np.exp(s)
     assert np.allclose(post, exp / total) and np.isclose(pair.sum(), 3)
-    assert np.allclose(langid.forward_backward_lean(emit, np.array([0]), np.array([4]), crf)[0], post)
+
+
+def test_forward_backward_over_whole_documents():
+    """Chains of unequal lengths at once, one far above 32 words, against plain messages in logs."""
+    rng = np.random.default_rng(2)
+    k, sizes = 3, [5, 0, 200, 1, 33]
+    crf = langid.Crf(list("abc"), np.zeros((1, k)), rng.standard_normal((k, k)), rng.standard_normal(k))
+    off = np.concatenate([[0], np.cumsum(sizes)])
+    emit = rng.standard_normal((off[-1], k)) * 3
+    lse = lambda x, axis: np.logaddexp.reduce(x, axis)
+    exp = np.zeros_like(emit)
+    for lo, hi in zip(off, off[1:], strict=False):
+        if lo == hi:
+            continue
+        a, b = [crf.start + emit[lo]], [np.zeros(k)]
+        for t in range(lo + 1, hi):
+            a.append(lse(a[-1][:, None] + crf.move, 0) + emit[t])
+        for t in range(hi - 1, lo, -1):
+            b.insert(0, lse(crf.move + (emit[t] + b[0])[None], 1))
+        x = np.array(a) + np.array(b)
+        exp[lo:hi] = np.exp(x - lse(x, 1)[:, None])
+    assert np.allclose(langid.forward_backward(emit, off, crf)[0], exp)
+
+
+def test_langid_equals_plain_predictions(spark, docs):
+    """The query's language and score against a walk of each document on its own."""
+    crf = langid.train(docs)
+    got = {x.doc_id: x for x in langid.identify(docs, crf).collect()}
+    for i, t, *_ in corpus():
+        w = common.words_of(pa.array([t or ""]), False)
+        total = np.zeros(len(crf.langs))
+        if len(w.start):
+            slot, off = langid.word_features(w.buf, w.start, w.end)
+            emit = np.array([crf.weight[slot[a:b]].sum(0) for a, b in zip(off, off[1:], strict=False)])
+            post = langid.forward_backward(emit, np.array([0, len(emit)]), crf)[0]
+            for (s, e), p in zip(zip(w.start, w.end, strict=True), post, strict=True):
+                if any(c.isalpha() and c.isascii() or ord(c) >= 128 for c in w.buf[s:e].tobytes().decode()):
+                    total += p
+        if not any(c.isalpha() for c in t or ""):
+            assert (got[i].lang_pred, got[i].score) == ("und", 0)
+        else:
+            assert got[i].lang_pred == crf.langs[total.argmax()] and np.isclose(got[i].score, total.max() / total.sum(), atol=1e-4)
+
+
+def test_langid_labels_words_of_switched_text(spark, docs):
+    crf = langid.train(docs)
+    r = random.Random(3)
+    parts = [("en", prose(r, "en", 12)), ("fr", prose(r, "fr", 9)), ("de", prose(r, "de", 15)), ("en", prose(r, "en", 8))]
+    text = " ".join(p for _, p in parts)
+    mixed = spark.createDataFrame([(1, text, None), (2, None, None), (3, "", None)], "doc_id long, text string, spans string")
+    got = {x.doc_id: x.spans for x in langid.word_spans(mixed, crf).collect()}
+    assert got[2] == [] and got[3] == [] and sum(s.words for s in got[1]) == 44
+    truth = [lang for lang, p in parts for _ in p.split()]
+    said = [s.lang for s in got[1] for _ in range(s.words)]
+    assert np.mean([a == b for a, b in zip(truth, said, strict=True)]) > 0.9
+    assert text.encode()[got[1][0].start : got[1][0].stop].decode().split() == text.split()[: got[1][0].words]
+
+
+def test_langid_reads_whole_texts(spark):
+    """What tells the languages apart stands only late in long texts."""
+    r = random.Random(5)
+    rows = [(i, prose(r, "en", 900) + " " + prose(r, ("fr", "de")[i % 2], 1500), ("fr", "de")[i % 2]) for i in range(24)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {x.doc_id: x.lang_pred for x in langid.identify(df, langid.train(df)).collect()}
+    assert all(got[i] == g for i, _, g in rows)
 
 
 # --------------------------------------------------------------- operator 8
