@@ -7,8 +7,7 @@ softmax((tanh(V h) * sigmoid(U h)) w), learned from document labels alone; the
 weighted passage representation gives the score.
 
 Fitting takes at most ``MAX_BAGS`` labelled documents, those with the smallest
-hash of their id, and of each at most ``MAX_PASSAGES`` passages spread evenly
-over the whole text. Scoring reads every passage of every document. The model
+hash of their id, as whole texts. Scoring reads every passage of every document. The model
 has a fixed size, so it is broadcast.
 
 Defined cases: a null or empty text, or one without words, is a bag of one
@@ -33,7 +32,6 @@ from .common import Words, bounded_batches, crc_mod, pieces, words_of
 
 PASSAGE = 64
 MAX_BAGS = 3000
-MAX_PASSAGES = 48
 HASHED = 64
 HIDDEN, GATE = 32, 16
 EPOCHS, BATCH, RATE, DECAY = 12, 64, 3e-3, 1e-4
@@ -67,7 +65,8 @@ def passages(words: Words) -> tuple[np.ndarray, np.ndarray]:
     offsets = np.concatenate([[0], np.cumsum(per_doc)])
     n = int(offsets[-1])
     out = np.zeros((n, N_FEATURES), np.float32)
-    if not len(words.start):
+    if not len(words.start):  # as an empty passage beside others
+        out[:, -2:] = np.log1p(1) / 5, 1 / PASSAGE
         return out, offsets
     doc = words.doc_of()
     place = np.arange(len(doc)) - words.doc[doc]
@@ -188,12 +187,7 @@ def train(docs: DataFrame, labels: DataFrame, fold_of: int = 5, held: int = 0, m
         for batch in batches:
             for b in pieces(batch):
                 x, off = passages(words_of(b.column("text"), False))
-                rows = []
-                for i in range(b.num_rows):
-                    own = x[off[i] : off[i + 1]]
-                    if len(own) > MAX_PASSAGES:
-                        own = own[np.linspace(0, len(own) - 1, MAX_PASSAGES).astype(int)]
-                    rows.append(own.astype(np.float16).tobytes())
+                rows = [x[off[i] : off[i + 1]].astype(np.float16).tobytes() for i in range(b.num_rows)]
                 yield pa.RecordBatch.from_arrays([b.column("_id"), b.column("_y"), pa.array(rows, pa.binary())], ["id", "y", "x"])
 
     texts = docs.select(F.col("doc_id").alias("_id"), F.col("text").alias("text")).join(F.broadcast(picked), "_id").select("_id", "_y", "text")
