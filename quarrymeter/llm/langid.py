@@ -3,20 +3,24 @@
 Each word has affix features (first and last one to three bytes), byte n-grams
 inside word borders and a lexicon feature (the word itself), hashed into one
 weight table with a weight for each language. Learned transitions link
-neighbouring words; chains are runs of at most 32 words of one document.
-Forward-backward gives every word its label probabilities, also in text that
-switches languages; a document's language is the one with the largest summed
+neighbouring words; a chain is a whole document. Forward-backward gives every
+word its label probabilities, also in text that switches languages
+(``word_spans``); a document's language is the one with the largest summed
 probability over its words with letters.
 
 Fitting takes, for each language, at most ``MAX_DOCS`` documents (smallest hash
-of the id; ``MAX_SAMPLE`` in all), and of each at most ``MAX_CHAINS`` chains
-spread evenly over the whole text, every word labelled with the document's
-language. Prediction reads every word of every document. The model's size is
-fixed by the number of languages, so it is broadcast.
+of the id; ``MAX_SAMPLE`` in all; of more than ``MAX_LANGS`` languages the most
+frequent), as whole texts with every word labelled with the document's language,
+and as many again of chains that switch between runs of words of two documents,
+from which transitions between languages are learned. Prediction reads every word
+of every document. The model's size is fixed by the number of languages, so it is
+broadcast.
 
 Defined cases: a null text or one without letters gives ``und`` and score 0; so
-does every text if nothing can be learned; repeated rows give equal results;
-null languages are left out of fitting.
+does every text if nothing can be learned, as from an empty table; a very long
+text is one chain; equal sums give the language that comes first; repeated rows
+give equal results; null languages are left out of fitting; columns other than
+id, text and (in fitting) lang are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,15 +29,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, bounded_batches, crc_mod, mix, pieces, words_of
+from .common import Words, bounded_batches, crc_mod, mix, pieces, text_bytes, words_of
 
-CHAIN = 32
-MAX_DOCS, MAX_SAMPLE, MAX_CHAINS, MAX_LANGS = 400, 4000, 16, 200
+MAX_DOCS, MAX_SAMPLE, MAX_LANGS = 300, 4000, 200
+BATCH_WORDS = 8_192
+FEW_LABELS = 16
 SLOTS = 1 << 16
-EPOCHS, RATE, DECAY = 4, 0.15, 1e-6
+EPOCHS, UPDATES, RATE, DECAY = 4, 100, 0.15, 1e-6
 
 _ALPHA = np.zeros(256, bool)
 _ALPHA[65:91] = _ALPHA[97:123] = True
@@ -87,49 +92,87 @@ def word_features(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[
     return (slot[order] % np.uint64(SLOTS)).astype(np.int64), np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(size)))])
 
 
-def chains_of(words: Words) -> tuple[np.ndarray, np.ndarray]:
-    """First word of each chain and its length; chains don't cross documents."""
-    counts = words.counts
-    n = -(-counts // CHAIN)
-    doc = np.repeat(np.arange(len(counts)), n)
-    k = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
-    first = words.doc[:-1][doc] + k * CHAIN
-    return first, np.minimum(CHAIN, words.doc[1:][doc] - first)
-
-
-def forward_backward(emit: np.ndarray, first: np.ndarray, size: np.ndarray, crf: Crf) -> tuple[np.ndarray, np.ndarray]:
-    """Label probabilities of each word and the expected transitions, over all chains at once."""
-    k, n = emit.shape[1], len(first)
-    e = np.zeros((n, CHAIN, k), np.float64)
-    there = np.arange(CHAIN) < size[:, None]
-    index = np.where(there, first[:, None] + np.arange(CHAIN), 0)
-    e[there] = emit[index[there]]
-    e = np.exp(e - e.max(2, keepdims=True))
-    move = np.exp(crf.move)
+def messages(e: np.ndarray, offsets: np.ndarray, move: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Forward and backward messages of all words of chains with these offsets, each scaled to one.
+
+    Every chain behind its first word is cut into pieces that are gone through
+    side by side. What a piece does to a message is a matrix, so messages pass
+    along the pieces of a chain before each piece is filled in: exact, in some
+    steps of the square root of the longest chain. With many labels these
+    matrices cost more than they save, and a chain is one piece.
+    """
+    k = e.shape[1]
     alpha, beta = np.empty_like(e), np.ones_like(e)
-    a = np.exp(crf.start) * e[:, 0]
-    alpha[:, 0] = a = a / a.sum(1, keepdims=True)
-    for t in range(1, CHAIN):
-        new = (a @ move) * e[:, t]
-        a = np.where(there[:, t, None], new / new.sum(1, keepdims=True), a)
-        alpha[:, t] = a
-    b = np.ones((n, k))
-    for t in range(CHAIN - 2, -1, -1):
-        new = (e[:, t + 1] * b) @ move.T
-        b = np.where(there[:, t + 1, None], new / new.sum(1, keepdims=True), b)
-        beta[:, t] = b
+    size = np.diff(offsets)
+    full = np.flatnonzero(size)
+    first, rest = offsets[:-1][full], size[full] - 1
+    scaled = lambda x: x / x.sum(1, keepdims=True)
+    alpha[first] = scaled(begin * e[first]) if len(first) else 0
+    longest = int(rest.max(initial=0))
+    if not longest:
+        return alpha, beta
+    cut = max(1, int(np.sqrt(longest))) if k <= FEW_LABELS else longest
+    n = -(-rest // cut)  # pieces of each chain
+    chain = np.repeat(np.arange(len(n)), n)
+    number = np.arange(len(chain)) - (np.cumsum(n) - n)[chain]
+    start, length = first[chain] + 1 + number * cut, np.minimum(cut, rest[chain] - number * cut)
+    order = np.argsort(-length, kind="stable")
+    row = np.empty_like(order)
+    row[order] = np.arange(len(order))
+    start, length = start[order], length[order]
+    live = len(length) - np.searchsorted(length[::-1], np.arange(cut), "right")  # pieces that reach a step
+    several = n.max() > 1
+    does = np.tile(np.eye(k), (len(start), 1, 1)) if several else None
+    for t in range(cut if several else 0):
+        m = live[t]
+        x = (does[:m] @ move) * e[start[:m] + t][:, None, :]
+        does[:m] = x / x.sum((1, 2), keepdims=True)
+    by_pieces = np.argsort(-n, kind="stable")
+    base, have = (np.cumsum(n) - n)[by_pieces], n[by_pieces]
+    still = len(have) - np.searchsorted(have[::-1], np.arange(int(n.max())), "right")  # chains that have a piece
+    enter, leave = np.empty((len(start), k)), np.empty((len(start), k))
+    now = alpha[first[by_pieces]]
+    for j, m in enumerate(still):
+        at = row[base[:m] + j]
+        enter[at] = now[:m]
+        if several:
+            now[:m] = scaled((now[:m, None, :] @ does[at])[:, 0])
+    now = np.ones((len(first), k))
+    for j in range(len(still) - 1, -1, -1):
+        m = still[j]
+        at = row[base[:m] + j]
+        leave[at] = now[:m]
+        if several:
+            now[:m] = scaled((does[at] @ now[:m, :, None])[:, :, 0])
+    back = np.ascontiguousarray(move.T)
+    a, b = enter, leave
+    for t in range(cut):
+        m = live[t]
+        at = start[:m] + t
+        a = scaled((a[:m] @ move) * e[at])
+        alpha[at] = a
+        at = start[:m] + length[:m] - 1 - t
+        beta[at] = b = b[:m]
+        b = scaled((e[at] * b) @ back)
+        beta[at - 1] = b  # the word before; a later piece of the chain gives its last word the same
+    return alpha, beta
+
+
+def forward_backward(emit: np.ndarray, offsets: np.ndarray, crf: Crf, pairs: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
+    """Label probabilities of each word of chains with these offsets; with ``pairs`` also the expected transitions."""
+    e = np.exp(emit - emit.max(1, keepdims=True))
+    move = np.exp(crf.move)
+    alpha, beta = messages(e, offsets, move, np.exp(crf.start))
     post = alpha * beta
-    post /= post.sum(2, keepdims=True)
-    pair = np.zeros((k, k))
-    for t in range(1, CHAIN):
-        if not there[:, t].any():
-            break
-        x = alpha[:, t - 1, :, None] * move * (e[:, t] * beta[:, t])[:, None, :]
-        x /= x.sum((1, 2), keepdims=True)
-        pair += x[there[:, t]].sum(0)
-    out = np.empty((len(emit), k))
-    out[index[there]] = post[there]
-    return out, pair
+    post /= post.sum(1, keepdims=True)
+    if not pairs:
+        return post, None
+    inner = np.ones(len(e), bool)
+    inner[offsets[:-1][np.diff(offsets) > 0]] = False
+    after = np.flatnonzero(inner)
+    right = e[after] * beta[after]
+    norm = ((alpha[after - 1] @ move) * right).sum(1, keepdims=True)
+    return post, move * (alpha[after - 1].T @ (right / norm))
 
 
 def _emit(weight: np.ndarray, slot: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -139,26 +182,51 @@ def _emit(weight: np.ndarray, slot: np.ndarray, off: np.ndarray) -> np.ndarray:
     return out
 
 
-def fit(chains: list[tuple[str, str]], seed: int = 3) -> Crf | None:
-    """CRF from (language, chain text) pairs, by Adagrad on the log-likelihood."""
-    if not chains:
+def switched(chains: list[tuple[str, list[str]]], rng: np.random.Generator) -> list[tuple[list[str], list[str]]]:
+    """(labels, words) of chains that switch: runs of two to twenty words of two chains in turn."""
+    out = []
+    for i in range(len(chains)):
+        both = [chains[i], chains[int(rng.integers(len(chains)))]]
+        labels, words, place = [], [], [0, 0]
+        for turn in range(int(rng.integers(2, 7))):
+            lang, text = both[turn % 2]
+            n = int(rng.integers(2, 21))
+            run = text[place[turn % 2] : place[turn % 2] + n]
+            place[turn % 2] += n
+            labels += [lang] * len(run)
+            words += run
+        out.append((labels, words))
+    return out
+
+
+def fit(texts: list[tuple[str, str]], seed: int = 3) -> Crf | None:
+    """CRF from (language, text) pairs, by Adagrad on the log-likelihood."""
+    split = [(lang, t.encode("utf-8", "replace").split()) for lang, t in texts]
+    split = [(lang, w) for lang, w in split if w]
+    if not split:
         return None
-    langs = sorted({x[0] for x in chains})
+    langs = sorted({x[0] for x in split})
     k = len(langs)
+    at_lang = {x: i for i, x in enumerate(langs)}
+    rng = np.random.default_rng(seed)
+    chains = [([lang] * len(w), w) for lang, w in split] + switched(split, rng)
+    chains = [(np.array([at_lang[x] for x in labels]), b" ".join(w).decode("utf-8", "replace")) for labels, w in chains]
     crf = Crf(langs, np.zeros((SLOTS, k)), np.zeros((k, k)), np.zeros(k))
     sums = [np.full_like(v, 1e-3) for v in (crf.weight, crf.move, crf.start)]
-    rng = np.random.default_rng(seed)
-    for _ in range(EPOCHS):
-        order = rng.permutation(len(chains))
-        for i in range(0, len(order), 512):
-            part = [chains[j] for j in order[i : i + 512]]
+    # chains of like length go together; a small sample is gone through more often
+    chains.sort(key=lambda c: len(c[0]))
+    total = np.cumsum([len(c[0]) for c in chains])
+    cuts = np.unique(np.concatenate([[0], np.searchsorted(total, np.arange(BATCH_WORDS, total[-1], BATCH_WORDS)) + 1, [len(chains)]]))
+    for _ in range(max(EPOCHS, -(-UPDATES // (len(cuts) - 1)))):
+        for i in rng.permutation(len(cuts) - 1):
+            part = chains[cuts[i] : cuts[i + 1]]
             w = words_of(pa.array([p[1] for p in part]), False)
-            first, size = w.doc[:-1][w.counts > 0], np.minimum(w.counts[w.counts > 0], CHAIN)
-            label = np.array([langs.index(p[0]) for p in part])[w.doc_of()]
+            label = np.concatenate([p[0] for p in part])
+            first = w.doc[:-1]
             _, at, back = np.unique(w.hash, return_index=True, return_inverse=True)
             slot, off = word_features(w.buf, w.start[at], w.end[at])
             emit = _emit(crf.weight, slot, off)[back]
-            post, pair = forward_backward(emit, first, size, crf)
+            post, pair = forward_backward(emit, w.doc, crf, True)
             post[np.arange(len(label)), label] -= 1
             diff = np.stack([np.bincount(back, post[:, c], len(at)) for c in range(k)], 1)
             seen = np.zeros((k, k))
@@ -177,30 +245,23 @@ def fit(chains: list[tuple[str, str]], seed: int = 3) -> Crf | None:
 
 def train(docs: DataFrame, fold_of: int = 4, held: int = 2) -> Crf | None:
     """CRF from documents whose crc32(id) modulo ``fold_of`` is not ``held``."""
-    bounded_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    bounded_batches(spark)
     ids = docs.select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang")).where("_id is not null and _lang is not null").where(crc_mod(F.col("_id"), fold_of) != held)
-    rank = F.row_number().over(Window.partitionBy("_lang").orderBy(F.xxhash64("_id"), "_id"))
-    picked = ids.withColumn("_r", rank).where(F.col("_r") <= MAX_DOCS).orderBy("_r", F.xxhash64("_lang")).limit(MAX_SAMPLE).select("_id").distinct()
-
-    def cut(batches):
-        for batch in batches:
-            for b in pieces(batch):
-                w = words_of(b.column("text"), False)
-                first, size = chains_of(w)
-                of = np.searchsorted(w.doc, first, "right") - 1
-                langs, texts, lang = [], [], b.column("_lang").to_pylist()
-                for d in range(b.num_rows):
-                    own = np.flatnonzero(of == d)
-                    if len(own) > MAX_CHAINS:
-                        own = own[np.linspace(0, len(own) - 1, MAX_CHAINS).astype(int)]
-                    for c in own:
-                        langs.append(lang[d])
-                        texts.append(w.buf[w.start[first[c]] : w.end[first[c] + size[c] - 1]].tobytes().decode("utf-8", "replace"))
-                yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(texts, pa.string())], ["lang", "text"])
-
-    texts = docs.select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang"), F.col("text").alias("text")).join(F.broadcast(picked), "_id").where("_lang is not null").select("_lang", "text")
-    rows = sorted((r.lang, r.text) for r in texts.mapInArrow(cut, "lang string, text string").toLocalIterator())
-    return fit(rows)
+    langs = ids.groupBy("_lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "_lang").limit(MAX_LANGS).collect()
+    if not langs:
+        return None
+    # a hash below the cut takes some three times as many rows as are wanted, wherever they lie
+    cuts = spark.createDataFrame([(r._lang, min(int(min(1.0, (3 * MAX_DOCS + 30) / r.n) * 2**64) - 2**63, 2**63 - 1)) for r in langs], "_lang string, _cut long")
+    low = ids.withColumn("_h", F.xxhash64("_id")).join(F.broadcast(cuts), "_lang").where("_h <= _cut").select("_lang", "_h", "_id").distinct().collect()
+    by_lang: dict[str, list] = {}
+    for r in sorted(low):
+        by_lang.setdefault(r._lang, []).append(r._id)
+    picked = [i for rank in range(MAX_DOCS) for own in by_lang.values() if rank < len(own) for i in [own[rank]]][:MAX_SAMPLE]
+    wanted = spark.createDataFrame([(i,) for i in sorted(set(picked))], "_id long")
+    texts = docs.select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang"), F.col("text").alias("text")).join(F.broadcast(wanted), "_id").where("_lang is not null and text is not null").select("_lang", "text")
+    rows = sorted((r._lang, r.text) for r in texts.toLocalIterator())
+    return fit([r for r in rows if r[0] in by_lang])
 
 
 def _has_letter(words: Words, texts: pa.Array) -> np.ndarray:
@@ -215,16 +276,20 @@ def _has_letter(words: Words, texts: pa.Array) -> np.ndarray:
     return some
 
 
+def word_probabilities(crf: Crf, words: Words) -> np.ndarray:
+    """Label probabilities of each word."""
+    _, at, back = np.unique(words.hash, return_index=True, return_inverse=True)
+    emit = _emit(crf.weight, *word_features(words.buf, words.start[at], words.end[at]))[back]
+    return forward_backward(emit, words.doc, crf)[0]
+
+
 def predict(crf: Crf | None, texts: pa.Array) -> tuple[list[str], np.ndarray]:
     """Language and score of each text."""
     w = words_of(texts, False)
     n = len(texts)
     if crf is None or not len(w.start):
         return ["und"] * n, np.zeros(n)
-    _, at, back = np.unique(w.hash, return_index=True, return_inverse=True)
-    emit = _emit(crf.weight, *word_features(w.buf, w.start[at], w.end[at]))[back]
-    first, size = chains_of(w)
-    post, _ = forward_backward_lean(emit, first, size, crf)
+    post = word_probabilities(crf, w)
     alpha = np.concatenate([[0], np.cumsum(_ALPHA[w.buf] | (w.buf >= 128))])
     lettered = alpha[w.end] > alpha[w.start]
     doc = w.doc_of()
@@ -235,31 +300,28 @@ def predict(crf: Crf | None, texts: pa.Array) -> tuple[list[str], np.ndarray]:
     return [crf.langs[b] if o else "und" for b, o in zip(best, ok, strict=True)], np.where(ok, np.clip(share, 0, 1), 0.0)
 
 
-def forward_backward_lean(emit: np.ndarray, first: np.ndarray, size: np.ndarray, crf: Crf) -> tuple[np.ndarray, None]:
-    """Label probabilities only, a few thousand chains at a time, so memory stays bounded."""
-    out = np.empty_like(emit)
-    move, begin = np.exp(crf.move), np.exp(crf.start)
-    for i in range(0, len(first), 4096):
-        f, s = first[i : i + 4096], size[i : i + 4096]
-        there = np.arange(CHAIN) < s[:, None]
-        index = np.where(there, f[:, None] + np.arange(CHAIN), 0)
-        e = np.exp(emit - emit.max(1, keepdims=True))[index] if len(first) <= 4096 else np.exp(emit[index] - emit[index].max(2, keepdims=True))
-        alpha, beta = np.empty_like(e), np.ones_like(e)
-        a = begin * e[:, 0]
-        alpha[:, 0] = a = a / a.sum(1, keepdims=True)
-        for t in range(1, CHAIN):
-            a = (a @ move) * e[:, t]
-            a /= a.sum(1, keepdims=True)
-            alpha[:, t] = a
-        b = np.ones((len(f), emit.shape[1]))
-        for t in range(CHAIN - 2, -1, -1):
-            new = (e[:, t + 1] * b) @ move.T
-            b = np.where(there[:, t + 1, None], new / new.sum(1, keepdims=True), b)
-            beta[:, t] = b
-        post = alpha * beta
-        post /= post.sum(2, keepdims=True)
-        out[index[there]] = post[there]
-    return out, None
+def word_spans(docs: DataFrame, crf: Crf | None) -> DataFrame:
+    """(doc_id, spans): runs of words of one language in every document, with byte offsets and mean probability."""
+    bounded_batches(docs.sparkSession)
+    held = docs.sparkSession.sparkContext.broadcast(crf)
+    kind = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64()), ("words", pa.int64()), ("lang", pa.string()), ("probability", pa.float64())]))
+
+    def run(batches):
+        for batch in batches:
+            for b in pieces(batch):
+                w = words_of(b.column("text"), False)
+                spans: list[list[dict]] = [[] for _ in range(b.num_rows)]
+                if held.value is not None and len(w.start):
+                    post = word_probabilities(held.value, w)
+                    best, doc = post.argmax(1), w.doc_of()
+                    new = np.flatnonzero(np.concatenate([[True], (best[1:] != best[:-1]) | (doc[1:] != doc[:-1])]))
+                    _, off = text_bytes(b.column("text"))
+                    for s, e in zip(new, np.append(new[1:], len(best)), strict=True):
+                        d = doc[s]
+                        spans[d].append({"start": int(w.start[s] - off[d]), "stop": int(w.end[e - 1] - off[d]), "words": int(e - s), "lang": held.value.langs[best[s]], "probability": float(post[s:e, best[s]].mean())})
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(spans, kind)], ["doc_id", "spans"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, spans array<struct<start:long,stop:long,words:long,lang:string,probability:double>>")
 
 
 def identify(docs: DataFrame, crf: Crf | None) -> DataFrame:
@@ -273,4 +335,4 @@ def identify(docs: DataFrame, crf: Crf | None) -> DataFrame:
                 lang, score = predict(held.value, b.column("text"))
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(lang, pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
