@@ -69,6 +69,7 @@ SLICE_BYTES = 8 << 20
 BUCKET_CHARS = 12_000_000
 HEAVY, HEAVY_SHARE, HEAVY_CHARS, HEAVY_SAMPLE = 1 << 16, 0.001, 3_000_000, 2000
 _ZSTD = pa.Codec("zstd", 1)
+MICRO = 1e6  # sums of log10 probabilities travel as whole millionths, so that they add up the same in any order
 GRAIN = 1 << 12  # draws of the parent are kept as multiples of 1 / GRAIN, so that their sum is exact
 
 
@@ -596,7 +597,7 @@ def _score(parts: int, folder: str, now: Figures):
             sums["slice"].append(name)
             for n, v in (("score", value), ("base", base), ("known", known)):
                 got = np.bincount(doc, v[e] * times, n_docs)
-                sums[n].append(got.tobytes() if n != "known" else squeeze(_small(np.rint(got).astype(np.int64))))
+                sums[n].append(squeeze(_small(np.rint(got if n == "known" else got * -MICRO).astype(np.int64))))
             sums["ids"].append(ids)
             sums["tokens"].append(tokens.tobytes() if tokens is not None else None)
             sums["N"].append(N)
@@ -610,12 +611,12 @@ def _collect(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> I
     total, ids, tokens, N = None, None, None, 0
     for b in batches:
         for r in b.to_pylist():
-            v = np.stack([*(np.frombuffer(r[n], np.float64) for n in ("score", "base")), unsqueeze(pa.py_buffer(r["known"])).astype(float)])
+            v = np.stack([unsqueeze(pa.py_buffer(r[n])).astype(np.int64) for n in ("score", "base", "known")])
             total = v if total is None else total + v
             N = r["N"]
             if r["ids"] is not None:
                 ids, tokens = r["ids"], np.frombuffer(r["tokens"], np.uint32)
-    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(tokens.astype(np.int64)), pa.array(np.rint(total[2]).astype(np.int64)), pa.array([N] * len(ids), pa.int64()), pa.array(total[1]), pa.array(total[0])], ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(tokens.astype(np.int64)), pa.array(total[2]), pa.array([N] * len(ids), pa.int64()), pa.array(total[1] / -MICRO), pa.array(total[0] / -MICRO)], ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
 
 def _heavy_contexts(docs: DataFrame, chars: int) -> np.ndarray:
@@ -657,7 +658,7 @@ def score_documents(docs: DataFrame, fold_of: int = 5, held: int = 1, buckets: i
     parts = max(min(usual, buckets), buckets // 16)  # a part's words come from all buckets, so parts grow with them
     heavy, folder = _heavy_contexts(src, chars), scratch_path(spark, "seats")
     slices = src.mapInArrow(_slices(heavy, buckets), SLICE_SCHEMA)
-    reports, now, told = slices.groupBy("bucket").applyInArrow(_start(heavy, parts, folder), REPORT_SCHEMA), None, None
+    reports, now, told = slices.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_start(heavy, parts, folder), REPORT_SCHEMA), None, None
     for number in range(BURN + SAMPLES + 1):
         if number:
             reports = told.df.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_round(heavy, parts, folder, now, number), REPORT_SCHEMA)
@@ -670,6 +671,6 @@ def score_documents(docs: DataFrame, fold_of: int = 5, held: int = 1, buckets: i
         # the round's shuffle files go when the driver collects its garbage
         gc.collect()
         spark._jvm.System.gc()
-    partial = slices.groupBy("bucket").cogroup(told.df.groupBy("bucket")).applyInArrow(_score(parts, folder, now), "slice long, score binary, base binary, known binary, ids array<long>, tokens binary, N long")
+    partial = slices.repartition(buckets, "bucket").groupBy("bucket").cogroup(told.df.repartition(buckets, "bucket").groupBy("bucket")).applyInArrow(_score(parts, folder, now), "slice long, score binary, base binary, known binary, ids array<long>, tokens binary, N long")
     rows = partial.groupBy("slice").applyInArrow(_collect, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return rows.select("doc_id", F.coalesce(crc_mod(F.col("doc_id"), fold_of) == held, F.lit(False)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
