@@ -69,7 +69,7 @@ SLICE_BYTES = 8 << 20
 BUCKET_CHARS = 12_000_000
 HEAVY, HEAVY_SHARE, HEAVY_CHARS, HEAVY_SAMPLE = 1 << 16, 0.001, 3_000_000, 2000
 _ZSTD = pa.Codec("zstd", 1)
-MICRO = 1e6  # sums of log10 probabilities travel as whole millionths, so that they add up the same in any order
+MICRO, NANO = 1e7, 1e9  # log10 probabilities are added up as whole ten-millionths, and those of the base as billionths, so that sums are the same in any order
 GRAIN = 1 << 12  # draws of the parent are kept as multiples of 1 / GRAIN, so that their sum is exact
 
 
@@ -584,9 +584,9 @@ def _score(parts: int, folder: str, now: Figures):
             raise RuntimeError("documents changed between the passes")
         del left, right, rows
         value = np.empty(len(at))
-        value[at] = np.log10(np.maximum(seats.predict(now) / SAMPLES, 1e-300))
+        value[at] = np.rint(np.log10(np.maximum(seats.predict(now) / SAMPLES, 1e-300)) * -MICRO)
         N, V, wc = now.tokens, now.types, seats.seen
-        base = np.log10((wc + 0.5) / (N + 0.5 * (V + 1)))[k.word]
+        base = np.rint(np.log10((wc + 0.5) / (N + 0.5 * (V + 1))) * -NANO)[k.word]
         known = (wc > 0)[k.word]
         del seats
         sums: dict[str, list] = {n: [] for n in ("slice", "score", "base", "known", "ids", "tokens", "N")}
@@ -596,8 +596,7 @@ def _score(parts: int, folder: str, now: Figures):
             start += size
             sums["slice"].append(name)
             for n, v in (("score", value), ("base", base), ("known", known)):
-                got = np.bincount(doc, v[e] * times, n_docs)
-                sums[n].append(squeeze(_small(np.rint(got if n == "known" else got * -MICRO).astype(np.int64))))
+                sums[n].append(squeeze(_small(np.bincount(doc, v[e] * times, n_docs).astype(np.int64))))
             sums["ids"].append(ids)
             sums["tokens"].append(tokens.tobytes() if tokens is not None else None)
             sums["N"].append(N)
@@ -616,7 +615,7 @@ def _collect(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> I
             N = r["N"]
             if r["ids"] is not None:
                 ids, tokens = r["ids"], np.frombuffer(r["tokens"], np.uint32)
-    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(tokens.astype(np.int64)), pa.array(total[2]), pa.array([N] * len(ids), pa.int64()), pa.array(total[1] / -MICRO), pa.array(total[0] / -MICRO)], ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(tokens.astype(np.int64)), pa.array(total[2]), pa.array([N] * len(ids), pa.int64()), pa.array(total[1] / -NANO), pa.array(total[0] / -MICRO)], ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
 
 def _heavy_contexts(docs: DataFrame, chars: int) -> np.ndarray:
