@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scores import csv_cell
-from ..functions.text import first_leak, redact
+from ..functions import text
+from ..functions.text import first_leak
 
 
 def csv_row(df: DataFrame) -> DataFrame:
@@ -22,7 +23,7 @@ def scrub(df: DataFrame) -> DataFrame:
 
 def _scrub(c, kind):
     if isinstance(kind, T.StringType):
-        return redact(c)
+        return text.scrub(c)
     if isinstance(kind, T.ArrayType):
         return F.transform(c, lambda x: _scrub(x, kind.elementType))
     if isinstance(kind, T.MapType):
@@ -56,9 +57,9 @@ def lane_clock(spans: DataFrame, key: str, now: str) -> DataFrame:
 
 def write_documents(df: DataFrame, path: str, sink: str = "json") -> None:
     """JSON or CSV files; the database sink isn't offered."""
+    if sink not in ("json", "csv"):
+        raise NotImplementedError(f"sink {sink}")
     if sink == "json":
-        df.write.mode("overwrite").json(path)
-    elif sink == "csv":
-        csv_row(df).write.mode("overwrite").option("header", True).csv(path)
+        df.write.mode("overwrite").option("ignoreNullFields", False).json(path)
     else:
-        raise NotImplementedError(f"sink {sink}")
+        csv_row(df).write.mode("overwrite").option("header", True).csv(path)

@@ -15,14 +15,15 @@ from ..functions.scores import complexity_band, day_span, repair_complexity, sha
 
 
 def commit_facts(commits: DataFrame, files: DataFrame) -> DataFrame:
-    """One row a commit; commits without files keep zeros."""
+    """One row a commit; commits without files keep zeros. Where both sides name a repository, commits are told apart by it too."""
+    key = [c for c in ("repo", "sha") if c in commits.columns and c in files.columns]
     n = lambda cond: F.sum(F.when(cond, 1).otherwise(0))
     kind = F.col("file_kind")
-    per = files.groupBy("sha").agg(
+    per = files.groupBy(*key).agg(
         F.count("*").alias("files"), n(kind == "test").alias("tests"), n(kind.isin("impl", "schema")).alias("impl"), n(kind == "schema").alias("schema"),
         F.countDistinct("dir").alias("diversity"), F.sum("additions").alias("additions"), F.sum("deletions").alias("deletions"),
     )
-    out = commits.join(per, "sha", "left")
+    out = commits.join(per, key, "left")
     return out.fillna(0, ["files", "tests", "impl", "schema", "diversity", "additions", "deletions"])
 
 
@@ -127,6 +128,40 @@ def concentration(functions: DataFrame, group: str, weight: str, order: str, per
     return ranked.groupBy(group).agg(F.count("*").alias("n"), top.alias("top"), total.alias("total")).withColumn("top_share", share(F.col("top").cast("double"), F.col("total")))
 
 
+def without_anonymiser(commits: DataFrame, key: str = "repo") -> DataFrame:
+    """Commits without a tip (ord 0) that bears the signature of an anonymising tool; an only commit stays."""
+    from ..functions.paths import is_anonymiser
+
+    tips = commits.groupBy(key).agg(F.count("*").alias("_n"), F.max(F.when(F.col("ord") == 0, is_anonymiser(F.col("author_name"), F.col("author_email"), F.col("subject")))).alias("_a"))
+    drop = (F.col("ord") == 0) & F.coalesce("_a", F.lit(False)) & (F.col("_n") > 1)
+    return commits.join(tips, key).where(~drop).drop("_n", "_a")
+
+
+def ref_reason(candidates: DataFrame, key: str, chosen: str) -> DataFrame:
+    """(key, reason): a fixed code for a chosen ref from (key, ref, files, commits): largest tree, deepest history, both or neither."""
+    w = Window.partitionBy(key)
+    c = candidates.withColumn("big", F.col("files") >= F.max("files").over(w)).withColumn("deep", F.col("commits") >= F.max("commits").over(w)).where(F.col("ref") == F.col(chosen))
+    return c.select(key, F.when(F.col("big") & F.col("deep"), "largest_tree_and_deepest_history").when(F.col("big"), "largest_tree").when(F.col("deep"), "deepest_history").otherwise("model_choice_recorded").alias("reason"))
+
+
+def brief(commits: DataFrame, patches: DataFrame, key: str = "repo", shown: int = 12) -> DataFrame:
+    """(key, ord, line): a table line of every substantive commit, with the name of its patch where one was written.
+
+    commits: (key, sha, ord, day, subject, files, churn, paths array); patches: (key,
+    sha, name). Names of files that look like credentials are left out.
+    """
+    from ..functions.paths import is_credential
+    from ..functions.text import markdown_cell
+
+    j = commits.join(patches, [key, "sha"], "left")
+    plain = F.filter("paths", lambda p: ~is_credential(p))
+    listed = F.array_join(F.transform(F.slice(plain, 1, shown), markdown_cell), ", ")
+    more = F.when(F.size(plain) > shown, F.concat(F.lit(" +"), F.size(plain) - shown, F.lit(" more"))).otherwise("")
+    name = F.coalesce(F.concat(F.lit("`"), "name", F.lit("`")), F.lit(""))
+    cells = F.concat_ws(" | ", F.concat(F.lit("`"), F.substring("sha", 1, 12), F.lit("`")), "day", "files", "churn", name, F.substring(markdown_cell(F.col("subject")), 1, 160), F.concat(listed, more))
+    return j.select(key, "ord", F.concat(F.lit("| "), cells, F.lit(" |")).alias("line"))
+
+
 def collapse_refs(refs: DataFrame) -> DataFrame:
     """Aliases of one commit fold into the bytewise first name."""
     return refs.groupBy("sha").agg(F.min("ref").alias("ref"), F.count("*").alias("aliases"))

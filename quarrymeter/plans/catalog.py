@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import paths, scores, text
-from ..operators import census, classify, emit, history, projects, runtime, tree, verdicts
+from ..operators import census, emit, history, projects, runtime, tree, verdicts
 from . import relations as rel
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -119,12 +119,6 @@ def language_rank(spark, sf):
     return tree.language_rank(tree.with_loc(rel.files(spark, sf)))
 
 
-@query("""SELECT repo, n AS files, a[CAST(floor(n/2) AS INT)+1] AS median_loc, a[CAST(floor(n*0.9::DOUBLE) AS INT)+1] AS p90_loc, len(list_filter(a, lambda x: x>50)) AS over_50, len(list_filter(a, lambda x: x>100)) AS over_100
- FROM (SELECT repo, count(*) AS n, list_sort(list(loc)) AS a FROM loc_files WHERE loc>0 GROUP BY repo)""")
-def size_distribution(spark, sf):
-    return tree.size_distribution(tree.with_loc(rel.files(spark, sf)), "repo")
-
-
 @query("""SELECT count(*) FILTER (NOT fx) AS specs, count(*) FILTER (fx) AS fixtures FROM (SELECT p_brand IN ('Brand#1','Brand#2') OR p_retailprice>1000 AS fx FROM part WHERE p_type IN ('PROMO','SMALL') OR p_brand IN ('Brand#1','Brand#2'))""", prefix=False)
 def spec_fixture(spark, sf):
     p = rel.table(spark, sf, "part").withColumn("loc", F.col("p_retailprice"))
@@ -154,24 +148,6 @@ def error_density(spark, sf):
     return tree.error_density(tree.with_loc(rel.files(spark, sf)), "repo", "(tion|ment|ung) ")
 
 
-@query("""SELECT repo, sha256(string_agg(s||':'||d, chr(10) ORDER BY s||':'||d)) AS digest, sum(n)::BIGINT AS files FROM (
- SELECT repo, substr(p,1,2) AS s, sha256(string_agg(p||':'||c, chr(10) ORDER BY p||':'||c)) AS d, count(*) AS n FROM (SELECT source AS repo, sha256(doc_id::VARCHAR) AS p, sha256(text) AS c FROM documents) GROUP BY 1,2) GROUP BY repo""", prefix=False)
-def content_digest(spark, sf):
-    return tree.content_digest(rel.files(spark, sf), "repo", "path", "text")
-
-
-@query("SELECT count(*) AS files, count(*) FILTER (lower(substr(text,1,500)) SIMILAR TO '(?s).*(// code generated|# do not edit|# this file is auto-generated|// auto-generated|eslint-disable [*]/).*') AS generated, sum(length(text)-length(replace(text, chr(10), '')))::BIGINT AS newlines FROM documents", prefix=False)
-def generated_files(spark, sf):
-    d = rel.table(spark, sf, "documents")
-    return d.agg(F.count("*").alias("files"), F.sum(text.is_generated(F.col("text")).cast("int")).alias("generated"), F.sum(text.newline_count(F.col("text"))).alias("newlines"))
-
-
-@query("""SELECT p_brand AS repo, label, hits FROM (SELECT p_brand, count(*) FILTER (regexp_matches(p_name, '(^|[-_./@ ])ring($|[-_./@ ])')) AS ring, count(*) FILTER (regexp_matches(p_name, '(^|[-_./@ ])(widget|gear)($|[-_./@ ])')) AS tool, count(*) FILTER (regexp_matches(p_name, '(^|[-_./@ ])(red|blue|green)($|[-_./@ ])')) AS colour FROM part GROUP BY p_brand) UNPIVOT (hits FOR label IN (ring, tool, colour))""", prefix=False)
-def keyword_hits(spark, sf):
-    p = rel.table(spark, sf, "part").select(F.col("p_brand").alias("repo"), F.col("p_name").alias("name"))
-    return tree.keyword_hits(p, {"ring": ["ring"], "tool": ["widget", "gear"], "colour": ["red", "blue", "green"]})
-
-
 @query("SELECT CASE WHEN p_brand IN ('Brand#1','Brand#2','Brand#3') THEN p_brand ELSE 'other' END AS term, count(*) AS n FROM part GROUP BY 1", prefix=False)
 def vocabulary_fold(spark, sf):
     return tree.fold_vocabulary(rel.table(spark, sf, "part"), "p_brand", ["Brand#1", "Brand#2", "Brand#3"])
@@ -183,7 +159,7 @@ def vocabulary_fold(spark, sf):
 def url_parts(spark, sf):
     p = rel.table(spark, sf, "pages")
     bare = F.regexp_replace(F.regexp_replace("url", r"[?#].*$", ""), r"(\.git)?/*$", "")
-    name = paths.remote_name(F.col("url"))
+    name = paths.url_path(F.col("url"))
     return p.select("page_id", name.alias("remote"), paths.base_name(bare).alias("base"), paths.top_dir(name).alias("top"))
 
 
@@ -194,38 +170,12 @@ def subtree_sums(spark, sf):
     return projects.subtree_sums(p.select(path.alias("path"), F.length("html").alias("v")), "path", "v")
 
 
-_REDACTED = "text"
-for _, _p, _by in text.REDACTIONS:
-    _REDACTED = f"regexp_replace({_REDACTED}, '{_p.replace(chr(39), chr(39) * 2)}', '{_by}', 'g')"
-_LABELS = ", ".join(f"CASE WHEN regexp_matches(text, '{p.replace(chr(39), chr(39) * 2)}') THEN '{n}' END" for n, p, _ in text.REDACTIONS)
-
-
-@query(f"SELECT doc_id, sha256({_REDACTED}) AS redacted_sha, array_to_string(list_sort(list_filter([{_LABELS}], lambda x: x IS NOT NULL)), ',') AS labels FROM documents", prefix=False)
-def redaction(spark, sf):
-    d = rel.table(spark, sf, "documents")
-    return d.select("doc_id", F.sha2(text.redact(F.col("text")).cast("binary"), 256).alias("redacted_sha"), F.array_join(text.redaction_labels(F.col("text")), ",").alias("labels"))
-
-
-@query("""SELECT role, CASE WHEN s IS NULL OR trim(s,' ')='' THEN 'empty' WHEN regexp_matches(s,'[\\r\\n]') THEN 'line_break' WHEN regexp_matches(s,'[`{}<>|]') THEN 'markup' WHEN regexp_matches(s,'[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+') THEN 'email'
- WHEN regexp_matches(s,'https?://') THEN 'url' WHEN regexp_matches(s,'[A-Za-z0-9_]+/[A-Za-z0-9_./]+') THEN 'path' WHEN regexp_matches(s,'[a-z0-9]+_[a-z0-9_]+') THEN 'identifier' WHEN regexp_matches(s,'[0-9]{4,}') THEN 'long_number'
- WHEN len(string_split_regex(trim(s,' '),'[ \\t\\r\\n]+'))>40 THEN 'too_long' ELSE 'ok' END AS verdict, count(*) AS n FROM (SELECT role, unnest(string_split_regex(text, '\\n')) AS s FROM conversations) GROUP BY 1,2""", prefix=False)
-def sentence_verdicts(spark, sf):
-    c = rel.table(spark, sf, "conversations").select("role", F.explode(F.split("text", "\n")).alias("text"))
-    return census.sentence_counts(c, "role")
-
-
 @query("SELECT event_type, sum(CAST(json_extract_string(props, '$.k') AS INT))::BIGINT AS k, count(*) AS n FROM events GROUP BY event_type", prefix=False)
 def json_values(spark, sf):
     e = rel.table(spark, sf, "events").withColumn("v", text.json_in(F.col("props")))
     return e.groupBy("event_type").agg(F.sum(F.expr("variant_get(v, '$.k', 'int')")).alias("k"), F.count("*").alias("n"))
 
 
-@query("SELECT p_partkey, list_transform(string_split(p_size||'.'||(p_partkey%10)||'.'||(p_partkey%3), '.'), lambda x: x::INT)[2] AS minor, substr(sha1(array_to_string(list_sort([p_brand, p_type, p_name]), '|')),1,12) AS id FROM part", prefix=False)
-def version_and_id(spark, sf):
-    p = rel.table(spark, sf, "part").withColumn("v", F.concat_ws(".", "p_size", F.col("p_partkey") % 10, F.col("p_partkey") % 3))
-    return p.select("p_partkey", F.element_at(text.version_parts(F.concat(F.lit("release "), F.col("v"))), 2).alias("minor"), census.candidate_id("p_brand", "p_type", "p_name").alias("id"))
-
-
 # ----------------------------------------------------------------- projects
 @query("""SELECT project, total, ok, skipped, intrinsic, limited, reason, CASE reason WHEN 'all_built' THEN true WHEN 'intrinsic' THEN false END AS build_ok FROM (SELECT *, CASE WHEN ok=total THEN 'all_built' WHEN ok+skipped=total THEN 'skipped' WHEN intrinsic>0 THEN 'intrinsic' WHEN limited>0 THEN 'limited' ELSE 'unattributed' END AS reason FROM (
  SELECT project, count(*) AS total, count(*) FILTER (status='ok') AS ok, count(*) FILTER (status='skipped') AS skipped, count(*) FILTER (status='failed' AND attribution='repo') AS intrinsic, count(*) FILTER (status='failed' AND attribution='runner') AS limited FROM phases GROUP BY project))""")
@@ -274,37 +224,7 @@ def lane_clock(spark, sf):
     return out.withColumn("seconds", F.round("seconds", 3)).withColumn("last_end", F.col("last_end").cast("timestamp_ntz"))
 
 
-@query("""SELECT kind, count(*) AS n FROM (SELECT CASE WHEN event_type='error' AND value>100 THEN 'timeout' WHEN regexp_matches(log,'(?i)401 unauthorized|403 forbidden') THEN 'private_registry' WHEN regexp_matches(log,'(?i)could not resolve') THEN 'dependency_resolution' WHEN regexp_matches(log,'(?i)requires python') THEN 'wrong_runtime' WHEN regexp_matches(log,'(?i)command not found') THEN 'toolchain_missing' WHEN regexp_matches(log,'(?i)build failed') THEN 'build_failed' ELSE 'unclassified' END AS kind FROM (
- SELECT *, CASE event_id%6 WHEN 0 THEN '401 Unauthorized' WHEN 1 THEN 'Could not resolve x; build failed' WHEN 2 THEN 'requires python 3.9' WHEN 3 THEN 'make: command not found' WHEN 4 THEN 'BUILD FAILED in 3s' ELSE 'done' END AS log FROM events)) GROUP BY kind""", prefix=False)
-def failure_classes(spark, sf):
-    e = rel.table(spark, sf, "events")
-    log = F.element_at(F.array(*map(F.lit, ("401 Unauthorized", "Could not resolve x; build failed", "requires python 3.9", "make: command not found", "BUILD FAILED in 3s", "done"))), (F.col("event_id") % 6 + 1).cast("int"))
-    kind = projects.failure_class(log, (F.col("event_type") == "error") & (F.col("value") > 100))
-    return e.groupBy(kind.alias("kind")).agg(F.count("*").alias("n"))
-
-
-@query("SELECT l_returnflag, sum(a)::BIGINT AS passed, sum(b)::BIGINT AS failed, count(*) AS runs FROM (SELECT l_returnflag, CAST(trunc(l_quantity) AS INT) AS a, l_linenumber AS b FROM lineitem) GROUP BY l_returnflag", prefix=False)
-def runner_totals(spark, sf):
-    li = rel.table(spark, sf, "lineitem")
-    out = F.concat(F.lit("== "), F.col("l_linenumber"), F.lit(" failed, "), F.col("l_quantity").cast("int"), F.lit(" passed in 1.2s =="))
-    c = li.select("l_returnflag", projects.runner_counts(F.lit("pytest"), out).alias("c"))
-    return c.groupBy("l_returnflag").agg(F.sum("c.passed").alias("passed"), F.sum("c.failed").alias("failed"), F.count("*").alias("runs"))
-
-
 # ------------------------------------------------------------------ runtime
-@query("""SELECT d.p_partkey AS id, v.s AS picked FROM part d LEFT JOIN (SELECT p_partkey, arg_min(s, o) AS s FROM (SELECT d.p_partkey, c.major||'.'||c.minor AS s, (CASE WHEN c.major=18 AND c.minor=0 THEN 0 ELSE 1 END)*100000 + c.major*100 + c.minor AS o
- FROM part d JOIN (SELECT a AS major, b AS minor FROM range(8,24) t(a), range(0,3) u(b)) c ON CASE d.p_partkey%4 WHEN 0 THEN c.major=d.p_size%24 WHEN 1 THEN c.major*100+c.minor >= (d.p_size%24)*100 WHEN 2 THEN c.major*100+c.minor>=1000 AND c.major < d.p_size%24 ELSE c.major=d.p_size%24 OR c.major=12 END) GROUP BY p_partkey) v ON v.p_partkey=d.p_partkey""", prefix=False)
-def runtime_resolution(spark, sf):
-    p = rel.table(spark, sf, "part")
-    n = F.col("p_size") % 24
-    m = F.col("p_partkey") % 4
-    spec = F.when(m == 0, n.cast("string")).when(m == 1, F.concat(F.lit(">="), n)).when(m == 2, F.concat(F.lit(">=10 <"), n)).otherwise(F.concat(n, F.lit(" || 12")))
-    declared = runtime.with_windows(p.select(F.col("p_partkey").alias("id"), F.lit("node").alias("lane"), spec.alias("spec")), "spec")
-    c = spark.range(8, 24).select(F.col("id").cast("int").alias("a")).select("a", F.explode(F.array(*map(F.lit, (0, 1, 2)))).alias("b"))
-    c = c.select(F.lit("node").alias("lane"), F.array("a", "b").alias("version"), ((F.col("a") == 18) & (F.col("b") == 0)).alias("is_default"))
-    return runtime.resolve(declared, c).select("id", F.array_join(F.col("version").cast("array<string>"), ".").alias("picked"))
-
-
 @query("SELECT o_custkey AS repo, o_orderstatus AS lane, arg_min(o_orderpriority, o_orderpriority||lpad(o_orderkey::VARCHAR,12,'0')) AS spec, min(o_orderpriority) AS priority FROM orders GROUP BY 1,2", prefix=False)
 def lane_precedence(spark, sf):
     o = rel.table(spark, sf, "orders")
@@ -313,39 +233,6 @@ def lane_precedence(spark, sf):
 
 
 # ------------------------------------------------------- classes and census
-TERMS = [
-    classify.Term("frontend", "views", "views", 0.05, 3.0), classify.Term("frontend", "clicks", "clicks", 0.02, 2.0), classify.Term("backend", "orders", "purchases", 0.06, 4.0),
-    classify.Term("backend", "errors", "errors", 0.01, 1.0), classify.Term("data_engineering", "volume", "value", 0.0005, 3.0), classify.Term("infra", "signups", "signups", 0.04, 2.5),
-]
-
-_STATS_SQL = """WITH s AS (SELECT user_id, count(*) FILTER (event_type='view') AS views, count(*) FILTER (event_type='click') AS clicks, count(*) FILTER (event_type='purchase') AS purchases, count(*) FILTER (event_type='error') AS errors, count(*) FILTER (event_type='signup') AS signups, sum(round(value))::DOUBLE AS value FROM events GROUP BY user_id),
-t AS (SELECT user_id, 'frontend' AS class, round(least(views*0.05::DOUBLE,3.0::DOUBLE),3) AS v, 1 AS o FROM s UNION ALL SELECT user_id,'frontend',round(least(clicks*0.02::DOUBLE,2.0::DOUBLE),3),1 FROM s UNION ALL SELECT user_id,'backend',round(least(purchases*0.06::DOUBLE,4.0::DOUBLE),3),2 FROM s
- UNION ALL SELECT user_id,'backend',round(least(errors*0.01::DOUBLE,1.0::DOUBLE),3),2 FROM s UNION ALL SELECT user_id,'data_engineering',round(least(value*0.0005::DOUBLE,3.0::DOUBLE),3),3 FROM s UNION ALL SELECT user_id,'infra',round(least(signups*0.04::DOUBLE,2.5::DOUBLE),3),5 FROM s),
-g AS (SELECT user_id, class, o, round(sum(v),6) AS raw, count(*) FILTER (v>=0.5) AS support FROM t GROUP BY 1,2,3),
-c AS (SELECT *, round(raw/greatest(sum(raw) OVER (PARTITION BY user_id),1.0),4) AS confidence, row_number() OVER (PARTITION BY user_id ORDER BY raw DESC, o) AS rank FROM g),
-d AS (SELECT *, confidence>=0.18 AND raw>=2 AND raw>=1 AND (support>=2 OR raw>=4) AS detected FROM c)
-"""
-
-
-def _user_stats(spark, sf):
-    e, t = rel.table(spark, sf, "events"), F.col("event_type")
-    n = lambda k: F.sum((t == k).cast("int"))
-    return e.groupBy("user_id").agg(n("view").alias("views"), n("click").alias("clicks"), n("purchase").alias("purchases"), n("error").alias("errors"), n("signup").alias("signups"), F.sum(F.round("value")).alias("value"))
-
-
-@query(_STATS_SQL + "SELECT class, count(*) FILTER (detected) AS detected, sum(rank)::BIGINT AS ranks, sum(support)::BIGINT AS support FROM d GROUP BY class", prefix=False)
-def class_scores(spark, sf):
-    long = classify.score_terms(_user_stats(spark, sf), "user_id", TERMS)
-    s = classify.score_classes(long, "user_id").withColumn("raw", F.round("raw", 6))
-    return s.groupBy("class").agg(F.sum(F.col("detected").cast("int")).alias("detected"), F.sum("rank").alias("ranks"), F.sum("support").alias("support"))
-
-
-@query(_STATS_SQL + """SELECT prim AS "primary", count(*) AS users FROM (SELECT user_id, CASE WHEN f=['backend','frontend'] THEN 'fullstack' WHEN len(f)>=2 THEN 'monorepo' ELSE coalesce(first,'backend') END AS prim FROM (SELECT user_id, coalesce(list_sort(list(class) FILTER (detected)), []) AS f, arg_min(class, rank) FILTER (detected) AS first FROM d GROUP BY user_id)) GROUP BY 1""", prefix=False)
-def primary_class(spark, sf):
-    s = classify.score_classes(classify.score_terms(_user_stats(spark, sf), "user_id", TERMS), "user_id")
-    return classify.primary(s, "user_id").groupBy("primary").agg(F.count("*").alias("users"))
-
-
 @query("""SELECT user_id, total, CASE WHEN total<0.5 THEN 0 WHEN total<3 THEN 1 WHEN total<7 THEN 2 WHEN total<14 THEN 3 WHEN total<28 THEN 4 WHEN total<55 THEN 5 ELSE 6 END AS depth FROM (SELECT user_id, round(sum(n*CASE kind WHEN 'purchase' THEN 1.5 WHEN 'signup' THEN 1.0 WHEN 'error' THEN 0.25 ELSE 0 END)::DOUBLE + 0.4::DOUBLE*least(sum(wt),sum(rp)),6) AS total FROM (SELECT user_id, event_type AS kind, count(*) AS n, count(*) FILTER (value>50) AS wt, count(*) FILTER (value<20) AS rp FROM events GROUP BY 1,2) GROUP BY user_id)""", prefix=False)
 def census_totals(spark, sf):
     e = rel.table(spark, sf, "events")
@@ -378,11 +265,6 @@ def csv_cells(spark, sf):
     return emit.csv_row(c.select("c_custkey", "c_name", (F.col("c_acctbal") > 0).alias("positive"), F.when(F.col("c_nationkey") % 2 == 0, F.col("c_mktsegment")).alias("segment"), F.array("c_nationkey", F.col("c_nationkey") + 1).alias("nations")))
 
 
-@query(f"SELECT 'text' AS field, label, count(*) AS n FROM (SELECT coalesce({_LABELS}) AS label FROM conversations) WHERE label IS NOT NULL GROUP BY label", prefix=False)
-def leak_report(spark, sf):
-    return emit.leak_report(rel.table(spark, sf, "conversations"), ["text"])
-
-
 # --------------------------------------------------------- joins and sets
 @query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus='F')", prefix=False)
 def anti_join(spark, sf):
@@ -429,15 +311,6 @@ def level_fallback(spark, sf):
     return verdicts.attempt(full.unionByName(less), "user_id", ["full", "discover"], "value")
 
 
-@query("""SELECT kind, count(*) AS n FROM (SELECT CASE WHEN value>250 THEN 'timeout' WHEN rc=0 THEN NULL WHEN regexp_matches(o,'(?i)rate.?limit|429') THEN 'rate_limited' WHEN regexp_matches(o,'(?i)401') THEN 'auth' WHEN rc<0 OR rc BETWEEN 129 AND 159 THEN 'killed' WHEN o='' THEN 'no_output' ELSE 'other' END AS kind FROM (
- SELECT *, CASE event_id%5 WHEN 0 THEN 0 WHEN 1 THEN -9 WHEN 2 THEN 1 WHEN 3 THEN 137 ELSE 2 END AS rc, CASE event_id%4 WHEN 0 THEN 'HTTP 429' WHEN 1 THEN '' WHEN 2 THEN 'error 401' ELSE 'odd' END AS o FROM events)) GROUP BY kind""", prefix=False)
-def run_failures(spark, sf):
-    e, i = rel.table(spark, sf, "events"), F.col("event_id")
-    rc = F.element_at(F.array(*map(F.lit, (0, -9, 1, 137, 2))), (i % 5 + 1).cast("int"))
-    out = F.element_at(F.array(*map(F.lit, ("HTTP 429", "", "error 401", "odd"))), (i % 4 + 1).cast("int"))
-    return e.groupBy(verdicts.run_failure(rc, out, F.col("value") > 250).alias("kind")).agg(F.count("*").alias("n"))
-
-
 @query("SELECT state, count(*) AS n, count(k) AS counted FROM (SELECT CASE WHEN event_type='view' THEN 'skipped' WHEN value>10 THEN 'scored' ELSE 'unavailable' END AS state, CASE WHEN event_type<>'view' AND value>10 THEN user_id END AS k FROM events) GROUP BY state", prefix=False)
 def judged_blocks(spark, sf):
     e = rel.table(spark, sf, "events")
@@ -445,23 +318,12 @@ def judged_blocks(spark, sf):
     return b.groupBy("state").agg(F.count("*").alias("n"), F.count("user_id").alias("counted"))
 
 
-@query("SELECT 'measured' AS kind, 2*count(*) - count(*) FILTER (c_acctbal<0) AS present, count(*) FILTER (c_acctbal<0) AS missing FROM customer UNION ALL SELECT 'text', count(*), 0 FROM customer", prefix=False)
-def review_counts(spark, sf):
-    c = rel.table(spark, sf, "customer").withColumn("bal", F.when(F.col("c_acctbal") >= 0, F.col("c_acctbal")))
-    return verdicts.review_counts(c, {"bal": "measured", "c_nationkey": "measured", "c_name": "text"})
-
-
 @query("SELECT o_custkey, array_to_string(list(o_orderkey ORDER BY o_orderkey)[1:5], ',') AS items, greatest(count(*)-5, 0) AS overflow FROM orders GROUP BY o_custkey", prefix=False)
 def capped_lists(spark, sf):
     out = verdicts.capped_list(rel.table(spark, sf, "orders"), "o_custkey", ["o_orderkey"], "o_orderkey", 5)
     return out.select("o_custkey", F.array_join(F.col("items").cast("array<string>"), ",").alias("items"), "overflow")
 
 
-@query("SELECT event_id, CASE WHEN s>=3600 THEN (s//3600)||'h'||lpad(((s%3600)//60)::VARCHAR,2,'0')||'m' WHEN s>=60 THEN (s//60)||'m'||lpad((s%60)::VARCHAR,2,'0')||'s' ELSE s||'s' END AS took FROM (SELECT event_id, CAST(floor(value*37) AS BIGINT) AS s FROM events)", prefix=False)
-def durations(spark, sf):
-    return rel.table(spark, sf, "events").select("event_id", verdicts.duration(F.col("value") * 37).alias("took"))
-
-
 @query("SELECT c_custkey, coalesce(orders, 0) AS orders, price FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS orders, max(o_totalprice) AS price FROM orders GROUP BY 1) ON c_custkey=o_custkey", prefix=False)
 def left_lane_join(spark, sf):
     o = rel.table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("orders"), F.max("o_totalprice").alias("price"))
@@ -493,3 +355,6 @@ def shipped_and_repaired(spark, sf):
     p = rel.phases(spark, sf).withColumn("after_repair", F.col("phase") % 3 == 0)
     n = lambda df, name: df.groupBy("project").agg(F.sum(F.coalesce((F.col("status") == "ok").cast("int"), F.lit(0))).alias(name))
     return n(projects.as_shipped(p), "shipped_ok").join(n(p, "repaired_ok"), "project")
+
+
+from . import repo_catalog  # noqa: E402,F401  (registers the queries over trees, logs and sentences)

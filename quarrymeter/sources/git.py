@@ -3,35 +3,52 @@
     spark.dataSource.register(GitSource)
     spark.read.format("git").option("repo", path).option("relation", "commits").load()
 
-Relations: commits, commit_files, refs, tags. History is read with fixed
-argument lists; a repository that git can't read gives no rows. ``repos`` may
-list several repositories, separated by commas: each is a partition. The limit
-is passed to git.
+Relations: commits, commit_files, refs, tags, status. History is read with fixed
+argument lists. ``repos`` may list several repositories, separated by commas: each
+is a partition. ``status`` has a row for each of them, so that a repository that
+git can't read is told apart from an empty one. The limit (20,000 commits unless
+told otherwise, 0 for none) is passed to git; a tip that an anonymising tool has
+added is left out where ``peel`` is set, unless it is the only commit.
 """
 
 from __future__ import annotations
 
+import re
 import subprocess
 from collections.abc import Iterator
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ..functions.paths import ANONYMISER
+
 SCHEMAS = {
     "commits": "repo string, sha string, author_name string, author_email string, author_ts timestamp, author_date string, subject string, parents int, ord long",
     "commit_files": "repo string, sha string, path string, additions long, deletions long, is_binary boolean",
-    "refs": "repo string, ref string, sha string",
+    "refs": "repo string, ref string, sha string, commits long, files long, top_dirs long, last_commit string",
     "tags": "repo string, tag string, sha string",
+    "status": "repo string, status string, detail string, head string, reachable long, peeled boolean, remote string",
 }
+LIMIT, MAX_REFS, DEEPEST = 20_000, 400, 12
+#: Seconds that one git command may take; a command that takes longer fails the read instead of giving no rows.
+PATIENCE = 3600
 _FIELD, _RECORD = "\x1f", "\x1e"
 
 
-def run_git(repo: str, *args: str, timeout: int = 120) -> str:
-    """Output of git, empty if it fails."""
-    try:
-        out = subprocess.run(["git", "-c", "core.quotepath=off", "-c", "safe.directory=*", "-C", repo, *args], capture_output=True, timeout=timeout)
-    except (OSError, subprocess.TimeoutExpired):
-        return ""
-    return out.stdout.decode("utf-8", "replace") if out.returncode == 0 else ""
+def try_git(repo: str, *args: str) -> tuple[int, str, str]:
+    """Exit status, output and error text of git."""
+    out = subprocess.run(["git", "-c", "core.quotepath=off", "-c", "safe.directory=*", "-C", repo, *args], capture_output=True, timeout=PATIENCE)
+    return out.returncode, out.stdout.decode("utf-8", "replace"), out.stderr.decode("utf-8", "replace")
+
+
+def run_git(repo: str, *args: str) -> str:
+    """Output of git, empty if it fails; the relation ``status`` says why."""
+    code, out, _ = try_git(repo, *args)
+    return out if code == 0 else ""
+
+
+def anonymised(name: str, email: str, subject: str) -> bool:
+    """The signature of an anonymising tool, as in ``functions.paths.is_anonymiser``."""
+    return any(re.search(p, x) for p, x in zip(ANONYMISER, (email, name, subject), strict=True))
 
 
 class _Repo(InputPartition):
@@ -44,8 +61,9 @@ class GitReader(DataSourceReader):
     def __init__(self, options: dict):
         self.repos = [p for p in (options.get("repos") or options.get("repo") or "").split(",") if p]
         self.relation = options.get("relation", "commits")
-        self.limit = options.get("limit")
+        self.limit = int(options.get("limit", LIMIT))
         self.ref = options.get("ref", "HEAD")
+        self.peel = str(options.get("peel", "false")).lower() == "true"
 
     def partitions(self):
         return [_Repo(p) for p in self.repos]
@@ -53,9 +71,27 @@ class GitReader(DataSourceReader):
     def read(self, partition: _Repo) -> Iterator[tuple]:
         return getattr(self, f"_{self.relation}")(partition.path)
 
+    def _peeled(self, repo: str) -> bool:
+        """Whether the tip bears the signature of an anonymising tool and history is left below it."""
+        if not self.peel or self.ref != "HEAD":
+            return False
+        tip = run_git(repo, "log", "-1", "--format=%an%x1f%ae%x1f%s", "HEAD").strip("\n").split(_FIELD)
+        count = run_git(repo, "rev-list", "--count", "HEAD").strip()
+        return len(tip) == 3 and count.isdigit() and int(count) > 1 and anonymised(*tip)
+
     def _log(self, repo: str, fmt: str, *more: str) -> str:
-        limit = [f"--max-count={int(self.limit)}"] if self.limit else []
-        return run_git(repo, "log", f"--format={fmt}", *limit, *more, self.ref, "--")
+        limit = [f"--max-count={self.limit}"] if self.limit else []
+        ref = ["--all"] if self.ref == "--all" else ["HEAD~1" if self._peeled(repo) else self.ref]
+        return run_git(repo, "log", f"--format={fmt}", *limit, *more, *ref, "--")
+
+    def _status(self, repo: str):
+        code, head, err = try_git(repo, "rev-parse", "HEAD")
+        if try_git(repo, "rev-parse", "--git-dir")[0]:
+            yield repo, "not_a_repository", err.strip()[:400], None, None, None, None
+            return
+        count = run_git(repo, "rev-list", "--count", "HEAD").strip()
+        remote = run_git(repo, "config", "--get", "remote.origin.url").strip() or None
+        yield repo, "empty" if code else "ok", None if not code else err.strip()[:400], None if code else head.strip(), int(count) if count.isdigit() else None, self._peeled(repo), remote
 
     def _commits(self, repo: str):
         from datetime import datetime, timezone
@@ -76,9 +112,17 @@ class GitReader(DataSourceReader):
                     yield repo, sha, path, int(a) if a.isdigit() else 0, int(d) if d.isdigit() else 0, a == "-"
 
     def _refs(self, repo: str):
-        for line in run_git(repo, "for-each-ref", "--count=400", "--format=%(refname)%09%(objectname)").splitlines():
-            ref, sha = line.split("\t")
-            yield repo, ref, sha
+        """Refs with their commits; tree figures only for the deepest tips, each once."""
+        rows = []
+        for line in run_git(repo, "for-each-ref", f"--count={MAX_REFS}", "--format=%(refname)%09%(objecttype)%09%(objectname)%09%(*objectname)").splitlines():
+            ref, kind, sha, target = (line.split("\t") + [""])[:4]
+            rows.append((ref, target if kind == "tag" and target else sha))
+        count = {sha: int(n) for sha in {r[1] for r in rows} if (n := run_git(repo, "rev-list", "--count", sha).strip()).isdigit()}
+        deepest = sorted(count, key=lambda s: (-count[s], min(r for r, t in rows if t == s)))[:DEEPEST]
+        lines = lambda *a: sum(1 for x in run_git(repo, *a).splitlines() if x.strip())
+        tree = {s: (lines("ls-tree", "-r", "--name-only", s), lines("ls-tree", "-d", "--name-only", s), run_git(repo, "log", "-1", "--format=%cs", s).strip() or None) for s in deepest}
+        for ref, sha in rows:
+            yield repo, ref, sha, count.get(sha, 0), *tree.get(sha, (None, None, None))
 
     def _tags(self, repo: str):
         for line in run_git(repo, "for-each-ref", "--format=%(refname:short)%09%(objectname)", "refs/tags", "--merged", self.ref).splitlines():

@@ -1,107 +1,166 @@
 """Source trees: file scan, manifests, CI files, decisions for each function.
 
-Files are read by Spark's ``binaryFile`` reader, so any store that Spark reads
-will do; skipped folders are pruned by path before contents are used.
+Files are read by a data source of their own, because Spark's file readers leave
+out hidden files; folders that are skipped are pruned before they are listed.
 """
 
 from __future__ import annotations
 
 import ast
 import json
+import os
 import re
 import tomllib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from ..functions.paths import KEPT_DOT_DIRS, extension, in_skipped_dir
+from ..functions.paths import CI_CONFIG, KEPT_DOT_DIRS, SKIP_DIRS, extension
+from ..functions.text import ci_commands, dependency_name, requirement_name, substituted
+from ..vocab import CI_FILES
 
 
 #: Larger files aren't parsed for decisions.
 PARSED_BYTES = 1_000_000
 
 
-def scan(spark: SparkSession, root: str) -> DataFrame:
-    """(repo, path, ext, size, content) of all files below a root, relative paths, skipped folders left out.
-
-    Files above Spark's limit for one value (``spark.sql.sources.binaryFile.maxLength``, 2 GB)
+class _Folder(InputPartition):
+    def __init__(self, root: str, below: str, deep: bool):
+        super().__init__((root, below))
+        self.root, self.below, self.deep = root, below, deep
+
+
+class TreeReader(DataSourceReader):
+    """Walks a tree folder by folder; each folder of the root is a partition, and so are the root's own files."""
+
+    def __init__(self, options: dict):
+        self.roots = [r for r in (options.get("roots") or options.get("root") or "").split(",") if r]
+        self.everything = str(options.get("everything", "false")).lower() == "true"
+        self.most = int(options.get("maxlength", 2**31 - 1))
+
+    def _entries(self, store, folder: str) -> list:
+        from pyarrow import fs
+
+        found = store.get_file_info(fs.FileSelector(folder, recursive=False, allow_not_found=True))
+        plain = lambda f: not (isinstance(store, fs.LocalFileSystem) and os.path.islink(f.path))
+        return sorted((f for f in found if plain(f)), key=lambda f: f.base_name)
+
+    def _enters(self, name: str) -> bool:
+        if self.everything:
+            return name != ".git"
+        return name in KEPT_DOT_DIRS or not (name in SKIP_DIRS or name.startswith("."))
+
+    def partitions(self):
+        out = []
+        for root in self.roots:
+            store, base = _store(root)
+            out.append(_Folder(root, "", False))
+            out += [_Folder(root, f.base_name, True) for f in self._entries(store, base) if f.is_file is False and self._enters(f.base_name)]
+        return out
+
+    def read(self, partition: _Folder):
+        store, base = _store(partition.root)
+        todo = [f"{base}/{partition.below}".rstrip("/")]
+        while todo:
+            for f in self._entries(store, todo.pop()):
+                if not f.is_file:
+                    if partition.deep and self._enters(f.base_name):
+                        todo.append(f.path)
+                    continue
+                content = None
+                if (f.size or 0) <= self.most:
+                    with store.open_input_file(f.path) as x:
+                        content = x.read()
+                yield partition.root, f.path[len(base) :].lstrip("/"), f.size, content
+
+
+class TreeSource(DataSource):
+    """``tree``: (repo, path, size, content) of all files below the folders ``roots``.
+
+    Folders that are left out by name are never listed; ``everything`` reads all
+    but ``.git``. Links are not followed. Files above ``maxlength`` bytes (2 GB)
     keep their row with null content.
     """
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("ignoreMissingFiles", True).load([root, *_dot_folders(spark, root)])
-    base = root.rstrip("/").split("://")[-1]
-    rel = F.regexp_replace("path", "^.*?" + re.escape(base) + "/", "")
-    most = int(spark.conf.get("spark.sql.sources.binaryFile.maxLength"))
-    columns = lambda content: [F.lit(root).alias("repo"), rel.alias("path"), F.col("length").alias("size"), content.alias("content")]
-    out = raw.where(F.col("length") <= most).select(*columns(F.col("content"))).unionByName(raw.where(F.col("length") > most).select(*columns(F.lit(None).cast("binary"))))
-    return out.where(~in_skipped_dir(F.col("path"))).withColumn("ext", extension(F.col("path")))
 
+    @classmethod
+    def name(cls):
+        return "tree"
 
-def _dot_folders(spark: SparkSession, root: str) -> list[str]:
-    """Kept dot-folders right below the root: Spark's file listing leaves hidden folders out unless they are named."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(root)
-    store = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    below = [spark._jvm.org.apache.hadoop.fs.Path(path, d) for d in KEPT_DOT_DIRS]
-    return [p.toString() for p in below if store.exists(p)]
+    def schema(self):
+        return "repo string, path string, size long, content binary"
 
+    def reader(self, schema):
+        return TreeReader(dict(self.options))
 
-def as_text(files: DataFrame) -> DataFrame:
-    """Adds ``text``; bytes that aren't UTF-8 are replaced."""
 
-    @F.pandas_udf("string")
-    def decode(c: pd.Series) -> pd.Series:
-        return c.map(lambda b: None if b is None else bytes(b).decode("utf-8", "replace"))
+def _store(root: str):
+    from pyarrow import fs
+
+    if "://" in root:
+        store, path = fs.FileSystem.from_uri(root)
+        return store, path.rstrip("/")
+    return fs.LocalFileSystem(), os.path.abspath(root)
+
 
-    return files.withColumn("text", decode("content"))
+def scan(spark: SparkSession, roots: str | list[str], everything: bool = False) -> DataFrame:
+    """(repo, path, ext, size, content) of all files below the roots, relative paths; with ``everything`` also those in skipped folders."""
+    spark.dataSource.register(TreeSource)
+    raw = spark.read.format("tree").options(roots=roots if isinstance(roots, str) else ",".join(roots), everything=str(everything).lower()).load()
+    return raw.withColumn("ext", extension(F.col("path")))
+
+
+def as_text(files: DataFrame) -> DataFrame:
+    """Adds ``text``; bytes that aren't UTF-8 are replaced."""
+    return files.withColumn("text", F.make_valid_utf8(F.col("content").cast("string")))
 
 
 # ------------------------------------------------------------- state readers
-def make_recipes(text: str) -> dict[str, str]:
-    """Body of each Makefile target."""
+def make_recipes(text: str) -> dict[str, list[str]]:
+    """Commands of each Makefile target: its indented lines up to the next line that is neither indented, blank nor a comment."""
     out: dict[str, list[str]] = {}
     now = None
     for line in text.splitlines():
-        if m := re.match(r"^([A-Za-z0-9_.-]+)\s*:(?!=)", line):
+        if m := re.match(r"^([A-Za-z0-9_./-]+)\s*:(?!=)", line):
             now = m[1]
             out.setdefault(now, [])
-        elif now and line.startswith("\t"):
-            out[now].append(line.strip().lstrip("@-"))
-        elif line.strip():
+        elif now and line.startswith(("\t", "    ")):
+            out[now].append(line.strip().lstrip("@-+").strip())
+        elif line.strip() and not line.startswith("#"):
             now = None
-    return {k: "\n".join(v) for k, v in out.items()}
+    return out
 
 
 def yaml_block_keys(text: str, sections: set[str]) -> list[str]:
-    """Keys one level below the named top-level sections, by indent alone."""
-    out, inside, depth = [], False, None
+    """Entries below the named sections of a simple YAML mapping, by indent alone; a version after a name is cut off."""
+    out, depth = [], None
     for line in text.splitlines():
-        if not line.strip() or line.lstrip().startswith("#"):
+        bare = line.strip()
+        if not bare or bare.startswith("#"):
             continue
         indent = len(line) - len(line.lstrip())
-        key = re.match(r"^\s*[\"']?([^\"':#]+)[\"']?\s*:", line)
-        if indent == 0:
-            inside, depth = bool(key and key[1].strip() in sections), None
-        elif inside and key:
-            depth = indent if depth is None else depth
-            if indent == depth:
-                out.append(key[1].strip())
+        if depth is not None and indent <= depth:
+            depth = None
+        if bare.endswith(":") and bare.rstrip(":") in sections:
+            depth = indent
+        elif depth is not None:
+            out.append(re.split(r"[=<>!~\s:]", bare.lstrip("- ").partition("#")[0], maxsplit=1)[0])
     return out
 
 
 def setup_cfg_requirements(text: str) -> list[str]:
-    """Requirement lines of install_requires and extras in setup.cfg."""
-    out, inside, section = [], False, ""
+    """Requirement lines of install_requires and setup_requires in setup.cfg."""
+    out, inside = [], False
     for line in text.splitlines():
-        if m := re.match(r"^\[([^\]]+)\]", line):
-            section, inside = m[1], False
-        elif re.match(r"^\S", line):
-            inside = line.split("=")[0].strip() in ("install_requires", "setup_requires", "tests_require") or section == "options.extras_require"
-            rest = line.partition("=")[2].strip()
-            if inside and rest:
-                out.append(rest)
-        elif inside and line.strip():
-            out.append(line.strip())
+        if m := re.match(r"^\s*(?:install_requires|setup_requires)\s*=(.*)", line):
+            inside = True
+            out.append(m[1])
+        elif inside and line.strip() and not line[:1].isspace():
+            inside = False
+        elif inside:
+            out.append(line)
     return out
 
 
@@ -120,122 +179,211 @@ def _toml(text: str) -> dict:
         return {}
 
 
-def manifest_names(path: str, text: str) -> list[tuple[str, str]]:
-    """(ecosystem, raw dependency) pairs of one manifest; unreadable ones give none."""
-    name = path.rsplit("/", 1)[-1]
-    lines = lambda p, g=1: [m.group(g) for m in re.finditer(p, text, re.M)]
-    if name == "package.json":
-        d = _json(text)
-        return [("npm", k) for s in ("dependencies", "devDependencies", "peerDependencies", "optionalDependencies") for k in (d.get(s) if isinstance(d.get(s), dict) else {})]
-    if re.fullmatch(r"requirements[^/]*\.txt", name):
-        return [("pypi", x) for x in text.splitlines() if x.strip() and not x.lstrip().startswith(("#", "-"))]
-    if name == "pyproject.toml":
-        d = _toml(text)
-        project = d.get("project", {})
-        out = list(project.get("dependencies", [])) + [x for v in project.get("optional-dependencies", {}).values() for x in v]
-        poetry = d.get("tool", {}).get("poetry", {})
-        return [("pypi", x) for x in out] + [("pypi", k) for k in poetry.get("dependencies", {}) if k != "python"]
-    if name == "setup.cfg":
-        return [("pypi", x) for x in setup_cfg_requirements(text)]
-    if name == "Pipfile":
+def _tables(d: dict, *path: str) -> list[dict]:
+    """The table at a path of keys, in a list; empty where there is none. '*' stands for every key."""
+    found = [d]
+    for key in path:
+        found = [v for x in found if isinstance(x, dict) for v in (x.values() if key == "*" else [x.get(key)])]
+    return [x for x in found if isinstance(x, (dict, list))]
+
+
+def manifest_names(path: str, text: str) -> list[tuple[str, str, bool]]:
+    """(ecosystem, name, is a requirement line) of the dependencies in a manifest of the root; unreadable ones give none."""
+    keys = lambda eco, tables: [(eco, k, False) for t in tables if isinstance(t, dict) for k in t]
+    specs = lambda lists: [("pypi", x, True) for v in lists if isinstance(v, list) for x in v if isinstance(x, str)]
+    found = lambda eco, pattern, g=1: [(eco, m[g], False) for m in re.finditer(pattern, text, re.M)]
+    if path == "package.json":
+        return keys("npm", [t for f in ("dependencies", "devDependencies", "peerDependencies", "optionalDependencies") for t in _tables(_json(text), f)])
+    if path in ("requirements.txt", "requirements-dev.txt"):
+        return [("pypi", x.partition("#")[0], True) for x in text.splitlines()]
+    if path == "pyproject.toml":
         d = _toml(text)
-        return [("pypi", k) for s in ("packages", "dev-packages") for k in d.get(s, {})]
-    if name == "Cargo.toml":
+        lists = [x for p in (("project", "dependencies"), ("project", "optional-dependencies", "*"), ("dependency-groups", "*"), ("build-system", "requires")) for x in _tables(d, *p)]
+        poetry = [x for p in (("dependencies",), ("dev-dependencies",), ("group", "*", "dependencies")) for x in _tables(d, "tool", "poetry", *p)]
+        return specs(lists) + keys("pypi", poetry)
+    if path == "Pipfile":
+        return keys("pypi", [t for f in ("packages", "dev-packages") for t in _tables(_toml(text), f)])
+    if path == "setup.py":
+        blocks = re.findall(r"(?:install|extras|setup|tests)_requires?\s*=\s*[\[{](.*?)[\]}]", text, re.S)
+        return [("pypi", x, True) for b in blocks for x in re.findall(r"[\"']([^\"'\n]+)[\"']", b)]
+    if path == "setup.cfg":
+        return [("pypi", x, True) for x in setup_cfg_requirements(text)]
+    if path in ("environment.yml", "environment.yaml"):
+        return [("pypi", x, False) for x in yaml_block_keys(text, {"dependencies", "pip"})]
+    if path == "go.mod":
+        return found("go", r"^\s*(?:require\s+)?([a-z0-9][a-z0-9.-]*\.[a-z]{2,}/\S+)\s+v\d")
+    if path == "Cargo.toml":
         d = _toml(text)
-        return [("cargo", k) for s in ("dependencies", "dev-dependencies", "build-dependencies") for k in d.get(s, {})]
-    if name == "go.mod":
-        return [("go", x) for x in lines(r"^\s*(?:require\s+)?([\w.-]+\.[\w./-]+)\s+v\d")]
-    if name == "Gemfile":
-        return [("gem", x) for x in lines(r"^\s*gem\s+[\"']([^\"']+)")]
-    if name == "pom.xml":
-        return [("maven", x) for x in lines(r"<artifactId>([^<]+)</artifactId>")]
-    if name in ("build.gradle", "build.gradle.kts"):
-        return [("maven", x) for x in lines(r"(?:implementation|api|compile|testImplementation)\s*\(?[\"'][^:\"']+:([^:\"']+)")]
-    if name == "composer.json":
-        d = _json(text)
-        return [("composer", k) for s in ("require", "require-dev") for k in (d.get(s) if isinstance(d.get(s), dict) else {}) if k != "php"]
-    if name in ("pubspec.yaml", "pubspec.yml"):
-        return [("pub", k) for k in yaml_block_keys(text, {"dependencies", "dev_dependencies"})]
-    if name == "mix.exs":
-        return [("hex", x) for x in lines(r"\{:(\w+),")]
-    if name.endswith(".csproj"):
-        return [("nuget", x) for x in lines(r"<PackageReference\s+Include=\"([^\"]+)\"")]
-    if name == "environment.yml":
-        return [("conda", x) for x in lines(r"^\s+-\s+([A-Za-z0-9_.-]+)")]
+        return keys("cargo", [t for p in (("dependencies",), ("dev-dependencies",), ("build-dependencies",), ("workspace", "dependencies")) for t in _tables(d, *p)])
+    if path == "Gemfile":
+        return found("gem", r"^\s*gem\s+['\"]([^'\"]+)['\"]")
+    if path == "composer.json":
+        return keys("composer", [t for f in ("require", "require-dev") for t in _tables(_json(text), f)])
+    if path == "pom.xml":
+        return found("maven", r"<(groupId|artifactId)>\s*([^<\s]+)\s*</\1>", 2)
+    if path in ("build.gradle", "build.gradle.kts"):
+        return found("maven", r"['\"]([A-Za-z0-9_.-]+:[A-Za-z0-9_.-]+)(?::[^'\"]*)?['\"]")
+    if path == "pubspec.yaml":
+        return [("pub", x, False) for x in yaml_block_keys(text, {"dependencies", "dev_dependencies"})]
     return []
 
 
 def dependencies(files: DataFrame) -> DataFrame:
-    """Distinct (repo, ecosystem, name) over all manifests."""
-    from ..functions.text import dependency_name
+    """Distinct (repo, ecosystem, name) over the manifests of every repository's root."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(r, e, n) for r, p, t in zip(b.repo, b.path, b.text, strict=True) if t for e, n in manifest_names(p, t)]
-            yield pd.DataFrame(rows, columns=["repo", "ecosystem", "raw"])
+            rows = [(r, e, n, q) for r, p, t in zip(b.repo, b.path, b.text, strict=True) if t for e, n, q in manifest_names(p, t)]
+            yield pd.DataFrame(rows, columns=["repo", "ecosystem", "raw", "line"])
 
-    raw = files.select("repo", "path", "text").mapInPandas(run, "repo string, ecosystem string, raw string")
-    head = F.regexp_extract("raw", r"^\s*(@?[A-Za-z0-9][A-Za-z0-9_./@-]*)", 1)
-    return raw.select("repo", "ecosystem", dependency_name(head).alias("name")).where("name is not null").distinct()
+    raw = files.where(~F.col("path").contains("/")).select("repo", "path", "text").mapInPandas(run, "repo string, ecosystem string, raw string, line boolean")
+    name = F.when(F.col("line"), requirement_name(F.col("raw"))).otherwise(dependency_name(F.col("raw")))
+    return raw.select("repo", "ecosystem", name.alias("name")).where("name is not null").distinct()
 
 
-def ci_steps(path: str, text: str) -> list[tuple[str, str]] | None:
-    """(kind, value) of a CI file: run blocks and used actions. None where it can't be read."""
-    if path.endswith("Jenkinsfile"):
-        return [("run", m[1] or m[2]) for m in re.finditer(r"\b(?:sh|bat)\s*\(?\s*(?:\"{3}(.+?)\"{3}|[\"']([^\"'\n]+))", text, re.S)]
-    try:
-        import yaml
+# ---------------------------------------------------------------------- CI
+#: Keys that hold commands, and guards that are constantly false.
+CI_KEYS = ("run", "script", "before_script", "after_script", "commands", "command")
+CI_OFF = ("false", "${{ false }}", "${{false}}", "0", "no", "off")
+_JENKINS = re.compile(r"\b(?:sh|bat|powershell)\s*(?:\(\s*)?(?:'''(.*?)'''|\"\"\"(.*?)\"\"\"|'([^']*)'|\"([^\"]*)\")", re.S)
+
 
+def ci_steps(path: str, text: str) -> list[tuple[str, str, str]] | None:
+    """(kind, name, value) of a CI file: run blocks, used actions and variables. None where it can't be read."""
+    if path.rsplit("/", 1)[-1].lower().startswith("jenkinsfile"):
+        return [("run", "", next(filter(None, m.groups()), "")) for m in _JENKINS.finditer(text)]
+    import yaml
+
+    try:
         doc = yaml.safe_load(text)
-    except Exception:  # noqa: BLE001  (any unreadable file counts the same)
+    except yaml.YAMLError:
         return None
-    out: list[tuple[str, str]] = []
+    off = lambda guard: guard is False or (isinstance(guard, str) and guard.strip().lower() in CI_OFF)
+    out: list[tuple[str, str, str]] = []
 
-    def walk(x, live: bool):
+    def commands(x) -> list[str]:
         if isinstance(x, dict):
-            guard = x.get("if")
-            live = live and not (guard is False or str(guard).strip().lower() in ("false", "${{ false }}", "0"))
-            for k, v in x.items():
-                if live and k in ("run", "script", "before_script", "after_script", "command"):
-                    out.extend(("run", str(y)) for y in (v if isinstance(v, list) else [v]) if isinstance(y, str))
-                elif live and k == "uses" and isinstance(v, str):
-                    out.append(("uses", v))
+            x = x.get("command")
+        return [x] if isinstance(x, str) else [s for y in x for s in commands(y)] if isinstance(x, list) else []
+
+    def walk(x, live: bool) -> None:
+        for y in x if isinstance(x, list) else ():
+            walk(y, live)
+        if not isinstance(x, dict):
+            return
+        live = live and not off(x.get("if")) and not off(x.get("when"))
+        for k, v in x.items():
+            key = k.lower() if isinstance(k, str) else ""
+            if k == "env" and isinstance(v, dict):
+                out.extend(("env", str(n), str(w)) for n, w in v.items() if isinstance(w, (str, int, float, bool)))
+            if live and key in CI_KEYS:
+                out.extend(("run", "", c) for c in commands(v))
+            elif live and key == "uses" and isinstance(v, str):
+                out.append(("uses", "", v))
+            else:
                 walk(v, live)
-        elif isinstance(x, list):
-            for y in x:
-                walk(y, live)
 
     walk(doc, True)
     return out
 
 
-#: What a CI command does, by pattern.
-CI_PATTERNS = {
-    "tests": r"\b(pytest|tox|nox|jest|vitest|mocha|rspec|phpunit|ctest|cargo test|go test|npm (run )?test|yarn test|mvn .*\b(test|verify)|gradlew? .*test|dotnet test|make (test|check))\b",
-    "lint": r"\b(ruff|flake8|pylint|eslint|golangci-lint|clippy|rubocop|stylelint|prettier|black --check|make lint|npm run lint)\b",
-    "typecheck": r"\b(mypy|pyright|tsc|flow check|npm run typecheck|pyre)\b",
-    "deploy": r"\b(kubectl|helm (upgrade|install)|terraform apply|aws s3 sync|gcloud .*deploy|docker push|twine upload|npm publish|cargo publish)\b",
+#: What a CI command, or an action, does (from its beginning); builds that skip the tests; texts that deploy.
+CI_COMMANDS = {
+    "tests": (
+        r"(?i)^(?:pytest|py\.test|tox|nox|behave|robot|python[0-9.]*\s+-m\s+(?:pytest|unittest|nose2|tox|nox)|python[0-9.]*\s+setup\.py\s+test|jest|vitest|mocha|ava|karma|jasmine|tap|(?:npm|yarn|pnpm|bun)\s+(?:-\S+\s+)*(?:run\s+)?(?:test|tests)\b"
+        r"|go\s+test|gotestsum|cargo\s+(?:test|nextest\s+run)|(?:\./)?gradlew?(?:\.bat)?\s+.*\b(?:test|check|build)\b|(?:\./)?mvnw?\s+.*\b(?:test|verify|install)\b|make\s+.*\b(?:test|tests|check|coverage)\b|just\s+.*\b(?:test|check)\b"
+        r"|rspec|rake\s+(?:test|spec)|minitest|phpunit|\S*vendor/bin/phpunit|composer\s+(?:run-script\s+)?test|dotnet\s+test|ctest|bazel\s+test|ninja\s+test|swift\s+test|playwright\s+test|cypress\s+run|coverage\s+run|pytest-\S+)\b"
+    ),
+    "lint": (
+        r"(?i)^(?:eslint|pylint|ruff|flake8|golangci-lint|clippy|cargo\s+clippy|rubocop|black|isort|prettier|shellcheck|stylelint|standardrb|credo|swiftlint|ktlint|(?:npm|yarn|pnpm|bun)\s+(?:-\S+\s+)*(?:run\s+)?lint"
+        r"|pre-commit\s+run|make\s+.*\blint\b|tox\s+.*\blint\b|nox\s+.*\blint\b)\b"
+    ),
+    "typecheck": r"(?i)^(?:tsc|mypy|pyright|pyre|flow\s+check|(?:npm|yarn|pnpm|bun)\s+(?:-\S+\s+)*(?:run\s+)?type[-:]?check|make\s+.*\btype.?check\b|tox\s+.*\b(?:mypy|type)\b|python[0-9.]*\s+-m\s+(?:mypy|pyright|pyre|ty)\b)\b",
 }
+CI_ACTIONS = {
+    "lint": r"(?i)^(?:golangci/golangci-lint-action|reviewdog/action-|github/super-linter|super-linter/super-linter|psf/black|astral-sh/ruff-action|chartboost/ruff-action|pre-commit/action|rubocop/|wearerequired/lint-action)",
+    "typecheck": r"(?i)^(?:jakebailey/pyright-action|tsuyoshicho/action-mypy|jpetrucciani/mypy-check)",
+}
+CI_SKIPS_TESTS = r"(?i)-DskipTests|-Dmaven\.test\.skip|(^|\s)-x\s+test\b|--no-run\b"
+CI_DEPLOYS = r"(?i)\bdeploy\b|\brelease\b|\bpublish\b|\bpush.*ecr\b|\bpush.*registry\b"
+#: Commands that hand over to a Makefile target, a package script or a shell script.
+MAKE_CALL = r"(?i)^make(?:\s+-\S+|\s+\S+=\S*)*\s+([A-Za-z0-9_./-]+)"
+SCRIPT_CALL = r"(?i)^(?:npm|yarn|pnpm|bun)\s+(?:-\S+\s+)*(?:run(?:-script)?\s+)?([A-Za-z0-9:_-]+)"
+SHELL_CALL = r"^(?:(?:ba|z|k|da)?sh\s+(?:-\S+\s+)*)?(\.?/?[A-Za-z0-9_./-]+\.(?:sh|bash))\b"
 
 
-def ci_flags(files: DataFrame) -> DataFrame:
-    """Tests, lint, typecheck and deploy of each repo's CI: true, false, or null where nothing could be read."""
-    from ..functions.text import ci_commands
+def called(command: Column) -> Column:
+    """What a command hands over to, as a key of ``recipes``; null where it does the work itself."""
+    to = lambda kind, pattern: F.concat(F.lit(kind), F.regexp_extract(command, pattern, 1))
+    script = F.concat(F.lit("sh:"), F.regexp_replace(F.regexp_extract(command, SHELL_CALL, 1), r"^[./]+", ""))
+    return F.when(command.rlike(MAKE_CALL), to("make:", MAKE_CALL)).when(command.rlike(SCRIPT_CALL), to("npm:", SCRIPT_CALL)).when(command.rlike(SHELL_CALL), script)
+
+
+def recipes(files: DataFrame) -> DataFrame:
+    """(repo, called, body): bodies of Makefile targets, package scripts and shell scripts, as arrays of commands."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [(r, p, k, "\n".join(v)) for r, p, t in zip(b.repo, b.path, b.text, strict=True) for k, v in make_recipes(t or "").items() if v]
+            yield pd.DataFrame(rows, columns=["repo", "path", "target", "lines"])
+
+    names = ("Makefile", "makefile", "GNUmakefile")
+    made = files.where(F.col("path").isin(*names)).select("repo", "path", F.substring("text", 1, 262144).alias("text")).mapInPandas(run, "repo string, path string, target string, lines string")
+    order = F.array_position(F.array(*map(F.lit, names)), F.col("path"))
+    made = made.groupBy("repo", "target").agg(F.min_by("lines", order).alias("lines")).select("repo", F.concat(F.lit("make:"), "target").alias("called"), "lines")
+    scripts = files.where("path = 'package.json'").select("repo", F.explode(F.from_json(F.get_json_object("text", "$.scripts"), "map<string,string>")).alias("k", "lines")).select("repo", F.concat(F.lit("npm:"), "k").alias("called"), "lines")
+    shell = files.where(F.col("path").rlike(r"\.(sh|bash)$")).select("repo", F.concat(F.lit("sh:"), "path").alias("called"), F.substring("text", 1, 131072).alias("lines"))
+    return made.unionByName(scripts).unionByName(shell).select("repo", "called", ci_commands(F.col("lines")).alias("body"))
+
+
+def ci_read(files: DataFrame) -> DataFrame:
+    """(repo, path, ok, kind, name, value) of all CI files; a row without kind says whether a file could be read."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
             for r, p, t in zip(b.repo, b.path, b.text, strict=True):
                 got = ci_steps(p, t or "")
-                rows += [(r, None)] if got is None else [(r, "")] + [(r, v) for k, v in got if k == "run"]
-            yield pd.DataFrame(rows, columns=["repo", "block"])
+                rows += [(r, p, got is not None, None, None, None), *((r, p, True, *x) for x in got or ())]
+            yield pd.DataFrame(rows, columns=["repo", "path", "ok", "kind", "name", "value"])
 
-    blocks = files.select("repo", "path", "text").mapInPandas(run, "repo string, block string")
-    cmds = blocks.select("repo", F.col("block").isNull().alias("bad"), F.explode_outer(ci_commands(F.col("block"))).alias("cmd"))
-    hits = [F.coalesce(F.max(F.col("cmd").rlike(p)), F.lit(False)).alias(k) for k, p in CI_PATTERNS.items()]
-    per = cmds.groupBy("repo").agg(F.max("bad").alias("bad"), F.count("cmd").alias("n"), *hits)
-    unknown = F.col("bad") & (F.col("n") == 0)
-    return per.select("repo", *[F.when(~unknown, F.col(k)).alias(k) for k in CI_PATTERNS])
+    return files.select("repo", "path", F.substring("text", 1, 16384).alias("text")).mapInPandas(run, "repo string, path string, ok boolean, kind string, name string, value string")
+
+
+def ci_flags(files: DataFrame) -> DataFrame:
+    """(repo, ci_systems, ci_tests, ci_lint, ci_typecheck, ci_deploy, ci_method) of every repository with CI files.
+
+    files: (repo, path, text) of all files. Commands that hand over to a recipe of
+    the same repository are followed two levels deep; a body that settles what
+    a command does stands in its place. A flag is null where nothing could be read.
+    """
+    ci = files.where(F.col("path").rlike(CI_CONFIG))
+    read = ci_read(ci)
+    env = read.where("kind = 'env'").groupBy("repo", "path").agg(F.map_from_entries(F.array_distinct(F.collect_list(F.struct("name", "value")))).alias("env"))
+    blocks = read.where("kind = 'run'").join(env, ["repo", "path"], "left")
+    top = blocks.select("repo", F.explode(ci_commands(substituted(F.col("value"), F.col("env")))).alias("c0")).distinct()
+    bodies = recipes(files)
+    hand = lambda level: bodies.select("repo", F.col("called").alias(f"k{level}"), F.col("body").alias(f"body{level}"))
+    settles = lambda c: F.coalesce(c.rlike("|".join(f"(?:{p})" for p in CI_COMMANDS.values())), F.lit(False))
+    none = F.array().cast("array<string>")
+    one = top.withColumn("k0", called(F.col("c0"))).join(hand(0), ["repo", "k0"], "left").select("repo", "c0", F.explode_outer("body0").alias("c1"))
+    two = one.withColumn("k1", called(F.col("c1"))).join(hand(1), ["repo", "k1"], "left").withColumn("body1", F.coalesce("body1", none))
+    inner = F.when(F.col("c1").isNull(), none).when(F.exists("body1", settles), F.col("body1")).otherwise(F.concat(F.array("c1"), "body1"))
+    per = two.withColumn("inner", inner).groupBy("repo", "c0").agg(F.flatten(F.collect_list("inner")).alias("body"))
+    done = per.select("repo", F.explode(F.when(F.exists("body", settles), F.col("body")).otherwise(F.concat(F.array("c0"), "body"))).alias("cmd"))
+    hit = lambda k: F.col("cmd").rlike(CI_COMMANDS[k]) & (~F.col("cmd").rlike(CI_SKIPS_TESTS) if k == "tests" else F.lit(True))
+    runs = done.groupBy("repo").agg(*[F.max(hit(k)).alias(k) for k in CI_COMMANDS])
+    uses = read.groupBy("repo").agg(F.max("ok").alias("ok"), *[F.max((F.col("kind") == "uses") & F.col("value").rlike(p)).alias(f"uses_{k}") for k, p in CI_ACTIONS.items()])
+    names = F.create_map(*[F.lit(x) for kv in CI_FILES for x in kv])
+    order = F.create_map(*[F.lit(x) for i, (_, n) in enumerate(CI_FILES) for x in (n, i)])
+    system = F.coalesce(F.try_element_at(names, F.col("path")), F.lit("GitHub Actions"))
+    systems = ci.groupBy("repo").agg(
+        F.transform(F.array_sort(F.collect_set(F.struct(F.coalesce(F.try_element_at(order, system), F.lit(99)).alias("o"), system.alias("s")))), lambda x: x["s"]).alias("ci_systems"),
+        F.max(F.substring("text", 1, 16384).rlike(CI_DEPLOYS)).alias("ci_deploy"),
+    )
+    known = lambda k: F.when(F.col("ok"), F.coalesce(F.col(k), F.lit(False)) | (F.coalesce(F.col(f"uses_{k}"), F.lit(False)) if k in CI_ACTIONS else F.lit(False)))
+    out = systems.join(uses, "repo", "left").join(runs, "repo", "left")
+    return out.select("repo", "ci_systems", *[known(k).alias(f"ci_{k}") for k in CI_COMMANDS], "ci_deploy", F.when(F.col("ok"), "parsed").otherwise("parser_unavailable").alias("ci_method"))
 
 
 def python_decisions(text: str) -> list[tuple[str, int]] | None:
@@ -273,3 +421,14 @@ def function_decisions(files: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["repo", "path", "parsed", "function", "decisions"]).astype({"decisions": "Int32"})
 
     return files.select("repo", "path", "ext", F.when(F.col("size") <= PARSED_BYTES, F.col("text")).alias("text")).mapInPandas(run, "repo string, path string, parsed boolean, function string, decisions int")
+
+
+def job_history(spark: SparkSession, folder: str) -> DataFrame:
+    """Records of the jobs in a folder (one job.json each), newest first; a time that can't be read is null and comes last."""
+    jobs = spark.read.option("multiLine", True).json(f"{folder.rstrip('/')}/*/job.json")
+    return jobs.withColumn("created", F.try_to_timestamp("created_at")).orderBy(F.desc_nulls_last("created"), "id")
+
+
+def measured(spark: SparkSession, path: str) -> DataFrame:
+    """Tree documents that were written before, as JSON."""
+    return spark.read.json(path)

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
@@ -59,3 +60,30 @@ def write_once(df: DataFrame, path: str, checkpoint: str, keys: tuple[str, ...]
         batch.dropDuplicates(list(keys)).write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
 
     return df.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint)
+
+
+def log_tail(spark: SparkSession, folder: str) -> DataFrame:
+    """(job, line) of the logs in a folder, as they come; a log is named after its job."""
+    lines = spark.readStream.text(f"{folder.rstrip('/')}/*.log")
+    return lines.select(F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.log$", 1).alias("job"), F.col("value").alias("line"))
+
+
+class Heartbeat(StreamingQueryListener):
+    """Rows that each query has read so far, and whether it is still running, from its progress events."""
+
+    def __init__(self):
+        self.rows: dict[str, int] = {}
+        self.running: set[str] = set()
+
+    def onQueryStarted(self, event):
+        self.running.add(str(event.id))
+
+    def onQueryProgress(self, event):
+        p = event.progress
+        self.rows[str(p.id)] = self.rows.get(str(p.id), 0) + p.numInputRows
+
+    def onQueryIdle(self, event):
+        pass
+
+    def onQueryTerminated(self, event):
+        self.running.discard(str(event.id))

@@ -39,7 +39,7 @@ def repo(tmp_path_factory):
     return d
 
 
-def test_git_relations(spark, repo):
+def test_git_relations(spark, repo, tmp_path):
     spark.dataSource.register(git.GitSource)
     load = lambda r, **o: spark.read.format("git").options(repo=repo, relation=r, **o).load()
     assert [x.subject for x in load("commits").orderBy("ord").collect()] == ["fix: second", "feat: first"]
@@ -47,17 +47,33 @@ def test_git_relations(spark, repo):
     f = load("commit_files")
     assert f.where("path = 'a.py'").agg(F.sum("additions")).first()[0] == 8
     assert [r.tag for r in load("tags").collect()] == ["v1.0"]
-    assert load("refs").where("ref = 'refs/heads/main'").count() == 1
+    main = load("refs").where("ref = 'refs/heads/main'").first()
+    assert (main.commits, main.files, main.top_dirs) == (2, 6, 2)
     assert spark.read.format("git").options(repo="/nowhere").load().count() == 0
+    subprocess.run(["git", "init", "-q", str(tmp_path / "new")], check=True)
+    states = spark.read.format("git").options(repos=f"{repo},/nowhere,{tmp_path / 'new'}", relation="status").load()
+    assert [r.status for r in states.orderBy("status").collect()] == ["empty", "not_a_repository", "ok"]
+
+
+def test_git_peels_an_anonymiser(spark, repo, tmp_path):
+    d = str(tmp_path / "copy")
+    subprocess.run(["git", "clone", "-q", repo, d], check=True)
+    subprocess.run(["git", "-C", d, "-c", "user.name=Anonymizer", "-c", "user.email=x@anonymizer.local", "commit", "-q", "--allow-empty", "-m", "patch"], check=True)
+    spark.dataSource.register(git.GitSource)
+    load = lambda **o: spark.read.format("git").options(repo=d, **o).load().count()
+    assert load() == 3 and load(peel="true") == 2
+    assert git.anonymised("x", "y", "anonymize repository now") and not git.anonymised("ann", "a@b.org", "fix")
 
 
 def test_tree(spark, repo):
     files = tree.as_text(tree.scan(spark, repo))
     assert {r.path for r in files.collect()} == {"a.py", "requirements.txt", "package.json", ".github/workflows/ci.yml", "bin.dat"}
+    every = {r.path for r in tree.scan(spark, [repo], everything=True).collect()}
+    assert "node_modules/x.js" in every and not any(p.startswith(".git/") for p in every)
     deps = {(r.ecosystem, r.name) for r in tree.dependencies(files).collect()}
     assert deps == {("pypi", "flask"), ("pypi", "numpy"), ("npm", "left-pad")}
-    flags = tree.ci_flags(files.where("path like '.github/%'")).first()
-    assert (flags.tests, flags.typecheck, flags.lint, flags.deploy) == (True, True, False, False)
+    flags = tree.ci_flags(files).first()
+    assert (flags.ci_tests, flags.ci_typecheck, flags.ci_lint, flags.ci_deploy, flags.ci_systems) == (True, True, False, False, ["GitHub Actions"])
     got = {r.function: r.decisions for r in tree.function_decisions(files).where("parsed").collect()}
     assert got == {"f": 3, "g": 0}
 
@@ -65,30 +81,24 @@ def test_tree(spark, repo):
 def test_tree_keeps_large_files(spark, tmp_path):
     d = str(tmp_path)
     line = "x = 1  # " + "y" * 90 + "\n"
-    for name, text in {"big.py": line * 12_000 + "def f():\n    return 1\n", "small.py": "def g():\n    return 1\n", "requirements.txt": "# " + "c" * 1_100_000 + "\nflask\n"}.items():
-        with open(f"{d}/{name}", "w") as f:
+    for name, text in {"big.py": line * 12_000 + "def f():\n    return 1\n", "small.py": "def g():\n    return 1\n", "requirements.txt": "# " + "c" * 1_100_000 + "\nflask\n", "bad.py": "x = '\udcff'\n"}.items():
+        with open(f"{d}/{name}", "w", errors="surrogateescape") as f:
             f.write(text)
     files = tree.as_text(tree.scan(spark, d))
-    assert {r.path: r.size > 1_000_000 for r in files.collect()} == {"big.py": True, "small.py": False, "requirements.txt": True}
-    assert {r.path: r["loc"] for r in with_loc(files).where("ext = '.py'").collect()} == {"big.py": 12_002, "small.py": 2}
+    assert {r.path: r.size > 1_000_000 for r in files.collect()} == {"big.py": True, "small.py": False, "requirements.txt": True, "bad.py": False}
+    assert [r.text for r in files.where("path = 'bad.py'").collect()] == ["x = '\ufffd'\n"]
+    assert {r.path: r["loc"] for r in with_loc(files).where("ext = '.py'").collect()} == {"big.py": 12_002, "small.py": 2, "bad.py": 1}
     assert [r.name for r in tree.dependencies(files).collect()] == ["flask"]
-    got = {(r.path, r.function): r.parsed for r in tree.function_decisions(files.where("ext = '.py'")).collect()}
+    got = {(r.path, r.function): r.parsed for r in tree.function_decisions(files.where("path in ('big.py', 'small.py')")).collect()}
     assert got == {("big.py", None): False, ("small.py", "g"): True}
-
-
-def test_tree_keeps_files_above_the_readers_limit(spark, repo):
-    spark.conf.set("spark.sql.sources.binaryFile.maxLength", "60")
-    try:
-        got = {r.path: r.content is None for r in tree.scan(spark, repo).collect()}
-    finally:
-        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
-    assert got["a.py"] and not got["requirements.txt"] and set(got) == {r.path for r in tree.scan(spark, repo).collect()}
+    short = spark.read.format("tree").options(root=d, maxlength="100").load()
+    assert {r.path: r.content is None for r in short.collect()} == {"big.py": True, "small.py": False, "requirements.txt": True, "bad.py": False}
 
 
 def test_readers():
-    assert tree.make_recipes("a: b\n\t@echo x\n\techo y\nb:\n\tls\n") == {"a": "echo x\necho y", "b": "ls"}
-    assert tree.yaml_block_keys("dependencies:\n  a: 1\n    x: 2\n  b:\nother:\n  c: 1\n", {"dependencies"}) == ["a", "b"]
-    assert tree.manifest_names("Cargo.toml", "[dependencies]\nserde = '1'\n") == [("cargo", "serde")]
+    assert tree.make_recipes("a: b\n\t@echo x\n\techo y\nb:\n\tls\n") == {"a": ["echo x", "echo y"], "b": ["ls"]}
+    assert tree.yaml_block_keys("dependencies:\n  a: 1\n    x: 2\n  b:\nother:\n  c: 1\n", {"dependencies"}) == ["a", "x", "b"]
+    assert tree.manifest_names("Cargo.toml", "[dependencies]\nserde = '1'\n") == [("cargo", "serde", False)]
     assert tree.manifest_names("package.json", "broken") == []
     assert tree.ci_steps("x.yml", "a: [") is None
 
@@ -118,19 +128,62 @@ def test_job_states(spark, tmp_path):
 
 
 def test_measure(spark, repo, tmp_path):
-    from quarrymeter.operators import emit
+    from quarrymeter.operators import boundary, emit
     from quarrymeter.plans.measure import measure
 
-    docs = measure(spark, [repo, str(tmp_path)], "2020-01-05 00:00:00")
+    mined = spark.createDataFrame([(repo, "t", "net_new", "Large", "Add a cache to the parser", ["a.py"], None)], "repo string, title string, task_type string, complexity string, summary string, files array<string>, shas array<string>")
+    clone = str(tmp_path / "clone")
+    subprocess.run(["git", "clone", "-q", repo, clone], check=True)
+    docs = measure(spark, [repo, clone, str(tmp_path / "nothing")], "2020-01-05 00:00:00", mined=mined)
     rows = {r.repo: r for r in docs["row"].collect()}
     got = rows[repo]
-    assert (got.commits, got.human_authors, got.span_days, got.recency_days, got.conventional_rate) == (2, 1, 2, 2, 1.0)
-    assert (got.primary_language, got.ci_tests, got.ci_deploy, got.has_ci, got.has_readme) == ("Python", True, False, True, False)
-    assert got.frameworks == ["Flask"]
-    gone = rows[str(tmp_path)]
-    assert gone.commits is None and gone.git_status == "unavailable"
+    assert docs["row"].columns == ["repo", *boundary.ROW] and len(boundary.ROW) == 41
+    assert (got.commit_count, got.author_count, got.span_days, got.active_days, got.commits_by_month) == (2, 1, 2, 2, [0] * 11 + [2])
+    assert (got.primary_language, got.ci_runs_tests, got.has_ci, got.status, got.skip_reason) == ("Python", True, True, "partial", "llm_disabled")
+    assert got["loc"] == 7 and got.languages == {"Python": 7.0} and got.real_repo_name is None and got.fake_repo_name == "repo-" + got.repo_digest[:12]
+    gone = rows[str(tmp_path / "nothing")]
+    assert gone.commit_count is None and gone["loc"] is None and (gone.status, gone.skip_reason) == ("partial", "lanes_unavailable")
+    nested = {r.repo: r for r in docs["measurement"].collect()}
+    # a clone shares its commits' names, and is measured on its own
+    assert nested[clone].git.class_d_bug_count == nested[repo].git.class_d_bug_count and nested[clone].git.total_commits == 2
+    assert nested[repo].tree.frameworks == ["Flask"] and nested[repo].git.conventional_rate == 1.0 and nested[repo].git.tag_count == 1
+    assert {r.repo: (r.total_candidates, r.n_net_new) for r in docs["mining"].collect()}[repo] == (1, 1)
     emit.write_documents(docs["row"], str(tmp_path / "csv"), "csv")
     emit.write_documents(docs["measurement"], str(tmp_path / "json"))
-    assert spark.read.json(str(tmp_path / "json")).count() == 2
+    assert spark.read.json(str(tmp_path / "json")).count() == 3
     with pytest.raises(NotImplementedError):
         emit.write_documents(docs["row"], str(tmp_path / "x"), "db")
+
+
+def test_write_once_and_log_tail(spark, tmp_path):
+    spark.createDataFrame([("r", "s1"), ("r", "s1"), ("r", "s2")], "repo string, sha string").coalesce(1).write.parquet(str(tmp_path / "c"))
+    stream = spark.readStream.schema("repo string, sha string").parquet(str(tmp_path / "c"))
+    for _ in range(2):  # a second run finds nothing new
+        q = live.write_once(stream, str(tmp_path / "out"), str(tmp_path / "cp")).trigger(availableNow=True).start()
+        q.awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+    logs = tmp_path / "logs"
+    logs.mkdir()
+    (logs / "job-7.log").write_text("one\ntwo\n")
+    got = {(r.job, r.line) for r in _drain(live.log_tail(spark, str(logs)), "tail", "append")}
+    assert got == {("job-7", "one"), ("job-7", "two")}
+    beat = live.Heartbeat()
+    spark.streams.addListener(beat)
+    try:
+        q = stream.writeStream.format("noop").trigger(availableNow=True).start()
+        q.awaitTermination()
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    finally:
+        spark.streams.removeListener(beat)
+    assert beat.rows.get(str(q.id), 0) == 3
+
+
+def test_documents_in(spark, tmp_path):
+    import json
+
+    for i, (job, at) in enumerate((("a", "2024-01-02T00:00:00"), ("b", "2024-01-03T00:00:00"), ("c", "bad"))):
+        d = tmp_path / "jobs" / job
+        d.mkdir(parents=True)
+        (d / "job.json").write_text(json.dumps({"id": job, "created_at": at, "stats": {"n": i}}))
+    got = tree.job_history(spark, str(tmp_path / "jobs")).collect()
+    assert [r.id for r in got] == ["b", "a", "c"] and got[2].created is None and got[0].stats.n == 1
