@@ -19,13 +19,17 @@ The items' sets are broadcast in groups of a checked size: a benchmark above
 
 Defined cases: null and empty items or documents match nothing; repeated items
 with one id are merged into one set of shingles, and null item ids match
-nothing; repeated documents each get their rows; an empty benchmark gives an
-empty result.
+nothing; repeated documents each get their rows, and documents that share an id
+are compared each on its own; a very long document is compared whole; containment
+at exactly the threshold counts; other columns are not read, whatever their names
+(``keep_clean`` leaves them as they are); an empty benchmark gives an empty
+result, and so do no documents.
 """
 
 from __future__ import annotations
 
 import math
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -63,6 +67,9 @@ class Index:
     def __init__(self, items: list[tuple[int, np.ndarray, int]], threshold: float = THRESHOLD):
         # items: (item id, sorted shingle hashes, shingle length)
         self.items, self.threshold = items, threshold
+        self.parts: dict[int, list[int]] = {}
+        for i, (item, _, _) in enumerate(items):
+            self.parts.setdefault(item, []).append(i)
         self.groups: dict[tuple[int, int], list[int]] = {}
         small: dict[int, list[tuple[int, int]]] = {}
         for i, (_, s, k) in enumerate(items):
@@ -128,22 +135,42 @@ class Index:
         return found
 
     def matches(self, words: Words) -> list[tuple[int, int, int, int]]:
-        """(document, item index, shared, item shingles) of the verified pairs."""
-        found = sorted(self.candidates(words))
+        """(document, item id, shared, item shingles) of the verified pairs, one for each document and item.
+
+        An item whose texts give shingles of several lengths is one set: what is
+        shared is added up over the lengths. Containment of the whole means
+        that of one length at least, so candidates of any length will do.
+        """
+        found = sorted({(d, self.items[i][0]) for d, i in self.candidates(words)})
         out, sets = [], {}
-        for d, i in found:
-            _, s, k = self.items[i]
-            if (d, k) not in sets:
-                if len(sets) > 64:
-                    sets.clear()
-                h = words.hash[words.doc[d] : words.doc[d + 1]]
-                sets[d, k] = np.unique(runs_hash(h, k) + np.uint64(k))
-            shared = int(np.isin(s, sets[d, k], assume_unique=True).sum())
-            if shared >= needed(len(s), self.threshold):
-                out.append((d, i, shared, len(s)))
+        for d, item in found:
+            shared = total = 0
+            for i in self.parts[item]:
+                _, s, k = self.items[i]
+                if (d, k) not in sets:
+                    if len(sets) > 64:
+                        sets.clear()
+                    h = words.hash[words.doc[d] : words.doc[d + 1]]
+                    sets[d, k] = np.unique(runs_hash(h, k) + np.uint64(k))
+                shared += int(np.isin(s, sets[d, k], assume_unique=True).sum())
+                total += len(s)
+            if shared >= needed(total, self.threshold):
+                out.append((d, item, shared, total))
         return out
 
 
+_indexes: dict[tuple[str, float], Index] = {}
+
+
+def _index(name: str, held, threshold: float) -> Index:
+    """The index of a broadcast group of items, made once for each Python worker."""
+    if (name, threshold) not in _indexes:
+        if len(_indexes) > 1:
+            _indexes.clear()
+        _indexes[name, threshold] = Index(held.value, threshold)
+    return _indexes[name, threshold]
+
+
 def _item_sets(rows: list[tuple[int, str]]) -> list[tuple[int, np.ndarray, int]]:
     by_id: dict[int, list[str]] = {}
     for i, t in rows:
@@ -171,13 +198,13 @@ def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, threshold: float =
         rows = items if n_groups == 1 else items.where(F.pmod(F.xxhash64("item_id"), F.lit(n_groups)) == g)
         held = spark.sparkContext.broadcast(_item_sets([(r.item_id, r.text) for r in rows.toLocalIterator()]))  # about GROUP_SHINGLES at most
 
-        def run(batches, held=held):
-            index = Index(held.value, threshold)
+        def run(batches, held=held, name=uuid.uuid4().hex):
+            index = _index(name, held, threshold)
             for batch in batches:
                 for b in pieces(batch):
                     ids = b.column("doc_id")
                     got = index.matches(words_of(b.column("text"), True)) if index.items else []
-                    yield pa.RecordBatch.from_arrays([ids.take(pa.array([m[0] for m in got], pa.int64())), pa.array([index.items[m[1]][0] for m in got], pa.int64()), pa.array([m[2] for m in got], pa.int64()), pa.array([m[3] for m in got], pa.int64())], ["doc_id", "item_id", "shared", "item_shingles"])
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array([m[0] for m in got], pa.int64())), pa.array([m[1] for m in got], pa.int64()), pa.array([m[2] for m in got], pa.int64()), pa.array([m[3] for m in got], pa.int64())], ["doc_id", "item_id", "shared", "item_shingles"])
 
         part = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, item_id long, shared long, item_shingles long")
         out = part if out is None else out.unionByName(part)
@@ -195,8 +222,8 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
         rows = items if n_groups == 1 else items.where(F.pmod(F.xxhash64("item_id"), F.lit(n_groups)) == g)
         held = spark.sparkContext.broadcast(_item_sets([(r.item_id, r.text) for r in rows.toLocalIterator()]))
 
-        def run(batches, held=held):
-            index = Index(held.value, threshold)
+        def run(batches, held=held, name=uuid.uuid4().hex):
+            index = _index(name, held, threshold)
             for batch in batches:
                 for b in pieces(batch):
                     keep = np.ones(b.num_rows, bool)

@@ -23,8 +23,10 @@ of wanted ids lets through are shuffled.
 
 Defined cases: null, empty and blank texts have an empty set, link with nothing
 and are their own component; a null id gives a null component and is kept;
-repeated rows get equal results; rows that share an id are told apart by their sets; an
-empty table gives an empty result.
+repeated rows get equal results; rows that share an id are told apart by their sets;
+a very long text is one set, compared whole; pairs at exactly the threshold link;
+other columns are not read, whatever their names; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -35,13 +37,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import U64, Table, Words, as_long, bounded_batches, bloom_keep, bloom_of, components, mix, pieces, runs_hash, unique_per_doc, words_of
+from .common import U64, Table, Words, as_long, bounded_batches, bloom_keep, bloom_of, components, mix, pieces, runs_hash, unique_per_doc, unskewed, words_of
 
 PERMUTATIONS = 100
 ROWS = 5
-BLOCK = 2048
-BLOCK_ITEMS = 6_000_000
+BLOCK = 512
+BLOCK_ITEMS = 3_000_000
+SALTS, HOT_PAIRS = 16, 400
 _rng = np.random.default_rng(31)
 _MUL = _rng.integers(0, 2**62, PERMUTATIONS, dtype=np.int64).astype(U64) * U64(2) + U64(1)
 #: Estimates lie within four standard deviations of the similarity above this distance from the threshold.
@@ -199,14 +203,25 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
 def _verify(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
     """(a, b) of the pairs (ka, kb, a, b) whose full sets are similar enough."""
     wanted = pairs.select(F.col("a").alias("doc_id"), F.col("ka").alias("key")).union(pairs.select("b", "kb")).distinct()
-    sets = _sets_of(docs, wanted, k)
-    one = pairs.select("ka", "kb").join(sets.select(F.col("key").alias("ka"), F.col("items").alias("left")), "ka")
-    two = one.join(sets.select(F.col("key").alias("kb"), F.col("items").alias("right")), "kb")
+    sets = Table(_sets_of(docs, wanted, k), "sets").df
+    # the leader of a large group is in many pairs: its set is dealt to SALTS places, and so are its pairs
+    hot = {c: _frequent(pairs, c) for c in ("ka", "kb")}
+    salt = lambda c, other: F.when(F.col(c).isin(*hot[c]), F.pmod(F.xxhash64(other), F.lit(SALTS))).otherwise(0) if hot[c] else F.lit(0).cast("long")
+    places = lambda c: F.when(F.col("key").isin(*hot[c]), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))) if hot[c] else F.array(F.lit(0))
+    side = lambda c, name: sets.select(F.col("key").alias(c), F.col("items").alias(name), F.explode(places(c)).cast("long").alias("salt"))
+    one = pairs.select("ka", "kb", salt("ka", "kb").alias("salt")).join(side("ka", "left"), ["ka", "salt"]).drop("salt")
+    two = one.withColumn("salt", salt("kb", "ka")).join(side("kb", "right"), ["kb", "salt"])
     return two.select("ka", "kb", "left", "right").mapInArrow(_confirm(percent), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept): one row for each row of the input."""
+def _frequent(pairs: DataFrame, column: str) -> list[int]:
+    """Keys that stand in more than 1/HOT_PAIRS of the pairs: HOT_PAIRS keys at most."""
+    total = pairs.count()
+    return [r[0] for r in pairs.groupBy(column).count().where(F.col("count") > max(SALTS, total // HOT_PAIRS)).select(column).collect()]
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", with_key: bool = False) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept): one row for each row of the input; ``with_key`` adds the key of its set, null without words."""
     bounded_batches(docs.sparkSession)
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     signed = Table(src.mapInArrow(_sign(k), "doc_id long, n long, key long, bands array<long>, sig binary"), "signed")
@@ -267,23 +282,44 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
 
     if comp is None:
         comp = nodes.select("id", F.col("id").alias("component"))
-    named = comp.withColumnRenamed("id", "key").join(reps.select("key", "rep"), "key")
+    named = Table(comp.withColumnRenamed("id", "key").join(reps.select("key", "rep"), "key"), "named").df
     least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
-    out = rows.join(named.join(least, "component").select("key", "component_id"), "key", "left")
+    out = unskewed(rows, unskewed(named, least, "component").select("key", "component_id"), "key")
     comp_id = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", comp_id.alias("component_id"), F.coalesce(F.col("doc_id") == comp_id, F.lit(True)).alias("kept"))
+    key = ["key"] if with_key else []
+    return out.select("doc_id", "n_shingles", comp_id.alias("component_id"), F.coalesce(F.col("doc_id") == comp_id, F.lit(True)).alias("kept"), *key)
+
+
+def _with_key(k: int, name: str):
+    def run(batches):
+        for batch in batches:
+            for b in pieces(batch):
+                v, off = shingle_sets(words_of(b.column(b.schema.get_field_index("text")), True), k)
+                key = pa.array(as_long(set_keys(v, off)), mask=np.diff(off) == 0)
+                yield pa.RecordBatch.from_arrays([*b.columns, key], [*b.schema.names, name])
+
+    return run
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """The documents with one of each group of near-duplicates, the one with the smallest id.
+    """The documents with one of each group of near-duplicates: the one with the smallest id, and of rows with that id the one with the smallest set key.
 
-    Only documents that a bit set of the dropped and repeated ids lets through
-    are shuffled. Rows that share an id count as one document: one of them stays.
-    Rows with a null id all stay.
+    Rows are told apart by id and set, so a row goes only if its own text is a
+    copy: different texts that share an id both stay, and of rows with one id
+    and equal sets the one with the smallest text stays. Rows with a null id or
+    without words all stay. Only documents that a bit set of the ids in
+    question lets through are shuffled. Columns stay as they are.
     """
-    found = Table(near_duplicates(docs, k, percent), "classes").df.where("doc_id is not null")
-    gone = found.where("not kept").select("doc_id").distinct()
-    twice = found.groupBy("doc_id").count().where("count > 1").select("doc_id")
-    bits = bloom_of(gone.union(twice))
+    KEY = "_set_key" + "_" * sum(c.startswith("_set_key") for c in docs.columns)  # noqa: N806
+    found = Table(near_duplicates(docs, k, percent, with_key=True).select("doc_id", "key", "component_id"), "classes").df.where("doc_id is not null and key is not null")
+    rows = found.groupBy("doc_id", "key", "component_id").count()
+    best = found.groupBy("component_id").agg(F.min(F.struct("doc_id", "key")).alias("best"))
+    decided = Table(unskewed(Table(rows, "rows").df, best, "component_id").select("doc_id", "key", "count", (F.struct("doc_id", "key") != F.col("best")).alias("goes")), "decided").df
+    bits = bloom_of(decided.where("goes or count > 1").select("doc_id").distinct())
     rest = bloom_keep(docs, "doc_id", bits, outside=True)
-    return bloom_keep(docs, "doc_id", bits).join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"]).select(*docs.columns).union(rest)
+    kind = T.StructType([*docs.schema.fields, T.StructField(KEY, T.LongType())])
+    some = bloom_keep(docs, "doc_id", bits).mapInArrow(_with_key(k, KEY), kind)
+    gone = decided.where("goes").select(F.col("doc_id").alias("_gone_id"), F.col("key").alias(KEY))
+    left = some.join(gone, (F.col("doc_id") == F.col("_gone_id")) & (some[KEY] == gone[KEY]), "left_anti")
+    one = left.where(F.col(KEY).isNotNull()).groupBy("doc_id", KEY).agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), F.col("text")).alias("_row")).select("_row.*")
+    return one.union(left.where(F.col(KEY).isNull()).drop(KEY)).union(rest)

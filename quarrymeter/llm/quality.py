@@ -13,9 +13,12 @@ has a fixed size, so it is broadcast.
 Defined cases: a null or empty text, or one without words, is a bag of one
 empty passage and gets that passage's score; repeated rows get equal scores;
 rows of ``labels`` with a null id or label are left out of fitting, as are
-labels of documents that aren't there; without labels of both kinds every score
-is the share of label 1 among the rest, or 0.5; columns of the documents
-stay as they are, and a column named like a result is replaced.
+labels of documents that aren't there; a document with labels of both kinds
+counts as 0; a very long text is a bag of all its passages; without labels of
+both kinds every score is the share of label 1 among the rest, or 0.5, and so it
+is for an empty table of labels; an empty table of documents gives an empty
+result. ``with_scores`` replaces columns named like its results; ``keep_good``
+leaves all columns as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -197,7 +200,24 @@ def train(docs: DataFrame, labels: DataFrame, fold_of: int = 5, held: int = 0, m
     return fit(np.concatenate(x) if x else np.zeros((1, N_FEATURES), np.float32), off, np.array([r[1] for r in got], float))
 
 
-def with_scores(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
+THRESHOLD = 0.3
+
+
+def keep_good(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """The documents that score at least the threshold, with all their columns as they are, in one pass."""
+    bounded_batches(docs.sparkSession)
+    held = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        for batch in batches:
+            for b in pieces(batch):
+                s = score(held.value, *passages(words_of(b.column(b.schema.get_field_index("text")), False)))
+                yield b.filter(pa.array(s >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def with_scores(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """The documents with ``score`` and ``predicted``, in one pass."""
     base = docs.drop("score", "predicted")
     bounded_batches(docs.sparkSession)

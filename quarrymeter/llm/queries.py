@@ -48,7 +48,8 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = secrets.scan(_read(spark, sf_dir, "documents"), secrets.train(secrets.labelled()))
+    docs = _read(spark, sf_dir, "documents")
+    found = secrets.scan(docs, secrets.model(docs))
     return found.select("doc_id", "n_candidates", "n_secrets", "max_score", F.to_json("spans").alias("spans"))
 
 

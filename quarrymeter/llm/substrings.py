@@ -12,21 +12,30 @@ immutable run of (anchor hash, count), sorted by hash; a new batch is
 merge-joined with the runs before it to find the anchors that occur again; runs
 are compacted into one when there are more than ``max_runs``.
 
+``remove_known`` is the incremental form: an index of window fingerprints (two
+of 64 bits) that is kept in a folder, opened again by later batches, merge-joined
+with each of them and compacted. It holds every window, so it takes some 16 bytes
+a word of all batches so far; earlier documents aren't read again.
+
 Only windows whose anchor occurs again are then verified: the documents that
-hold such anchors are read again, and their window hashes (64 bits, besides the
-64 bits of the anchor) are compared inside buckets of anchors. Anchors that occur
+hold such anchors are read again, and pairs of anchor and window hash (64 bits
+each) are compared inside buckets of anchors. Anchors that occur
 more than ``HOT`` times are spread over buckets by window hash instead, and a
 window that repeats inside one slice of a task is sent once, so a passage that a
 third of all documents share fills no single bucket.
 
 Defined cases: null, empty and short texts lose nothing; a null text has no
 words; repeated rows are documents of their own, so their windows repeat; rows
-with a null id are compared like others; an empty table gives an empty result.
+with a null id, or that share an id, are compared like others; a very long text is
+compared whole; a window that overlaps its own repeat counts; other columns are
+not read, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, Table, Words, as_long, bounded_batches, bloom_keep, bloom_of, mix, pieces, runs_hash, words_of
+from .common import U64, Table, Words, as_long, bounded_batches, bloom_keep, bloom_of, delete_path, mix, pieces, put_file, read_file, runs_hash, scratch_path, words_of
 
 WINDOW, ANCHOR = 35, 12
 HOT = 5000
@@ -42,37 +51,72 @@ BUCKET_WORDS = 1_500_000
 
 
 class FingerprintIndex:
-    """Sorted immutable runs of (h, n) in the shared folder."""
-
-    def __init__(self, spark: SparkSession, max_runs: int = 3):
-        self.spark, self.max_runs, self.runs = spark, max_runs, []
-
-    def _write(self, counts: DataFrame) -> Table:
-        return Table(counts.sortWithinPartitions("h"), "run")
+    """Sorted immutable runs of (keys, n) in a folder, which may outlive the session.
+
+    A manifest names the runs; it is replaced by renaming, after a run is whole
+    and before runs that it no longer names are deleted, so whoever opens the
+    folder again finds all that was added. Without ``path`` the index is in the
+    shared folder.
+    """
+
+    def __init__(self, spark: SparkSession, max_runs: int = 3, path: str | None = None, keys: tuple[str, ...] = ("h",)):
+        self.spark, self.max_runs, self.keys = spark, max_runs, list(keys)
+        self.path = (path or scratch_path(spark, "index")).rstrip("/")
+        self.compactions = 0
+        try:
+            self.runs: list[str] = json.loads(read_file(f"{self.path}/manifest.json"))
+        except FileNotFoundError:
+            self.runs = []
+
+    def _read(self, run: str) -> DataFrame:
+        return self.spark.read.schema(", ".join(f"{k} long" for k in [*self.keys, "n"])).parquet(f"{self.path}/{run}")
+
+    def _write(self, counts: DataFrame) -> str:
+        run = f"run-{uuid.uuid4().hex}"
+        counts.select(*self.keys, F.col("n").cast("long").alias("n")).sortWithinPartitions(*self.keys).write.option("compression", "zstd").parquet(f"{self.path}/{run}")
+        return run
+
+    def _name(self, runs: list[str]) -> None:
+        put_file(f"{self.path}/manifest.json", json.dumps(runs).encode())
+        self.runs = runs
 
     def append(self, batch: DataFrame) -> DataFrame:
-        """Add a batch of (h, n); returns (h, n) of its hashes that occur more than once so far, n over all runs."""
-        new = self._write(batch.groupBy("h").agg(F.sum("n").alias("n")))
-        seen = new.df
-        total = F.col("n")
+        """Add a batch of (keys, n); returns those of its keys that occur more than once so far, n over all runs."""
+        new = self._write(batch.groupBy(*self.keys).agg(F.sum("n").alias("n")))
+        seen, total = self._read(new), F.col("n")
         for i, old in enumerate(self.runs):
-            seen = seen.hint("merge").join(old.df.select("h", F.col("n").alias(f"n{i}")), "h", "left")
+            seen = seen.hint("merge").join(self._read(old).withColumnRenamed("n", f"n{i}"), self.keys, "left")
             total = total + F.coalesce(F.col(f"n{i}"), F.lit(0))
-        again = Table(seen.select("h", total.alias("n")).where("n > 1"), "again").df
-        self.runs.append(new)
+        again = Table(seen.select(*self.keys, total.alias("n")).where("n > 1"), "again").df
+        self._name([*self.runs, new])
         if len(self.runs) > self.max_runs:
             self.compact()
         return again
 
     def compact(self) -> None:
         """Merge all runs into one."""
-        merged = self.runs[0].df
-        for r in self.runs[1:]:
-            merged = merged.union(r.df)
-        one = self._write(merged.groupBy("h").agg(F.sum("n").alias("n")))
-        for r in self.runs:
-            r.drop()
-        self.runs = [one]
+        old = self.runs
+        merged = self._read(old[0])
+        for r in old[1:]:
+            merged = merged.union(self._read(r))
+        self._name([self._write(merged.groupBy(*self.keys).agg(F.sum("n").alias("n")))])
+        self.compactions += 1
+        for r in old:
+            delete_path(self.spark, f"{self.path}/{r}")
+
+    def drop(self) -> None:
+        delete_path(self.spark, self.path)
+
+
+def same_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Group of each pair of values, and the first place of each group."""
+    order = np.lexsort((b, a))
+    x, y = a[order], b[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1])
+    group = np.empty(len(order), np.int64)
+    group[order] = np.cumsum(new) - 1
+    return group, order[new]
 
 
 def anchors(words: Words, window: int, anchor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -143,7 +187,8 @@ def _window_rows(window: int, anchor: int, buckets: int):
                 # hot anchors: a row a window, spread by window hash
                 k = np.flatnonzero(hot)
                 if len(k):
-                    _, rep, back, count = np.unique(mix(full[k] ^ h[k]), return_index=True, return_inverse=True, return_counts=True)
+                    back, rep = same_pairs(h[k], full[k])
+                    count = np.bincount(back)
                     for rows, weight in ((k[rep], np.minimum(count, 2)), (k[count[back] > 1], None)):
                         # the first lot is evidence for other slices; the second is known to repeat
                         by = full[rows] if weight is not None else key[doc[start[rows]]].view(U64) + start[rows].astype(U64)
@@ -181,8 +226,7 @@ def _repeats(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> I
     full = np.frombuffer(b"".join(x.as_py() for x in hs), U64)
     row = np.repeat(np.arange(len(size)), size)
     weight = col("weight")[row]
-    both = mix(full ^ mix(col("h").view(U64)[row]))
-    _, back = np.unique(both, return_inverse=True)
+    back, _ = same_pairs(col("h").view(U64)[row], full)
     again = (np.bincount(back, weight)[back] > 1) | (weight == 0)
     bit = np.arange(len(row)) - (np.cumsum(size) - size)[row]
     mask = np.bincount(row, np.where(again, 2.0 ** bit, 0), len(size)).astype(np.int64)
@@ -223,7 +267,7 @@ def _cut(window: int, marked: bool, digest: bool):
     return run
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, batches: int = 2, digest: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, batches: int = 4, max_runs: int = 2, digest: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_words, n_removed, text), or with ``digest`` (doc_id, n_words, n_removed, kept_sha256)."""
     if not 1 <= anchor <= window <= anchor + 52:
         raise ValueError("window must be at least anchor and at most anchor + 52 words")
@@ -231,7 +275,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     bounded_batches(spark)
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("key", F.xxhash64("doc_id", "text"))
     held = Table(src.select("key", "text").mapInArrow(_anchor_rows(window, anchor), "key long, h long, n int"), "anchors")
-    index = FingerprintIndex(spark)
+    index = FingerprintIndex(spark, max_runs)
     found = [index.append(held.df.where(F.pmod("key", F.lit(batches)) == i).select("h", "n")) for i in range(batches)]
     again = found[0]
     for f in found[1:]:
@@ -239,6 +283,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     again = again.groupBy("h").agg(F.max("n").alias("n")).select("h", (F.col("n") > HOT).alias("hot"))
     flags = Table(held.df.select("key", "h").join(again, "h").groupBy("key").agg(F.collect_list(F.struct("h", "hot")).alias("flags")), "flags")
     held.drop()
+    index.drop()
     total = flags.df.agg(F.sum(F.size("flags"))).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total * (window - anchor + 1) // 2 // BUCKET_WORDS) + 1)
     bits = bloom_of(flags.df.select("key"))
@@ -250,3 +295,33 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     touched = bloom_keep(src, "key", bits).join(marks.df, "key", "left").select("doc_id", "text", "marks")
     rest = bloom_keep(src, "key", bits, outside=True).select("doc_id", "text")
     return touched.mapInArrow(_cut(window, True, digest), schema).union(rest.mapInArrow(_cut(window, False, digest), schema))
+
+
+def _all_windows(window: int):
+    def run(batches):
+        for batch in batches:
+            for b in pieces(batch):
+                w = words_of(b.column("text"), False)
+                doc = w.doc_of()
+                start = np.flatnonzero(doc[: max(0, len(doc) - window + 1)] == doc[window - 1 :])
+                h, g = runs_hash(w.hash, window)[start], runs_hash(mix(w.hash + U64(91)), window)[start]
+                yield pa.RecordBatch.from_arrays([pa.array(b.column("key").to_numpy()[doc[start]]), pa.array((start - w.doc[doc[start]]).astype(np.int32)), pa.array(as_long(h)), pa.array(as_long(g))], ["key", "pos", "h", "g"])
+
+    return run
+
+
+def remove_known(docs: DataFrame, path: str, window: int = WINDOW, max_runs: int = 3, digest: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_words, n_removed, text) of a batch: words go that a window covers which stands elsewhere in the batch or in an earlier one.
+
+    ``path`` is the folder of the index, made by the first batch; this batch's
+    windows are added to it before anything is returned.
+    """
+    spark = docs.sparkSession
+    bounded_batches(spark)
+    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("key", F.xxhash64("doc_id", "text"))
+    seen = Table(src.select("key", "text").mapInArrow(_all_windows(window), "key long, pos int, h long, g long"), "windows")
+    again = FingerprintIndex(spark, max_runs, path, ("h", "g")).append(seen.df.select("h", "g", F.lit(1).alias("n")))
+    marks = Table(seen.df.join(again.select("h", "g"), ["h", "g"]).select("key", "pos").distinct().groupBy("key").agg(F.collect_list(F.struct("pos", F.lit(1).cast("long").alias("mask"))).alias("marks")), "marks")
+    seen.drop()
+    schema = "doc_id long, n_words long, n_removed long, " + ("kept_sha256 string" if digest else "text string")
+    return src.join(marks.df, "key", "left").select("doc_id", "text", "marks").mapInArrow(_cut(window, True, digest), schema)
