@@ -3,6 +3,15 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame. The result of a
 stage is written as Parquet to the shared folder and read again as the next
 stage's documents. All stages but the last keep the columns of ``documents``.
+
+Defined cases, in every stage: a null or empty text is scored as an empty
+passage by the first stage, and if it stays there it stays in all others; a null
+id is as good as any; very long texts are read whole; repeated rows are exact
+copies, of which one stays; different texts that share an id are decided each on
+its own; of equal candidates the smallest id stays; columns keep their names,
+types and values, whatever their names, but for the text where secrets are masked;
+empty tables, also of labels or of the benchmark, give an empty result or take
+nothing away.
 """
 
 from __future__ import annotations
@@ -17,7 +26,7 @@ from quarrymeter.llm.queries import BYTE_VOCAB
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Quality classifier (1): documents scored below the threshold go."""
     model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.with_scores(docs, model).where("predicted = 1").select(*docs.columns)
+    return quality.keep_good(docs, model)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,7 +41,7 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secret scans (6): secrets are masked in the text; all documents stay."""
-    return secrets.redact(docs, secrets.train(secrets.labelled()))
+    return secrets.redact(docs, secrets.model(docs))
 
 
 def tokenised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
