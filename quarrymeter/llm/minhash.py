@@ -208,7 +208,7 @@ def _verify(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFram
     hot = {c: _frequent(pairs, c) for c in ("ka", "kb")}
     salt = lambda c, other: F.when(F.col(c).isin(*hot[c]), F.pmod(F.xxhash64(other), F.lit(SALTS))).otherwise(0) if hot[c] else F.lit(0).cast("long")
     places = lambda c: F.when(F.col("key").isin(*hot[c]), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))) if hot[c] else F.array(F.lit(0))
-    side = lambda c, name: sets.select(F.col("key").alias(c), F.col("items").alias(name), F.explode(places(c)).cast("long").alias("salt"))
+    side = lambda c, name: sets.select(F.col("key").alias(c), F.col("items").alias(name), F.explode(places(c).cast("array<long>")).alias("salt"))
     one = pairs.select("ka", "kb", salt("ka", "kb").alias("salt")).join(side("ka", "left"), ["ka", "salt"]).drop("salt")
     two = one.withColumn("salt", salt("kb", "ka")).join(side("kb", "right"), ["kb", "salt"])
     return two.select("ka", "kb", "left", "right").mapInArrow(_confirm(percent), "a long, b long")
@@ -221,7 +221,7 @@ def _frequent(pairs: DataFrame, column: str) -> list[int]:
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", with_key: bool = False) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept): one row for each row of the input; ``with_key`` adds the key of its set, null without words."""
+    """(doc_id, n_shingles, component_id, kept): one row for each row of the input; ``with_key`` adds the keys of its set and of its group, null without words."""
     bounded_batches(docs.sparkSession)
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     signed = Table(src.mapInArrow(_sign(k), "doc_id long, n long, key long, bands array<long>, sig binary"), "signed")
@@ -284,9 +284,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
         comp = nodes.select("id", F.col("id").alias("component"))
     named = Table(comp.withColumnRenamed("id", "key").join(reps.select("key", "rep"), "key"), "named").df
     least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
-    out = unskewed(rows, unskewed(named, least, "component").select("key", "component_id"), "key")
+    out = unskewed(rows, unskewed(named, least, "component").select("key", "component", "component_id"), "key")
     comp_id = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    key = ["key"] if with_key else []
+    key = ["key", "component"] if with_key else []
     return out.select("doc_id", "n_shingles", comp_id.alias("component_id"), F.coalesce(F.col("doc_id") == comp_id, F.lit(True)).alias("kept"), *key)
 
 
@@ -311,10 +311,10 @@ def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     question lets through are shuffled. Columns stay as they are.
     """
     KEY = "_set_key" + "_" * sum(c.startswith("_set_key") for c in docs.columns)  # noqa: N806
-    found = Table(near_duplicates(docs, k, percent, with_key=True).select("doc_id", "key", "component_id"), "classes").df.where("doc_id is not null and key is not null")
-    rows = found.groupBy("doc_id", "key", "component_id").count()
-    best = found.groupBy("component_id").agg(F.min(F.struct("doc_id", "key")).alias("best"))
-    decided = Table(unskewed(Table(rows, "rows").df, best, "component_id").select("doc_id", "key", "count", (F.struct("doc_id", "key") != F.col("best")).alias("goes")), "decided").df
+    found = Table(near_duplicates(docs, k, percent, with_key=True).select("doc_id", "key", "component"), "classes").df.where("doc_id is not null and key is not null")
+    rows = found.groupBy("doc_id", "key", "component").count()
+    best = found.groupBy("component").agg(F.min(F.struct("doc_id", "key")).alias("best"))
+    decided = Table(unskewed(Table(rows, "rows").df, best, "component").select("doc_id", "key", "count", (F.struct("doc_id", "key") != F.col("best")).alias("goes")), "decided").df
     bits = bloom_of(decided.where("goes or count > 1").select("doc_id").distinct())
     rest = bloom_keep(docs, "doc_id", bits, outside=True)
     kind = T.StructType([*docs.schema.fields, T.StructField(KEY, T.LongType())])
