@@ -14,6 +14,7 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 from urllib.parse import urlparse
 
@@ -71,13 +72,14 @@ def local_path(uri: str) -> str | None:
     return u.path if u.scheme in ("", "file") else None
 
 
-def put_file(uri: str, data: bytes) -> None:
-    """Write a file under a temporary name, then rename it, so a task that runs twice leaves one whole file."""
+@contextmanager
+def new_file(uri: str):
+    """A file to write to, under a temporary name until it is whole, so a task that runs twice leaves one whole file."""
     tmp = f"{uri}.{uuid.uuid4().hex}.tmp"
     if path := local_path(tmp):
         os.makedirs(os.path.dirname(path), exist_ok=True)
         with open(path, "wb") as f:
-            f.write(data)
+            yield f
         os.replace(path, local_path(uri))
         return
     from pyarrow import fs
@@ -85,10 +87,15 @@ def put_file(uri: str, data: bytes) -> None:
     store, path = fs.FileSystem.from_uri(tmp)
     store.create_dir(os.path.dirname(path), recursive=True)
     with store.open_output_stream(path) as f:
-        f.write(data)
+        yield f
     store.move(path, fs.FileSystem.from_uri(uri)[1])
 
 
+def put_file(uri: str, data: bytes) -> None:
+    with new_file(uri) as f:
+        f.write(data)
+
+
 def read_file(uri: str) -> bytes:
     if path := local_path(uri):
         with open(path, "rb") as f:

@@ -11,13 +11,19 @@ into memory.
 Files are written under a temporary name and then renamed, so a task that runs
 twice leaves one whole file.
 
+A task writes ids as they are made, so it holds one batch of texts and sixteen
+bytes a document; partitions follow the size of the input.
+
 Defined cases: null text counts as empty (only the end id); null ids come
-first; rows with equal ids are ordered by a hash of their text; an empty table
-gives a manifest without rows.
+first; rows with equal ids are ordered by a hash of their text, and repeated rows
+get their ids each; a very long text is encoded whole; columns other than id and
+text are not read, whatever their names; an empty table gives a manifest without
+rows.
 """
 
 from __future__ import annotations
 
+import itertools
 import os
 
 import numpy as np
@@ -26,9 +32,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, local_path, pieces, put_file, scratch_path
+from .common import bounded_batches, local_path, new_file, pieces, put_file, scratch_path
 
 CACHE_WORDS = 700_000
+PART_BYTES = 64 << 20
 _codec: dict[str, tuple] = {}
 _NULL_ID = -(2**63)
 
@@ -78,6 +85,12 @@ def word_encoder(path: str) -> WordEncoder:
     return _codec[path]
 
 
+def _size(df: DataFrame) -> int:
+    """Bytes of a table by the optimiser's figures, 0 where it has none."""
+    got = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return got if got < 1 << 60 else 0
+
+
 def write_token_files(docs: DataFrame, vocab_path: str, out: str, end_id: int | None = None, partitions: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Write the files of all documents in ascending id order; returns the manifest.
 
@@ -86,24 +99,24 @@ def write_token_files(docs: DataFrame, vocab_path: str, out: str, end_id: int |
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), _size(docs) // PART_BYTES + 1)
 
     def run(batches):
         part = TaskContext.get().partitionId()
         enc = word_encoder(vocab_path)
         tail = np.array([] if end_id is None else [end_id], enc.kind).tobytes()
-        ids, blobs, sizes = [], [], []
-        for batch in batches:
-            for b in pieces(batch):
+        ids, sizes, path = [], [], f"{out}/part-{part:06d}"
+        slices = (b for batch in batches for b in pieces(batch))
+        first = next(slices, None)
+        if first is None:
+            return
+        with new_file(f"{path}.bin") as to:
+            for b in itertools.chain([first], slices):
                 got = [x + tail for x in enc.encode(b.column("text").cast(pa.binary()).fill_null(b"").to_pylist())]
                 sizes.append(np.array([len(x) // enc.kind.itemsize for x in got], np.int64))
-                blobs.append(b"".join(got))
+                to.write(b"".join(got))
                 ids.append(b.column("doc_id").fill_null(_NULL_ID).to_numpy(zero_copy_only=False))
-        if not ids:
-            return
         sizes, ids = np.concatenate(sizes), np.concatenate(ids)
-        path = f"{out}/part-{part:06d}"
-        put_file(f"{path}.bin", b"".join(blobs))
         put_file(f"{path}.idx", ids.astype("<i8").tobytes() + np.concatenate([[0], np.cumsum(sizes)]).astype("<i8").tobytes())
         yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([path]), pa.array([len(ids)], pa.int64()), pa.array([int(sizes.sum())], pa.int64()), pa.array([enc.kind.itemsize], pa.int32())], ["part", "path", "n_docs", "n_tokens", "width"])
 
