@@ -306,9 +306,9 @@ def verdict_withdrawal(spark, sf):
  SELECT user_id, max(k) FILTER (event_type='purchase' AND value>60) AS f, max(k) FILTER (event_type='click' AND value>20) AS d FROM (SELECT *, event_id AS k FROM events) GROUP BY user_id)""", prefix=False)
 def level_fallback(spark, sf):
     e, t, v = rel.table(spark, sf, "events"), F.col("event_type"), F.col("value")
-    full = e.groupBy("user_id").agg(F.max(F.when((t == "purchase") & (v > 60), F.col("event_id"))).alias("value")).withColumn("level", F.lit("full"))
-    less = e.groupBy("user_id").agg(F.max(F.when((t == "click") & (v > 20), F.col("event_id"))).alias("value")).withColumn("level", F.lit("discover"))
-    return verdicts.attempt(full.unionByName(less), "user_id", ["full", "discover"], "value")
+    best = lambda cond: F.max(F.when(cond, F.col("event_id")))
+    both = e.groupBy("user_id").agg(best((t == "purchase") & (v > 60)).alias("full"), best((t == "click") & (v > 20)).alias("discover"))
+    return verdicts.attempt(both.unpivot("user_id", ["full", "discover"], "level", "value"), "user_id", ["full", "discover"], "value")
 
 
 @query("SELECT state, count(*) AS n, count(k) AS counted FROM (SELECT CASE WHEN event_type='view' THEN 'skipped' WHEN value>10 THEN 'scored' ELSE 'unavailable' END AS state, CASE WHEN event_type<>'view' AND value>10 THEN user_id END AS k FROM events) GROUP BY state", prefix=False)
@@ -353,8 +353,9 @@ def test_events(spark, sf):
 @query("SELECT project, count(*) FILTER (NOT after_repair AND status='ok') AS shipped_ok, count(*) FILTER (status='ok') AS repaired_ok FROM (SELECT *, phase%3=0 AS after_repair FROM phases) GROUP BY project")
 def shipped_and_repaired(spark, sf):
     p = rel.phases(spark, sf).withColumn("after_repair", F.col("phase") % 3 == 0)
-    n = lambda df, name: df.groupBy("project").agg(F.sum(F.coalesce((F.col("status") == "ok").cast("int"), F.lit(0))).alias(name))
-    return n(projects.as_shipped(p), "shipped_ok").join(n(p, "repaired_ok"), "project")
+    n = lambda c: F.sum(F.coalesce((c == "ok").cast("int"), F.lit(0)))
+    both = projects.as_shipped(p.withColumn("any", F.col("status")))
+    return both.groupBy("project").agg(n(F.col("status")).alias("shipped_ok"), n(F.col("any")).alias("repaired_ok"))
 
 
 from . import repo_catalog  # noqa: E402,F401  (registers the queries over trees, logs and sentences)
