@@ -556,6 +556,13 @@ def cleaned_prose(spark, sf):
     return p.select("p_brand", text.slug(F.col("p_name")).alias("slug"), text.markdown_cell(F.concat(F.lit("`"), "p_brand", F.lit("` | "), "p_size")).alias("cell"), text.prose(said, F.lit("none given")).alias("said"))
 
 
+@query("SELECT p_partkey, p_size || ',' || (p_partkey % 10) || CASE WHEN p_partkey % 2 = 0 THEN ',' || (p_partkey % 3) ELSE '' END AS numbers FROM part")
+def version_numbers(spark, sf):
+    p, k = rel.table(spark, sf, "part"), F.col("p_partkey")
+    said = F.concat(F.lit("release v"), "p_size", F.lit("."), k % 10, F.when(k % 2 == 0, F.concat(F.lit("."), k % 3, F.lit("-rc"))).otherwise(" beta"))
+    return p.select("p_partkey", joined(text.version_parts(said).cast("array<string>")).alias("numbers"))
+
+
 SPEC = boundary.Spec(
     {"size": boundary.NUMBER, "brand": boundary.enum("Brand#1", "Brand#2", "Brand#3", fold=True), "kind": boundary.enum("PROMO", "SMALL", "ECONOMY", "LARGE", "STANDARD", "MEDIUM"), "idea": boundary.TAGGED, "line": boundary.SENTENCE, "loc": boundary.counted("Python", "Go"), "handle": boundary.Kind("handle"), "author": boundary.withheld("nobody is named")},
     ("id",),

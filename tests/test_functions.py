@@ -175,3 +175,27 @@ def test_commit_facts_tell_repositories_apart(spark):
     c = spark.createDataFrame([("a", "s"), ("b", "s")], "repo string, sha string")
     f = spark.createDataFrame([(r, "s", p, "d", "impl", 5, 1) for r in "ab" for p in ("x", "y")], "repo string, sha string, path string, dir string, file_kind string, additions int, deletions int")
     assert {(r.repo, r.files, r.additions) for r in history.commit_facts(c, f).collect()} == {("a", 2, 10), ("b", 2, 10)}
+
+
+def test_substance(spark):
+    assert one(spark, ["3", "9", "x", None], verdicts.substance) == [3, 4, None, None]
+
+
+def test_declared_fields(spark):
+    from quarrymeter.operators import boundary
+
+    spec = boundary.Spec({"n": boundary.NUMBER, "kind": boundary.enum("a", "b", fold=True), "who": boundary.withheld("nobody is named")}, ("id",))
+    assert spec.keys() == {"n", "kind", "who", "a", "b", "other"} and spec.withheld() == {"who": "nobody is named"}
+    df = spark.createDataFrame([(1, 2.0, "a", "joe"), (2, float("nan"), "z", None)], "id int, n double, kind string, who string")
+    assert [tuple(r) for r in spec.problems(df).collect()] == [(2, "n", "not finite")]
+    assert tuple(spec.enforce(df.where("id = 1")).first()) == (1, 2.0, "a", None)
+    with pytest.raises(Exception, match="refusing to write n"):
+        spec.enforce(df).collect()
+    with pytest.raises(ValueError, match="not declared"):
+        spec.enforce(df.withColumn("path", F.lit("src/a.py")))
+
+
+def test_rows_of_the_flat_table_are_declared():
+    from quarrymeter.operators import boundary
+
+    assert len(boundary.ROW) == 41 and {k.group for k in boundary.ROW.values()} >= {"numbers", "booleans", "enums", "identity", "timestamps", "withheld"}
