@@ -321,18 +321,22 @@ def bloom_keep(df: DataFrame, column: str, bits: bytes, outside: bool = False) -
 
 
 # -------------------------------------------------------------- components
-HOT_SHARE = 2000
+HOT_KEYS, HOT_ROWS = 2000, 256
 
 
-def unskewed(rows: DataFrame, named: DataFrame, key: str) -> DataFrame:
+def frequent(rows: DataFrame, key: str, least: int = HOT_ROWS, most: int = HOT_KEYS) -> list:
+    """The ``most`` most frequent keys among those with more than ``least`` rows; any other key has at most 1/``most`` of the rows, or ``least``."""
+    count = rows.where(F.col(key).isNotNull()).groupBy(key).count().where(F.col("count") > least)
+    return [r[0] for r in count.orderBy(F.desc("count"), key).limit(most).collect()]
+
+
+def unskewed(rows: DataFrame, named: DataFrame, key: str, hot: list | None = None) -> DataFrame:
     """Left join of a written table with one that has each key once, where a few keys may hold most rows.
 
-    Keys with more than 1/HOT_SHARE of the rows, so HOT_SHARE keys at most, take
-    their partner from a broadcast; all others are joined by a shuffle.
+    Frequent keys, at most HOT_KEYS, take their partner from a broadcast; all
+    others are joined by a shuffle. hot: the frequent keys, where they are known.
     """
-    count = rows.where(F.col(key).isNotNull()).groupBy(key).count()
-    total = rows.count()
-    hot = [r[0] for r in count.where(F.col("count") > max(1, total // HOT_SHARE)).select(key).collect()] if total else []
+    hot = frequent(rows, key) if hot is None else hot
     if not hot:
         return rows.join(named, key, "left")
     few = F.broadcast(rows.sparkSession.createDataFrame([(h, True) for h in hot], f"`{key}` {dict(rows.dtypes)[key]}, _hot boolean"))
@@ -351,16 +355,17 @@ def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60) -> Data
     label of the label. Every round is a few joins of skinny rows with map-side
     minimums, written to the shared folder; hubs and the labels of giant
     components are joined by broadcast, so no key fills a task. The only thing the
-    driver sees is the number of labels that changed, and at most ``HOT_SHARE``
+    driver sees is the number of labels that changed, and at most ``HOT_KEYS``
     frequent keys. Returns (id, component).
     """
     e = edges.where("a <> b and a is not null and b is not null")
     both = Table(e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    hubs = frequent(both.df, "a")
     touched = both.df.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("p"))
     state = Table(touched, "labels")
     for _ in range(max_rounds):
         p = state.df
-        near = unskewed(both.df, p.withColumnRenamed("id", "a"), "a").groupBy(F.col("b").alias("id")).agg(F.min("p").alias("q"))
+        near = unskewed(both.df, p.withColumnRenamed("id", "a"), "a", hubs).groupBy(F.col("b").alias("id")).agg(F.min("p").alias("q"))
         now = p.join(near, "id").select("id", "p", F.least("p", "q").alias("q"))
         pulled = now.groupBy(F.col("p").alias("id")).agg(F.min("q").alias("r"))
         hung = Table(now.join(pulled, "id", "left").select("id", "p", F.least("q", F.coalesce("r", "q")).alias("q")), "hung")

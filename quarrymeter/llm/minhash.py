@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import U64, Table, Words, as_long, bounded_batches, bloom_keep, bloom_of, components, mix, pieces, runs_hash, unique_per_doc, unskewed, words_of
+from .common import U64, Table, Words, as_long, bounded_batches, bloom_keep, bloom_of, components, frequent, mix, pieces, runs_hash, unique_per_doc, unskewed, words_of
 
 PERMUTATIONS = 100
 ROWS = 5
@@ -205,7 +205,7 @@ def _verify(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFram
     wanted = pairs.select(F.col("a").alias("doc_id"), F.col("ka").alias("key")).union(pairs.select("b", "kb")).distinct()
     sets = Table(_sets_of(docs, wanted, k), "sets").df
     # the leader of a large group is in many pairs: its set is dealt to SALTS places, and so are its pairs
-    hot = {c: _frequent(pairs, c) for c in ("ka", "kb")}
+    hot = {c: frequent(pairs, c, 4 * SALTS, HOT_PAIRS) for c in ("ka", "kb")}
     salt = lambda c, other: F.when(F.col(c).isin(*hot[c]), F.pmod(F.xxhash64(other), F.lit(SALTS))).otherwise(0) if hot[c] else F.lit(0).cast("long")
     places = lambda c: F.when(F.col("key").isin(*hot[c]), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))) if hot[c] else F.array(F.lit(0))
     side = lambda c, name: sets.select(F.col("key").alias(c), F.col("items").alias(name), F.explode(places(c).cast("array<long>")).alias("salt"))
@@ -214,12 +214,6 @@ def _verify(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFram
     return two.select("ka", "kb", "left", "right").mapInArrow(_confirm(percent), "a long, b long")
 
 
-def _frequent(pairs: DataFrame, column: str) -> list[int]:
-    """Keys that stand in more than 1/HOT_PAIRS of the pairs: HOT_PAIRS keys at most."""
-    total = pairs.count()
-    return [r[0] for r in pairs.groupBy(column).count().where(F.col("count") > max(SALTS, total // HOT_PAIRS)).select(column).collect()]
-
-
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", with_key: bool = False) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept): one row for each row of the input; ``with_key`` adds the keys of its set and of its group, null without words."""
     bounded_batches(docs.sparkSession)
