@@ -29,7 +29,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, pieces
+from .common import bounded_batches, on_release, pieces, working
 
 #: Split pattern of the byte-level tokenizer family (fixed value).
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -222,10 +222,12 @@ class BacktrackingBPE:
 
 
 _loaded: dict[str, BacktrackingBPE] = {}
+on_release("bpe", _loaded.clear)
 
 
 def tokenizer(path: str) -> BacktrackingBPE:
     """One tokenizer for each Python worker and file."""
+    working("bpe")
     if path not in _loaded:
         _loaded[path] = BacktrackingBPE(path)
     return _loaded[path]

@@ -8,12 +8,14 @@ with numpy, so no Python object is made per word.
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import os
 import re
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass
 from urllib.parse import urlparse
@@ -29,6 +31,44 @@ pa.set_memory_pool(pa.system_memory_pool())
 _own_dir: dict[str, str] = {}
 
 
+# ---------------------------------------------------------------- workers
+_held: dict[str, Callable[[], None]] = {}
+_working: list[str] = []
+
+
+def on_release(owner: str, drop: Callable[[], None]) -> None:
+    """What frees the caches that an operator keeps in a Python worker."""
+    _held[owner] = drop
+
+
+def working(owner: str) -> None:
+    """Called where an operator's work begins: what other operators kept in this worker is freed.
+
+    Workers are used again by later stages, so caches of several operators would
+    otherwise add up in one executor.
+    """
+    if _working != [owner]:
+        for name, drop in _held.items():
+            if name != owner:
+                drop()
+        _working[:] = [owner]
+        gc.collect()
+        trim()
+
+
+def trim() -> None:
+    """Give freed memory back to the system."""
+    if _libc is not None:
+        _libc.malloc_trim(0)
+
+
+try:
+    _libc = ctypes.CDLL("libc.so.6")
+    _libc.malloc_trim  # noqa: B018
+except (OSError, AttributeError):  # another C library
+    _libc = None
+
+
 # ---------------------------------------------------------------- storage
 def shared_dir(spark: SparkSession) -> str:
     """Folder that the driver and all executors share.
@@ -244,6 +284,7 @@ def pieces(batch: pa.RecordBatch, column: str = "text", limit: int = 2 << 20) ->
         j = max(i + 1, int(np.searchsorted(off, off[i] + limit, "right")) - 1)
         yield batch.slice(i, j - i)
         i = j
+    trim()
 
 
 def unique_per_doc(values: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, bounded_batches, pieces, runs_hash, unique_per_doc, words_of
+from .common import Words, bounded_batches, on_release, pieces, runs_hash, unique_per_doc, words_of, working
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -160,10 +160,12 @@ class Index:
 
 
 _indexes: dict[tuple[str, float], Index] = {}
+on_release("decontaminate", _indexes.clear)
 
 
 def _index(name: str, held, threshold: float) -> Index:
     """The index of a broadcast group of items, made once for each Python worker."""
+    working("decontaminate")
     if (name, threshold) not in _indexes:
         if len(_indexes) > 1:
             _indexes.clear()

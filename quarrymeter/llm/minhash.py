@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import U64, Table, Words, as_long, bounded_batches, bloom_keep, bloom_of, components, frequent, mix, pieces, runs_hash, unique_per_doc, unskewed, words_of
+from .common import U64, Table, Words, as_long, bounded_batches, bloom_keep, bloom_of, components, frequent, mix, pieces, runs_hash, unique_per_doc, unskewed, words_of, working
 
 PERMUTATIONS = 100
 ROWS = 5
@@ -100,6 +100,7 @@ def set_keys(v: np.ndarray, off: np.ndarray) -> np.ndarray:
 
 def _sign(k: int):
     def run(batches):
+        working("minhash")
         for batch in batches:
             for b in pieces(batch):
                 v, off = shingle_sets(words_of(b.column("text"), True), k)
@@ -118,6 +119,7 @@ def _sign(k: int):
 
 def _sets(k: int):
     def run(batches):
+        working("minhash")
         for batch in batches:
             for b in pieces(batch):
                 v, off = shingle_sets(words_of(b.column("text"), True), k)
@@ -286,6 +288,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
 
 def _with_key(k: int, name: str):
     def run(batches):
+        working("minhash")
         for batch in batches:
             for b in pieces(batch):
                 v, off = shingle_sets(words_of(b.column(b.schema.get_field_index("text")), True), k)

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Words, bounded_batches, crc_mod, pieces, words_of
+from .common import Words, bounded_batches, crc_mod, pieces, words_of, working
 
 PASSAGE = 64
 MAX_BAGS = 3000
@@ -187,6 +187,7 @@ def train(docs: DataFrame, labels: DataFrame, fold_of: int = 5, held: int = 0, m
     picked = known.orderBy(F.xxhash64("_id"), "_id").limit(max_bags)  # at most max_bags rows
 
     def bags(batches):
+        working("quality")
         for batch in batches:
             for b in pieces(batch):
                 x, off = passages(words_of(b.column("text"), False))
@@ -209,6 +210,7 @@ def keep_good(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> Da
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
+        working("quality")
         for batch in batches:
             for b in pieces(batch):
                 s = score(held.value, *passages(words_of(b.column(b.schema.get_field_index("text")), False)))
@@ -224,6 +226,7 @@ def with_scores(docs: DataFrame, model: Model, threshold: float = THRESHOLD) ->
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
+        working("quality")
         for batch in batches:
             for b in pieces(batch):
                 s = score(held.value, *passages(words_of(b.column("text"), False)))

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, pieces, text_bytes
+from .common import bounded_batches, pieces, text_bytes, working
 
 SHORTEST = 16
 THRESHOLD = 0.5
@@ -132,6 +132,7 @@ def learn_dictionary(docs: DataFrame, most: int = DICTIONARY) -> frozenset[str]:
     bounded_batches(docs.sparkSession)
 
     def count(batches):
+        working("secrets")
         for batch in batches:
             for b in pieces(batch):
                 buf, off = text_bytes(b.column("text"))
@@ -392,6 +393,7 @@ def scan(docs: DataFrame, forest: Forest, threshold: float = THRESHOLD) -> DataF
     schema = "doc_id long, n_candidates long, n_secrets long, max_score double, spans array<struct<start:long,stop:long,score:double>>"
 
     def run(batches):
+        working("secrets")
         for batch in batches:
             for b in pieces(batch):
                 _, found = _scan(b, held.value)
@@ -408,6 +410,7 @@ def redact(docs: DataFrame, forest: Forest, threshold: float = THRESHOLD) -> Dat
     held = docs.sparkSession.sparkContext.broadcast(forest)
 
     def run(batches):
+        working("secrets")
         for batch in batches:
             for b in pieces(batch):
                 at = b.schema.get_field_index("text")

@@ -32,11 +32,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, local_path, new_file, pieces, put_file, scratch_path
+from .common import bounded_batches, local_path, new_file, on_release, pieces, put_file, scratch_path, working
 
 CACHE_WORDS = 700_000
 PART_BYTES = 64 << 20
 _codec: dict[str, tuple] = {}
+on_release("token_files", _codec.clear)
 _NULL_ID = -(2**63)
 
 
@@ -80,6 +81,7 @@ class WordEncoder:
 
 
 def word_encoder(path: str) -> WordEncoder:
+    working("token_files")
     if path not in _codec:
         _codec[path] = WordEncoder(path)
     return _codec[path]
