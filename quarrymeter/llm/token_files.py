@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .common import bounded_batches, local_path, new_file, on_release, pieces, put_file, scratch_path, working
 
-CACHE_WORDS = 700_000
+CACHE_WORDS = 1_200_000
 PART_BYTES = 64 << 20
 _codec: dict[str, tuple] = {}
 on_release("token_files", _codec.clear)
