@@ -48,3 +48,18 @@ t AS (SELECT d.doc_id, d.w, len(coalesce(c.gone, [])) AS n, c.gone FROM d LEFT J
 k AS (SELECT doc_id, string_agg(x, ' ' ORDER BY j) AS kept FROM (SELECT d.doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS j FROM d) u WHERE NOT EXISTS (SELECT 1 FROM (SELECT doc_id AS e, unnest(gone) AS m FROM c) v WHERE v.e = u.doc_id AND v.m = u.j) GROUP BY doc_id)
 SELECT t.doc_id, len(t.w)::BIGINT AS n_words, t.n::BIGINT AS n_removed, sha256(coalesce(k.kept, '')) AS kept_sha256 FROM t LEFT JOIN k ON k.doc_id = t.doc_id
 """
+
+# CRC-32 of the bytes of a text, four bits at a time; fixed values: its remainders for the 16 low half bytes
+_CRC_TABLE = [
+    0x00000000, 0x1DB71064, 0x3B6E20C8, 0x26D930AC, 0x76DC4190, 0x6B6B51F4, 0x4DB26158, 0x5005713C,
+    0xEDB88320, 0xF00F9344, 0xD6D6A3E8, 0xCB61B38C, 0x9B64C2B0, 0x86D3D2D4, 0xA00AE278, 0xBDBDF21C,
+]
+_HALF = "xor(({0}) >> 4, t[(({0}) & 15) + 1])"
+_CRC = f"4294967295 - reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(sale_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)), lambda a, b: {_HALF.format(_HALF.format('xor(a, b)'))})"
+
+OP12 = f"""
+WITH s AS (SELECT sale_id, floor(floor(epoch(sold_at)) / 3600)::BIGINT AS slot, floor(floor(100 * total::DOUBLE + 0.5) / 100)::BIGINT AS level, 1 + coalesce(({_CRC}) % 2, 0) AS w FROM sales, (SELECT {_CRC_TABLE}::BIGINT[] AS t)),
+h AS (SELECT slot, level, count(*) AS n, sum(w) AS w FROM s WHERE slot IS NOT NULL AND level IS NOT NULL GROUP BY 1, 2),
+c AS (SELECT b.slot, b.level, coalesce(sum(a.n), 0)::BIGINT AS n, coalesce(sum(a.w), 0)::BIGINT AS w FROM h b LEFT JOIN h a ON a.slot <= b.slot AND a.level > b.level GROUP BY 1, 2)
+SELECT s.sale_id, s.slot, s.level, c.n AS n_sales, c.w AS n_rows FROM s LEFT JOIN c ON c.slot = s.slot AND c.level = s.level
+"""
