@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, dominance, hpylm, itq, langid, minhash, oracle, quality, secrets, substrings, token_files, whitening
+from . import bpe, decontaminate, dominance, hpylm, itq, kmtree, langid, minhash, oracle, quality, secrets, substrings, token_files, whitening
 from .common import crc_mod
 
 WORD_VOCAB = public_tokenizers.path("word_bpe_49k.json")
@@ -70,6 +70,10 @@ def op10_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.roundtrip_digests(_read(spark, sf_dir, "documents"), BYTE_VOCAB)
 
 
+def op11_kmeans_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kmtree.neighbours(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op12_dominance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dominance.sales_above(_read(spark, sf_dir, "sales"))
 
@@ -89,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substrings": op8_substrings,
     "op9_token_files": op9_token_files,
     "op10_bpe_roundtrip": op10_bpe_roundtrip,
+    "op11_kmeans_tree": op11_kmeans_tree,
     "op12_dominance": op12_dominance,
     "op13_whitening": op13_whitening,
 }
