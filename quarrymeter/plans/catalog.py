@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import paths, scores, text
-from ..operators import census, emit, history, projects, runtime, tree, verdicts
+from ..operators import census, emit, graph, history, projects, runtime, tree, verdicts
 from . import relations as rel
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -153,6 +153,20 @@ def vocabulary_fold(spark, sf):
     return tree.fold_vocabulary(rel.table(spark, sf, "part"), "p_brand", ["Brand#1", "Brand#2", "Brand#3"])
 
 
+# ------------------------------------------------------------- commit graph
+@query(rel.GRAPH_SQL + "SELECT repo, ref, count(*) AS commits FROM below GROUP BY repo, ref", prefix=False)
+def reachable_commits(spark, sf):
+    return graph.measure_refs(rel.commit_graph(spark, sf), rel.commit_refs(spark, sf)).select("repo", "ref", "commits")
+
+
+@query(rel.GRAPH_SQL + "SELECT t.repo, t.tag FROM tags t JOIN below b ON b.repo = t.repo AND b.c = t.c WHERE b.ref = 'dearest'", prefix=False)
+def merged_tags(spark, sf):
+    refs = rel.commit_refs(spark, sf).where("ref = 'dearest'")
+    tips = graph.tip_bits(refs)
+    found = graph.reached(rel.commit_graph(spark, sf), tips)
+    return graph.within(rel.commit_tags(spark, sf), found, tips, refs).select("repo", "tag")
+
+
 # ------------------------------------------------------------ paths and text
 @query("""SELECT page_id, CASE WHEN path<>'' AND len(string_split(path,'/')) BETWEEN 1 AND 4 THEN path END AS remote, split_part(bare, '/', -1) AS base, CASE WHEN contains(path,'/') THEN split_part(path,'/',1) END AS top
  FROM (SELECT page_id, bare, regexp_extract(bare, '^(?:[a-z+]+://[^/]+/|[^/@ ]+@[^/:]+:)(.+)$', 1) AS path FROM (SELECT page_id, regexp_replace(regexp_replace(url, '[?#].*$', ''), '(\\.git)?/*$', '') AS bare FROM pages))""", prefix=False)

@@ -10,6 +10,7 @@ one plan: the sources take the list of them, and rows are told apart by ``repo``
 from __future__ import annotations
 
 import argparse
+import json
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -25,14 +26,14 @@ VERSION = "1.0"
 
 def _git(spark: SparkSession, repos: list[str], relation: str, **options) -> DataFrame:
     spark.dataSource.register(git.GitSource)
-    return spark.read.format("git").options(repos=",".join(repos), relation=relation, **options).load()
+    return spark.read.format("git").options(repos=json.dumps(repos), relation=relation, **options).load()
 
 
 def commits(spark: SparkSession, repos: list[str], **options) -> tuple[DataFrame, DataFrame]:
     """(commits, commit_files) with kinds, bots and top folders; a tip added by an anonymising tool is left out."""
     subject = F.col("subject")
     c = _git(spark, repos, "commits", peel="true", **options).select(
-        "repo", "sha", F.lower(F.trim("author_email")).alias("author"), "author_name", F.col("author_ts").alias("ts"), "author_date", "parents", "subject", "ord", paths.subject_kind(subject).alias("kind"), paths.is_bot(F.col("author_name"), F.col("author_email")).alias("bot"),
+        "repo", "sha", F.lower(F.trim("author_email")).alias("author"), "author_name", F.col("author_ts").alias("ts"), "author_date", F.size("parents").alias("parents"), "subject", "ord", paths.subject_kind(subject).alias("kind"), paths.is_bot(F.col("author_name"), F.col("author_email")).alias("bot"),
     )
     f = _git(spark, repos, "commit_files", peel="true", **options).select("repo", "sha", "path", F.coalesce(paths.top_dir(F.col("path")), F.lit("")).alias("dir"), paths.commit_file_kind(F.col("path")).alias("file_kind"), "additions", "deletions")
     return c, f

@@ -38,6 +38,37 @@ def phases(spark: SparkSession, sf: str) -> DataFrame:
     return li.select(F.col("l_orderkey").alias("project"), F.col("l_linenumber").alias("phase"), F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("supp"), status.alias("status"), F.when(status == "failed", owner).alias("attribution"))
 
 
+def commit_graph(spark: SparkSession, sf: str) -> DataFrame:
+    """(repo, sha, parents): 25 histories of merges over the orders."""
+    k = F.col("o_orderkey")
+    first = F.when(F.col("o_orderpriority") == "5-LOW", k - 75).otherwise(k - 25)
+    merged = F.when(F.col("o_orderstatus") == "F", k - 25 * (2 + F.col("o_custkey") % 9))
+    name = lambda c: c.cast("string")
+    return table(spark, sf, "orders").select((k % 25).alias("repo"), name(k).alias("sha"), F.array_compact(F.array(name(first), name(merged))).alias("parents"))
+
+
+def commit_refs(spark: SparkSession, sf: str) -> DataFrame:
+    """(repo, ref, sha): the newest commit of each priority, and the dearest one."""
+    o = table(spark, sf, "orders").select((F.col("o_orderkey") % 25).alias("repo"), F.col("o_orderpriority").alias("ref"), "o_orderkey", "o_totalprice")
+    newest = o.groupBy("repo", "ref").agg(F.max("o_orderkey").cast("string").alias("sha"))
+    return newest.unionByName(o.groupBy("repo").agg(F.lit("dearest").alias("ref"), F.max_by("o_orderkey", F.struct("o_totalprice", "o_orderkey")).cast("string").alias("sha")))
+
+
+def commit_tags(spark: SparkSession, sf: str) -> DataFrame:
+    """(repo, tag, sha): the dearest commit of every customer in each repository."""
+    o = table(spark, sf, "orders").select((F.col("o_orderkey") % 25).alias("repo"), "o_custkey", "o_orderkey", "o_totalprice")
+    return o.groupBy("repo", F.col("o_custkey").cast("string").alias("tag")).agg(F.max_by("o_orderkey", F.struct("o_totalprice", "o_orderkey")).cast("string").alias("sha"))
+
+
+#: The commit graph in DuckDB: edges, refs, tags, and by recursion the commits below each ref.
+GRAPH_SQL = """
+WITH RECURSIVE e AS (SELECT o_orderkey AS c, CASE o_orderpriority WHEN '5-LOW' THEN o_orderkey - 75 ELSE o_orderkey - 25 END AS p FROM orders UNION ALL SELECT o_orderkey, o_orderkey - 25 * (2 + o_custkey % 9) FROM orders WHERE o_orderstatus = 'F'),
+refs AS (SELECT o_orderkey % 25 AS repo, o_orderpriority AS ref, max(o_orderkey) AS c FROM orders GROUP BY 1, 2
+ UNION ALL SELECT o_orderkey % 25, 'dearest', arg_max(o_orderkey, o_totalprice * 1e9 + o_orderkey) FROM orders GROUP BY 1),
+tags AS (SELECT o_orderkey % 25 AS repo, o_custkey::VARCHAR AS tag, arg_max(o_orderkey, o_totalprice * 1e9 + o_orderkey) AS c FROM orders GROUP BY 1, 2),
+below AS (SELECT repo, ref, c FROM refs UNION SELECT b.repo, b.ref, e.p FROM below b JOIN e ON e.c = b.c WHERE e.p >= 0)
+"""
+
 #: The same relations as DuckDB views, as a WITH prefix.
 SQL = """
 WITH commits AS (
