@@ -13,9 +13,9 @@ neighbours lie in visited leaves; the slack that reads the fewest rows is taken.
 
 Leaves are dealt to tasks in bins of some ``BLOCK`` vectors; a larger leaf is
 split into blocks, and the queries of a bin into parts of some ``ASKS``, so a task
-never holds more. Queries visit their first ``NARROW`` leaves, which gives each a
-floor, the score that a neighbour must reach; the other leaves return only what
-reaches it.
+never holds more. Visits widen in rounds, after ``ROUNDS`` leaves each: what a
+query has found so far is its floor, the score that a neighbour in further leaves
+must reach, so that little is sent on. A block answers a query with one list.
 
 Exact copies are folded: the k + 1 smallest ids of a vector stand for all its
 rows, since no list needs more, and equal queries are searched once.
@@ -44,7 +44,7 @@ from .common import Table, bounded_batches, unskewed
 SAMPLE, SAMPLE_NUMBERS = 32_768, 1 << 22  # rows, and components in all, on which trees are fitted
 BRANCH, LEAF, STEPS = 8, 32, 8
 CALIBRATION, TARGET, SLACKS = 256, 0.95, (1.0, 3.0, 5.0, 8.0)
-BLOCK, ASKS, NARROW, CHUNK = 2048, 16_384, 8, 512
+BLOCK, ASKS, ROUNDS, CHUNK = 2048, 16_384, (8, 128), 512
 
 
 # -------------------------------------------------------------------- tree
@@ -275,7 +275,7 @@ def _bins(indexed: DataFrame) -> tuple[dict[int, np.ndarray], DataFrame]:
 
 
 def _walk(asks: DataFrame, trees: dict[int, Tree], bins: dict[int, np.ndarray]) -> DataFrame:
-    """(rep, length, bin, narrow, leaves): the leaves that each query visits, by bin."""
+    """(rep, length, bin, round, leaves): the leaves that each query visits in each round, by bin."""
     held = asks.sparkSession.sparkContext.broadcast((trees, bins))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -288,32 +288,34 @@ def _walk(asks: DataFrame, trees: dict[int, Tree], bins: dict[int, np.ndarray])
                 for i in range(0, len(at), 64):
                     order = tree.order(x[i : i + 64], tree.visits, tree.slack)
                     q = np.repeat(rep[at[i : i + 64]], order.shape[1])
-                    narrow = np.tile(np.arange(order.shape[1]) < NARROW, len(order))
+                    turn = np.tile(np.searchsorted(ROUNDS, np.arange(order.shape[1]), "right").astype(np.int32), len(order))
                     leaf = order.ravel()
                     ok = leaf < len(bins[d])
                     bin_ = np.where(ok, bins[d][np.where(ok, leaf, 0)], -1)
                     ok = bin_ >= 0  # leaves without rows
-                    q, narrow, leaf, bin_ = q[ok], narrow[ok], leaf[ok], bin_[ok]
-                    by = np.lexsort((leaf, narrow, bin_, q))
-                    q, narrow, leaf, bin_ = q[by], narrow[by], leaf[by], bin_[by]
-                    cut = np.flatnonzero(np.r_[True, (q[1:] != q[:-1]) | (bin_[1:] != bin_[:-1]) | (narrow[1:] != narrow[:-1])]) if len(q) else np.zeros(0, np.int64)
+                    q, turn, leaf, bin_ = q[ok], turn[ok], leaf[ok], bin_[ok]
+                    by = np.lexsort((leaf, turn, bin_, q))
+                    q, turn, leaf, bin_ = q[by], turn[by], leaf[by], bin_[by]
+                    cut = np.flatnonzero(np.r_[True, (q[1:] != q[:-1]) | (bin_[1:] != bin_[:-1]) | (turn[1:] != turn[:-1])]) if len(q) else np.zeros(0, np.int64)
                     ends = pa.array(np.append(cut, len(q)).astype(np.int32))
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(q[cut]), pa.array(np.full(len(cut), d, np.int32)), pa.array(bin_[cut]), pa.array(narrow[cut]), pa.ListArray.from_arrays(ends, pa.array(leaf))],
-                        ["rep", "length", "bin", "narrow", "leaves"],
+                        [pa.array(q[cut]), pa.array(np.full(len(cut), d, np.int32)), pa.array(bin_[cut]), pa.array(turn[cut]), pa.ListArray.from_arrays(ends, pa.array(leaf))],
+                        ["rep", "length", "bin", "round", "leaves"],
                     )
 
-    return asks.select("rep", "vector").mapInArrow(run, "rep long, length int, bin int, narrow boolean, leaves array<int>")
+    return asks.select("rep", "vector").mapInArrow(run, "rep long, length int, bin int, round int, leaves array<int>")
 
 
-FOUND = "q long, score double, cand long, low long, ids array<bigint>"
+#: far is the negative score, so that entries sort from the nearest on
+NEAR = pa.struct([("far", pa.float64()), ("low", pa.int64()), ("cand", pa.int64()), ("ids", pa.list_(pa.int64()))])
+FOUND = "q long, near array<struct<far: double, low: long, cand: long, ids: array<bigint>>>"
 
 
 def _compare(k: int):
     """Best vectors of one block for each query of one part, in the leaves that it visits and not below its floor."""
 
     def run(key, asks: pa.Table, rows: pa.Table) -> pa.Table:
-        none = pa.table({"q": pa.array([], pa.int64()), "score": pa.array([], pa.float64()), "cand": pa.array([], pa.int64()), "low": pa.array([], pa.int64()), "ids": pa.array([], pa.list_(pa.int64()))})
+        none = pa.table({"q": pa.array([], pa.int64()), "near": pa.array([], pa.list_(NEAR))})
         if not asks.num_rows or not rows.num_rows:
             return none
         (_, x), (_, q) = next(matrices(rows)), next(matrices(asks))
@@ -346,7 +348,9 @@ def _compare(k: int):
             which.append(b[keep])
             score.append(exact[keep])
         a, b = np.concatenate(who), np.concatenate(which)
-        return pa.table({"q": number[a], "score": np.concatenate(score), "cand": rows.column("rep").to_numpy()[b], "low": low[b], "ids": rows.column("ids").take(pa.array(b))})
+        first = np.flatnonzero(np.r_[True, a[1:] != a[:-1]]) if len(a) else np.zeros(0, np.int64)
+        entries = pa.StructArray.from_arrays([pa.array(-np.concatenate(score)), pa.array(low[b]), pa.array(rows.column("rep").to_numpy()[b]), rows.column("ids").combine_chunks().take(pa.array(b))], fields=list(NEAR))
+        return pa.table({"q": number[a[first]], "near": pa.ListArray.from_arrays(pa.array(np.append(first, len(a)).astype(np.int32)), entries)})
 
     return run
 
@@ -366,8 +370,8 @@ def _visit(asks: DataFrame, indexed: DataFrame, parts: DataFrame, k: int) -> Dat
 
 
 def _best(found: DataFrame, k: int) -> DataFrame:
-    nth = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "low", "cand"))
-    return found.withColumn("nth", nth).where(F.col("nth") <= k + 1)
+    """The k + 1 nearest entries of each query in one sorted list."""
+    return found.groupBy("q").agg(F.slice(F.sort_array(F.flatten(F.collect_list("near"))), 1, k + 1).alias("near"))
 
 
 def neighbours(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, target: float = TARGET) -> DataFrame:
@@ -390,15 +394,19 @@ def neighbours(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vec
     walked = Table(_walk(asks, trees, bins), "tree-walks")
     here = indexed.df.select("rep", "length", "leaf", "vector", "ids")
 
-    # the first leaves give each query a floor, which the others have to reach
-    narrow = walked.df.where("narrow").join(asks, "rep").withColumn("floor", F.lit(float("-inf")))
-    first = Table(_best(_visit(narrow, here, parts, k), k), "tree-first")
-    floors = first.df.where(F.col("nth") == k + 1).select(F.col("q").alias("rep"), F.col("score").alias("floor"))
-    wide = walked.df.where("not narrow").join(asks.join(floors, "rep", "left"), "rep").withColumn("floor", F.coalesce("floor", F.lit(float("-inf"))))
-    found = _best(first.df.drop("nth").unionByName(_visit(wide, here, parts, k)), k)
-
-    entry = F.flatten(F.collect_list(F.transform("ids", lambda i: F.struct((-F.col("score")).alias("far"), i.alias("id"), F.col("cand").alias("cand")))))
-    lists = found.groupBy("q").agg(F.slice(F.sort_array(entry), 1, k + 1).alias("near"))
+    best = None
+    for turn in range(len(ROUNDS) + 1):
+        now = walked.df.where(F.col("round") == turn)
+        reach = F.lit(None).cast("double")
+        if best is not None:
+            now = now.join(best.df.select(F.col("q").alias("rep"), F.try_element_at("near", F.lit(k + 1))["far"].alias("far")), "rep", "left")
+            reach = -F.col("far")
+        now = now.join(asks, "rep").withColumn("floor", F.coalesce(reach, F.lit(float("-inf"))))
+        found = _visit(now, here, parts, k)
+        best = Table(_best(found if best is None else best.df.unionByName(found), k), "tree-best")
+
+    entry = F.flatten(F.transform("near", lambda e: F.transform(e["ids"], lambda i: F.struct(e["far"].alias("far"), i.alias("id"), e["cand"].alias("cand")))))
+    lists = best.df.select("q", F.slice(F.sort_array(entry), 1, k + 1).alias("near"))
     named = indexed.df.where("asks").select("digest", F.col("rep").alias("q")).join(lists, "q").select("digest", "q", "near")
     asked = Table(rows.where("asks").select(F.col("vec_id").alias("query_id"), "digest").distinct(), "tree-queries")
     told = unskewed(asked.df, Table(named, "tree-named").df, "digest")

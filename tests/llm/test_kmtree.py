@@ -47,7 +47,7 @@ def odd_rows():
 def test_all_leaves_equal_brute_force(spark, block, monkeypatch):
     monkeypatch.setattr(kmtree, "BLOCK", block)
     monkeypatch.setattr(kmtree, "ASKS", 20)
-    monkeypatch.setattr(kmtree, "NARROW", 2)
+    monkeypatch.setattr(kmtree, "ROUNDS", (2, 5))
     rows = odd_rows()
     queries = {*range(0, 300, 20), 300, 301, 419, 500, 502, 600, 602}
     got = found(kmtree.neighbours(table(spark, rows), F.col("vec_id").isin(*queries), k=20, target=1.1))
