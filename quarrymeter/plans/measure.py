@@ -10,7 +10,6 @@ one plan: the sources take the list of them, and rows are told apart by ``repo``
 from __future__ import annotations
 
 import argparse
-import json
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -24,18 +23,13 @@ from ..sources import tree as trees
 VERSION = "1.0"
 
 
-def _git(spark: SparkSession, repos: list[str], relation: str, **options) -> DataFrame:
-    spark.dataSource.register(git.GitSource)
-    return spark.read.format("git").options(repos=json.dumps(repos), relation=relation, **options).load()
-
-
 def commits(spark: SparkSession, repos: list[str], **options) -> tuple[DataFrame, DataFrame]:
     """(commits, commit_files) with kinds, bots and top folders; a tip added by an anonymising tool is left out."""
     subject = F.col("subject")
-    c = _git(spark, repos, "commits", peel="true", **options).select(
+    c = git.read(spark, repos, "commits", peel="true", **options).select(
         "repo", "sha", F.lower(F.trim("author_email")).alias("author"), "author_name", F.col("author_ts").alias("ts"), "author_date", F.size("parents").alias("parents"), "subject", "ord", paths.subject_kind(subject).alias("kind"), paths.is_bot(F.col("author_name"), F.col("author_email")).alias("bot"),
     )
-    f = _git(spark, repos, "commit_files", peel="true", **options).select("repo", "sha", "path", F.coalesce(paths.top_dir(F.col("path")), F.lit("")).alias("dir"), paths.commit_file_kind(F.col("path")).alias("file_kind"), "additions", "deletions")
+    f = git.read(spark, repos, "commit_files", peel="true", **options).select("repo", "sha", "path", F.coalesce(paths.top_dir(F.col("path")), F.lit("")).alias("dir"), paths.commit_file_kind(F.col("path")).alias("file_kind"), "additions", "deletions")
     return c, f
 
 
@@ -151,9 +145,9 @@ def measure(spark: SparkSession, repos: list[str], as_of: str, phases: DataFrame
     everything = trees.scan(spark, repos, everything=True)
     digest = tree.content_digest(everything, "repo", "path", "content").select("repo", "digest")
     files = trees.as_text(everything.where(~paths.in_skipped_dir(F.col("path")))).select("repo", "path", "text").persist()
-    h = history_lane(c, f, as_of).join(tags_lane(_git(spark, repos, "tags")), "repo", "left").fillna(0, ["tag_count", "semver_tag_count"])
+    h = history_lane(c, f, as_of).join(tags_lane(git.read(spark, repos, "tags")), "repo", "left").fillna(0, ["tag_count", "semver_tag_count"])
     t, s, b = tree_lane(files), structure_lane(files), build_lane(files, phases, records)
-    status = _git(spark, repos, "status", peel="true").select("repo", F.col("status").alias("git_state"), "detail", "remote")
+    status = git.read(spark, repos, "status", peel="true").select("repo", F.col("status").alias("git_state"), "detail", "remote")
     lanes = expected.withColumn("requested", F.lit(mined is not None)).withColumn("finished", F.lit(True))
     none = spark.createDataFrame([], "repo string, id string, strategy string, complexity string, sentence string")
     mining = census.mining_block(lanes, census.candidates(mined) if mined is not None else none, ceiling)

@@ -17,8 +17,9 @@ has added is left out where ``peel`` is set, unless it is the only commit.
 from an empty one. Both give no rows elsewhere; any other failure of git fails the read.
 
 Filters by equality on ``repo``, and on ``ref``, ``tag`` or ``sha`` where git can look them up, are
-taken into the source (with ``spark.sql.python.filterPushdown.enabled``): repositories
-that they leave out are not opened, and git is asked for the refs or commits named.
+taken into the source where its option ``pushdown`` is true, which needs Spark's
+``spark.sql.python.filterPushdown.enabled``; ``read`` sets the one by the other. Repositories
+that they leave out are not opened, and git is asked for the refs or commits named only.
 """
 
 from __future__ import annotations
@@ -31,7 +32,8 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from datetime import datetime, timezone
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, EqualTo, In, InputPartition
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, EqualTo, In, InputPartition, IsNotNull
 
 from ..functions.paths import ANONYMISER
 
@@ -150,16 +152,6 @@ class GitReader(DataSourceReader):
         self.shas = listed(options, "shas", "sha")
         self.only: dict[str, set] = {}
 
-    def pushFilters(self, filters):
-        """Takes equalities and lists on the columns that git can look up; all others stay with Spark."""
-        for f in filters:
-            name = f.attribute[0] if isinstance(f, (EqualTo, In)) and len(f.attribute) == 1 else None
-            if name not in self.SELECTS[self.relation]:
-                yield f
-                continue
-            values = {f.value} if isinstance(f, EqualTo) else set(f.value)
-            self.only[name] = self.only[name] & values if name in self.only else values
-
     def partitions(self):
         return [_Repo(p) for p in self.repos if p in self.only.get("repo", (p,))]
 
@@ -247,6 +239,22 @@ class GitReader(DataSourceReader):
                 yield repo, tag, target if kind == "tag" and target else sha
 
 
+class FilteredGitReader(GitReader):
+    """Takes filters in; Spark refuses such a reader where filter pushdown is off."""
+
+    def pushFilters(self, filters):
+        """Takes equalities and lists on the columns that git can look up; all others stay with Spark."""
+        for f in filters:
+            name = f.attribute[0] if isinstance(f, (EqualTo, In, IsNotNull)) and len(f.attribute) == 1 else None
+            if name not in self.SELECTS[self.relation]:
+                yield f
+                continue
+            if isinstance(f, IsNotNull):  # these columns never are
+                continue
+            values = {f.value} if isinstance(f, EqualTo) else set(f.value)
+            self.only[name] = self.only[name] & values if name in self.only else values
+
+
 class _Span(InputPartition):
     def __init__(self, repo: str, new: list[str], old: list[str]):
         super().__init__((repo, new, old))
@@ -328,9 +336,21 @@ class GitSource(DataSource):
         return SCHEMAS[self.options.get("relation", "commits")]
 
     def reader(self, schema):
-        return GitReader(dict(self.options))
+        options = dict(self.options)
+        return FilteredGitReader(options) if options.get("pushdown") == "true" else GitReader(options)
 
     def streamReader(self, schema):
         if self.options.get("relation", "commits") != "commits":
             raise ValueError("only the relation commits is a stream")
         return GitStreamReader(dict(self.options))
+
+
+def pushdown(spark: SparkSession) -> str:
+    """Whether Python sources may take filters in, as an option."""
+    return str(spark.conf.get("spark.sql.python.filterPushdown.enabled", "false")).lower()
+
+
+def read(spark: SparkSession, repos: list[str], relation: str = "commits", **options: str) -> DataFrame:
+    """A relation of the repositories."""
+    spark.dataSource.register(GitSource)
+    return spark.read.format("git").options(repos=json.dumps(repos), relation=relation, pushdown=pushdown(spark), **options).load()

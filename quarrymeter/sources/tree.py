@@ -16,11 +16,12 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, In, InputPartition, IsNotNull, StringEndsWith, StringStartsWith
 
 from ..functions.paths import CI_CONFIG, KEPT_DOT_DIRS, SKIP_DIRS, extension
 from ..functions.text import ci_commands, dependency_name, requirement_name, substituted
 from ..vocab import CI_FILES
+from .git import listed, pushdown
 
 
 #: Larger files aren't parsed for decisions.
@@ -37,9 +38,13 @@ class TreeReader(DataSourceReader):
     """Walks a tree folder by folder; each folder of the root is a partition, and so are the root's own files."""
 
     def __init__(self, options: dict):
-        self.roots = [r for r in (options.get("roots") or options.get("root") or "").split(",") if r]
+        self.roots = listed(options, "roots", "root")
         self.everything = str(options.get("everything", "false")).lower() == "true"
         self.most = int(options.get("maxlength", 2**31 - 1))
+        self.content = str(options.get("content", "true")).lower() == "true"
+        self.only: dict[str, set] = {}
+        self.starts: list[str] = []
+        self.ends: list[str] = []
 
     def _entries(self, store, folder: str) -> list:
         from pyarrow import fs
@@ -48,17 +53,25 @@ class TreeReader(DataSourceReader):
         plain = lambda f: not (isinstance(store, fs.LocalFileSystem) and os.path.islink(f.path))
         return sorted((f for f in found if plain(f)), key=lambda f: f.base_name)
 
-    def _enters(self, name: str) -> bool:
-        if self.everything:
-            return name != ".git"
-        return name in KEPT_DOT_DIRS or not (name in SKIP_DIRS or name.startswith("."))
+    def _enters(self, name: str, below: str) -> bool:
+        """Whether a folder (its name, and its path below the root) is listed."""
+        if not (name != ".git" if self.everything else name in KEPT_DOT_DIRS or not (name in SKIP_DIRS or name.startswith("."))):
+            return False
+        inside = f"{below}/"
+        meets = lambda p: p.startswith(inside) or inside.startswith(p)
+        return all(map(meets, self.starts)) and ("path" not in self.only or any(p.startswith(inside) for p in self.only["path"] if p))
+
+    def _takes(self, path: str) -> bool:
+        return path in self.only.get("path", (path,)) and all(map(path.startswith, self.starts)) and all(map(path.endswith, self.ends))
 
     def partitions(self):
         out = []
         for root in self.roots:
+            if root not in self.only.get("repo", (root,)):
+                continue
             store, base = _store(root)
             out.append(_Folder(root, "", False))
-            out += [_Folder(root, f.base_name, True) for f in self._entries(store, base) if f.is_file is False and self._enters(f.base_name)]
+            out += [_Folder(root, f.base_name, True) for f in self._entries(store, base) if f.is_file is False and self._enters(f.base_name, f.base_name)]
         return out
 
     def read(self, partition: _Folder):
@@ -66,23 +79,50 @@ class TreeReader(DataSourceReader):
         todo = [f"{base}/{partition.below}".rstrip("/")]
         while todo:
             for f in self._entries(store, todo.pop()):
+                below = f.path[len(base) :].lstrip("/")
                 if not f.is_file:
-                    if partition.deep and self._enters(f.base_name):
+                    if partition.deep and self._enters(f.base_name, below):
                         todo.append(f.path)
                     continue
+                if not self._takes(below):
+                    continue
+                if not self.content:
+                    yield partition.root, below, f.size
+                    continue
                 content = None
                 if (f.size or 0) <= self.most:
                     with store.open_input_file(f.path) as x:
                         content = x.read()
-                yield partition.root, f.path[len(base) :].lstrip("/"), f.size, content
+                yield partition.root, below, f.size, content
+
+
+class FilteredTreeReader(TreeReader):
+    """Takes filters in; Spark refuses such a reader where filter pushdown is off."""
+
+    def pushFilters(self, filters):
+        """Takes equalities and lists on repo and path, and beginnings and ends of path; all others stay with Spark."""
+        for f in filters:
+            name = f.attribute[0] if len(getattr(f, "attribute", ())) == 1 else None
+            if name in ("repo", "path") and isinstance(f, (EqualTo, In)):
+                values = {f.value} if isinstance(f, EqualTo) else set(f.value)
+                self.only[name] = self.only[name] & values if name in self.only else values
+            elif name == "path" and isinstance(f, StringStartsWith):
+                self.starts.append(f.value)
+            elif name == "path" and isinstance(f, StringEndsWith):
+                self.ends.append(f.value)
+            elif not (name in ("repo", "path") and isinstance(f, IsNotNull)):  # these columns never are null
+                yield f
 
 
 class TreeSource(DataSource):
-    """``tree``: (repo, path, size, content) of all files below the folders ``roots``.
+    """``tree``: (repo, path, size, content) of all files below the folders ``roots``, a JSON array or names separated by commas.
 
     Folders that are left out by name are never listed; ``everything`` reads all
     but ``.git``. Links are not followed. Files above ``maxlength`` bytes (2 GB)
-    keep their row with null content.
+    keep their row with null content. Where ``content`` is false there is no such
+    column and no file is opened. With the option ``pushdown`` (and Spark's
+    ``spark.sql.python.filterPushdown.enabled``) filters on repo and path are taken in: folders
+    that can't hold a wanted path aren't listed, and files that aren't wanted aren't opened.
     """
 
     @classmethod
@@ -90,10 +130,11 @@ class TreeSource(DataSource):
         return "tree"
 
     def schema(self):
-        return "repo string, path string, size long, content binary"
+        return "repo string, path string, size long" + (", content binary" if str(self.options.get("content", "true")).lower() == "true" else "")
 
     def reader(self, schema):
-        return TreeReader(dict(self.options))
+        options = dict(self.options)
+        return FilteredTreeReader(options) if options.get("pushdown") == "true" else TreeReader(options)
 
 
 def _store(root: str):
@@ -105,11 +146,11 @@ def _store(root: str):
     return fs.LocalFileSystem(), os.path.abspath(root)
 
 
-def scan(spark: SparkSession, roots: str | list[str], everything: bool = False) -> DataFrame:
-    """(repo, path, ext, size, content) of all files below the roots, relative paths; with ``everything`` also those in skipped folders."""
+def scan(spark: SparkSession, roots: str | list[str], everything: bool = False, content: bool = True) -> DataFrame:
+    """(repo, path, ext, size, content) of all files below the roots, relative paths; with ``everything`` also those in skipped folders, without ``content`` no file is opened."""
     spark.dataSource.register(TreeSource)
-    raw = spark.read.format("tree").options(roots=roots if isinstance(roots, str) else ",".join(roots), everything=str(everything).lower()).load()
-    return raw.withColumn("ext", extension(F.col("path")))
+    told = {"roots": json.dumps([roots] if isinstance(roots, str) else roots), "everything": str(everything).lower(), "content": str(content).lower(), "pushdown": pushdown(spark)}
+    return spark.read.format("tree").options(**told).load().withColumn("ext", extension(F.col("path")))
 
 
 def as_text(files: DataFrame) -> DataFrame:

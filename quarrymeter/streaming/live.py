@@ -1,12 +1,11 @@
-"""Structured Streaming: incremental commits, windows, sessions, job states."""
+"""Structured Streaming: incremental commits, windows, sessions, job states with timers, lanes that come late or never."""
 
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQueryListener
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StreamingQueryListener
 
 
 def distinct_commits(stream: DataFrame, ts: str = "ts", late: str = "30 days") -> DataFrame:
@@ -36,21 +35,73 @@ def bursts(stream: DataFrame, key: str, gap: str = "2 days", ts: str = "ts", lat
 JOB_STATES = {"queued": ("cloning", "failed"), "cloning": ("measuring", "failed"), "measuring": ("completed", "failed"), "completed": (), "failed": ()}
 
 
-def job_states(events: DataFrame) -> DataFrame:
-    """Last valid state of each job and how many events were refused, from (job, state, seq)."""
+class JobProcessor(StatefulProcessor):
+    """State machine of one job: its state and last number are state variables, a timer ends a job that stays silent.
 
-    def step(key, frames, state: GroupState):
-        now, refused = state.get if state.exists else ("", 0)
-        rows = pd.concat(list(frames)).sort_values("seq")
-        for s in rows.state:
-            if (now == "" and s == "queued") or s in JOB_STATES.get(now, ()):
-                now = s
-            else:
+    Events are taken in the order of seq. One that may not follow, or whose number isn't above the
+    last one taken, is refused. Every event that is taken moves the job's deadline to its
+    own time plus the budget; when the watermark passes it, an open job fails.
+    """
+
+    def __init__(self, budget_ms: int):
+        self.budget = budget_ms
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.job = handle.getValueState("job", "state string, seq long, refused long, deadline long")
+
+    def handleInputRows(self, key, rows, timers):
+        state, seq, refused, deadline = self.job.get() if self.job.exists() else ("", None, 0, None)
+        old = deadline
+        for r in sorted(rows, key=lambda r: (r.seq is None, r.seq)):
+            follows = (state == "" and r.state == "queued") or r.state in JOB_STATES.get(state, ())
+            if r.seq is None or (seq is not None and r.seq <= seq) or not follows:
                 refused += 1
-        state.update((now, refused))
-        yield pd.DataFrame({"job": [key[0]], "state": [now], "refused": [refused]})
+                continue
+            state, seq = r.state, r.seq
+            if r.at_ms is not None:
+                deadline = max(deadline or 0, r.at_ms + self.budget)
+        if not JOB_STATES.get(state):
+            deadline = None  # ended, or never begun
+        if deadline != old:
+            if old is not None:
+                self.handle.deleteTimer(old)
+            if deadline is not None:
+                self.handle.registerTimer(deadline)
+        self.job.update((state, seq, refused, deadline))
+        yield Row(job=key[0], state=state, refused=refused, reason=None)
+
+    def handleExpiredTimer(self, key, timers, expired):
+        state, seq, refused, deadline = self.job.get()
+        if deadline == expired.getExpiryTimeInMs() and JOB_STATES.get(state):
+            self.job.update(("failed", seq, refused, None))
+            yield Row(job=key[0], state="failed", refused=refused, reason="no_news_within_budget")
+
+    def close(self) -> None:
+        pass
+
+
+def job_states(events: DataFrame, budget: str = "1 hour", ts: str = "at", late: str = "10 minutes") -> DataFrame:
+    """State of each job after its events (job, state, seq, at), how many were refused, and why it was ended; in update mode.
+
+    A job without news for longer than ``budget`` fails. Needs Spark's RocksDB state store.
+    """
+    timed = events.withWatermark(ts, late).select("job", "state", "seq", ts, F.unix_millis(ts).alias("at_ms"))
+    budget_ms = int(pd.Timedelta(budget).total_seconds() * 1000)
+    return timed.groupBy("job").transformWithState(JobProcessor(budget_ms), "job string, state string, refused long, reason string", "update", "EventTime")
+
+
+def late_lanes(expected: DataFrame, measured: DataFrame, key: str, within: str = "1 hour", late: str = "10 minutes") -> DataFrame:
+    """Every expected lane (key, asked_at) with what was measured for it (key, measured_at, ...), once.
 
-    return events.groupBy("job").applyInPandasWithState(step, "job string, state string, refused long", "state string, refused long", "update", GroupStateTimeout.NoTimeout)
+    A measurement counts if it comes within ``within`` of the request. A lane for which none has
+    come when the watermark passes that time has null columns and a reason. Append mode.
+    """
+    e = expected.withWatermark("asked_at", late).alias("e")
+    m = measured.withColumnRenamed(key, "_key").withWatermark("measured_at", late).alias("m")
+    on = (F.col(f"e.{key}") == F.col("m._key")) & (F.col("measured_at") >= F.col("asked_at")) & (F.col("measured_at") <= F.col("asked_at") + F.expr(f"interval {within}"))
+    reason = F.when(F.col("_key").isNull(), "lane_never_came")
+    return e.join(m, on, "left_outer").withColumn("reason", reason).drop("_key")
 
 
 def write_once(df: DataFrame, path: str, checkpoint: str, keys: tuple[str, ...] = ("repo", "sha")):

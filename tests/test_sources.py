@@ -48,7 +48,8 @@ def test_git_relations(spark, repo, tmp_path):
     assert f.where("path = 'a.py'").agg(F.sum("additions")).first()[0] == 8
     assert [r.tag for r in load("tags").collect()] == ["v1.0"]
     main = load("refs").where("ref = 'refs/heads/main'").first()
-    assert (main.commits, main.files, main.top_dirs) == (2, 6, 2)
+    tree_of = load("trees", shas=main.sha).first()
+    assert (tree_of.files, tree_of.top_dirs) == (6, 2)
     assert spark.read.format("git").options(repo="/nowhere").load().count() == 0
     subprocess.run(["git", "init", "-q", str(tmp_path / "new")], check=True)
     states = spark.read.format("git").options(repos=f"{repo},/nowhere,{tmp_path / 'new'}", relation="status").load()
@@ -119,14 +120,6 @@ def test_streams(spark, tmp_path):
     assert sorted(r.n for r in _drain(live.bursts(stream, "repo"), "bursts", "complete")) == [1, 3]
 
 
-def test_job_states(spark, tmp_path):
-    rows = [("a", "queued", 1), ("a", "cloning", 2), ("a", "completed", 3), ("a", "measuring", 4), ("b", "cloning", 1)]
-    spark.createDataFrame(rows, "job string, state string, seq int").coalesce(1).write.parquet(str(tmp_path / "jobs"))
-    stream = spark.readStream.schema("job string, state string, seq int").parquet(str(tmp_path / "jobs"))
-    got = {(r.job, r.state, r.refused) for r in _drain(live.job_states(stream), "jobs", "update")}
-    assert got == {("a", "measuring", 1), ("b", "", 1)}
-
-
 def test_measure(spark, repo, tmp_path):
     from quarrymeter.operators import boundary, emit
     from quarrymeter.plans.measure import measure
