@@ -3,8 +3,9 @@
 Vectors are compared only inside a label (and length). A rotation is learned on
 a bounded sample (``SAMPLE`` vectors, smallest digest): principal axes, then
 alternating between binary codes and the rotation that fits them best, so codes
-are balanced. Several rotations from different starts give enough bits. Vectors
-aren't centred, because only planes through the origin keep cosine and equal bits
+are balanced. Several rotations from different starts give enough bits; one that ends
+in planes that an earlier one has (as in few dimensions, where starts end in one optimum)
+is replaced by a random rotation, so that bits don't repeat. Vectors aren't centred, because only planes through the origin keep cosine and equal bits
 linked, so codes are balanced as far as the data lie around the origin.
 
 Multi-index tables: the code's bits are cut into hash tables of ``bits`` bits.
@@ -53,6 +54,12 @@ BUCKET = 256
 BLOCK = 1024
 MAX_BITS = 30
 CODE, MOST = 256, 42
+#: Cosine between the normals of two planes that count as the same, and how many rotations a new one is held against.
+SAME, REPEATS = 0.9, 16
+
+
+def random_rotation(d: int, seed: int) -> np.ndarray:
+    return np.linalg.qr(np.random.default_rng(seed).standard_normal((d, d)))[0]
 
 
 def learn_rotation(x: np.ndarray, seed: int) -> np.ndarray:
@@ -62,8 +69,7 @@ def learn_rotation(x: np.ndarray, seed: int) -> np.ndarray:
     cosine and equal bits, also where one dense group draws the mean to itself.
     """
     d = x.shape[1]
-    rng = np.random.default_rng(seed)
-    turn = np.linalg.qr(rng.standard_normal((d, d)))[0]
+    turn = random_rotation(d, seed)
     if len(x) < 2 * d:
         return turn
     _, axes = np.linalg.eigh(x.T @ x / len(x))
@@ -88,7 +94,13 @@ class Quantiser:
             self.fitted[d] = self._rotations(d, unit(np.array(rows, float)))
 
     def _rotations(self, d: int, x: np.ndarray) -> np.ndarray:
-        return np.concatenate([learn_rotation(x, 100 + i) for i in range(-(-self.n_bits // d))], 1)[:, : self.n_bits]
+        out: list[np.ndarray] = []
+        for i in range(-(-self.n_bits // d)):
+            turn = learn_rotation(x, 100 + i)
+            if out and np.abs(np.concatenate(out[:REPEATS], 1).T @ turn).max() > SAME:
+                turn = random_rotation(d, 100 + i)
+            out.append(turn)
+        return np.concatenate(out, 1)[:, : self.n_bits]
 
     def bits(self, x: np.ndarray) -> np.ndarray:
         """(vectors x n_bits) bits of unit vectors of one length."""
@@ -208,7 +220,9 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
         & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(v, lambda x: x != 0),
         F.lit(False),
     )
-    digest = F.when(usable, F.md5(F.concat_ws(",", F.col("label").cast("string"), v.cast("array<string>"))))
+    named = F.col("label").cast("string")
+    # the length of the label comes first, so that a label can't be taken for a part of the vector
+    digest = F.when(usable, F.md5(F.concat_ws(",", F.length(named), named, v.cast("array<string>"))))
     rows = rows.withColumn("digest", digest)
     good = rows.where("digest is not null")
     first = good.groupBy("digest").agg(F.min("vec_id").alias("low"), F.count("*").alias("copies"), F.first("label").alias("label"), F.first("vector").alias("vector"))
