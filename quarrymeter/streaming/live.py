@@ -50,7 +50,7 @@ class JobProcessor(StatefulProcessor):
         self.handle = handle
         self.job = handle.getValueState("job", "state string, seq long, refused long, deadline long")
 
-    def handleInputRows(self, key, rows, timers):
+    def handleInputRows(self, key, rows, timerValues):
         state, seq, refused, deadline = self.job.get() if self.job.exists() else ("", None, 0, None)
         old = deadline
         for r in sorted(rows, key=lambda r: (r.seq is None, r.seq)):
@@ -71,9 +71,9 @@ class JobProcessor(StatefulProcessor):
         self.job.update((state, seq, refused, deadline))
         yield Row(job=key[0], state=state, refused=refused, reason=None)
 
-    def handleExpiredTimer(self, key, timers, expired):
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         state, seq, refused, deadline = self.job.get()
-        if deadline == expired.getExpiryTimeInMs() and JOB_STATES.get(state):
+        if deadline == expiredTimerInfo.getExpiryTimeInMs() and JOB_STATES.get(state):
             self.job.update(("failed", seq, refused, None))
             yield Row(job=key[0], state="failed", refused=refused, reason="no_news_within_budget")
 
