@@ -55,9 +55,10 @@ DICTIONARY, SHORT_WORD, LONG_WORD = 20_000, 4, 12
 
 _TOKEN = np.zeros(256, bool)
 _TOKEN[[*range(48, 58), *range(65, 91), *range(97, 123), *b"+/_-"]] = True
-_ASSIGNED = re.compile(rb"(?i)(?:" + b"|".join(w.encode() for w in CREDENTIAL_WORDS) + rb")[\"']?\s{0,3}(?:=|:)\s{0,3}[\"']?([^\s\"']{6,})")
+_ASSIGNED = re.compile(rb"(?i)(?:" + b"|".join(w.encode() for w in CREDENTIAL_WORDS) + rb")[\"']?\s{0,3}(?:=|:)\s{0,3}(?:\"([^\"\r\n]{6,})\"|'([^'\r\n]{6,})'|[\"']?([^\s\"']{6,}))")
+_SPOKEN = re.compile(rb"(?i)(?:" + b"|".join(w.encode() for w in (*CREDENTIAL_WORDS, "bearer", "basic")) + rb")[ \t]+([A-Za-z0-9+/_.=-]{16,})")
 _KEY_LINE = re.compile(rb"-----(BEGIN|END) [A-Z ]{0,30}PRIVATE KEY-----")
-_HINT = re.compile(rb"(?i)passw|pwd|secret|token|api.?key|access_key|auth|credential|private_key")
+_HINT = re.compile(rb"(?i)passw|pwd|secret|token|api.?key|access_key|auth|credential|private_key|bearer|basic[ \t]")
 _URL = re.compile(rb"[A-Za-z][A-Za-z0-9+.-]{1,20}://[^\s/:@\"']{0,80}:([^\s/@\"']{3,})@")
 _WEB_TOKEN = re.compile(rb"eyJ[A-Za-z0-9_-]{6,}\.[A-Za-z0-9_-]{6,}\.[A-Za-z0-9_-]{6,}")
 _CREDENTIAL = re.compile("|".join(CREDENTIAL_WORDS))
@@ -76,7 +77,8 @@ def candidates(data: bytes, runs: np.ndarray | None = None) -> list[tuple[int, i
         runs = token_runs(np.frombuffer(data, np.uint8))
     spans += [(int(s), int(e)) for s, e in runs]
     if _HINT.search(data):
-        spans += [m.span(1) for m in _ASSIGNED.finditer(data)]
+        spans += [m.span(m.lastindex) for m in _ASSIGNED.finditer(data)]
+        spans += [m.span(1) for m in _SPOKEN.finditer(data)]
     if b"://" in data:
         spans += [m.span(1) for m in _URL.finditer(data)]
     if b"eyJ" in data:
@@ -105,12 +107,17 @@ def key_blocks(data: bytes) -> list[tuple[int, int]]:
 
 
 def _likely(buf: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
-    """Runs that are long enough and hold a digit or begin like a known credential."""
-    digits = np.concatenate([[0], np.cumsum((buf >= 48) & (buf < 58))])
+    """Runs that are long enough and hold a digit, begin like a known credential or change their case as often as random letters do."""
+    sums = lambda hit: np.concatenate([[0], np.cumsum(hit)])
+    digits = sums((buf >= 48) & (buf < 58))
+    high, low = (buf >= 65) & (buf < 91), (buf >= 97) & (buf < 123)
+    highs, lows, turns = sums(high), sums(low), sums((high[:-1] & low[1:]) | (low[:-1] & high[1:]))
+    last = np.maximum(e - 1, 0)
+    mixed = (highs[e] - highs[s] >= 3) & (lows[e] - lows[s] >= 3) & (3 * (turns[last] - turns[np.minimum(s, last)]) >= e - s)
     ok = e - s >= SHORTEST
     at = np.minimum(s, max(0, len(buf) - 4))
     head = buf[at].astype(np.uint32) | buf[at + 1].astype(np.uint32) << 8 | buf[at + 2].astype(np.uint32) << 16 | buf[at + 3].astype(np.uint32) << 24 if len(buf) >= 4 else np.zeros(len(s), np.uint32)
-    return ok & ((digits[e] > digits[s]) | np.isin(head, _HEADS))
+    return ok & ((digits[e] > digits[s]) | mixed | np.isin(head, _HEADS))
 
 
 def token_runs(buf: np.ndarray) -> np.ndarray:
@@ -263,7 +270,9 @@ def grow(x: np.ndarray, y: np.ndarray, seed: int = 6, n_trees: int = N_TREES) ->
                 gain = np.where(ok, base - (k * 2 * p * (1 - p) + (n - k) * 2 * q * (1 - q)) / n, -1)
                 i = int(gain.argmax())
                 if gain[i] > best[0]:
-                    best = (gain[i], int(f), (v[i] + v[i + 1]) / 2)
+                    middle = (v[i] + v[i + 1]) / 2
+                    # between two neighbouring doubles the middle is one of them; the cut must leave both sides rows
+                    best = (gain[i], int(f), middle if middle < v[i + 1] else v[i])
             if best[1] < 0:
                 continue
             feature[t, node], cut[t, node] = best[1], best[2]
@@ -289,6 +298,9 @@ def labelled(n: int = 4000, seed: int = 11, dictionary: frozenset[str] = frozens
     long_enough = lambda make: next(x for x in iter(make, None) if len(x) >= 7)
     url = lambda x: (f" {r.choice(('postgres', 'mysql', 'https', 'redis', 'amqp'))}://{word()[:8]}:", x, f"@{word()}.{r.choice(('com', 'internal', 'org'))}/{word()} ")
     holder = lambda: r.choice(("your-password-here", "changeme-please-1", "xxxxxxxxxxxxxxxx1", "<placeholder-123>", "example_password_1", "${SECRET_VALUE_1}", "<password>", "{{ password }}"[:11], "required", "optional", "undefined"))
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    said = lambda: r.choice(("bearer", "Bearer", "basic", "Authorization: Bearer", cred(), cred()))
+    camel = lambda: "".join(word().capitalize() for _ in range(r.randint(3, 6)))
     true = [
         lambda: (" ", "AKIA" + take(upper, 16), " "),
         lambda: (" ", r.choice(("ghp_", "gho_", "ghs_")) + take(alnum, 36), " "),
@@ -299,6 +311,9 @@ def labelled(n: int = 4000, seed: int = 11, dictionary: frozenset[str] = frozens
         lambda: (" ", "eyJ" + take(alnum, 20) + ".eyJ" + take(alnum, 24) + "." + take(alnum + "_-", 43), " "),
         *[lambda: (given(), take(r.choice((hexa, alnum, b64, alnum + "!@#%^&*")), r.choice((12, 16, 18, 20, 24, 32, 40, 64))), r.choice(("", '"', " ")))] * 5,
         *[lambda: (given(), long_enough(spoken), r.choice(("", '"', " ", "\n")))] * 3,
+        *[lambda: (f" {said()} ", take(r.choice((letters, alnum, b64)), r.choice((16, 20, 24, 32, 40))), r.choice((" ", "\n", ".")))] * 2,
+        lambda: (given(), take(letters, r.choice((16, 20, 24, 32))), r.choice(("", '"', " "))),
+        lambda: (f'{cred()}{r.choice((" = ", "="))}"', " ".join(word() for _ in range(r.randint(3, 5))), '"'),
         lambda: url(take(alnum + "!#$%", r.randint(8, 24))),
         lambda: url(long_enough(spoken)),
         lambda: ("", "-----BEGIN RSA PRIVATE KEY-----" + take(b64, 64), " "),
@@ -312,6 +327,9 @@ def labelled(n: int = 4000, seed: int = 11, dictionary: frozenset[str] = frozens
         *[lambda: (" ", word() + word() + word() + word() + take("0123456789", r.randint(1, 4)), " ")] * 2,
         lambda: (" ", word() + "_" + word() + "_" + word() + "_" + take("0123456789", 2), " "),
         *[lambda: (f" {cred()}{r.choice(('=', ': '))}{q()}", holder(), " ")] * 2,
+        *[lambda: (r.choice((" ", f" {said()} ", f" {cred()}: ")), next(x for x in iter(camel, None) if len(x) >= 16), " ")] * 2,
+        lambda: (f" {said()} ", next(x for x in iter(lambda: word() + word() + word(), None) if len(x) >= 16), " "),
+        lambda: (f' {cred()}: "', " ".join(word() for _ in range(r.randint(8, 15))), '" '),
         lambda: url(holder()),
         lambda: (f" {r.choice(CREDENTIAL_WORDS)}: ", long_enough(word) if known else made() + "ation", " " + prose() + " "),
         lambda: (" ", take("0123456789", r.randint(16, 24)), " "),

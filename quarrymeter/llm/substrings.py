@@ -55,8 +55,9 @@ class FingerprintIndex:
 
     A manifest names the runs; it is replaced by renaming, after a run is whole
     and before runs that it no longer names are deleted, so whoever opens the
-    folder again finds all that was added. Without ``path`` the index is in the
-    shared folder.
+    folder again finds all that was added. It names the batches too: one that is
+    added again under its name is looked up, but counted once. Without ``path`` the
+    index is in the shared folder.
     """
 
     def __init__(self, spark: SparkSession, max_runs: int = 3, path: str | None = None, keys: tuple[str, ...] = ("h",)):
@@ -64,9 +65,11 @@ class FingerprintIndex:
         self.path = (path or scratch_path(spark, "index")).rstrip("/")
         self.compactions = 0
         try:
-            self.runs: list[str] = json.loads(read_file(f"{self.path}/manifest.json"))
+            named = json.loads(read_file(f"{self.path}/manifest.json"))
         except FileNotFoundError:
-            self.runs = []
+            named = {"runs": [], "batches": []}
+        self.runs: list[str] = named["runs"]
+        self.batches: list[str] = named["batches"]
 
     def _read(self, run: str) -> DataFrame:
         return self.spark.read.schema(", ".join(f"{k} long" for k in [*self.keys, "n"])).parquet(f"{self.path}/{run}")
@@ -76,22 +79,29 @@ class FingerprintIndex:
         counts.select(*self.keys, F.col("n").cast("long").alias("n")).sortWithinPartitions(*self.keys).write.option("compression", "zstd").parquet(f"{self.path}/{run}")
         return run
 
-    def _name(self, runs: list[str]) -> None:
-        put_file(f"{self.path}/manifest.json", json.dumps(runs).encode())
-        self.runs = runs
+    def _name(self, runs: list[str], batches: list[str]) -> None:
+        put_file(f"{self.path}/manifest.json", json.dumps({"runs": runs, "batches": batches}).encode())
+        self.runs, self.batches = runs, batches
 
-    def append(self, batch: DataFrame) -> DataFrame:
-        """Add a batch of (keys, n); returns those of its keys that occur more than once so far, n over all runs."""
+    def append(self, batch: DataFrame, name: str | None = None) -> DataFrame:
+        """Add a batch of (keys, n); returns those of its keys that occur more than once so far, n over all runs.
+
+        A batch whose name is in the index already is part of its runs, and isn't added again.
+        """
+        again = name is not None and name in self.batches
         new = self._write(batch.groupBy(*self.keys).agg(F.sum("n").alias("n")))
-        seen, total = self._read(new), F.col("n")
+        seen, total = self._read(new), F.lit(0).cast("long") if again else F.col("n")
         for i, old in enumerate(self.runs):
             seen = seen.hint("merge").join(self._read(old).withColumnRenamed("n", f"n{i}"), self.keys, "left")
             total = total + F.coalesce(F.col(f"n{i}"), F.lit(0))
-        again = Table(seen.select(*self.keys, total.alias("n")).where("n > 1"), "again").df
-        self._name([*self.runs, new])
+        more = Table(seen.select(*self.keys, total.alias("n")).where("n > 1"), "again").df
+        if again:
+            delete_path(self.spark, f"{self.path}/{new}")
+            return more
+        self._name([*self.runs, new], self.batches + [name] * (name is not None))
         if len(self.runs) > self.max_runs:
             self.compact()
-        return again
+        return more
 
     def compact(self) -> None:
         """Merge all runs into one."""
@@ -99,7 +109,7 @@ class FingerprintIndex:
         merged = self._read(old[0])
         for r in old[1:]:
             merged = merged.union(self._read(r))
-        self._name([self._write(merged.groupBy(*self.keys).agg(F.sum("n").alias("n")))])
+        self._name([self._write(merged.groupBy(*self.keys).agg(F.sum("n").alias("n")))], self.batches)
         self.compactions += 1
         for r in old:
             delete_path(self.spark, f"{self.path}/{r}")
@@ -310,17 +320,21 @@ def _all_windows(window: int):
     return run
 
 
-def remove_known(docs: DataFrame, path: str, window: int = WINDOW, max_runs: int = 3, digest: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_known(docs: DataFrame, path: str, window: int = WINDOW, max_runs: int = 3, digest: bool = False, id_col: str = "doc_id", text_col: str = "text", batch: str | None = None) -> DataFrame:
     """(doc_id, n_words, n_removed, text) of a batch: words go that a window covers which stands elsewhere in the batch or in an earlier one.
 
     ``path`` is the folder of the index, made by the first batch; this batch's
-    windows are added to it before anything is returned.
+    windows are added to it before anything is returned. A batch that runs again, because what
+    came after it failed, is known by its name ``batch`` and gives the same result: its windows count
+    once. Without a name it is known by its rows (their number, and a sum and a parity of two hashes).
     """
     spark = docs.sparkSession
     bounded_batches(spark)
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("key", F.xxhash64("doc_id", "text"))
+    if batch is None:
+        batch = "rows-{}-{}-{}".format(*src.agg(F.count("*"), F.coalesce(F.sum(F.col("key").cast("decimal(38,0)")), F.lit(0)), F.coalesce(F.bit_xor(F.xxhash64(F.lit(3), "doc_id", "text")), F.lit(0))).first())
     seen = Table(src.select("key", "text").mapInArrow(_all_windows(window), "key long, pos int, h long, g long"), "windows")
-    again = FingerprintIndex(spark, max_runs, path, ("h", "g")).append(seen.df.select("h", "g", F.lit(1).alias("n")))
+    again = FingerprintIndex(spark, max_runs, path, ("h", "g")).append(seen.df.select("h", "g", F.lit(1).alias("n")), batch)
     marks = Table(seen.df.join(again.select("h", "g"), ["h", "g"]).select("key", "pos").distinct().groupBy("key").agg(F.collect_list(F.struct("pos", F.lit(1).cast("long").alias("mask"))).alias("marks")), "marks")
     seen.drop()
     schema = "doc_id long, n_words long, n_removed long, " + ("kept_sha256 string" if digest else "text string")
