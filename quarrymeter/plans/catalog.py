@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import paths, scores, text
 from ..operators import census, emit, graph, history, projects, runtime, tree, verdicts
+from ..sources import tree as trees
 from . import relations as rel
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -153,6 +154,14 @@ def vocabulary_fold(spark, sf):
     return tree.fold_vocabulary(rel.table(spark, sf, "part"), "p_brand", ["Brand#1", "Brand#2", "Brand#3"])
 
 
+@query("""SELECT repo, n, top, total, top::DOUBLE/nullif(total, 0) AS top_share FROM (SELECT repo, count(*) AS n, sum(d)::BIGINT AS total, sum(CASE WHEN r <= k THEN d ELSE 0 END)::BIGINT AS top FROM (
+ SELECT *, row_number() OVER (PARTITION BY repo ORDER BY d DESC, path) AS r, greatest(1, round_even(count(*) OVER (PARTITION BY repo) * 0.1::DOUBLE, 0)) AS k FROM (
+ SELECT p_brand AS repo, lpad(p_partkey::VARCHAR, 12, '0') AS path, CASE p_partkey % 4 WHEN 0 THEN 2 * (p_size % 7) WHEN 1 THEN 2 * (p_size % 7) WHEN 2 THEN 1 + 3 * (p_size % 7) ELSE 3 + 2 * (p_size % 7) END AS d FROM part)) GROUP BY repo)""", prefix=False)
+def language_decisions(spark, sf):
+    found = trees.function_decisions(rel.written_sources(spark, sf)).where("function is not null")
+    return history.concentration(found, "repo", "decisions", "path", 0.1).select("repo", "n", "top", "total", "top_share")
+
+
 # ------------------------------------------------------------- commit graph
 @query(rel.GRAPH_SQL + "SELECT repo, ref, count(*) AS commits FROM below GROUP BY repo, ref", prefix=False)
 def reachable_commits(spark, sf):

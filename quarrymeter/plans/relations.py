@@ -38,6 +38,23 @@ def phases(spark: SparkSession, sf: str) -> DataFrame:
     return li.select(F.col("l_orderkey").alias("project"), F.col("l_linenumber").alias("phase"), F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("supp"), status.alias("status"), F.when(status == "failed", owner).alias("attribution"))
 
 
+def written_sources(spark: SparkSession, sf: str) -> DataFrame:
+    """(repo, path, ext, size, text): a source in Go, Java, JavaScript or Rust for each part, with as many branches as its size says."""
+    key, n = F.col("p_partkey"), (F.col("p_size") % 7).cast("int")
+    texts = [
+        ("go", 'package a\n// if {\nfunc f() {\n s := "if {"\n', "if x {\n y()\n}\n", "}\n"),
+        ("java", 'class A { /* while ( */ void f() throws B { String s = "for (";\n', "while (x) { }\n", "} }\n"),
+        ("js", "const f = (x) => { const t = `if ${x ? 1 : 2} {`; // for\n", "if (x) { } else { }\n", "};\n"),
+        ("rs", "fn f() { match x { // if\n", "A => '{',\n", "} }\n"),
+    ]
+    text, ext = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for i, (e, head, each, tail) in enumerate(texts):
+        text = F.when(key % 4 == i, F.concat(F.lit(head), F.repeat(F.lit(each), n), F.lit(tail))).otherwise(text)
+        ext = F.when(key % 4 == i, F.lit(f".{e}")).otherwise(ext)
+    p = table(spark, sf, "part").select(F.col("p_brand").alias("repo"), F.lpad(key.cast("string"), 12, "0").alias("path"), ext.alias("ext"), text.alias("text"))
+    return p.withColumn("size", F.octet_length("text").cast("long"))
+
+
 def commit_graph(spark: SparkSession, sf: str) -> DataFrame:
     """(repo, sha, parents): 25 histories of merges over the orders."""
     k = F.col("o_orderkey")

@@ -21,6 +21,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, In, In
 from ..functions.paths import CI_CONFIG, KEPT_DOT_DIRS, SKIP_DIRS, extension
 from ..functions.text import ci_commands, dependency_name, requirement_name, substituted
 from ..vocab import CI_FILES
+from . import decisions as brackets
 from .git import listed, pushdown
 
 
@@ -428,7 +429,7 @@ def ci_flags(files: DataFrame) -> DataFrame:
 
 
 def python_decisions(text: str) -> list[tuple[str, int]] | None:
-    """(function, decisions) of Python source; None if it doesn't parse. Other languages have no parser here."""
+    """(function, decisions) of Python source; None if it doesn't parse."""
     try:
         tree = ast.parse(text)
     except (SyntaxError, ValueError, RecursionError):
@@ -457,7 +458,7 @@ def function_decisions(files: DataFrame) -> DataFrame:
         for b in batches:
             rows = []
             for r, p, e, t in zip(b.repo, b.path, b.ext, b.text, strict=True):
-                got = python_decisions(t) if e == ".py" and t is not None else None
+                got = None if t is None else python_decisions(t) if e == ".py" else brackets.decisions(t, brackets.LANGUAGES[e]) if e in brackets.LANGUAGES else None
                 rows += [(r, p, False, None, None)] if got is None else [(r, p, True, f, n) for f, n in got]
             yield pd.DataFrame(rows, columns=["repo", "path", "parsed", "function", "decisions"]).astype({"decisions": "Int32"})
 
