@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import paths, scores, text
-from ..operators import census, emit, graph, history, projects, runtime, tree, verdicts
+from ..operators import census, emit, graph, history, machine, projects, runtime, tree, verdicts
 from ..sources import tree as trees
 from . import relations as rel
 
@@ -247,6 +247,12 @@ def lane_clock(spark, sf):
     return out.withColumn("seconds", F.round("seconds", 3)).withColumn("last_end", F.col("last_end").cast("timestamp_ntz"))
 
 
+@query(rel.MACHINE_SQL + """SELECT repo, project, phase, rank, nth, status, reason, blame AS owner, used AS seconds FROM m WHERE pos >= 0
+ UNION ALL SELECT repo, project, phase, rank, nth, 'skipped_budget', 'project_cap_reached', 'runner', 0 FROM e WHERE rank > 8""", prefix=False)
+def phase_machine(spark, sf):
+    return machine.run_phases(rel.probed_projects(spark, sf), rel.probe_records(spark, sf), machine.plan_table(spark))
+
+
 # ------------------------------------------------------------------ runtime
 @query("SELECT o_custkey AS repo, o_orderstatus AS lane, arg_min(o_orderpriority, o_orderpriority||lpad(o_orderkey::VARCHAR,12,'0')) AS spec, min(o_orderpriority) AS priority FROM orders GROUP BY 1,2", prefix=False)
 def lane_precedence(spark, sf):

@@ -55,6 +55,48 @@ def written_sources(spark: SparkSession, sf: str) -> DataFrame:
     return p.withColumn("size", F.octet_length("text").cast("long"))
 
 
+def probed_projects(spark: SparkSession, sf: str) -> DataFrame:
+    """(repo, project, ecosystem, weight): a customer's orders as projects."""
+    p = F.col("o_orderpriority")
+    ecosystem = F.when(p == "1-URGENT", "python").when(p == "2-HIGH", "go").when(p == "3-MEDIUM", "ruby").when(p == "5-LOW", "php").otherwise("cobol")
+    return table(spark, sf, "orders").select(F.col("o_custkey").alias("repo"), F.col("o_orderkey").alias("project"), ecosystem.alias("ecosystem"), F.round("o_totalprice").cast("long").alias("weight"))
+
+
+def probe_records(spark: SparkSession, sf: str) -> DataFrame:
+    """(repo, project, phase, outcome, attribution, seconds): the first five lines of an order as its phases."""
+    from ..operators.machine import PHASES
+
+    li, o = table(spark, sf, "lineitem"), table(spark, sf, "orders").select("o_orderkey", "o_custkey")
+    flag = F.col("l_returnflag")
+    outcome = F.when((F.col("l_linestatus") == "O") | (F.col("l_tax") < 0.05), "passed").when(flag == "R", "failed").when(flag == "A", "unavailable")
+    first = li.where(F.col("l_linenumber").between(1, 5)).join(o, F.col("l_orderkey") == F.col("o_orderkey"))
+    phase = F.element_at(F.array(*map(F.lit, PHASES)), F.col("l_linenumber").cast("int"))
+    return first.select(F.col("o_custkey").alias("repo"), F.col("l_orderkey").alias("project"), phase.alias("phase"), outcome.alias("outcome"), F.when(flag == "R", "repository").when(flag == "A", "runner").alias("attribution"), (F.col("l_quantity").cast("int") * 20).cast("long").alias("seconds"))
+
+
+#: The phase machine in DuckDB: a recursion over the phases of each repository in their order.
+MACHINE_SQL = """
+WITH RECURSIVE p AS (SELECT o_custkey AS repo, o_orderkey AS project, CASE o_orderpriority WHEN '1-URGENT' THEN 'python' WHEN '2-HIGH' THEN 'go' WHEN '3-MEDIUM' THEN 'ruby' WHEN '5-LOW' THEN 'php' ELSE 'cobol' END AS ecosystem, CAST(round(o_totalprice) AS BIGINT) AS weight FROM orders),
+k AS (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY weight DESC, project) AS rank FROM p),
+v AS (SELECT *, coalesce(sum(CASE WHEN rank <= 8 THEN weight END) OVER (PARTITION BY repo ORDER BY rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 0)::BIGINT AS weight_left FROM k),
+h AS (SELECT * FROM (VALUES (0, 'resolve'), (1, 'build'), (2, 'discover'), (3, 'test'), (4, 'coverage')) t(nth, phase)),
+q AS (SELECT l_orderkey AS project, l_linenumber - 1 AS nth, CASE WHEN l_linestatus = 'O' OR l_tax < 0.05 THEN 'passed' WHEN l_returnflag = 'R' THEN 'failed' WHEN l_returnflag = 'A' THEN 'unavailable' END AS outcome,
+ CASE l_returnflag WHEN 'R' THEN 'repository' WHEN 'A' THEN 'runner' END AS attribution, CAST(trunc(l_quantity) AS BIGINT) * 20 AS seconds FROM lineitem WHERE l_linenumber BETWEEN 1 AND 5),
+r AS (SELECT project, nth, outcome, attribution, seconds FROM (SELECT *, row_number() OVER (PARTITION BY project, nth ORDER BY seconds DESC, outcome DESC NULLS LAST, attribution DESC NULLS LAST) AS i FROM q) WHERE i = 1),
+e AS (SELECT v.*, h.*, (v.rank - 1) * 5 + h.nth AS pos, NOT (ecosystem = 'cobol' OR (phase = 'build' AND ecosystem IN ('python', 'ruby', 'php')) OR (phase = 'coverage' AND ecosystem = 'php')) AS planned, outcome, attribution, coalesce(seconds, 0) AS seconds FROM v, h LEFT JOIN r ON r.project = v.project AND r.nth = h.nth),
+m AS (SELECT repo, -1::BIGINT AS pos, 1800::BIGINT AS lft, 0::BIGINT AS share, NULL::VARCHAR AS cause, NULL::VARCHAR AS owner, NULL::VARCHAR AS stop, NULL::BIGINT AS project, NULL::VARCHAR AS phase, NULL::BIGINT AS rank, NULL::INT AS nth, NULL::VARCHAR AS status, NULL::VARCHAR AS reason, NULL::VARCHAR AS blame, 0::BIGINT AS used FROM (SELECT DISTINCT repo FROM p)
+UNION ALL SELECT repo, pos, lft - used, share - used, CASE WHEN blocks THEN phase || '_' || status ELSE cause END, CASE WHEN blocks THEN blame ELSE owner END, CASE WHEN status = 'skipped_budget' THEN 'spent' ELSE stop END, project, phase, rank, nth, status,
+  CASE status WHEN 'blocked' THEN cause WHEN 'skipped_budget' THEN 'run_budget_exhausted' WHEN 'timed_out' THEN 'cut_off_by_budget' END, blame, used
+ FROM (SELECT *, CASE WHEN runs AND allowed >= 15 AND outcome IS NOT NULL THEN least(seconds, allowed) ELSE 0 END AS used,
+   runs AND (status IN ('unavailable', 'timed_out') AND phase <> 'coverage' OR status = 'failed' AND phase IN ('resolve', 'build')) AS blocks,
+   CASE WHEN status = 'blocked' THEN owner WHEN status IN ('skipped_budget', 'timed_out') THEN 'runner' WHEN status IN ('failed', 'unavailable') THEN coalesce(attribution, 'unknown') END AS blame
+  FROM (SELECT *, cause IS NULL AND stop IS NULL AND planned AS runs, CASE WHEN cause IS NOT NULL THEN 'blocked' WHEN stop IS NOT NULL THEN 'skipped_budget' WHEN NOT planned THEN 'not_planned' WHEN allowed < 15 THEN 'skipped_budget' WHEN outcome IS NULL THEN 'not_recorded' WHEN seconds > allowed THEN 'timed_out' ELSE outcome END AS status
+   FROM (SELECT *, least(900, share, lft) AS allowed FROM (
+    SELECT m.repo, e.pos, m.lft, e.project, e.phase, e.rank, e.nth, e.planned, e.outcome, e.attribution, e.seconds, CASE WHEN e.nth = 0 THEN greatest(m.lft * e.weight // greatest(1, e.weight_left), least(30, m.lft)) ELSE m.share END AS share,
+     CASE WHEN e.nth > 0 THEN m.cause END AS cause, CASE WHEN e.nth > 0 THEN m.owner END AS owner, CASE WHEN e.nth > 0 THEN m.stop END AS stop FROM m JOIN e ON e.repo = m.repo AND e.pos = m.pos + 1 AND e.rank <= 8)))))
+"""
+
+
 def commit_graph(spark: SparkSession, sf: str) -> DataFrame:
     """(repo, sha, parents): 25 histories of merges over the orders."""
     k = F.col("o_orderkey")
