@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,6 +34,41 @@ def _scrub(c, kind):
     return c
 
 
+def without(df: DataFrame, names: list[str]) -> DataFrame:
+    """The rows without the fields of these names at any depth: in columns, structs, arrays of structs and values of maps.
+
+    The projection is made from the schema; nulls stay null, map keys and the order of
+    what is left stay. A struct that loses all its fields goes too, and so does an array or map of such.
+    """
+    out = [(f.name, _without(F.col(f"`{f.name}`"), f.dataType, frozenset(names))) for f in df.schema.fields if f.name not in names]
+    return df.select(*[c.alias(n) for n, c in out if c is not None])
+
+
+def _without(c: Column, kind: T.DataType, names: frozenset[str]) -> Column | None:
+    """The column without the named fields; None where nothing is left of its type."""
+    if not _holds(kind, names):
+        return c
+    if isinstance(kind, T.StructType):
+        kept = [(f.name, _without(c.getField(f.name), f.dataType, names)) for f in kind.fields if f.name not in names]
+        kept = [(n, x) for n, x in kept if x is not None]
+        return F.when(c.isNotNull(), F.struct(*[x.alias(n) for n, x in kept])) if kept else None
+    inner = kind.elementType if isinstance(kind, T.ArrayType) else kind.valueType
+    if _without(F.lit(None), inner, names) is None:
+        return None
+    if isinstance(kind, T.ArrayType):
+        return F.transform(c, lambda x: _without(x, inner, names))
+    return F.transform_values(c, lambda _, v: _without(v, inner, names))
+
+
+def _holds(kind: T.DataType, names: frozenset[str]) -> bool:
+    """Whether a type has one of the fields anywhere."""
+    if isinstance(kind, T.StructType):
+        return any(f.name in names or _holds(f.dataType, names) for f in kind.fields)
+    if isinstance(kind, T.ArrayType):
+        return _holds(kind.elementType, names)
+    return isinstance(kind, T.MapType) and _holds(kind.valueType, names)
+
+
 def leak_report(df: DataFrame, columns: list[str]) -> DataFrame:
     """(field, label, n): strings that still leak, by field and first rule."""
     pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("field"), first_leak(F.col(c)).alias("label")) for c in columns]))

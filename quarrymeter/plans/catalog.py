@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import paths, scores, text
-from ..operators import census, emit, graph, history, machine, projects, runtime, tree, verdicts
+from ..operators import census, emit, graph, history, lines, machine, projects, runtime, tree, verdicts
 from ..sources import tree as trees
 from . import relations as rel
 
@@ -162,6 +162,20 @@ def language_decisions(spark, sf):
     return history.concentration(found, "repo", "decisions", "path", 0.1).select("repo", "n", "top", "total", "top_share")
 
 
+@query("""SELECT repo, nr, entry FROM (SELECT *, min(CASE WHEN NOT head THEN indent END) OVER w > max(CASE WHEN head THEN indent END) OVER w AS inside FROM (
+ SELECT *, last_value(CASE WHEN head THEN nr END IGNORE NULLS) OVER (PARTITION BY repo ORDER BY nr ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS island FROM (
+ SELECT o_custkey AS repo, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS nr, o_orderpriority AS p, p = '1-URGENT' AS head, CASE p WHEN '1-URGENT' THEN o_orderkey % 2 ELSE o_orderkey % 4 END AS indent, 'k' || o_orderkey AS entry FROM orders)
+ WHERE p <> '5-LOW') WHERE island IS NOT NULL WINDOW w AS (PARTITION BY repo, island ORDER BY nr ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) WHERE NOT head AND inside""", prefix=False)
+def section_entries(spark, sf):
+    return lines.yaml_section_entries(rel.written_manifests(spark, sf), ["repo"], F.array(F.lit("dependencies"), F.lit("pip"))).select("repo", "nr", "entry")
+
+
+@query("""SELECT c_custkey, to_json({'name': c_name, 'orders': coalesce(o, []), 'by_status': {'F': {'n': f}, 'O': {'n': n - f}}})::VARCHAR AS doc FROM customer JOIN (
+ SELECT o_custkey, list({'id': o_orderkey, 'lines': [{'priority': o_orderpriority}]} ORDER BY o_orderkey) AS o, count(*) FILTER (o_orderstatus = 'F') AS f, count(*) AS n FROM orders GROUP BY 1) ON o_custkey = c_custkey""", prefix=False)
+def without_detail(spark, sf):
+    return emit.without(rel.detailed_customers(spark, sf), ["evidence", "log"]).select("c_custkey", F.to_json("doc").alias("doc"))
+
+
 # ------------------------------------------------------------- commit graph
 @query(rel.GRAPH_SQL + "SELECT repo, ref, count(*) AS commits FROM below GROUP BY repo, ref", prefix=False)
 def reachable_commits(spark, sf):

@@ -55,6 +55,28 @@ def written_sources(spark: SparkSession, sf: str) -> DataFrame:
     return p.withColumn("size", F.octet_length("text").cast("long"))
 
 
+def written_manifests(spark: SparkSession, sf: str) -> DataFrame:
+    """(repo, text): a YAML mapping for each customer, a line for each order: headers, comments and entries of any indent."""
+    k, p = F.col("o_orderkey"), F.col("o_orderpriority")
+    pad = lambda n: F.repeat(F.lit(" "), (k % n).cast("int"))
+    line = F.when(p == "1-URGENT", F.concat(pad(2), F.lit("dependencies:"))).when(p == "5-LOW", F.concat(pad(4), F.lit("# none: 1"))).otherwise(F.concat(pad(4), F.lit("- k"), k, F.lit(">=1  # why")))
+    told = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("repo")).agg(F.sort_array(F.collect_list(F.struct(k.alias("k"), line.alias("line")))).alias("x"))
+    return told.select("repo", F.array_join(F.transform("x", lambda e: e["line"]), "\n").alias("text"))
+
+
+def detailed_customers(spark: SparkSession, sf: str) -> DataFrame:
+    """(c_custkey, doc): a nested document with evidence at every depth: in structs, arrays and maps."""
+    log = F.struct(F.col("o_comment" if "o_comment" in table(spark, sf, "orders").columns else "o_orderpriority").alias("text")).alias("log")
+    one = F.struct(F.col("o_orderkey").alias("id"), log, F.array(F.struct(F.col("o_orderpriority").alias("priority"), F.col("o_orderkey").alias("evidence"))).alias("lines"))
+    o = table(spark, sf, "orders")
+    n = F.count("*")
+    per = o.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.sort_array(F.collect_list(one)).alias("orders"), F.count_if(F.col("o_orderstatus") == "F").alias("f"), n.alias("n"))
+    count = lambda c: F.struct(c.alias("n"), F.array(c).alias("evidence"))
+    both = F.create_map(F.lit("F"), count(F.col("f")), F.lit("O"), count(F.col("n") - F.col("f")))
+    doc = F.struct(F.col("c_name").alias("name"), F.col("orders").alias("evidence"), "orders", both.alias("by_status"))
+    return table(spark, sf, "customer").join(per, "c_custkey").select("c_custkey", doc.alias("doc"))
+
+
 def probed_projects(spark: SparkSession, sf: str) -> DataFrame:
     """(repo, project, ecosystem, weight): a customer's orders as projects."""
     p = F.col("o_orderpriority")

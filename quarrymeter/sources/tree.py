@@ -20,6 +20,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, In, In
 
 from ..functions.paths import CI_CONFIG, KEPT_DOT_DIRS, SKIP_DIRS, extension
 from ..functions.text import ci_commands, dependency_name, requirement_name, substituted
+from ..operators import lines
 from ..vocab import CI_FILES
 from . import decisions as brackets
 from .git import listed, pushdown
@@ -175,37 +176,6 @@ def make_recipes(text: str) -> dict[str, list[str]]:
     return out
 
 
-def yaml_block_keys(text: str, sections: set[str]) -> list[str]:
-    """Entries below the named sections of a simple YAML mapping, by indent alone; a version after a name is cut off."""
-    out, depth = [], None
-    for line in text.splitlines():
-        bare = line.strip()
-        if not bare or bare.startswith("#"):
-            continue
-        indent = len(line) - len(line.lstrip())
-        if depth is not None and indent <= depth:
-            depth = None
-        if bare.endswith(":") and bare.rstrip(":") in sections:
-            depth = indent
-        elif depth is not None:
-            out.append(re.split(r"[=<>!~\s:]", bare.lstrip("- ").partition("#")[0], maxsplit=1)[0])
-    return out
-
-
-def setup_cfg_requirements(text: str) -> list[str]:
-    """Requirement lines of install_requires and setup_requires in setup.cfg."""
-    out, inside = [], False
-    for line in text.splitlines():
-        if m := re.match(r"^\s*(?:install_requires|setup_requires)\s*=(.*)", line):
-            inside = True
-            out.append(m[1])
-        elif inside and line.strip() and not line[:1].isspace():
-            inside = False
-        elif inside:
-            out.append(line)
-    return out
-
-
 def _json(text: str) -> dict:
     try:
         got = json.loads(text)
@@ -248,10 +218,6 @@ def manifest_names(path: str, text: str) -> list[tuple[str, str, bool]]:
     if path == "setup.py":
         blocks = re.findall(r"(?:install|extras|setup|tests)_requires?\s*=\s*[\[{](.*?)[\]}]", text, re.S)
         return [("pypi", x, True) for b in blocks for x in re.findall(r"[\"']([^\"'\n]+)[\"']", b)]
-    if path == "setup.cfg":
-        return [("pypi", x, True) for x in setup_cfg_requirements(text)]
-    if path in ("environment.yml", "environment.yaml"):
-        return [("pypi", x, False) for x in yaml_block_keys(text, {"dependencies", "pip"})]
     if path == "go.mod":
         return found("go", r"^\s*(?:require\s+)?([a-z0-9][a-z0-9.-]*\.[a-z]{2,}/\S+)\s+v\d")
     if path == "Cargo.toml":
@@ -265,11 +231,25 @@ def manifest_names(path: str, text: str) -> list[tuple[str, str, bool]]:
         return found("maven", r"<(groupId|artifactId)>\s*([^<\s]+)\s*</\1>", 2)
     if path in ("build.gradle", "build.gradle.kts"):
         return found("maven", r"['\"]([A-Za-z0-9_.-]+:[A-Za-z0-9_.-]+)(?::[^'\"]*)?['\"]")
-    if path == "pubspec.yaml":
-        return [("pub", x, False) for x in yaml_block_keys(text, {"dependencies", "dev_dependencies"})]
     return []
 
 
+#: YAML manifests, the ecosystem of each and the sections that hold its dependencies.
+YAML_MANIFESTS = {"environment.yml": ("pypi", ("dependencies", "pip")), "environment.yaml": ("pypi", ("dependencies", "pip")), "pubspec.yaml": ("pub", ("dependencies", "dev_dependencies"))}
+
+
+def _line_manifests(root: DataFrame) -> DataFrame:
+    """(repo, ecosystem, raw, line) of the manifests that are read line by line."""
+    path = F.col("path")
+    sections, ecosystem = F.lit(None).cast("array<string>"), F.lit(None).cast("string")
+    for name, (eco, parts) in YAML_MANIFESTS.items():
+        sections = F.when(path == name, F.array(*map(F.lit, parts))).otherwise(sections)
+        ecosystem = F.when(path == name, eco).otherwise(ecosystem)
+    entries = lines.yaml_section_entries(root.where(path.isin(*YAML_MANIFESTS)), ["repo", "path"], sections)
+    cfg = lines.setup_cfg_entries(root.where(path == "setup.cfg"), ["repo", "path"])
+    return entries.select("repo", ecosystem.alias("ecosystem"), F.col("entry").alias("raw"), F.lit(False).alias("line")).unionByName(cfg.select("repo", F.lit("pypi").alias("ecosystem"), F.col("entry").alias("raw"), F.lit(True).alias("line")))
+
+
 def dependencies(files: DataFrame) -> DataFrame:
     """Distinct (repo, ecosystem, name) over the manifests of every repository's root."""
 
@@ -278,7 +258,8 @@ def dependencies(files: DataFrame) -> DataFrame:
             rows = [(r, e, n, q) for r, p, t in zip(b.repo, b.path, b.text, strict=True) if t for e, n, q in manifest_names(p, t)]
             yield pd.DataFrame(rows, columns=["repo", "ecosystem", "raw", "line"])
 
-    raw = files.where(~F.col("path").contains("/")).select("repo", "path", "text").mapInPandas(run, "repo string, ecosystem string, raw string, line boolean")
+    root = files.where(~F.col("path").contains("/")).select("repo", "path", "text")
+    raw = root.where(~F.col("path").isin("setup.cfg", *YAML_MANIFESTS)).mapInPandas(run, "repo string, ecosystem string, raw string, line boolean").unionByName(_line_manifests(root))
     name = F.when(F.col("line"), requirement_name(F.col("raw"))).otherwise(dependency_name(F.col("raw")))
     return raw.select("repo", "ecosystem", name.alias("name")).where("name is not null").distinct()
 

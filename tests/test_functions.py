@@ -199,3 +199,15 @@ def test_rows_of_the_flat_table_are_declared():
     from quarrymeter.operators import boundary
 
     assert len(boundary.ROW) == 41 and {k.group for k in boundary.ROW.values()} >= {"numbers", "booleans", "enums", "identity", "timestamps", "withheld"}
+
+
+def test_fields_are_dropped_at_any_depth(spark):
+    from quarrymeter.operators import emit
+
+    kind = "id int, log string, a struct<x: int, log: string, deep: array<struct<log: int, y: map<string, struct<log: int, z: int>>>>>, gone struct<log: int>, list array<struct<log: int>>, m map<string, array<int>>, `odd.name` struct<log: int, `v.w`: int>"
+    rows = [(1, "l", (2, "l", [(3, {"k": (4, 5), "n": None}), None]), (6,), [(7,)], {"log": [8]}, (9, 10)), (2, None, None, None, None, None, None)]
+    got = emit.without(spark.createDataFrame(rows, kind), ["log"])
+    assert got.schema.simpleString() == "struct<id:int,a:struct<x:int,deep:array<struct<y:map<string,struct<z:int>>>>>,m:map<string,array<int>>,odd.name:struct<v.w:int>>"
+    first, second = (r.asDict(True) for r in got.orderBy("id").collect())
+    assert first == {"id": 1, "a": {"x": 2, "deep": [{"y": {"k": {"z": 5}, "n": None}}, None]}, "m": {"log": [8]}, "odd.name": {"v.w": 10}}
+    assert second == {"id": 2, "a": None, "m": None, "odd.name": None}

@@ -98,7 +98,6 @@ def test_tree_keeps_large_files(spark, tmp_path):
 
 def test_readers():
     assert tree.make_recipes("a: b\n\t@echo x\n\techo y\nb:\n\tls\n") == {"a": ["echo x", "echo y"], "b": ["ls"]}
-    assert tree.yaml_block_keys("dependencies:\n  a: 1\n    x: 2\n  b:\nother:\n  c: 1\n", {"dependencies"}) == ["a", "x", "b"]
     assert tree.manifest_names("Cargo.toml", "[dependencies]\nserde = '1'\n") == [("cargo", "serde", False)]
     assert tree.manifest_names("package.json", "broken") == []
     assert tree.ci_steps("x.yml", "a: [") is None
