@@ -33,8 +33,9 @@ from .common import bounded_batches, on_release, pieces, working
 
 #: Split pattern of the byte-level tokenizer family (fixed value).
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-CACHE_PIECES = 150_000
-CACHE_CHUNKS = 100_000
+#: What is kept encoded: a young generation and the one before it, so that frequent words stay when room is made.
+CACHE_PIECES = 500_000
+CACHE_CHUNKS = 600_000
 _PAIR_MEMO = 300_000
 
 
@@ -100,7 +101,9 @@ class BacktrackingBPE:
         self.digit_data = np.frombuffer(b"".join(digits), np.uint8)
         self.memo: dict[int, bool] = {}
         self.cache: dict[str, bytes] = {}
+        self.older_cache: dict[str, bytes] = {}
         self.chunks: dict[str, bytes] = {}
+        self.older_chunks: dict[str, bytes] = {}
         self.blank_end = regex.compile(r"\A\s|\s\Z")
         self.byte_id = [by_bytes[bytes([i])] for i in range(256)]
 
@@ -177,9 +180,11 @@ class BacktrackingBPE:
     def piece_ids(self, piece: str) -> bytes:
         got = self.cache.get(piece)
         if got is None:
-            got = self.out[self.encode_piece(piece.encode("utf-8", "surrogatepass"))].tobytes()
-            if len(self.cache) >= CACHE_PIECES:
-                self.cache.clear()
+            got = self.older_cache.get(piece)
+            if got is None:
+                got = self.out[self.encode_piece(piece.encode("utf-8", "surrogatepass"))].tobytes()
+            if 2 * len(self.cache) >= CACHE_PIECES:
+                self.older_cache, self.cache = self.cache, {}
             self.cache[piece] = got
         return got
 
@@ -195,17 +200,19 @@ class BacktrackingBPE:
         is cut by the pattern as a whole.
         """
         first, *rest = text.split(" ")
-        kept = self.chunks
-        got = list(map(kept.get, rest))
+        got = list(map(self.chunks.get, rest))
         if None in got:
             for i, chunk in enumerate(rest):
                 if got[i] is None:
-                    if not chunk or self.blank_end.search(chunk):
-                        return self._cut(text)
-                    got[i] = self._cut(" " + chunk)
-                    if len(kept) >= CACHE_CHUNKS:
-                        kept.clear()
-                    kept[chunk] = got[i]
+                    known = self.older_chunks.get(chunk)
+                    if known is None:
+                        if not chunk or self.blank_end.search(chunk):
+                            return self._cut(text)
+                        known = self._cut(" " + chunk)
+                    got[i] = known
+                    if 2 * len(self.chunks) >= CACHE_CHUNKS:
+                        self.older_chunks, self.chunks = self.chunks, {}
+                    self.chunks[chunk] = known
         if rest and (not first or self.blank_end.search(first)):
             return self._cut(text)
         return self._cut(first) + b"".join(got)
