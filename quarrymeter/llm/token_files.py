@@ -34,7 +34,8 @@ from pyspark.sql import functions as F
 
 from .common import bounded_batches, local_path, new_file, on_release, pieces, put_file, scratch_path, working
 
-CACHE_WORDS = 1_200_000
+#: Words that are kept encoded: a young generation and the one before it, so that frequent words stay when room is made.
+CACHE_WORDS = 1_800_000
 PART_BYTES = 64 << 20
 _codec: dict[str, tuple] = {}
 on_release("token_files", _codec.clear)
@@ -64,12 +65,20 @@ class WordEncoder:
         self.tok = Tokenizer.from_file(path)
         self.kind = np.dtype("<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4")
         self.cache: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
     def learn(self, words: set[bytes]) -> None:
-        new = [w for w in words if w not in self.cache]
-        if len(self.cache) + len(new) > CACHE_WORDS:
-            self.cache.clear()
-            new = list(words)
+        missing = [w for w in words if w not in self.cache]
+        if 2 * (len(self.cache) + len(missing)) > CACHE_WORDS:
+            self.older, self.cache = self.cache, {}
+            missing = list(words)
+        new = []
+        for w in missing:
+            known = self.older.get(w)
+            if known is None:
+                new.append(w)
+            else:
+                self.cache[w] = known
         for w, e in zip(new, self.tok.encode_batch_fast([w.decode() for w in new], add_special_tokens=False), strict=True):
             self.cache[w] = np.array(e.ids, self.kind).tobytes()
 
