@@ -66,6 +66,12 @@ def mineable(facts: DataFrame) -> DataFrame:
     return facts.agg(F.count("*").alias("commits"), F.sum(good.cast("int")).alias("mineable"), F.countDistinct(F.when(~c("bot"), c("author"))).alias("human_authors"))
 
 
+def author_key(name: Column, email: Column, salt: str) -> Column:
+    """A handle for one author that means nothing outside the run that made the salt: names and addresses go no further than this."""
+    inner = F.sha2(F.concat_ws("\0", F.lit(salt), F.coalesce(name, F.lit("")), F.coalesce(email, F.lit(""))), 256)
+    return F.substring(F.sha2(F.concat_ws("\0", F.lit(salt), inner), 256), 1, 16)
+
+
 def author_profile(commits: DataFrame) -> DataFrame:
     per = commits.groupBy("author").agg(F.count("*").alias("n"), F.max("bot").alias("bot"))
     out = per.agg(F.sum((~F.col("bot")).cast("int")).alias("humans"), F.sum(F.col("bot").cast("int")).alias("bots"), F.sum(F.when(F.col("bot"), F.col("n")).otherwise(0)).alias("bot_commits"), F.sum("n").alias("commits"))

@@ -10,6 +10,7 @@ one plan: the sources take the list of them, and rows are told apart by ``repo``
 from __future__ import annotations
 
 import argparse
+import secrets
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -24,10 +25,10 @@ VERSION = "1.0"
 
 
 def commits(spark: SparkSession, repos: list[str], **options) -> tuple[DataFrame, DataFrame]:
-    """(commits, commit_files) with kinds, bots and top folders; a tip added by an anonymising tool is left out."""
-    subject = F.col("subject")
+    """(commits, commit_files) with kinds, bots and top folders; a tip added by an anonymising tool is left out. Authors are keys made with a salt of this call."""
+    subject, salt = F.col("subject"), secrets.token_hex(32)
     c = git.read(spark, repos, "commits", peel="true", **options).select(
-        "repo", "sha", F.lower(F.trim("author_email")).alias("author"), "author_name", F.col("author_ts").alias("ts"), "author_date", F.size("parents").alias("parents"), "subject", "ord", paths.subject_kind(subject).alias("kind"), paths.is_bot(F.col("author_name"), F.col("author_email")).alias("bot"),
+        "repo", "sha", history.author_key(F.col("author_name"), F.lower(F.trim("author_email")), salt).alias("author"), F.col("author_ts").alias("ts"), "author_date", F.size("parents").alias("parents"), "subject", "ord", paths.subject_kind(subject).alias("kind"), paths.is_bot(F.col("author_name"), F.col("author_email")).alias("bot"),
     )
     f = git.read(spark, repos, "commit_files", peel="true", **options).select("repo", "sha", "path", F.coalesce(paths.top_dir(F.col("path")), F.lit("")).alias("dir"), paths.commit_file_kind(F.col("path")).alias("file_kind"), "additions", "deletions")
     return c, f
@@ -45,7 +46,7 @@ def history_lane(c: DataFrame, f: DataFrame, as_of: str) -> DataFrame:
     real = f.where(~F.col("path").rlike("(?i)" + vocab.HISTORY_NON_IMPL)).groupBy("repo", "sha").agg(F.sum(F.col("additions") + F.col("deletions")).alias("churn"), n(~F.col("path").rlike(paths.HISTORY_TEST)).alias("impl"))
     good = (~F.col("bot")) & (F.col("impl") >= 2) & F.col("churn").between(20, 10000)
     mined = c.where("parents < 2").join(real, ["repo", "sha"], "left").groupBy("repo").agg(n(good).alias("mineable_commits"), n(~F.col("bot")).alias("real_commits"))
-    people = c.groupBy("repo", "author_name", "author").agg(F.count("*").alias("k"), F.max("bot").alias("bot")).groupBy("repo").agg(n(~F.col("bot")).alias("human_authors"), n(F.col("bot")).alias("bot_authors"), F.sum(F.when(F.col("bot"), F.col("k")).otherwise(0)).alias("bot_commit_count"))
+    people = c.groupBy("repo", "author").agg(F.count("*").alias("k"), F.max("bot").alias("bot")).groupBy("repo").agg(n(~F.col("bot")).alias("human_authors"), n(F.col("bot")).alias("bot_authors"), F.sum(F.when(F.col("bot"), F.col("k")).otherwise(0)).alias("bot_commit_count"))
     recent = c.where("ord < 200").groupBy("repo").agg(F.avg(F.col("subject").rlike("(?i)" + vocab.CONVENTIONAL_SUBJECT).cast("double")).alias("conventional_rate"))
     totals = c.groupBy("repo").agg(
         F.count("*").alias("total_commits"), n(F.col("parents") >= 2).alias("merge_commit_count"), F.countDistinct(F.when(F.col("parents") < 2, F.col("author_date"))).alias("active_days"),

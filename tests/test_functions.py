@@ -211,3 +211,13 @@ def test_fields_are_dropped_at_any_depth(spark):
     first, second = (r.asDict(True) for r in got.orderBy("id").collect())
     assert first == {"id": 1, "a": {"x": 2, "deep": [{"y": {"k": {"z": 5}, "n": None}}, None]}, "m": {"log": [8]}, "odd.name": {"v.w": 10}}
     assert second == {"id": 2, "a": None, "m": None, "odd.name": None}
+
+
+def test_author_keys_hold_for_one_salt_only(spark):
+    from quarrymeter.operators import history
+
+    rows = [("Ann", "a@x.org"), ("Ann", "a@x.org"), ("Ann", "b@x.org"), ("An", "na@x.org"), (None, "a@x.org"), (None, None)]
+    df = spark.createDataFrame(rows, "name string, email string")
+    keys = lambda salt: [r[0] for r in df.select(history.author_key(F.col("name"), F.col("email"), salt)).collect()]
+    one, two = keys("s"), keys("t")
+    assert one[0] == one[1] and len(set(one)) == 5 and not set(one) & set(two) and all(len(k) == 16 for k in one)
