@@ -627,7 +627,7 @@ def run_failures(spark, sf):
     return e.groupBy(verdicts.run_failure(rc, out).alias("f")).agg(F.count("*").alias("n")).select("f.*", "n")
 
 
-@query("SELECT event_id, CASE WHEN s < 120 THEN round_even(s, 0)::BIGINT || ' second' ELSE round_even(s / 60, 0)::BIGINT || ' minute' END AS took, round(greatest(5.0 + 3.0 * event_id / 1000.0, CASE WHEN event_id % 2 = 0 THEN least(1200.0, 900.0 + 45.0 * event_id / 1000.0) ELSE 0 END) + CASE event_id % 3 WHEN 0 THEN 30.0 * (event_id % 9) + 4.0 * event_id / 1000.0 WHEN 1 THEN 90.0 * (event_id % 9) + 20.0 * event_id / 1000.0 ELSE 0 END, 6) AS estimate, greatest(0.0, least(least(30.0, 5.0 * pow(2, event_id % 4)) * (0.5 + (event_id % 10) / 10.0), 45.0 - event_id % 50)) AS wait FROM (SELECT event_id, value * 3 AS s FROM events)")
+@query("SELECT event_id, CASE WHEN s < 120 THEN round_even(s, 0)::BIGINT || ' second' ELSE round_even(s / 60, 0)::BIGINT || ' minute' END AS took, round(greatest(least(3600.0, 5.0 + 3.0 * event_id / 1000.0), CASE WHEN event_id % 2 = 0 THEN least(1200.0, 900.0 + 45.0 * event_id / 1000.0) ELSE 0 END) + CASE event_id % 3 WHEN 0 THEN 30.0 * (event_id % 9) + 4.0 * event_id / 1000.0 WHEN 1 THEN 90.0 * (event_id % 9) + 20.0 * event_id / 1000.0 ELSE 0 END, 6) AS estimate, greatest(0.0, least(least(30.0, 5.0 * pow(2, event_id % 4)) * (0.5 + (event_id % 10) / 10.0), 45.0 - event_id % 50)) AS wait FROM (SELECT event_id, value * 3 AS s FROM events)")
 def durations(spark, sf):
     e, k = rel.table(spark, sf, "events"), F.col("event_id")
     level = F.when(k % 3 == 0, "discover").when(k % 3 == 1, "full").otherwise("none")
