@@ -22,24 +22,30 @@ def covering_root(projects: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def overlaps(spans: DataFrame, key: str, start: str, end: str, width: int) -> DataFrame:
-    """Pairs (a, b), a < b, of overlapping spans inside a key.
+    """Pairs (a, b), a < b, of overlapping spans inside a key: each starts before the other ends.
+
+    So spans that only touch don't overlap, an instant overlaps the spans that hold it
+    between their ends, and so does a span that ends before it starts.
 
     Interval join by time cells: a span's level doubles ``width`` seconds until it
     fits, so it touches two cells of its level or of a higher one at most. Two
     spans meet at the higher of their levels, in the cell where the later one
-    starts: each pair comes once, the join is an equi-join, and a long span is
+    begins: each pair comes once, the join is an equi-join, and a long span is
     listed no more often than there are levels.
     """
-    size = F.unix_micros("e") - F.unix_micros("s")
-    level = F.greatest(F.lit(0), F.ceil(F.log2(size / F.lit(width * 1_000_000)))).cast("int")
-    s = spans.select(F.col(key).alias("k"), F.col("id"), F.col(start).alias("s"), F.col(end).alias("e")).where("s < e").withColumn("l", level)
+    s = spans.select(F.col(key).alias("k"), F.col("id"), F.col(start).alias("s"), F.col(end).alias("e")).where("s is not null and e is not null")
+    s = s.withColumn("lo", F.least("s", "e")).withColumn("hi", F.greatest("s", "e"))
+    size = F.unix_micros("hi") - F.unix_micros("lo")
+    level = F.when(size == 0, 0).otherwise(F.greatest(F.lit(0), F.ceil(F.log2(size / F.lit(width * 1_000_000))))).cast("int")
+    s = s.withColumn("l", level)
     levels = sorted(r.l for r in s.select("l").distinct().collect())  # some forty at most
     up = s.withColumn("m", F.explode(F.filter(F.array(*map(F.lit, levels)) if levels else F.array().cast("array<int>"), lambda x: x >= F.col("l"))))
     cell = lambda c: F.floor(F.unix_micros(c) / (F.lit(width * 1_000_000) * F.pow(F.lit(2.0), F.col("m"))))
-    a, b = up.withColumn("cell", F.explode(F.sequence(cell("s"), cell("e")))).alias("a"), up.withColumn("cell", cell("s")).alias("b")
-    later = (F.col("a.s") < F.col("b.s")) | ((F.col("a.s") == F.col("b.s")) & (F.col("a.id") < F.col("b.id")))
+    a, b = up.withColumn("cell", F.explode(F.sequence(cell("lo"), cell("hi")))).alias("a"), up.withColumn("cell", cell("lo")).alias("b")
+    later = (F.col("a.lo") < F.col("b.lo")) | ((F.col("a.lo") == F.col("b.lo")) & (F.col("a.id") < F.col("b.id")))
     same = (F.col("a.k") == F.col("b.k")) & (F.col("a.m") == F.col("b.m")) & (F.col("a.cell") == F.col("b.cell"))
-    hit = a.join(b, same & (F.col("a.m") == F.greatest("a.l", "b.l")) & later & (F.col("b.s") < F.col("a.e")) & (F.col("a.id") != F.col("b.id")))
+    meet = (F.col("a.s") < F.col("b.e")) & (F.col("b.s") < F.col("a.e"))
+    hit = a.join(b, same & (F.col("a.m") == F.greatest("a.l", "b.l")) & later & meet & (F.col("a.id") != F.col("b.id")))
     return hit.select(F.col("a.k").alias(key), F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b"))
 
 
