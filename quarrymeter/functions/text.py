@@ -10,9 +10,10 @@ from ..vocab import GENERATED_HEADS, TECHNOLOGIES
 LINE_CAP = 50_000
 def line_count(text: Column, cap: int = LINE_CAP) -> Column:
     """Non-blank lines; the cap where the text has as many lines, blank ones included."""
-    lines = F.split(text, r"\r\n|\r|\n")
-    full = F.size(F.filter(lines, lambda x: x.rlike(r"\S")))
-    return F.when(text.isNull(), F.lit(0)).when(F.size(lines) >= cap, F.lit(cap)).otherwise(full)
+    n = lambda end: (F.octet_length(text) - F.octet_length(F.replace(text, F.lit(end), F.lit("")))) / len(end)
+    lines = 1 + n("\n") + n("\r") - n("\r\n")
+    full = F.regexp_count(text, F.lit(r"\S[^\r\n]*+"))  # from the first character of a line that isn't blank to its end
+    return F.when(text.isNull(), F.lit(0)).when(lines >= cap, F.lit(cap)).otherwise(full)
 
 
 def bounded(text: Column, characters: int = 16384) -> Column:

@@ -38,9 +38,10 @@ def size_distribution(files: DataFrame, by: str, large: tuple[int, int] = (500,
     """Counts and exact order statistics of file sizes; the median is the upper one.
 
     Sizes are first counted by value, so the sorted windows hold distinct sizes,
-    not files. Columns over_N count files above the two limits.
+    not files; a condition on their counts leaves the lines of a text to be
+    counted once. Columns over_N count files above the two limits.
     """
-    sizes = files.where("loc > 0").groupBy(by, "loc").agg(F.count("*").alias("k"))
+    sizes = files.groupBy(by, "loc").agg(F.count_if(F.col("loc") > 0).alias("k")).where("k > 0")
     w = Window.partitionBy(by).orderBy("loc")
     cum = sizes.withColumn("upto", F.sum("k").over(w)).withColumn("n", F.sum("k").over(Window.partitionBy(by)))
     pick = lambda i: F.min(F.when(F.col("upto") > i, F.col("loc")))

@@ -166,12 +166,19 @@ def literal(spark: SparkSession, rows: list[tuple], columns: str) -> DataFrame:
 
 
 def tree(spark: SparkSession, sf: str) -> DataFrame:
-    """(repo, path, text): two thirds of the fixture's files for each supplier."""
-    s = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("k"))
+    """(repo, path, text): two thirds of the fixture's files for each supplier.
+
+    The suppliers are few bytes, so they are dealt to tasks before each becomes a
+    tree, and by repository, so that what is grouped by it later stays where it
+    is. What asks for paths only is decided on the fixture's rows, and a text is
+    made once, by a generator, whatever filters follow.
+    """
+    tasks = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    s = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("k"), F.concat(F.lit("r"), F.col("s_suppkey")).alias("repo")).repartition(tasks, "repo")
     f = F.broadcast(literal(spark, FILES, "path string, head string, body string, times int"))
     j = s.join(f, F.pmod(s.k + f.i, F.lit(3)) != 0)
     text = F.concat("head", F.expr("repeat(body, times * cast(1 + k % 3 as int))"))
-    return j.select(F.concat(F.lit("r"), "k").alias("repo"), "path", F.replace(text, F.lit("{n}"), (F.col("k") % 10 + 1).cast("string")).alias("text"))
+    return j.select("repo", "path", F.explode(F.array(F.replace(text, F.lit("{n}"), (F.col("k") % 10 + 1).cast("string")))).alias("text"))
 
 
 def spread(spark: SparkSession, sf: str, source: str, key: str, rows: list[tuple], columns: str) -> DataFrame:
