@@ -188,9 +188,12 @@ def class_signals(files: DataFrame, facts: DataFrame, found: DataFrame, hits: Da
     name, ext = F.lower(paths.base_name(F.col("path"))), paths.extension(F.col("path"))
     n = lambda cond: F.sum(F.when(cond, 1).otherwise(0))
     code = paths.is_code(F.col("path")) & ~is_generated(F.col("text"))
-    loc = line_count(F.col("text"))
+    css = ext.isin(".css", ".scss", ".sass", ".less")
     web = paths.language(F.col("path")).isin(*vocab.WEB_LANGUAGES)
-    per = files.groupBy("repo").agg(
+    # lines are counted once a file, and only of files that some sum takes in
+    counted = files.select("repo", "path", name.alias("name"), ext.alias("ext"), code.alias("code"), web.alias("web"), F.when(code | css, line_count(F.col("text"))).alias("loc"))
+    name, ext, code, web, loc = (F.col(c) for c in ("name", "ext", "code", "web", "loc"))
+    per = counted.groupBy("repo").agg(
         n(ext == ".ipynb").alias("notebooks"), n(ext.isin(".tsx", ".jsx", ".vue", ".svelte")).alias("ui_components"), n(ext == ".sql").alias("sql_files"), n(ext.isin(".parquet", ".avro", ".orc", ".feather")).alias("data_files"),
         n(name.rlike(r"^dockerfile(\.|$)")).alias("dockerfiles"), F.sum(F.when(ext.isin(".css", ".scss", ".sass", ".less"), loc).otherwise(0)).alias("css_loc"), F.sum(F.when(code, loc).otherwise(0)).alias("total_loc"),
         F.sum(F.when(code & web, loc).otherwise(0)).alias("web_loc"), F.sum(F.when(code & (ext == ".sql"), loc).otherwise(0)).alias("sql_loc"),
