@@ -10,7 +10,8 @@ two commits of a chain are then some 2 log2(length) steps apart.
 The walk carries sets of tips as bits: a row (repo, sha, block) holds 63 tips, so
 it has one row for each commit and block, not for each pair of commit and ref. A round
 passes only the bits that are new on to parents and shortcuts, merges them by
-bit_or with map-side partials, and writes its state to the shared folder. It ends
+bit_or, and adds what is new to a table in the shared folder. Edges and that table are
+kept in buckets of commits, so a round shuffles and writes only what it passes on. It ends
 when no bit is new. The driver sees only whether there was one.
 
 Defined cases: parents that aren't among the commits (shallow or limited
@@ -24,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import Step
+from .shared import Buckets, Step
 
 TIPS = 63  # of a block: bits of a long without its sign
 MOST_ROUNDS = 10_000
@@ -79,25 +80,29 @@ def reached(commits: DataFrame, tips: DataFrame) -> DataFrame:
     each = Step(edges(commits), "edges")
     nodes = commits.select("repo", "sha").where("sha is not null").distinct()
     first = each.df.where("nth = 0").select("repo", "sha", "parent")
-    ways = Step(each.df.select("repo", "sha", F.col("parent").alias("to")).unionByName(shortcuts(nodes, first)), "ways")
-    start = tips.join(nodes, ["repo", "sha"], "left_semi").select("repo", "sha", "block", F.expr("shiftleft(1L, bit)").alias("bits"))
-    state = Step(start.withColumn("fresh", F.col("bits")), "reached")
-    zero = F.lit(0).cast("long")
-    for _ in range(MOST_ROUNDS):
-        passed = state.df.where("fresh <> 0").join(ways.df, ["repo", "sha"]).select("repo", F.col("to").alias("sha"), "block", zero.alias("bits"), F.col("fresh").alias("told"))
-        both = state.df.select("repo", "sha", "block", "bits", zero.alias("told")).unionByName(passed)
-        merged = both.groupBy("repo", "sha", "block").agg(F.bit_or("bits").alias("old"), F.bit_or("told").alias("told"))
-        fresh = F.col("told").bitwiseAND(F.bitwise_not("old"))
-        done = Step(merged.select("repo", "sha", "block", F.col("old").bitwiseOR(F.col("told")).alias("bits"), fresh.alias("fresh")), "reached")
-        state.drop()
-        state = done
-        if state.df.where("fresh <> 0").isEmpty():
+    keys = ["repo", "sha"]
+    ways = Buckets(each.df.select("repo", "sha", F.col("parent").alias("to")).unionByName(shortcuts(nodes, first)), "ways", keys)
+    start = tips.join(nodes, keys, "left_semi").groupBy("repo", "sha", "block").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits"))
+    seen = Buckets(start.withColumn("round", F.lit(0)), "seen", keys)
+    n = ways.n
+    for r in range(1, MOST_ROUNDS):
+        fresh = seen.df.where(F.col("round") == r - 1)
+        passed = fresh.join(ways.df, keys).select("repo", F.col("to").alias("sha"), "block", "bits")
+        told = passed.repartition(n, *keys).groupBy("repo", "sha", "block").agg(F.bit_or("bits").alias("told"))
+        # rows of both sides lie by commit; blocks are compared, but are no key to deal rows by
+        old = seen.df.groupBy("repo", "sha", "block").agg(F.bit_or("bits").alias("old")).withColumnRenamed("block", "_block")
+        t, o = told.alias("t"), old.alias("o")
+        both = t.join(o, (F.col("t.repo") == F.col("o.repo")) & (F.col("t.sha") == F.col("o.sha")) & (F.col("t.block") - F.col("o._block") == 0), "left")
+        new = F.col("told").bitwiseAND(F.bitwise_not(F.coalesce("old", F.lit(0).cast("long"))))
+        some = both.select("t.repo", "t.sha", "block", new.alias("bits")).where("bits <> 0").withColumn("round", F.lit(r))
+        seen.add(some)
+        if seen.df.where(F.col("round") == r).isEmpty():
             break
     else:
         raise RuntimeError("the walk over commits did not settle; is the graph acyclic?")
     each.drop()
     ways.drop()
-    return state.df.select("repo", "sha", "block", "bits")
+    return seen.df.groupBy("repo", "sha", "block").agg(F.bit_or("bits").alias("bits"))
 
 
 def _has(bit: int | str) -> Column:

@@ -38,3 +38,27 @@ class Step:
     def drop(self) -> None:
         p = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
         p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+class Buckets:
+    """A table in that folder kept in buckets of its keys, so what is joined or grouped by them reads it without a shuffle."""
+
+    def __init__(self, df: DataFrame, name: str, keys: list[str]):
+        self.spark, self.keys = df.sparkSession, keys
+        self.n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        self.name = f"{name}_{uuid.uuid4().hex}"
+        self.path = f"{shared_dir(self.spark)}/step-{self.name}"
+        self.add(df)
+
+    def add(self, df: DataFrame) -> None:
+        dealt = df.repartition(self.n, *self.keys)  # one file a bucket
+        dealt.write.format("parquet").bucketBy(self.n, *self.keys).option("path", self.path).mode("append").saveAsTable(self.name)
+
+    @property
+    def df(self) -> DataFrame:
+        return self.spark.table(self.name)
+
+    def drop(self) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
