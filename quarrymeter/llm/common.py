@@ -342,17 +342,21 @@ def bloom_of(ids: DataFrame) -> bytes:
     return out.tobytes()
 
 
+def bloom_has(bits: bytes, ids: np.ndarray) -> np.ndarray:
+    """Whether each id may be in the set."""
+    packed = np.frombuffer(bits, np.uint8)
+    return np.logical_and.reduce([(packed[s >> 3] >> (7 - (s & 7)).astype(np.uint8)) & 1 == 1 for s in _bloom_slots(ids)])
+
+
 def bloom_keep(df: DataFrame, column: str, bits: bytes, outside: bool = False) -> DataFrame:
     """Rows whose id may be in the set: never loses a member, may keep others. outside: exactly the other rows."""
     held = df.sparkSession.sparkContext.broadcast(bits)
 
     def keep(batches):
-        packed = np.frombuffer(held.value, np.uint8)
-        has = lambda s: (packed[s >> 3] >> (7 - (s & 7)).astype(np.uint8)) & 1 == 1
         for b in batches:
             col = b.column(b.schema.get_field_index(column))
             ids = col.fill_null(0).to_numpy(zero_copy_only=False)
-            ok = np.logical_and.reduce([has(s) for s in _bloom_slots(ids)]) & ~col.is_null().to_numpy(zero_copy_only=False)
+            ok = bloom_has(held.value, ids) & ~col.is_null().to_numpy(zero_copy_only=False)
             if outside:
                 ok = ~ok
             if ok.any():

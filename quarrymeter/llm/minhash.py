@@ -12,11 +12,18 @@ Documents with equal sets are folded first. Then links are looked for in three
 rounds; after each, pairs are confirmed on full sets and components formed:
 every member of a band's bucket with the bucket's two leaders; in buckets that
 still hold several components, every member with its closest members of other
-components; and where several components are left, all pairs across them, on full sets
-that come to the bucket, so only links are given out. So
+components in its block of the bucket; and where several components are left, all
+pairs across them, on full sets that come to the bucket, so only links are given out. So
 no link between components is lost, while pairs inside a component are never
-listed. Buckets are compared by signature in pairs of blocks of bounded size, and
-a pair that shares several buckets is given out by the first.
+listed. A pair that shares several buckets is given out by the first.
+
+In buckets of several blocks the last round isn't all with all. Shingles that more
+than ``RARE`` members of such buckets hold are common. A linked pair whose common
+shingles alone can't reach the threshold shares a rare one, and is found by an
+index of rare shingles, cut to the prefix in which two such sets must meet. What is
+left are pairs that common shingles alone may link: members outside their bucket's
+largest component for which such a partner may exist ask, and only they are copied
+to the blocks of the members that may answer.
 
 Texts are read again for confirmation, but only those that a fixed-size bit set
 of wanted ids lets through are shuffled.
@@ -39,13 +46,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import U64, Table, Words, as_long, bounded_batches, bloom_keep, bloom_of, components, frequent, mix, pieces, runs_hash, unique_per_doc, unskewed, words_of, working
+from .common import U64, Table, Words, as_long, bounded_batches, bloom_has, bloom_keep, bloom_of, components, frequent, mix, pieces, runs_hash, unique_per_doc, unskewed, words_of, working
 
 PERMUTATIONS = 100
 ROWS = 5
 BLOCK = 512
 BLOCK_ITEMS = 3_000_000
 SALTS, HOT_PAIRS = 16, 400
+RARE = 32
+#: Roles of a bucket's rows: in a bucket of one block all meet; else askers meet those at home, of which some ask elsewhere.
+ALL, ASKS, HOME, HOME_ASKS = range(4)
 _rng = np.random.default_rng(31)
 _MUL = _rng.integers(0, 2**62, PERMUTATIONS, dtype=np.int64).astype(U64) * U64(2) + U64(1)
 #: Estimates lie within four standard deviations of the similarity above this distance from the threshold.
@@ -150,7 +160,7 @@ def _confirm(percent: int):
 
 
 def _cross(percent: int, closest: int | None):
-    """Work of one pair of blocks of one bucket, between members of different components.
+    """Work of one cell of one bucket, between members of different components.
 
     With ``closest``: pairs (a, b) of each member with so many others, those with
     the highest estimates. Without: links (a, b) confirmed on full sets, one for each
@@ -160,20 +170,21 @@ def _cross(percent: int, closest: int | None):
 
     def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         b = pa.Table.from_batches(batches)
-        band, lo, hi = key[1].as_py(), key[2].as_py(), key[3].as_py()
+        band = key[1].as_py()
         col = lambda n: b.column(n).to_numpy()
-        k, n, comp, block = col("key"), col("n"), col("comp"), col("block")
+        k, n, comp, role, common = col("key"), col("n"), col("comp"), col("role"), col("common")
         sig = np.stack([np.frombuffer(x.as_buffer(), np.uint8) for x in b.column("sig")])
         tags = b.column("bands").combine_chunks().values.to_numpy().reshape(len(k), -1)
         items = [np.frombuffer(x.as_buffer(), U64) for x in b.column("items")] if closest is None else []
-        left, right = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
-        names, count = np.unique(comp[left], return_counts=True)
-        major = names[count.argmax()] if len(names) else None
+        names, count = np.unique(comp, return_counts=True)
+        # members of the largest component are met from the other side, or inside the component
+        asks = np.where(role == ALL, comp != names[count.argmax()], (role == ASKS) | (role == HOME_ASKS))
+        home = np.flatnonzero(role != ASKS)
         out = []
-        for i in left:
-            if lo == hi and comp[i] == major:
-                continue  # met from the other side, or inside the component
-            near = right[(comp[right] != comp[i]) & (100 * np.minimum(n[right], n[i]) >= percent * np.maximum(n[right], n[i]))]
+        for i in np.flatnonzero(asks & ((role == ALL) | (role == ASKS))):
+            near = home[(comp[home] != comp[i]) & ((100 + percent) * np.minimum(common[home], common[i]) >= percent * (n[home] + n[i]))]
+            if closest is None:
+                near = near[~asks[near] | (k[near] > k[i])]
             if not len(near):
                 continue
             guess = (sig[near] == sig[i]).mean(1)
@@ -196,6 +207,71 @@ def _cross(percent: int, closest: int | None):
     return run
 
 
+def _holders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many sets of a batch hold each shingle."""
+    for b in batches:
+        items, count = np.unique(np.concatenate([np.zeros(0, U64), *(np.frombuffer(x.as_buffer(), U64) for x in b.column("items"))]), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(as_long(items)), pa.array(count)], ["item", "count"])
+
+
+def _split(percent: int, often, few):
+    """The number of common shingles of each set, and the prefix of its rare ones."""
+
+    def run(batches):
+        working("minhash")
+        for b in batches:
+            common, rare = [], []
+            for x in b.column("items"):
+                items = as_long(np.frombuffer(x.as_buffer(), U64))
+                hot = bloom_has(often.value, items)
+                left = items[~hot]
+                left = left[bloom_has(few.value, left)]
+                # a linked pair that isn't left to the cells shares so many of them at least; sets are sorted
+                least = max(1, -(-(percent * len(items) - 100 * int(hot.sum())) // 100))
+                common.append(int(hot.sum()))
+                rare.append(left[: max(0, len(left) - least + 1)])
+            yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(common, pa.int64()), pa.array(rare, pa.list_(pa.int64()))], ["key", "common", "rare"])
+
+    return run
+
+
+def _common_and_rare(sets: DataFrame, percent: int) -> DataFrame:
+    """(key, common, rare) of the sets (key, items).
+
+    Two sets link only if ``(100 + percent) * least(common) >= percent * (n + n)``, or if both prefixes hold one shingle.
+    The bit sets may take a rare shingle for a common one, or one of a single set for a rare one, alike in all sets; neither loses a link.
+    """
+    spark = sets.sparkSession
+    held = Table(sets.select("items").mapInArrow(_holders, "item long, count long").groupBy("item").agg(F.sum("count").alias("count")).where("count > 1"), "holders")
+    often, few = (spark.sparkContext.broadcast(bloom_of(held.df.where(w).select("item"))) for w in (f"count > {RARE}", f"count <= {RARE}"))
+    out = Table(sets.select("key", "items").mapInArrow(_split(percent, often, few), "key long, common long, rare array<long>"), "common").df
+    held.drop()
+    return out
+
+
+def _cells(large: DataFrame, percent: int) -> DataFrame:
+    """Members (h, band, key, n, comp, common) of the buckets of several blocks, dealt to cells of bounded rows and bytes.
+
+    Members outside the largest component that may link by common shingles ask;
+    those that may answer are at home. Rows are some (askers * blocks at home + home * blocks of askers).
+    """
+    blocks = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_ITEMS)).cast("int")
+    # whether a partner of this size, or of the smallest that sizes allow, is in reach
+    may = lambda n: f"100 * {100 + percent} * common >= {percent} * (100 * n + greatest(100 * {n}, {percent} * n))"
+    parts = large.groupBy("h", "comp").agg(F.count("*").alias("count"), F.min("n").alias("n0"))
+    of = parts.groupBy("h").agg(F.max(F.struct("count", "comp"))["comp"].alias("major"), F.min("n0").alias("n0"))
+    at = Table(large.join(of, "h").select("*", (F.col("comp") != F.col("major")).alias("minor")).withColumn("asks", F.col("minor") & F.expr(may("n0"))), "large").df
+    asked = at.where("asks").groupBy("h").agg(F.min("n").alias("n1"), blocks.alias("down"))
+    home = Table(at.join(asked, "h").where(may("n1")), "home").df
+    across = home.groupBy("h").agg(blocks.alias("across"))
+    deal = lambda c: F.pmod(F.xxhash64("key"), F.col(c)).cast("int")
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    row = lambda df, role: df.select("h", "band", "row", "col", "key", "comp", role.alias("role"), "common")
+    asking = at.where("asks").join(asked, "h").join(across, "h").withColumn("row", deal("down")).withColumn("col", every("across"))
+    there = home.join(across, "h").withColumn("col", deal("across")).withColumn("row", every("down"))
+    return row(asking, F.lit(ASKS)).union(row(there, F.when(F.col("asks"), HOME_ASKS).otherwise(HOME)))
+
+
 def _sets_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     """(key, items) of the wanted (doc_id, key)."""
     texts = bloom_keep(docs, "doc_id", bloom_of(wanted.select("doc_id"))).join(wanted, "doc_id")
@@ -229,14 +305,19 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     tested: list[DataFrame] = []
     links: list[DataFrame] = []
 
-    def settle() -> DataFrame:
-        """Components of all links so far."""
-        every = links[0]
-        for more in links[1:]:
-            every = every.union(more)
-        return Table(components(nodes, every), "components").df
-
-    def confirm(found: DataFrame) -> DataFrame | None:
+    def settle(now: DataFrame | None) -> DataFrame:
+        """Components after the last links: of all documents at first, then of the components that new links touch."""
+        if now is None:
+            return Table(components(nodes, links[-1]), "components").df
+        name = lambda c: now.select(F.col("id").alias(c), F.col("component").alias(f"c{c}"))
+        across = Table(unskewed(unskewed(links[-1], name("a"), "a"), name("b"), "b").where("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct(), "across").df
+        if across.isEmpty():
+            return now
+        ends = across.select(F.col("a").alias("id")).union(across.select("b")).distinct()
+        top = Table(components(ends, across), "top").df.select(F.col("id").alias("component"), F.col("component").alias("top"))
+        return Table(unskewed(now, top, "component").select("id", F.coalesce("top", "component").alias("component")), "components").df
+
+    def confirm(found: DataFrame, now: DataFrame | None = None) -> DataFrame | None:
         """Confirm new pairs (ka, kb); components after that, None where there is nothing new."""
         for old in tested:
             found = found.join(old.select("ka", "kb"), ["ka", "kb"], "left_anti")
@@ -247,16 +328,19 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
         if pairs.isEmpty():
             return None
         links.append(Table(_verify(src, pairs, k, percent), "links").df)
-        return settle()
-
-    def mixed_buckets(now: DataFrame) -> DataFrame:
-        """Members of the buckets that hold several components, dealt to pairs of blocks of bounded rows and bytes."""
-        at = reps.select("key", "n", F.posexplode("bands").alias("band", "h")).join(now.select(F.col("id").alias("key"), F.col("component").alias("comp")), "key")
-        size = F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_ITEMS)
-        mixed = at.groupBy("h").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("size"), F.ceil(size).cast("int").alias("blocks")).where("c0 <> c1 and size > 2").select("h", "blocks")
-        part = at.join(mixed, "h").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
-        dealt = part.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        return Table(dealt.select("h", "band", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "key", "comp"), "mixed").df
+        return settle(now)
+
+    def mixed_buckets(now: DataFrame, known: DataFrame | None = None) -> DataFrame:
+        """Members of the buckets that hold several components, among those of ``known`` buckets once there are some; a bucket is dealt to blocks of bounded rows and bytes."""
+        at = reps.select("key", "n", F.posexplode("bands").alias("band", "h")) if known is None else known.select("key", "n", "band", "h", "blocks")
+        at = at.join(now.select(F.col("id").alias("key"), F.col("component").alias("comp")), "key")
+        parts = [F.min("comp").alias("c0"), F.max("comp").alias("c1")]
+        if known is None:
+            size = F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_ITEMS)
+            mixed = at.groupBy("h").agg(*parts, F.count("*").alias("size"), F.ceil(size).cast("int").alias("blocks")).where("c0 <> c1 and size > 2").select("h", "blocks")
+        else:
+            mixed = at.groupBy("h").agg(*parts).where("c0 <> c1").select("h")
+        return Table(at.join(mixed, "h").select("h", "band", "blocks", "key", "n", "comp"), "mixed").df
 
     member = reps.select("key", F.explode("bands").alias("h"))
     lead = member.groupBy("h").agg(F.min("key").alias("one"), F.max("key").alias("two")).where("one <> two")
@@ -264,17 +348,31 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     comp = confirm(near.select(F.least("key", "lead").alias("ka"), F.greatest("key", "lead").alias("kb")).distinct())
     signs = reps.select("key", "n", "sig", "bands")
     if comp is not None:
-        full = mixed_buckets(comp).join(signs, "key")
-        found = full.groupBy("h", "band", "lo", "hi").applyInArrow(_cross(percent, 2), "a long, b long").distinct()
-        comp = confirm(found.select(F.col("a").alias("ka"), F.col("b").alias("kb"))) or comp
-        dealt = mixed_buckets(comp)
-        if not dealt.isEmpty():
-            wanted = dealt.select("key").distinct().join(reps.select("key", F.col("rep").alias("doc_id")), "key").select("doc_id", "key")
-            full = dealt.join(signs, "key").join(_sets_of(src, Table(wanted, "wanted").df, k), "key")
-            late = Table(full.groupBy("h", "band", "lo", "hi").applyInArrow(_cross(percent, None), "a long, b long"), "links").df
+        mixed = mixed_buckets(comp)
+        whole = lambda df, block: df.select("h", "band", F.lit(0).alias("row"), block.alias("col"), "key", "comp", F.lit(ALL).alias("role"), F.col("n").alias("common"))
+        full = whole(mixed, F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")).join(signs, "key")
+        found = full.groupBy("h", "band", "row", "col").applyInArrow(_cross(percent, 2), "a long, b long").distinct()
+        comp = confirm(found.select(F.col("a").alias("ka"), F.col("b").alias("kb")), comp) or comp
+        mixed = mixed_buckets(comp, mixed)
+        if not mixed.isEmpty():
+            wanted = mixed.select("key").distinct().join(reps.select("key", F.col("rep").alias("doc_id")), "key").select("doc_id", "key")
+            sets = Table(_sets_of(src, Table(wanted, "wanted").df, k), "sets").df
+            cells = None
+            if not mixed.where("blocks > 1").isEmpty():
+                told = _common_and_rare(sets.join(mixed.where("blocks > 1").select("key").distinct(), "key", "left_semi"), percent)
+                at = told.select("key", F.explode("rare").alias("item")).join(reps.select("key", "n"), "key").join(comp.select(F.col("id").alias("key"), F.col("component").alias("comp")), "key")
+                side = lambda x: at.select("item", *[F.col(c).alias(f"{c}_{x}") for c in ("key", "n", "comp")])
+                fit = f"key_a < key_b and comp_a <> comp_b and 100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)"
+                comp = confirm(side("a").join(side("b"), "item").where(fit).select(F.col("key_a").alias("ka"), F.col("key_b").alias("kb")).distinct(), comp) or comp
+                mixed = mixed_buckets(comp, mixed)
+                cells = _cells(mixed.where("blocks > 1").join(told.select("key", "common"), "key"), percent)
+            dealt = whole(mixed.where("blocks = 1"), F.lit(0))
+            dealt = Table(dealt.union(cells) if cells is not None else dealt, "cells").df
+            full = dealt.join(signs, "key").join(sets, "key")
+            late = Table(full.groupBy("h", "band", "row", "col").applyInArrow(_cross(percent, None), "a long, b long"), "links").df
             if not late.isEmpty():
                 links.append(late)
-                comp = settle()
+                comp = settle(comp)
 
     if comp is None:
         comp = nodes.select("id", F.col("id").alias("component"))
