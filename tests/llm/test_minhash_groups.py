@@ -66,8 +66,8 @@ def test_linked_pairs_are_in_reach_or_share_a_rare_shingle(spark, monkeypatch):
     r = random.Random(3)
     words = [f"v{i}" for i in range(40)]
     base = [f"b{i}" for i in range(80)]
-    families = [mutated(r, words, base[: r.randint(60, 80)], 0.15) for _ in range(12)]
-    texts = [" ".join(mutated(r, words, t, 0.03)) for t in families for _ in range(12)]
+    families = [mutated(r, words, base[: r.randint(60, 80)], 0.15 if i % 2 else 0.01) for i in range(12)]
+    texts = [" ".join(mutated(r, words, t, 0.02)) for t in families for _ in range(12)]
     docs = spark.createDataFrame(list(enumerate(texts)), "key long, text string")
     minhash.bounded_batches(spark)
     signed = docs.withColumnRenamed("key", "doc_id").mapInArrow(minhash._sign(2), "doc_id long, n long, key long, bands array<long>, sig binary")
