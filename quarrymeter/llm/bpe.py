@@ -34,8 +34,9 @@ from .common import bounded_batches, on_release, pieces, working
 #: Split pattern of the byte-level tokenizer family (fixed value).
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: What is kept encoded: a young generation and the one before it, so that frequent words stay when room is made.
-CACHE_PIECES = 500_000
-CACHE_CHUNKS = 600_000
+#: A word that is one piece is kept as a chunk only, so the pieces are those of other chunks and of texts with runs of white space.
+CACHE_PIECES = 100_000
+CACHE_CHUNKS = 400_000
 _PAIR_MEMO = 300_000
 
 
@@ -191,6 +192,13 @@ class BacktrackingBPE:
     def _cut(self, text: str) -> bytes:
         return b"".join(map(self.piece_ids, self.split.findall(text)))
 
+    def _chunk(self, chunk: str) -> bytes:
+        """Ids of a chunk that its caller keeps: where it is one piece, that isn't kept a second time."""
+        found = self.split.findall(chunk)
+        if len(found) > 1:
+            return b"".join(map(self.piece_ids, found))
+        return self.out[self.encode_piece(chunk.encode("utf-8", "surrogatepass"))].tobytes()
+
     def _plain(self, text: str) -> bytes:
         """Ids of a text without added tokens.
 
@@ -208,7 +216,7 @@ class BacktrackingBPE:
                     if known is None:
                         if not chunk or self.blank_end.search(chunk):
                             return self._cut(text)
-                        known = self._cut(" " + chunk)
+                        known = self._chunk(" " + chunk)
                     got[i] = known
                     if 2 * len(self.chunks) >= CACHE_CHUNKS:
                         self.older_chunks, self.chunks = self.chunks, {}

@@ -744,6 +744,14 @@ def test_word_encoder_equals_library():
         assert np.frombuffer(enc.encode([t.encode()])[0], enc.kind).tolist() == tok.encode(t, add_special_tokens=False).ids
 
 
+def test_bpe_keeps_a_word_once():
+    tok, mine = Tokenizer.from_file(BYTE), bpe.BacktrackingBPE(BYTE)
+    words = [f"w{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]}{'uvwxyzabcd'[i // 100]}q" for i in range(1000)]
+    text = " ".join(["first", *words, "it's", "a1,b", *words])
+    assert mine.encode(text).tolist() == tok.encode(text, add_special_tokens=False).ids
+    assert len(mine.chunks) == 1002 and set(mine.cache) == {"first", " it", "'s", " a", "1", ",", "b"}
+
+
 def test_bpe_equals_library(spark, docs, empty):
     tok, mine = Tokenizer.from_file(BYTE), bpe.tokenizer(BYTE)
     r = random.Random(3)
