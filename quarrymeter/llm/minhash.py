@@ -42,7 +42,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -163,8 +163,9 @@ def _cross(percent: int, closest: int | None):
     """Work of one cell of one bucket, between members of different components.
 
     With ``closest``: pairs (a, b) of each member with so many others, those with
-    the highest estimates. Without: links (a, b) confirmed on full sets, one for each
-    member and component that it links with.
+    the highest estimates, and rows (a, null) of the members of pairs that this leaves
+    out. Without: links (a, b) confirmed on full sets, one for each member and
+    component that it links with. Both come with the cell's bucket.
     """
     least = percent / 100 - SLACK
 
@@ -174,13 +175,14 @@ def _cross(percent: int, closest: int | None):
         col = lambda n: b.column(n).to_numpy()
         k, n, comp, role, common = col("key"), col("n"), col("comp"), col("role"), col("common")
         sig = np.stack([np.frombuffer(x.as_buffer(), np.uint8) for x in b.column("sig")])
-        tags = b.column("bands").combine_chunks().values.to_numpy().reshape(len(k), -1)
+        tags = b.column("bands").combine_chunks().values.to_numpy().reshape(len(k), -1) if closest is None else None
         items = [np.frombuffer(x.as_buffer(), U64) for x in b.column("items")] if closest is None else []
         names, count = np.unique(comp, return_counts=True)
         # members of the largest component are met from the other side, or inside the component
         asks = np.where(role == ALL, comp != names[count.argmax()], (role == ASKS) | (role == HOME_ASKS))
         home = np.flatnonzero(role != ASKS)
         out = []
+        left = np.zeros(len(k), bool)
         for i in np.flatnonzero(asks & ((role == ALL) | (role == ASKS))):
             near = home[(comp[home] != comp[i]) & ((100 + percent) * np.minimum(common[home], common[i]) >= percent * (n[home] + n[i]))]
             if closest is None:
@@ -192,6 +194,8 @@ def _cross(percent: int, closest: int | None):
             order = np.argsort(-guess, kind="stable")
             if closest is not None:
                 out += [(min(k[i], k[j]), max(k[i], k[j])) for j in near[order[:closest]]]
+                if len(near) > closest:
+                    left[i] = left[near] = True
                 continue
             near = near[order]
             if band:  # the first bucket that a pair shares looks at it
@@ -202,7 +206,26 @@ def _cross(percent: int, closest: int | None):
                     linked.add(comp[j])
                     out.append((min(k[i], k[j]), max(k[i], k[j])))
         cols = list(zip(*sorted(set(out)), strict=True)) if out else [[], []]
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["a", "b"])
+        one, two = ([*map(int, c)] for c in cols)
+        more = k[left].tolist()
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()] * (len(one) + len(more)), pa.int64()), pa.array(one + more, pa.int64()), pa.array(two + [None] * len(more), pa.int64())], ["h", "a", "b"])
+
+    return run
+
+
+def _shared(bits: bytes, spark: SparkSession):
+    """(key, n, band, h) of the bands that the bit set lets through."""
+    held = spark.sparkContext.broadcast(bits)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            h = b.column("bands").flatten().to_numpy()
+            bands = len(h) // b.num_rows
+            at = np.flatnonzero(bloom_has(held.value, h))
+            row = pa.array(at // bands)
+            yield pa.RecordBatch.from_arrays([b.column("key").take(row), b.column("n").take(row), pa.array((at % bands).astype(np.int32)), pa.array(h[at])], ["key", "n", "band", "h"])
 
     return run
 
@@ -303,82 +326,105 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     signed.drop()
     nodes = reps.select(F.col("key").alias("id"))
     tested: list[DataFrame] = []
-    links: list[DataFrame] = []
-
-    def settle(now: DataFrame | None) -> DataFrame:
-        """Components after the last links: of all documents at first, then of the components that new links touch."""
-        if now is None:
-            return Table(components(nodes, links[-1]), "components").df
-        name = lambda c: now.select(F.col("id").alias(c), F.col("component").alias(f"c{c}"))
-        across = Table(unskewed(unskewed(links[-1], name("a"), "a"), name("b"), "b").where("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct(), "across").df
-        if across.isEmpty():
-            return now
-        ends = across.select(F.col("a").alias("id")).union(across.select("b")).distinct()
-        top = Table(components(ends, across), "top").df.select(F.col("id").alias("component"), F.col("component").alias("top"))
-        return Table(unskewed(now, top, "component").select("id", F.coalesce("top", "component").alias("component")), "components").df
 
-    def confirm(found: DataFrame, now: DataFrame | None = None) -> DataFrame | None:
-        """Confirm new pairs (ka, kb); components after that, None where there is nothing new."""
+    def confirm(found: DataFrame) -> DataFrame | None:
+        """Links (a, b) among new pairs (ka, kb), None where there is nothing new."""
         for old in tested:
             found = found.join(old.select("ka", "kb"), ["ka", "kb"], "left_anti")
         side = lambda key, rep, n: reps.select(F.col("key").alias(key), F.col("rep").alias(rep), F.col("n").alias(n))
         fit = found.join(side("ka", "a", "na"), "ka").join(side("kb", "b", "nb"), "kb").where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
         pairs = Table(fit.select("ka", "kb", "a", "b"), "pairs").df
         tested.append(pairs)
-        if pairs.isEmpty():
+        return None if pairs.isEmpty() else Table(_verify(src, pairs, k, percent), "links").df
+
+    def merged(links: DataFrame | None, mixed: DataFrame) -> DataFrame | None:
+        """(comp, top) of the components that links between members of ``mixed`` touch, None where they join nothing new.
+
+        Members of other components aren't read, so a round costs what its links touch.
+        """
+        if links is None:
+            return None
+        ends = links.select(F.col("a").alias("key")).union(links.select("b")).distinct()
+        told = Table(mixed.select("key", "comp").join(ends, "key", "left_semi").distinct(), "ends").df
+        name = lambda c: told.select(F.col("key").alias(c), F.col("comp").alias(f"c{c}"))
+        across = Table(unskewed(unskewed(links, name("a"), "a"), name("b"), "b").where("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct(), "across").df
+        if across.isEmpty():
             return None
-        links.append(Table(_verify(src, pairs, k, percent), "links").df)
-        return settle(now)
-
-    def mixed_buckets(now: DataFrame, known: DataFrame | None = None) -> DataFrame:
-        """Members of the buckets that hold several components, among those of ``known`` buckets once there are some; a bucket is dealt to blocks of bounded rows and bytes."""
-        at = reps.select("key", "n", F.posexplode("bands").alias("band", "h")) if known is None else known.select("key", "n", "band", "h", "blocks")
-        at = at.join(now.select(F.col("id").alias("key"), F.col("component").alias("comp")), "key")
-        parts = [F.min("comp").alias("c0"), F.max("comp").alias("c1")]
-        if known is None:
-            size = F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_ITEMS)
-            mixed = at.groupBy("h").agg(*parts, F.count("*").alias("size"), F.ceil(size).cast("int").alias("blocks")).where("c0 <> c1 and size > 2").select("h", "blocks")
-        else:
-            mixed = at.groupBy("h").agg(*parts).where("c0 <> c1").select("h")
-        return Table(at.join(mixed, "h").select("h", "band", "blocks", "key", "n", "comp"), "mixed").df
+        touched = across.select(F.col("a").alias("id")).union(across.select("b")).distinct()
+        return Table(components(touched, across), "top").df.select(F.col("id").alias("comp"), F.col("component").alias("top"))
+
+    def renamed(mixed: DataFrame, top: DataFrame | None) -> DataFrame:
+        """Members of the buckets that still hold several components, by their new names."""
+        if top is not None:
+            mixed = unskewed(mixed, top, "comp").select("h", "band", "blocks", "key", "n", F.coalesce("top", "comp").alias("comp"))
+            mixed = Table(mixed, "renamed").df
+        still = mixed.groupBy("h").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("h")
+        return Table(mixed.join(still, "h", "left_semi"), "mixed").df
+
+    def followed(names: DataFrame | None, top: DataFrame | None) -> DataFrame | None:
+        """(comp, top) of two renamings, the second by names that the first has given."""
+        if names is None or top is None:
+            return top if names is None else names
+        after = names.join(top.select(F.col("comp").alias("top"), F.col("top").alias("later")), "top", "left").select("comp", F.coalesce("later", "top").alias("top"))
+        return Table(after.union(top.join(names, "comp", "left_anti").select("comp", "top")), "names").df
 
     member = reps.select("key", F.explode("bands").alias("h"))
-    lead = member.groupBy("h").agg(F.min("key").alias("one"), F.max("key").alias("two")).where("one <> two")
-    near = member.join(lead, "h").select("key", F.explode(F.array("one", "two")).alias("lead")).where("lead <> key")
-    comp = confirm(near.select(F.least("key", "lead").alias("ka"), F.greatest("key", "lead").alias("kb")).distinct())
+    lead = Table(member.groupBy("h").agg(F.min("key").alias("one"), F.max("key").alias("two")).where("one <> two"), "lead").df
+    # most buckets have one member: only the others' rows are dealt, once
+    shared = reps.select("key", "n", "bands").mapInArrow(_shared(bloom_of(lead.select("h")), docs.sparkSession), "key long, n long, band int, h long")
+    shared = Table(shared.join(lead, "h"), "shared").df
+    near = shared.select("key", F.explode(F.array("one", "two")).alias("lead")).where("lead <> key")
+    links = confirm(near.select(F.least("key", "lead").alias("ka"), F.greatest("key", "lead").alias("kb")).distinct())
+    comp = names = None
     signs = reps.select("key", "n", "sig", "bands")
-    if comp is not None:
-        mixed = mixed_buckets(comp)
+    if links is not None:
+        comp = Table(components(nodes, links), "components").df
+        at = Table(shared.select("h", "band", "key", "n").join(comp.select(F.col("id").alias("key"), F.col("component").alias("comp")), "key"), "shared").df
+        size = F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_ITEMS)
+        several = at.groupBy("h").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("size"), F.ceil(size).cast("int").alias("blocks")).where("c0 <> c1 and size > 2")
+        mixed = Table(at.join(several.select("h", "blocks"), "h").select("h", "band", "blocks", "key", "n", "comp"), "mixed").df
         whole = lambda df, block: df.select("h", "band", F.lit(0).alias("row"), block.alias("col"), "key", "comp", F.lit(ALL).alias("role"), F.col("n").alias("common"))
-        full = whole(mixed, F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")).join(signs, "key")
-        found = full.groupBy("h", "band", "row", "col").applyInArrow(_cross(percent, 2), "a long, b long").distinct()
-        comp = confirm(found.select(F.col("a").alias("ka"), F.col("b").alias("kb")), comp) or comp
-        mixed = mixed_buckets(comp, mixed)
+        # rows of signatures only for members of these buckets
+        some = bloom_keep(signs, "key", bloom_of(mixed.select("key")))
+        full = whole(mixed, F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")).join(some.select("key", "n", "sig"), "key")
+        found = Table(full.groupBy("h", "band", "row", "col").applyInArrow(_cross(percent, 2), "h long, a long, b long"), "found").df
+        top = merged(confirm(found.where("b is not null").select(F.col("a").alias("ka"), F.col("b").alias("kb")).distinct()), mixed)
+        names = followed(names, top)
+        # a bucket of one block was searched whole: only the members of pairs that were left out are searched again
+        rest = found.where("b is null").select("h", F.col("a").alias("key"))
+        mixed = mixed.where("blocks > 1").unionByName(mixed.where("blocks = 1").join(rest, ["h", "key"], "left_semi"))
+        mixed = renamed(Table(mixed, "left").df, top)
         if not mixed.isEmpty():
             wanted = mixed.select("key").distinct().join(reps.select("key", F.col("rep").alias("doc_id")), "key").select("doc_id", "key")
             sets = Table(_sets_of(src, Table(wanted, "wanted").df, k), "sets").df
             cells = None
             if not mixed.where("blocks > 1").isEmpty():
-                told = _common_and_rare(sets.join(mixed.where("blocks > 1").select("key").distinct(), "key", "left_semi"), percent)
-                at = told.select("key", F.explode("rare").alias("item")).join(reps.select("key", "n"), "key").join(comp.select(F.col("id").alias("key"), F.col("component").alias("comp")), "key")
+                inside = mixed.where("blocks > 1").select("key", "n", "comp").distinct()
+                told = _common_and_rare(sets.join(inside.select("key"), "key", "left_semi"), percent)
+                at = told.select("key", F.explode("rare").alias("item")).join(inside, "key")
                 side = lambda x: at.select("item", *[F.col(c).alias(f"{c}_{x}") for c in ("key", "n", "comp")])
                 fit = f"key_a < key_b and comp_a <> comp_b and 100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)"
-                comp = confirm(side("a").join(side("b"), "item").where(fit).select(F.col("key_a").alias("ka"), F.col("key_b").alias("kb")).distinct(), comp) or comp
-                mixed = mixed_buckets(comp, mixed)
+                top = merged(confirm(side("a").join(side("b"), "item").where(fit).select(F.col("key_a").alias("ka"), F.col("key_b").alias("kb")).distinct()), mixed)
+                names = followed(names, top)
+                mixed = renamed(mixed, top)
                 cells = _cells(mixed.where("blocks > 1").join(told.select("key", "common"), "key"), percent)
             dealt = whole(mixed.where("blocks = 1"), F.lit(0))
             dealt = Table(dealt.union(cells) if cells is not None else dealt, "cells").df
-            full = dealt.join(signs, "key").join(sets, "key")
-            late = Table(full.groupBy("h", "band", "row", "col").applyInArrow(_cross(percent, None), "a long, b long"), "links").df
+            some = bloom_keep(signs, "key", bloom_of(dealt.select("key")))
+            full = dealt.join(some, "key").join(sets, "key")
+            late = Table(full.groupBy("h", "band", "row", "col").applyInArrow(_cross(percent, None), "h long, a long, b long").select("a", "b"), "links").df
             if not late.isEmpty():
-                links.append(late)
-                comp = settle(comp)
+                names = followed(names, merged(late, mixed))
 
     if comp is None:
         comp = nodes.select("id", F.col("id").alias("component"))
     named = Table(comp.withColumnRenamed("id", "key").join(reps.select("key", "rep"), "key"), "named").df
-    least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
-    out = unskewed(rows, unskewed(named, least, "component").select("key", "component", "component_id"), "key")
+    least = named.groupBy("component").agg(F.min("rep").alias("rep")).withColumn("top", F.col("component"))
+    if names is not None:  # components of the first round take the names of the later ones before their rows are read
+        least = least.drop("top").join(names.withColumnRenamed("comp", "component"), "component", "left").withColumn("top", F.coalesce("top", "component"))
+    least = Table(least, "least").df
+    least = least.join(least.groupBy("top").agg(F.min("rep").alias("component_id")), "top").select("component", "top", "component_id")
+    out = unskewed(rows, unskewed(named, least, "component").select("key", F.col("top").alias("component"), "component_id"), "key")
     comp_id = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     key = ["key", "component"] if with_key else []
     return out.select("doc_id", "n_shingles", comp_id.alias("component_id"), F.coalesce(F.col("doc_id") == comp_id, F.lit(True)).alias("kept"), *key)

@@ -83,3 +83,17 @@ def test_linked_pairs_are_in_reach_or_share_a_rare_shingle(spark, monkeypatch):
             assert reach or set(x.rare) & set(y.rare)
             met[reach] += 1
     assert all(met.values()), met
+
+
+def test_later_rounds_read_only_what_is_open(spark, written):
+    r = random.Random(4)
+    words = [f"w{i}" for i in range(20000)]
+    base = r.sample(words, 120)
+    near = [(i, " ".join(mutated(r, words, base, r.uniform(0, 0.07)))) for i in range(150)]
+    alone = [(i, " ".join(r.sample(words, 120))) for i in range(1000, 1400)]
+    got = minhash.near_duplicates(spark.createDataFrame(near + alone, "doc_id long, text string").repartition(3), k=2).collect()
+    assert len(got) == 550 and len({x.component_id for x in got}) > 401 and all(x.kept for x in got if x.doc_id >= 1000)
+    names = [name for name, _ in written]
+    assert "top" in names and names.count("components") == 1  # later rounds name the components that they touch
+    dealt = [df for name, df in written if name in ("shared", "mixed", "renamed", "cells", "left")]
+    assert dealt and all(df.select("key").distinct().count() <= 150 for df in dealt), names  # no rows of buckets with one member
