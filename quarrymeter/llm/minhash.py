@@ -17,6 +17,11 @@ pairs across them, on full sets that come to the bucket, so only links are given
 no link between components is lost, while pairs inside a component are never
 listed. A pair that shares several buckets is given out by the first.
 
+Only bands whose bucket has several members are dealt. A bucket of one block that
+the second round has searched keeps for the last only the members of pairs that were
+left out, because a member has more candidates than pairs are given out. Later rounds
+name the components that their links touch; documents take these names at the end.
+
 In buckets of several blocks the last round isn't all with all. Shingles that more
 than ``RARE`` members of such buckets hold are common. A linked pair whose common
 shingles alone can't reach the threshold shares a rare one, and is found by an
