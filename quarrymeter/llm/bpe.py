@@ -2,7 +2,7 @@
 
 A text is cut into pieces by the tokenizer's split pattern. For a piece, an
 Aho-Corasick automaton over the vocabulary gives the longest token that starts
-at each byte. The encoder walks left to right, takes the longest token that is
+where the encoder stands. It walks left to right, takes the longest token that is
 compatible with the token before it, falls back to the next shorter prefix
 token, and steps back where nothing fits, remembering dead positions, so every
 position is left at most once: time is linear in the piece. Two neighbouring
@@ -89,6 +89,7 @@ class BacktrackingBPE:
             self.auto.add_word(t.decode("latin-1"), i)
         self.auto.make_automaton()
         self.out = np.array([vocab[n] for n in names], np.uint32)
+        self.raw = [i.tobytes() for i in self.out]
         added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.added = {k: np.array([v], np.uint32).tobytes() for k, v in added.items()}
         self.added_split = regex.compile("(" + "|".join(regex.escape(k) for k in sorted(added, key=len, reverse=True)) + ")") if added else None
@@ -105,7 +106,6 @@ class BacktrackingBPE:
         self.older_cache: dict[str, bytes] = {}
         self.chunks: dict[str, bytes] = {}
         self.older_chunks: dict[str, bytes] = {}
-        self.blank_end = regex.compile(r"\A\s|\s\Z")
         self.byte_id = [by_bytes[bytes([i])] for i in range(256)]
 
     def compatible(self, a: int, b: int) -> bool:
@@ -145,19 +145,16 @@ class BacktrackingBPE:
         n = len(piece)
         if n == 1:
             return [self.byte_id[piece[0]]]
-        sizes, shorter, memo, compatible = self.size, self.shorter, self.memo, self.compatible
-        longest, reach = [0] * n, [0] * n
-        for last, token in self.auto.iter(piece.decode("latin-1")):
-            size = sizes[token]
-            at = last - size + 1
-            if size > reach[at]:
-                longest[at], reach[at] = token, size
-        dead = bytearray(n + 1)
+        sizes, shorter, memo, compatible, longest = self.size, self.shorter, self.memo, self.compatible, self.auto.iter_long
+        text = piece.decode("latin-1")
+        # bytes are tokens too, so longest matches follow each other without gaps; they are looked up again only after a shorter token
+        ahead = longest(text)
+        dead = None
         out: list[int] = []
-        pos, token, before = 0, longest[0], -1
-        while pos < n:
+        pos, token, before = 0, next(ahead)[1], -1
+        while True:
             end = pos + sizes[token]
-            if not dead[end]:
+            if dead is None or not dead[end]:
                 fits = True
                 if before >= 0:
                     fits = memo.get(before << 32 | token)
@@ -165,39 +162,49 @@ class BacktrackingBPE:
                         fits = compatible(before, token)
                 if fits:
                     out.append(token)
-                    pos, before = end, token
-                    if pos < n:
-                        token = longest[pos]
+                    if end == n:
+                        return out
+                    if ahead is None:
+                        ahead = longest(text, end)
+                    pos, before, token = end, token, next(ahead)[1]
                     continue
+            ahead = None
             token = shorter[token]
             while token < 0:
+                if dead is None:
+                    dead = bytearray(n + 1)
                 dead[pos] = 1
                 token = out.pop()
                 pos -= sizes[token]
                 token = shorter[token]
                 before = out[-1] if out else -1
-        return out
 
     def piece_ids(self, piece: str) -> bytes:
         got = self.cache.get(piece)
         if got is None:
             got = self.older_cache.get(piece)
             if got is None:
-                got = self.out[self.encode_piece(piece.encode("utf-8", "surrogatepass"))].tobytes()
+                got = self._new(piece)
             if 2 * len(self.cache) >= CACHE_PIECES:
                 self.older_cache, self.cache = self.cache, {}
             self.cache[piece] = got
         return got
 
+    def _new(self, piece: str) -> bytes:
+        """Ids of a piece that isn't kept."""
+        raw = self.raw
+        return b"".join([raw[i] for i in self.encode_piece(piece.encode("utf-8", "surrogatepass"))])
+
     def _cut(self, text: str) -> bytes:
         return b"".join(map(self.piece_ids, self.split.findall(text)))
 
     def _chunk(self, chunk: str) -> bytes:
         """Ids of a chunk that its caller keeps: where it is one piece, that isn't kept a second time."""
-        found = self.split.findall(chunk)
-        if len(found) > 1:
-            return b"".join(map(self.piece_ids, found))
-        return self.out[self.encode_piece(chunk.encode("utf-8", "surrogatepass"))].tobytes()
+        if not chunk[1:].isalpha():  # a space and letters are one piece
+            found = self.split.findall(chunk)
+            if len(found) > 1:
+                return b"".join(map(self.piece_ids, found))
+        return self._new(chunk)
 
     def _plain(self, text: str) -> bytes:
         """Ids of a text without added tokens.
@@ -214,14 +221,14 @@ class BacktrackingBPE:
                 if got[i] is None:
                     known = self.older_chunks.get(chunk)
                     if known is None:
-                        if not chunk or self.blank_end.search(chunk):
+                        if not chunk or chunk[0].isspace() or chunk[-1].isspace():
                             return self._cut(text)
                         known = self._chunk(" " + chunk)
                     got[i] = known
                     if 2 * len(self.chunks) >= CACHE_CHUNKS:
                         self.older_chunks, self.chunks = self.chunks, {}
                     self.chunks[chunk] = known
-        if rest and (not first or self.blank_end.search(first)):
+        if rest and (not first or first[0].isspace() or first[-1].isspace()):
             return self._cut(text)
         return self._cut(first) + b"".join(got)
 
