@@ -302,6 +302,7 @@ def as_long(x: np.ndarray) -> np.ndarray:
 
 # ------------------------------------------------------- bounded id filter
 BLOOM_BITS = 1 << 25  # 4 MB: a fixed bound, whatever the corpus
+BLOOM_PART = 1 << 16  # bytes that one group folds
 
 
 def _bloom_slots(ids: np.ndarray) -> list[np.ndarray]:
@@ -322,7 +323,7 @@ def bloom_of(ids: DataFrame) -> bytes:
                 bits[s] = True
             seen = seen or len(got) > 0
         if seen:
-            packed = np.packbits(bits).reshape(-1, 1 << 12)
+            packed = np.packbits(bits).reshape(-1, BLOOM_PART)
             yield pa.RecordBatch.from_arrays([pa.array(range(len(packed)), pa.int32()), pa.array([r.tobytes() for r in packed], pa.binary())], ["part", "bits"])
 
     def join(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -336,7 +337,7 @@ def bloom_of(ids: DataFrame) -> bytes:
     spark = ids.sparkSession
     few = ids.coalesce(max(4, spark.sparkContext.defaultParallelism))
     rows = few.mapInArrow(fold, "part int, bits binary").groupBy("part").applyInArrow(join, "part int, bits binary").collect()
-    out = np.zeros(BLOOM_BITS // 8, np.uint8).reshape(-1, 1 << 12)
+    out = np.zeros(BLOOM_BITS // 8, np.uint8).reshape(-1, BLOOM_PART)
     for r in rows:
         out[r.part] = np.frombuffer(r.bits, np.uint8)
     return out.tobytes()
@@ -391,6 +392,26 @@ def unskewed(rows: DataFrame, named: DataFrame, key: str, hot: list | None = Non
     return common.unionByName(marked.where("_hot").drop("_hot").join(F.broadcast(told), key, "left"))
 
 
+def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, component) of the ends of a bounded number of edges."""
+    got = [np.stack([b.column(c).to_numpy() for c in ("a", "b")]) for b in batches]
+    ids, at = np.unique(np.concatenate([np.zeros((2, 0), np.int64), *got], 1), return_inverse=True)
+    x, y = at.reshape(2, -1)
+    top = np.arange(len(ids))
+    while (top[x] != top[y]).any():
+        low = np.minimum(top[x], top[y])
+        np.minimum.at(top, top[x], low)
+        np.minimum.at(top, top[y], low)
+        while (top[top] != top).any():
+            top = top[top]
+    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(ids[top])], ["id", "component"])
+
+
+def few_components(edges: DataFrame) -> DataFrame:
+    """(id, component) of the ends of edges (a, b) without nulls, for a number of edges that its caller bounds: one task holds them."""
+    return edges.select("a", "b").coalesce(1).mapInArrow(_settle, "id long, component long")
+
+
 def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Smallest reachable id of every node.
 

@@ -51,7 +51,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import U64, Table, Words, as_long, bounded_batches, bloom_has, bloom_keep, bloom_of, components, frequent, mix, pieces, runs_hash, unique_per_doc, unskewed, words_of, working
+from .common import U64, Table, Words, as_long, bounded_batches, bloom_has, bloom_keep, bloom_of, components, few_components, frequent, mix, pieces, runs_hash, unique_per_doc, unskewed, words_of, working
 
 PERMUTATIONS = 100
 ROWS = 5
@@ -59,6 +59,9 @@ BLOCK = 512
 BLOCK_ITEMS = 3_000_000
 SALTS, HOT_PAIRS = 16, 400
 RARE = 32
+#: So many links are settled in one task, more in rounds of joins; so many new names are broadcast.
+FEW_LINKS = 200_000
+FEW_NAMES = 50_000
 #: Roles of a bucket's rows: in a bucket of one block all meet; else askers meet those at home, of which some ask elsewhere.
 ALL, ASKS, HOME, HOME_ASKS = range(4)
 _rng = np.random.default_rng(31)
@@ -153,13 +156,13 @@ def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(x) + len(y) - both)
 
 
-def _confirm(percent: int):
+def _confirm(percent: int, more: list[str]):
     def run(batches):
         for b in batches:
             left, right = b.column("left"), b.column("right")
             ok = np.array([similar(np.frombuffer(x.as_buffer(), U64), np.frombuffer(y.as_buffer(), U64), percent) for x, y in zip(left, right, strict=True)], bool)
             keep = pa.array(ok)
-            yield pa.RecordBatch.from_arrays([b.column(c).filter(keep) for c in ("ka", "kb")], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([b.column(c).filter(keep) for c in ("ka", "kb", *more)], ["a", "b", *more])
 
     return run
 
@@ -170,7 +173,7 @@ def _cross(percent: int, closest: int | None):
     With ``closest``: pairs (a, b) of each member with so many others, those with
     the highest estimates, and rows (a, null) of the members of pairs that this leaves
     out. Without: links (a, b) confirmed on full sets, one for each member and
-    component that it links with. Both come with the cell's bucket.
+    component that it links with. Both come with the cell's bucket and the components (ca, cb).
     """
     least = percent / 100 - SLACK
 
@@ -187,6 +190,7 @@ def _cross(percent: int, closest: int | None):
         asks = np.where(role == ALL, comp != names[count.argmax()], (role == ASKS) | (role == HOME_ASKS))
         home = np.flatnonzero(role != ASKS)
         out = []
+        pair = lambda i, j: (k[i], k[j], comp[i], comp[j]) if k[i] < k[j] else (k[j], k[i], comp[j], comp[i])
         left = np.zeros(len(k), bool)
         for i in np.flatnonzero(asks & ((role == ALL) | (role == ASKS))):
             near = home[(comp[home] != comp[i]) & ((100 + percent) * np.minimum(common[home], common[i]) >= percent * (n[home] + n[i]))]
@@ -198,7 +202,7 @@ def _cross(percent: int, closest: int | None):
             near, guess = near[guess >= least], guess[guess >= least]
             order = np.argsort(-guess, kind="stable")
             if closest is not None:
-                out += [(min(k[i], k[j]), max(k[i], k[j])) for j in near[order[:closest]]]
+                out += [pair(i, j) for j in near[order[:closest]]]
                 if len(near) > closest:
                     left[i] = left[near] = True
                 continue
@@ -209,15 +213,19 @@ def _cross(percent: int, closest: int | None):
             for j in near:
                 if comp[j] not in linked and similar(items[i], items[j], percent):
                     linked.add(comp[j])
-                    out.append((min(k[i], k[j]), max(k[i], k[j])))
-        cols = list(zip(*sorted(set(out)), strict=True)) if out else [[], []]
-        one, two = ([*map(int, c)] for c in cols)
+                    out.append(pair(i, j))
+        cols = list(zip(*sorted(set(out)), strict=True)) if out else [[], [], [], []]
+        one, *rest = ([*map(int, c)] for c in cols)
         more = k[left].tolist()
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()] * (len(one) + len(more)), pa.int64()), pa.array(one + more, pa.int64()), pa.array(two + [None] * len(more), pa.int64())], ["h", "a", "b"])
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in ([key[0].as_py()] * (len(one) + len(more)), one + more, *(c + [None] * len(more) for c in rest))], ["h", "a", "b", "ca", "cb"])
 
     return run
 
 
+#: What ``_cross`` gives out.
+CROSSED = "h long, a long, b long, ca long, cb long"
+
+
 def _shared(bits: bytes, spark: SparkSession):
     """(key, n, band, h) of the bands that the bit set lets through."""
     held = spark.sparkContext.broadcast(bits)
@@ -307,7 +315,8 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
 
 
 def _verify(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
-    """(a, b) of the pairs (ka, kb, a, b) whose full sets are similar enough."""
+    """(a, b) of the pairs (ka, kb, a, b) whose full sets are similar enough, with the pairs' other columns."""
+    more = [c for c in pairs.columns if c not in ("ka", "kb", "a", "b")]
     wanted = pairs.select(F.col("a").alias("doc_id"), F.col("ka").alias("key")).union(pairs.select("b", "kb")).distinct()
     sets = Table(_sets_of(docs, wanted, k), "sets").df
     # the leader of a large group is in many pairs: its set is dealt to SALTS places, and so are its pairs
@@ -315,9 +324,19 @@ def _verify(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFram
     salt = lambda c, other: F.when(F.col(c).isin(*hot[c]), F.pmod(F.xxhash64(other), F.lit(SALTS))).otherwise(0) if hot[c] else F.lit(0).cast("long")
     places = lambda c: F.when(F.col("key").isin(*hot[c]), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))) if hot[c] else F.array(F.lit(0))
     side = lambda c, name: sets.select(F.col("key").alias(c), F.col("items").alias(name), F.explode(places(c).cast("array<long>")).alias("salt"))
-    one = pairs.select("ka", "kb", salt("ka", "kb").alias("salt")).join(side("ka", "left"), ["ka", "salt"]).drop("salt")
+    one = pairs.select("ka", "kb", *more, salt("ka", "kb").alias("salt")).join(side("ka", "left"), ["ka", "salt"]).drop("salt")
     two = one.withColumn("salt", salt("kb", "ka")).join(side("kb", "right"), ["kb", "salt"])
-    return two.select("ka", "kb", "left", "right").mapInArrow(_confirm(percent), "a long, b long")
+    return two.select("ka", "kb", *more, "left", "right").mapInArrow(_confirm(percent, more), ", ".join(f"{c} long" for c in ("a", "b", *more)))
+
+
+def _components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+    """(id, component) of the nodes, or of the ends of the written edges (a, b)."""
+    if edges.count() <= FEW_LINKS:
+        got = few_components(edges)
+        return got if nodes is None else nodes.join(got, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+    if nodes is None:
+        nodes = edges.select(F.col("a").alias("id")).union(edges.select("b")).distinct()
+    return components(nodes, edges)
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", with_key: bool = False) -> DataFrame:
@@ -333,36 +352,33 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     tested: list[DataFrame] = []
 
     def confirm(found: DataFrame) -> DataFrame | None:
-        """Links (a, b) among new pairs (ka, kb), None where there is nothing new."""
+        """Links (a, b) among new pairs (ka, kb), with the components of both where the pairs have them; None where there is nothing new."""
         for old in tested:
             found = found.join(old.select("ka", "kb"), ["ka", "kb"], "left_anti")
         side = lambda key, rep, n: reps.select(F.col("key").alias(key), F.col("rep").alias(rep), F.col("n").alias(n))
         fit = found.join(side("ka", "a", "na"), "ka").join(side("kb", "b", "nb"), "kb").where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
-        pairs = Table(fit.select("ka", "kb", "a", "b"), "pairs").df
+        pairs = Table(fit.select("ka", "kb", "a", "b", *[c for c in ("ca", "cb") if c in found.columns]), "pairs").df
         tested.append(pairs)
         return None if pairs.isEmpty() else Table(_verify(src, pairs, k, percent), "links").df
 
-    def merged(links: DataFrame | None, mixed: DataFrame) -> DataFrame | None:
-        """(comp, top) of the components that links between members of ``mixed`` touch, None where they join nothing new.
+    def merged(links: DataFrame | None) -> DataFrame | None:
+        """(comp, top) of the components that links (ca, cb) join, None where there are none.
 
-        Members of other components aren't read, so a round costs what its links touch.
+        Links bring the components of their ends, so no member is read.
         """
         if links is None:
             return None
-        ends = links.select(F.col("a").alias("key")).union(links.select("b")).distinct()
-        told = Table(mixed.select("key", "comp").join(ends, "key", "left_semi").distinct(), "ends").df
-        name = lambda c: told.select(F.col("key").alias(c), F.col("comp").alias(f"c{c}"))
-        across = Table(unskewed(unskewed(links, name("a"), "a"), name("b"), "b").where("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct(), "across").df
+        across = Table(links.select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct(), "across").df
         if across.isEmpty():
             return None
-        touched = across.select(F.col("a").alias("id")).union(across.select("b")).distinct()
-        return Table(components(touched, across), "top").df.select(F.col("id").alias("comp"), F.col("component").alias("top"))
+        return Table(_components(across), "top").df.select(F.col("id").alias("comp"), F.col("component").alias("top"))
 
     def renamed(mixed: DataFrame, top: DataFrame | None) -> DataFrame:
         """Members of the buckets that still hold several components, by their new names."""
         if top is not None:
-            mixed = unskewed(mixed, top, "comp").select("h", "band", "blocks", "key", "n", F.coalesce("top", "comp").alias("comp"))
-            mixed = Table(mixed, "renamed").df
+            told = mixed.join(F.broadcast(top), "comp", "left") if top.count() <= FEW_NAMES else unskewed(mixed, top, "comp")
+            mixed = told.select("h", "band", "blocks", "key", "n", F.coalesce("top", "comp").alias("comp"))
+        mixed = Table(mixed, "renamed").df
         still = mixed.groupBy("h").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("h")
         return Table(mixed.join(still, "h", "left_semi"), "mixed").df
 
@@ -383,7 +399,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     comp = names = None
     signs = reps.select("key", "n", "sig", "bands")
     if links is not None:
-        comp = Table(components(nodes, links), "components").df
+        comp = Table(_components(links, nodes), "components").df
         at = Table(shared.select("h", "band", "key", "n").join(comp.select(F.col("id").alias("key"), F.col("component").alias("comp")), "key"), "shared").df
         size = F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_ITEMS)
         several = at.groupBy("h").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("size"), F.ceil(size).cast("int").alias("blocks")).where("c0 <> c1 and size > 2")
@@ -392,13 +408,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
         # rows of signatures only for members of these buckets
         some = bloom_keep(signs, "key", bloom_of(mixed.select("key")))
         full = whole(mixed, F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")).join(some.select("key", "n", "sig"), "key")
-        found = Table(full.groupBy("h", "band", "row", "col").applyInArrow(_cross(percent, 2), "h long, a long, b long"), "found").df
-        top = merged(confirm(found.where("b is not null").select(F.col("a").alias("ka"), F.col("b").alias("kb")).distinct()), mixed)
+        found = Table(full.groupBy("h", "band", "row", "col").applyInArrow(_cross(percent, 2), CROSSED), "found").df
+        top = merged(confirm(found.where("b is not null").select(F.col("a").alias("ka"), F.col("b").alias("kb"), "ca", "cb").distinct()))
         names = followed(names, top)
         # a bucket of one block was searched whole: only the members of pairs that were left out are searched again
         rest = found.where("b is null").select("h", F.col("a").alias("key"))
         mixed = mixed.where("blocks > 1").unionByName(mixed.where("blocks = 1").join(rest, ["h", "key"], "left_semi"))
-        mixed = renamed(Table(mixed, "left").df, top)
+        mixed = renamed(mixed, top)
         if not mixed.isEmpty():
             wanted = mixed.select("key").distinct().join(reps.select("key", F.col("rep").alias("doc_id")), "key").select("doc_id", "key")
             sets = Table(_sets_of(src, Table(wanted, "wanted").df, k), "sets").df
@@ -409,17 +425,18 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
                 at = told.select("key", F.explode("rare").alias("item")).join(inside, "key")
                 side = lambda x: at.select("item", *[F.col(c).alias(f"{c}_{x}") for c in ("key", "n", "comp")])
                 fit = f"key_a < key_b and comp_a <> comp_b and 100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)"
-                top = merged(confirm(side("a").join(side("b"), "item").where(fit).select(F.col("key_a").alias("ka"), F.col("key_b").alias("kb")).distinct()), mixed)
-                names = followed(names, top)
-                mixed = renamed(mixed, top)
+                top = merged(confirm(side("a").join(side("b"), "item").where(fit).select(F.col("key_a").alias("ka"), F.col("key_b").alias("kb"), F.col("comp_a").alias("ca"), F.col("comp_b").alias("cb")).distinct()))
+                if top is not None:
+                    names = followed(names, top)
+                    mixed = renamed(mixed, top)
                 cells = _cells(mixed.where("blocks > 1").join(told.select("key", "common"), "key"), percent)
             dealt = whole(mixed.where("blocks = 1"), F.lit(0))
             dealt = Table(dealt.union(cells) if cells is not None else dealt, "cells").df
             some = bloom_keep(signs, "key", bloom_of(dealt.select("key")))
             full = dealt.join(some, "key").join(sets, "key")
-            late = Table(full.groupBy("h", "band", "row", "col").applyInArrow(_cross(percent, None), "h long, a long, b long").select("a", "b"), "links").df
+            late = Table(full.groupBy("h", "band", "row", "col").applyInArrow(_cross(percent, None), CROSSED).select("a", "b", "ca", "cb"), "links").df
             if not late.isEmpty():
-                names = followed(names, merged(late, mixed))
+                names = followed(names, merged(late))
 
     if comp is None:
         comp = nodes.select("id", F.col("id").alias("component"))
